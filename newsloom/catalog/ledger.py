@@ -1 +1,270 @@
+"""Ledger queries: filters, latest-wins reads, retries, merges."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsloom.catalog import sqltext as q
+from newsloom.catalog.base import register
+from newsloom.functions import dates as dx, html as hx, text as tx
+from newsloom.operators import ledger as lg, retry as rt
+
+ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
+
+
+def iso(c):
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def with_day(ledger):
+    return ledger.withColumn("day", F.to_date("observed_at"))
+
+
+@register("published_on_day", "F1", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'")
+def _(t):
+    return t.events.filter(dx.within_days(F.col("ts"), "2024-01-10", "2024-01-10")).select("event_id", "user_id")
+
+
+@register("published_in_window", "F2", "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-16'")
+def _(t):
+    return t.events.filter(dx.within_days(F.col("ts"), "2024-01-08", "2024-01-15")).select("event_id", "event_type")
+
+
+@register("local_day_counts", "F3", """
+SELECT strftime(CAST(timezone('America/Chicago', timezone('UTC', ts)) AS DATE), '%Y-%m-%d') AS local_day, count(*) AS n_events FROM events GROUP BY 1""")
+def _(t):
+    return t.events.groupBy(dx.local_day(F.col("ts")).cast("string").alias("local_day")).agg(F.count("*").alias("n_events"))
+
+
+@register("usable_items", "F4", q.with_([q.ITEMS], "SELECT id, source_name FROM items WHERE status = 'ok'"))
+def _(t):
+    return t.ok_items.select("id", "source_name")
+
+
+@register("latest_records", "S2 D5", q.with_([q.LEDGER], f"""
+SELECT id, seq, status, {ISO.format('observed_at')} AS observed_at, score FROM ledger QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""))
+def _(t):
+    return lg.latest_by_id(t.ledger.select("id", "seq", "status", "observed_at", "score")).select(
+        "id", "seq", "status", iso("observed_at").alias("observed_at"), "score")
+
+
+@register("latest_scored_records", "D6", q.with_([q.LEDGER], """
+SELECT id, seq, status, score FROM ledger WHERE score >= 20 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""))
+def _(t):
+    return lg.latest_where(t.ledger.select("id", "seq", "status", "score"), F.col("score") >= 20)
+
+
+@register("latest_enriched_of_day", "D7", q.with_([q.LEDGER], """
+SELECT id, max(seq) AS seq, arg_max(score, seq) AS score, min(seq) AS first_seq FROM ledger
+WHERE status = 'enriched' AND CAST(timezone('America/Chicago', timezone('UTC', observed_at)) AS DATE) = DATE '2024-01-12' GROUP BY id"""))
+def _(t):
+    rows = t.ledger.select("id", "seq", "status", "observed_at", "score")
+    return lg.latest_in_day(rows, "enriched", "2024-01-12", "America/Chicago").select("id", "seq", "score", "first_seq")
+
+
+@register("pending_retries", "F11", q.with_([q.LEDGER], """
+SELECT id, seq FROM (SELECT id, seq, status FROM ledger QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) WHERE status = 'revisit_pending'"""))
+def _(t):
+    return lg.latest_by_id(t.ledger.select("id", "seq", "status")).filter(F.col("status") == "revisit_pending").select("id", "seq")
+
+
+ATTEMPTS = """runs AS (SELECT *, count(*) FILTER (WHERE status <> 'revisit_pending') OVER (PARTITION BY id ORDER BY seq) AS run FROM ledger),
+tries AS (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY seq) AS attempt FROM runs WHERE status = 'revisit_pending')"""
+
+
+@register("retry_schedule", "X19 I6", q.with_([q.LEDGER, ATTEMPTS], f"""
+SELECT seq, id, attempt, {ISO.format("observed_at + to_minutes(CAST(least(1440, 5 * pow(2, attempt - 1)) AS BIGINT))")} AS next_check_after FROM tries"""))
+def _(t):
+    rows = with_day(t.ledger.select("id", "seq", "status", "observed_at"))
+    return rt.schedule(rt.attempts(rows)).select("seq", "id", "attempt", iso("next_check_after").alias("next_check_after"))
+
+
+MESSAGE = """CASE CAST(json_extract(props, '$.k') AS BIGINT) % 10 WHEN 0 THEN 'HTTP 401 while fetching' WHEN 1 THEN 'HTTP 403 while fetching'
+  WHEN 2 THEN 'HTTP 404 while fetching' WHEN 3 THEN 'http 429 while fetching' WHEN 4 THEN 'HTTP 503 while fetching'
+  WHEN 5 THEN 'The operation was aborted' WHEN 6 THEN 'Empty response body.' WHEN 7 THEN 'Unsupported content type: image/png'
+  WHEN 8 THEN 'No extractable text spans found.' ELSE 'socket hang up' END"""
+CODE = """CASE CAST(json_extract(props, '$.k') AS BIGINT) % 10 WHEN 0 THEN 'http_401' WHEN 1 THEN 'http_403' WHEN 2 THEN 'http_404'
+  WHEN 3 THEN 'http_429' WHEN 4 THEN 'http_5xx' WHEN 5 THEN 'timeout' WHEN 6 THEN 'empty_body' WHEN 7 THEN 'unsupported_content_type'
+  ELSE 'parse_empty_text' END"""
+MESSAGES = ["HTTP 401 while fetching", "HTTP 403 while fetching", "HTTP 404 while fetching", "http 429 while fetching",
+            "HTTP 503 while fetching", "The operation was aborted", "Empty response body.",
+            "Unsupported content type: image/png", "No extractable text spans found.", "socket hang up"]
+
+
+def k_of():
+    return F.get_json_object("props", "$.k").cast("bigint")
+
+
+def message_of():
+    return F.get(F.array(*[F.lit(m) for m in MESSAGES]), (k_of() % 10).cast("int"))
+
+
+@register("failure_codes", "Q17", q.with_([q.LEDGER], f"""
+SELECT {CODE} AS reason_code, count(*) AS n FROM ledger WHERE status = 'revisit_pending' GROUP BY 1"""))
+def _(t):
+    failures = t.ledger.filter(F.col("status") == "revisit_pending")
+    return failures.groupBy(rt.reason_code(message_of()).alias("reason_code")).agg(F.count("*").alias("n"))
+
+
+@register("stage_failures", "Q17", q.with_([q.LEDGER], f"""
+SELECT 'SourceBrief:pending:' || {q.hash_id("id || ':' || strftime(observed_at, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(millisecond(observed_at) % 1000 AS VARCHAR), 3, '0') || 'Z'", 16)} AS id,
+  CASE WHEN score > 20 THEN 'inference_unavailable' ELSE 'llm_inference_failed' END AS reason_code,
+  {ISO.format("observed_at + INTERVAL 5 MINUTE")} AS next_check_after FROM ledger WHERE status = 'revisit_pending'"""))
+def _(t):
+    failures = t.ledger.filter(F.col("status") == "revisit_pending").select(
+        F.col("id").cast("string").alias("parent_id"), F.when(F.col("score") > 20, "inference_unavailable").otherwise("x").alias("error_code"),
+        F.col("observed_at").alias("at"))
+    return rt.stage_pending(failures, "SourceBrief").select("id", "reason_code", iso("next_check_after").alias("next_check_after"))
+
+
+@register("retry_resolutions", "J10", q.with_([q.LEDGER], f"""
+, queue AS (SELECT id, {CODE} AS reason_code FROM (SELECT * FROM ledger WHERE status = 'revisit_pending' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)),
+probes AS (SELECT id, [200, 404, 500][CAST(json_extract(props, '$.k') AS BIGINT) % 3 + 1] AS http_status, CAST(floor(score * 100) AS BIGINT) AS content_length
+  FROM (SELECT * FROM ledger WHERE status = 'parsed' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1))
+SELECT id, reason_code, CASE
+  WHEN reason_code = 'parse_empty_text' THEN CASE WHEN coalesce(content_length, 0) > 512 THEN 'resolved' ELSE 'still_blocked' END
+  WHEN reason_code = 'timeout' THEN 'resolved'
+  WHEN http_status = 404 THEN 'manual_required' WHEN http_status = 200 THEN 'resolved' ELSE 'still_blocked' END AS resolver_status
+FROM queue LEFT JOIN probes USING (id)""").replace("\n\n, queue", ",\nqueue").replace(")\n\n,", "),\n"))
+def _(t):
+    rows = t.ledger.select("id", "seq", "status", "props", "score")
+    queue = lg.latest_where(rows, F.col("status") == "revisit_pending").select("id", rt.reason_code(message_of()).alias("reason_code"))
+    statuses = F.array(F.lit(200), F.lit(404), F.lit(500))
+    probes = lg.latest_where(rows, F.col("status") == "parsed").select(
+        "id", F.get(statuses, (k_of() % 3).cast("int")).alias("http_status"), F.floor(F.col("score") * 100).alias("content_length"))
+    return rt.resolve(queue, probes).select("id", "reason_code", "resolver_status")
+
+
+@register("state_transitions", "I7", q.with_([q.LEDGER], """
+SELECT status, previous, valid, count(*) AS n FROM (
+  SELECT status, previous, coalesce(coalesce(previous, 'missing') = CASE status WHEN 'briefed' THEN 'parsed' WHEN 'enriched' THEN 'briefed' END, true) AS valid
+  FROM (SELECT status, lag(status) OVER (PARTITION BY id ORDER BY seq) AS previous FROM ledger)) GROUP BY ALL"""))
+def _(t):
+    rows = with_day(t.ledger.select("id", "seq", "status", "observed_at"))
+    return rt.transitions(rows).groupBy("status", "previous", "valid").agg(F.count("*").alias("n"))
+
+
+@register("stage_rejects", "Q19", q.with_([q.LEDGER], """
+SELECT doc_id AS id, 'parsed' AS required, coalesce(status, 'missing') AS found FROM documents
+LEFT JOIN (SELECT id, status FROM ledger QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) l ON l.id = doc_id
+WHERE coalesce(status, 'missing') <> 'parsed'"""))
+def _(t):
+    requests = t.read("documents").select(F.col("doc_id").alias("id"), F.lit("parsed").alias("required"))
+    return rt.precondition_rejects(requests, lg.latest_by_id(t.ledger.select("id", "seq", "status")))
+
+
+@register("record_ranks", "D5", q.with_([q.LEDGER], "SELECT seq, id, row_number() OVER (PARTITION BY id ORDER BY seq) AS version FROM ledger"))
+def _(t):
+    rows = with_day(t.ledger.select("id", "seq", "observed_at"))
+    return lg.bucketed_rank(rows, "id", "day", "seq", "version").select("seq", "id", "version")
+
+
+@register("ledger_header", "A5", q.with_([q.ITEMS], """
+SELECT count(DISTINCT source_name) AS source_count, CAST(count(*) AS BIGINT) AS item_count, count(*) FILTER (WHERE status <> 'ok') AS error_count,
+  strftime(min(day), '%Y-%m-%d') AS start_day, strftime(max(day), '%Y-%m-%d') AS end_day FROM items"""))
+def _(t):
+    h = lg.ledger_header(t.items)
+    return h.withColumns({"start_day": F.col("start_day").cast("string"), "end_day": F.col("end_day").cast("string")})
+
+
+@register("source_health", "A4", "SELECT event_type AS family, count(*) AS total, count(*) FILTER (WHERE value >= 5) AS ok FROM events GROUP BY 1")
+def _(t):
+    return lg.family_health(t.events.withColumnRenamed("event_type", "family"), "family", F.col("value") >= 5)
+
+
+FAMILIES = ["signup", "view", "click", "purchase", "error"]
+
+
+@register("source_health_wide", "A4", "SELECT " + ", ".join(
+    f"count(*) FILTER (WHERE event_type = '{f}') AS {f}_total, count(*) FILTER (WHERE event_type = '{f}' AND value >= 5) AS {f}_ok" for f in FAMILIES) + " FROM events")
+def _(t):
+    health = lg.family_health(t.events, "event_type", F.col("value") >= 5)
+    return lg.family_health_wide(health, "event_type", FAMILIES)
+
+
+@register("newest_items", "W5", q.with_([q.OK_ITEMS], """
+SELECT id, title, strftime(day, '%Y-%m-%d') AS day FROM ok_items ORDER BY day DESC, id LIMIT 120"""))
+def _(t):
+    return lg.newest_first(t.ok_items.select("id", "title", "day"), 120).select("id", "title", F.col("day").cast("string").alias("day"))
+
+
+@register("summary_items", "P15", q.with_([q.OK_ITEMS], f"""
+SELECT 'documents-' || {q.slug('source_name')} || '-' || id AS ledger_id, {q.slug('source_name')} AS source_id, title, url,
+  {q.summarize(q.strip_html('summary'), 2)} AS summary, 'ai|' || kind || '|documents|' || source_name AS tags FROM ok_items"""))
+def _(t):
+    none = F.lit(None).cast("string")
+    rows = t.ok_items.withColumns({
+        "source_id": none, "category": F.col("kind"), "topic": none, "transcript_summary": none, "transcript_text": none, "description": none})
+    return lg.summary_items(rows, "documents").select(
+        "ledger_id", "source_id", "title", "url", "summary", F.array_join("tags", "|").alias("tags"))
+
+
+@register("first_urls", "D1", q.with_([q.PAGE_LINKS], """
+SELECT url, family_rank, source_pos, item_pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY family_rank, source_pos, item_pos) AS rn FROM (
+    SELECT url, 0 AS family_rank, page_id AS source_pos, 0 AS item_pos FROM pages
+    UNION ALL SELECT url, 1, page_id, pos FROM page_links) WHERE url <> '') WHERE rn = 1"""))
+def _(t):
+    pages = t.read("pages").select("url", F.col("page_id").alias("source_pos"), F.lit(0).cast("bigint").alias("item_pos"))
+    links = t.page_links.select("url", F.col("page_id").alias("source_pos"), F.col("pos").alias("item_pos"))
+    return lg.first_url_across_families([pages, links]).select("url", F.col("family_rank").cast("bigint").alias("family_rank"), "source_pos", "item_pos")
+
+
+@register("family_union", "U1", """
+SELECT family, count(*) AS n, count(title) AS n_titles, count(html_length) AS n_html FROM (
+  SELECT 'documents' AS family, source AS title, NULL AS html_length FROM documents
+  UNION ALL SELECT 'pages', NULL, length(html) FROM pages) GROUP BY family""")
+def _(t):
+    merged = lg.union_families({
+        "documents": t.read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title")),
+        "pages": t.read("pages").select(F.col("page_id").alias("id"), "url", F.length("html").alias("html_length"))})
+    return merged.groupBy("family").agg(F.count("*").alias("n"), F.count("title").alias("n_titles"), F.count("html_length").alias("n_html"))
+
+
+@register("day_index_upsert", "U2", """
+WITH days AS (SELECT CAST(ts AS DATE) AS day, event_type, value FROM events)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, CASE WHEN day >= DATE '2024-01-20' THEN 'new' ELSE 'old' END AS version
+FROM days WHERE day < DATE '2024-01-20' OR event_type <> 'error' GROUP BY day""")
+def _(t):
+    day = F.to_date("ts").cast("string").alias("day")
+    old = t.events.groupBy(day).agg(F.count("*").alias("n")).withColumn("version", F.lit("old"))
+    fresh = t.events.filter((F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_type") != "error"))
+    return lg.upsert(old, fresh.groupBy(day).agg(F.count("*").alias("n")).withColumn("version", F.lit("new")), "day")
+
+
+@register("changed_documents", "D15", q.with_([q.ITEMS], f"""
+SELECT 'source-doc:' || {q.hash_id('url', 20)} AS id FROM items WHERE NOT (status = 'ok' AND kind <> 'fr')"""))
+def _(t):
+    from newsloom.operators.knowledge import source_documents
+
+    docs = source_documents(t.items)
+    seen = docs.filter(F.col("source_kind") != "fr").join(
+        t.items.select(F.col("id").alias("summary_id"), "status"), "summary_id").select(
+        "id", "content_hash", F.when(F.col("status") == "ok", "parsed").otherwise("revisit_pending").alias("status"))
+    return lg.unchanged_skipped(docs, seen).select("id")
+
+
+@register("imports_inserted", "D16", q.with_([q.LEDGER], """
+SELECT id, origin, n FROM (
+  SELECT id, 'stored' AS origin, count(*) AS n FROM ledger WHERE status = 'parsed' GROUP BY id
+  UNION ALL SELECT id, 'added', count(*) FROM ledger WHERE status = 'enriched' AND id NOT IN (SELECT id FROM ledger WHERE status = 'parsed') GROUP BY id)"""))
+def _(t):
+    stored = t.ledger.filter(F.col("status") == "parsed").groupBy("id").agg(F.count("*").alias("n")).withColumn("origin", F.lit("stored"))
+    incoming = t.ledger.filter(F.col("status") == "enriched").groupBy("id").agg(F.count("*").alias("n")).withColumn("origin", F.lit("added"))
+    return lg.insert_if_absent(stored, incoming).select("id", "origin", "n")
+
+
+@register("fetch_guards", "S9", r"""
+SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN http_status >= 400 THEN 'http' WHEN content_type NOT IN ('text/html', '') THEN 'type'
+  WHEN trim(html) = '' THEN 'empty' ELSE 'parsed' END AS outcome
+  FROM (SELECT html, CASE WHEN url LIKE '%cheap%' THEN 403 ELSE 200 END AS http_status,
+        CASE WHEN url LIKE '%.html' THEN 'image/png' ELSE 'text/html' END AS content_type FROM pages)) GROUP BY 1""")
+def _(t):
+    from newsloom.sources.crawl import classify_fetches
+
+    url = F.col("url")
+    fetched = t.pages.select(
+        "page_id", url, "html", F.when(F.contains(url, F.lit("cheap")), 403).otherwise(200).alias("http_status"),
+        F.when(F.endswith(url, F.lit(".html")), "image/png").otherwise("text/html").alias("content_type"))
+    short = F.create_map(*[F.lit(x) for x in ("http_403", "http", "unsupported_content_type", "type", "empty_body", "empty", "parsed", "parsed")])
+    return classify_fetches(fetched).groupBy(F.element_at(short, F.col("outcome")).alias("outcome")).agg(F.count("*").alias("n"))
