@@ -79,10 +79,6 @@ def _(t):
     return rt.schedule(rt.attempts(rows)).select("seq", "id", "attempt", iso("next_check_after").alias("next_check_after"))
 
 
-MESSAGE = """CASE CAST(json_extract(props, '$.k') AS BIGINT) % 10 WHEN 0 THEN 'HTTP 401 while fetching' WHEN 1 THEN 'HTTP 403 while fetching'
-  WHEN 2 THEN 'HTTP 404 while fetching' WHEN 3 THEN 'http 429 while fetching' WHEN 4 THEN 'HTTP 503 while fetching'
-  WHEN 5 THEN 'The operation was aborted' WHEN 6 THEN 'Empty response body.' WHEN 7 THEN 'Unsupported content type: image/png'
-  WHEN 8 THEN 'No extractable text spans found.' ELSE 'socket hang up' END"""
 CODE = """CASE CAST(json_extract(props, '$.k') AS BIGINT) % 10 WHEN 0 THEN 'http_401' WHEN 1 THEN 'http_403' WHEN 2 THEN 'http_404'
   WHEN 3 THEN 'http_429' WHEN 4 THEN 'http_5xx' WHEN 5 THEN 'timeout' WHEN 6 THEN 'empty_body' WHEN 7 THEN 'unsupported_content_type'
   ELSE 'parse_empty_text' END"""
@@ -117,15 +113,19 @@ def _(t):
     return rt.stage_pending(failures, "SourceBrief").select("id", "reason_code", iso("next_check_after").alias("next_check_after"))
 
 
-@register("retry_resolutions", "J10", q.with_([q.LEDGER], f"""
-, queue AS (SELECT id, {CODE} AS reason_code FROM (SELECT * FROM ledger WHERE status = 'revisit_pending' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)),
-probes AS (SELECT id, [200, 404, 500][CAST(json_extract(props, '$.k') AS BIGINT) % 3 + 1] AS http_status, CAST(floor(score * 100) AS BIGINT) AS content_length
-  FROM (SELECT * FROM ledger WHERE status = 'parsed' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1))
+QUEUE = f"""queue AS (SELECT id, {CODE} AS reason_code FROM (
+  SELECT * FROM ledger WHERE status = 'revisit_pending' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1))"""
+PROBES = """probes AS (
+  SELECT id, [200, 404, 500][CAST(json_extract(props, '$.k') AS BIGINT) % 3 + 1] AS http_status, CAST(floor(score * 100) AS BIGINT) AS content_length
+  FROM (SELECT * FROM ledger WHERE status = 'parsed' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1))"""
+
+
+@register("retry_resolutions", "J10 E3", q.with_([q.LEDGER, QUEUE, PROBES], """
 SELECT id, reason_code, CASE
   WHEN reason_code = 'parse_empty_text' THEN CASE WHEN coalesce(content_length, 0) > 512 THEN 'resolved' ELSE 'still_blocked' END
   WHEN reason_code = 'timeout' THEN 'resolved'
   WHEN http_status = 404 THEN 'manual_required' WHEN http_status = 200 THEN 'resolved' ELSE 'still_blocked' END AS resolver_status
-FROM queue LEFT JOIN probes USING (id)""").replace("\n\n, queue", ",\nqueue").replace(")\n\n,", "),\n"))
+FROM queue LEFT JOIN probes USING (id)"""))
 def _(t):
     rows = t.ledger.select("id", "seq", "status", "props", "score")
     queue = lg.latest_where(rows, F.col("status") == "revisit_pending").select("id", rt.reason_code(message_of()).alias("reason_code"))

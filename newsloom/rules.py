@@ -257,8 +257,8 @@ REASON_CODES = [
 STATE_PRECONDITIONS = {"briefed": "parsed", "enriched": "briefed", "aggregated": "enriched",
                        "article_published": "aggregated"}
 
-# --- fixed values: graph edge vocabulary ------------------------------------
-GRAPH_VOCAB = "https://tk.technews.local/kg#"
+# --- fixed values: graph edge vocabulary (the vocabulary URI is our own) ---
+GRAPH_VOCAB = "urn:newsloom:kg#"
 EDGE_TERMS = [
     "cites", "derivedFrom", "mentions", "supportsClaim", "contradictsClaim",
     "coOccursWith", "updates", "sameAs", "hasModality", "hasTemporalScope",

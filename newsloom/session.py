@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     # even where that costs one more exchange
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Spark 4.1 lets a union claim its children's hash partitioning; groups
+    # above such a union then come out split into several rows
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
