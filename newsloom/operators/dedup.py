@@ -8,6 +8,7 @@ from newsloom import rules
 from newsloom.functions import text as tx, urls as ux
 from newsloom.operators import skew
 from newsloom.operators.ledger import first_per_key
+from newsloom.operators.rollups import with_previous
 from newsloom.session import stage
 
 MAX_ROUNDS = 200
@@ -181,12 +182,12 @@ def first_in_row(df: DataFrame, entries: Column, out: str) -> DataFrame:
     """Adds ``out``: the values of an array of (key, value) structs with
     later repeats of a key dropped and order kept. No shuffle: entries are
     sorted by key inside the row."""
-    placed = F.transform(entries, lambda e, i: F.struct(e.key.alias("key"), i.alias("pos"), e.value.alias("value")))
-    df = df.withColumn("_s", F.array_sort(placed))
-    s = F.col("_s")
-    firsts = F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1).key != e.key))
-    restored = F.array_sort(F.transform(firsts, lambda e: F.struct(e.pos.alias("pos"), e.value.alias("value"))))
-    return df.withColumn(out, F.transform(restored, lambda e: e.value)).drop("_s")
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e.key.alias("key"), i.alias("pos"), e.value.alias("value"))))
+    flagged = with_previous(
+        placed, lambda e, p: F.struct((p.isNull() | (p.key != e.key)).alias("first"), e.pos.alias("pos"), e.value.alias("value"))
+    )
+    firsts = F.transform(F.filter(flagged, lambda e: e.first), lambda e: F.struct(e.pos.alias("pos"), e.value.alias("value")))
+    return df.withColumn(out, F.transform(F.array_sort(firsts), lambda e: e.value))
 
 
 def _entries(values: Column, key) -> Column:
@@ -231,11 +232,11 @@ def unique_blocks(df: DataFrame, body: str, out: str, separator: str = r"\n{2,}"
     )
     kept = F.filter(lines, lambda e: ~(is_item(e.value.line) & F.endswith(e.key, F.lit("\u0001"))))
     df = first_in_row(df, kept, "_lines")
-    rebuilt = F.transform(
-        F.col("_blocks"),
-        lambda b, i: F.array_join(F.transform(F.filter(F.col("_lines"), lambda v: v.block == i), lambda v: v.line), "\n"),
+    pieces = with_previous(
+        F.col("_lines"),
+        lambda v, p: F.concat(F.when(p.isNull(), "").when(p.block == v.block, "\n").otherwise(glue), v.line),
     )
-    return df.withColumn(out, F.array_join(rebuilt, glue)).drop("_blocks", "_lines")
+    return df.withColumn(out, F.array_join(pieces, "")).drop("_blocks", "_lines")
 
 
 # --- citations and developments ------------------------------------------------------

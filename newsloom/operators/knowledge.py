@@ -39,12 +39,16 @@ def candidates(title: str = "title", summary: str = "summary") -> Column:
 def entity_evidence(items: DataFrame) -> DataFrame:
     """One row per (name, item) with the number of mentions; no shuffle."""
     named = items.select("id", "url", "title", "source_name", F.array_sort(candidates()).alias("names"))
-    starts = F.filter(F.transform(with_first_use(F.col("names")), lambda s, i: F.struct(s.token.alias("name"), s.first.alias("first"), i.alias("at"))), lambda s: s.first == 1)
+    # first places of each distinct name in the sorted array; a name's
+    # mentions run up to the place of the next one
+    uses = F.transform(with_first_use(F.col("names")), lambda s, i: F.struct(s.token.alias("name"), s.first.alias("first"), i.alias("at")))
+    starts = F.filter(uses, lambda s: s.first == 1)
     spans = named.select("id", "url", "title", "source_name", F.size("names").alias("n"), starts.alias("starts"))
-    mentions = F.transform(
-        F.col("starts"),
-        lambda s, i: F.struct(s["name"].alias("name"), (F.coalesce(F.get(F.col("starts"), i + 1)["at"], F.col("n")) - s["at"]).cast("bigint").alias("mentions")),
+    later = F.concat(F.transform(F.slice("starts", 2, 2**30), lambda s: s["at"]), F.array(F.col("n")))
+    mentions = F.zip_with(
+        F.col("starts"), later, lambda s, end: F.struct(s["name"].alias("name"), (end - s["at"]).cast("bigint").alias("mentions"))
     )
+    mentions = F.filter(mentions, lambda m: m["name"].isNotNull())
     return spans.select("id", "url", "title", "source_name", F.explode(mentions).alias("m")).select(
         F.col("m.name").alias("name"), F.col("id").alias("evidence_id"), F.col("m.mentions").alias("mentions"), "url", "title", "source_name"
     )

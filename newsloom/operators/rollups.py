@@ -17,13 +17,24 @@ def slug_groups(items: DataFrame, column: str) -> DataFrame:
     return pairs.groupBy("slug").agg(F.sum("n").alias("n_items"), F.count("*").alias("n_titles"))
 
 
-def with_first_use(tokens: Column) -> Column:
-    """(token, first) structs: ``first`` marks one use per distinct token.
+def with_previous(values: Column, build) -> Column:
+    """Map an array's elements together with the element before each.
 
-    ``tokens`` must be a sorted array column, not an expression.
+    ``build(x, previous)`` sees null before the first element. Pairs come
+    from zipping the array with itself shifted: looking elements up by
+    position inside the lambda would evaluate the array once per element
+    wherever the optimizer inlines it.
     """
-    return F.transform(
-        tokens, lambda x, i: F.struct(x.alias("token"), ((i == 0) | (F.get(tokens, i - 1) != x)).cast("bigint").alias("first"))
+    shifted = F.concat(F.array(F.lit(None)), values)
+    zipped = F.zip_with(values, shifted, lambda x, p: F.struct(x.isNotNull().alias("real"), build(x, p).alias("v")))
+    return F.transform(F.filter(zipped, lambda z: z.real), lambda z: z.v)
+
+
+def with_first_use(tokens: Column) -> Column:
+    """(token, first) structs of a sorted array: ``first`` is 1 on one use
+    of each distinct token."""
+    return with_previous(
+        tokens, lambda x, p: F.struct(x.alias("token"), (p.isNull() | (p != x)).cast("bigint").alias("first"))
     )
 
 
