@@ -1 +1,331 @@
+"""Graph queries over the knowledge graph of the items."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsloom import rules
+from newsloom.catalog import sqltext as q
+from newsloom.catalog.base import register
+from newsloom.catalog.knowledge import CLAIMS, DOCS, PAIRS
+from newsloom.functions import text as tx
+from newsloom.operators import graph as gr, pages as pg
+from newsloom.session import new_stage_path, stage
+from newsloom.sources import graphs, sinks
+
+NODE = f"'claim:' || {q.hash_id('c.claim_id', 20)}"
+ENTITY = f"'entity:' || {q.slug('name')}"
+
+EDGES = f"""edges AS (SELECT DISTINCT type, src, dst FROM (
+  SELECT 'derivedFrom' AS type, id || ':span-1' AS src, id AS dst FROM docs
+  UNION ALL SELECT 'cites', id || ':span-1', id FROM docs
+  UNION ALL SELECT 'hasTemporalScope', id, id || ':temporal-scope' FROM docs
+  UNION ALL SELECT 'derivedFrom', {NODE}, d.id FROM claims c JOIN docs d ON d.summary_id = c.evidence_id
+  UNION ALL SELECT 'supportsClaim', d.id, {NODE} FROM claims c JOIN docs d ON d.summary_id = c.evidence_id
+  UNION ALL SELECT 'supportsClaim', 'topic:' || unnest(c.tags), {NODE} FROM claims c
+  UNION ALL SELECT 'mentions', d.id, {ENTITY} FROM names n JOIN docs d ON d.summary_id = n.id
+  UNION ALL SELECT 'mentions', d.id, 'topic:' || unnest(d.tags) FROM docs d
+  UNION ALL SELECT 'coOccursWith', 'entity:' || {q.slug('"left"')}, 'entity:' || {q.slug('"right"')} FROM pairs))"""
+
+NODES = f"""nodes AS (
+  SELECT id, 'SourceDocument' AS type, NULL AS name, title, NULL AS text, canonical_uri, strftime(published_on, '%Y-%m-%d') AS published_at FROM docs
+  UNION ALL SELECT id || ':span-1', 'TextSpan', NULL, NULL, text, NULL, NULL FROM docs
+  UNION ALL SELECT id || ':temporal-scope', 'TemporalScope', NULL, NULL, NULL, NULL, strftime(published_on, '%Y-%m-%d') FROM docs
+  UNION ALL SELECT {NODE}, 'Claim', NULL, NULL, c.text, NULL, strftime(d.published_on, '%Y-%m-%d') FROM claims c JOIN docs d ON d.summary_id = c.evidence_id
+  UNION ALL SELECT node, 'Entity', arg_max(name, rank), NULL, NULL, NULL, NULL FROM (
+    SELECT {ENTITY} AS node, name, row_number() OVER (ORDER BY count(*) DESC, name) AS rank FROM names GROUP BY name) GROUP BY node
+  UNION ALL SELECT DISTINCT 'topic:' || t, 'Topic', t, NULL, NULL, NULL, NULL FROM (SELECT unnest(tags) AS t FROM docs))"""
+
+GRAPH = [q.OK_ITEMS, CLAIMS, DOCS, q.NAMES, PAIRS, EDGES, NODES]
+ADJ = "adj AS (SELECT src AS node, dst AS neighbor, type FROM edges UNION ALL SELECT dst, src, type FROM edges)"
+
+
+def graph_of(t):
+    """The staged knowledge graph, built once per table set."""
+    if not hasattr(t, "_graph"):
+        t._graph = gr.knowledge_graph(t.ok_items).staged()
+    return t._graph
+
+
+def adjacency_of(t):
+    if not hasattr(t, "_adjacency"):
+        t._adjacency = stage(gr.adjacency(graph_of(t)), "adjacency")
+    return t._adjacency
+
+
+@register("graph_nodes", "G1 G2", q.with_(GRAPH, "SELECT id, type, name, title, published_at FROM nodes"))
+def _(t):
+    return gr.knowledge_graph(t.ok_items).nodes.select("id", "type", "name", "title", "published_at")
+
+
+@register("graph_edges", "G2", q.with_(GRAPH, "SELECT type, src, dst FROM edges"))
+def _(t):
+    return gr.knowledge_graph(t.ok_items).edges
+
+
+@register("page_graph_edges", "G1", q.with_([q.PAGE_LINKS, f"""spans AS (
+  SELECT page_id, url, unnest(s) AS text, unnest(range(1, len(s) + 1)) AS no FROM (SELECT page_id, url, ({q.paragraphs('html')})[1:24] AS s FROM pages))""",
+    f"""docs AS (SELECT page_id, 'source-doc:' || {q.hash_id(q.canonical_uri('url'), 16)} AS doc FROM pages)"""], f"""
+SELECT 'hasTemporalScope' AS type, doc AS src, doc || ':temporal-scope' AS dst FROM docs
+UNION ALL SELECT unnest(['derivedFrom', 'cites']), 'text-span:' || {q.hash_id("url || ':span-' || no || ':' || text", 20)}, doc FROM spans JOIN docs USING (page_id)
+UNION ALL SELECT DISTINCT 'hasModality', doc, 'image:' || {q.hash_id("page_url || ':image:' || href", 20)} FROM page_links JOIN docs USING (page_id) WHERE pos <= 8"""))
+def _(t):
+    # the given pages have no images, so their anchors stand in
+    return gr.page_graph(pg.page_metadata(t.pages), pg.text_spans(t.pages), pg.media(t.pages, "image", "a", "href", 8)).edges
+
+
+@register("graph_counts", "A6", q.with_(GRAPH, """
+SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type"""))
+def _(t):
+    g = graph_of(t)
+    count = lambda df, kind: df.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+    return count(g.nodes, "node").unionByName(count(g.edges, "edge"))
+
+
+@register("dangling_edges", "G2", q.with_(GRAPH, """
+SELECT 'all' AS scope, count(*) FILTER (WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)) AS n FROM edges"""))
+def _(t):
+    return gr.dangling_edges(graph_of(t)).agg(F.count("*").alias("n")).select(F.lit("all").alias("scope"), "n")
+
+
+@register("adjacency", "G3", q.with_(GRAPH + [ADJ], "SELECT node, neighbor, type FROM adj"))
+def _(t):
+    return gr.adjacency(graph_of(t))
+
+
+@register("node_degrees", "A10", q.with_(GRAPH + [ADJ], "SELECT node AS id, count(*) AS degree FROM adj GROUP BY node"))
+def _(t):
+    return gr.degrees(adjacency_of(t))
+
+
+SCORES = f"""scores AS (
+  SELECT id, type, {q.ellipsis('coalesce(name, title, text, id)', 96)} AS label,
+    coalesce(degree, 0) * 4 + CASE WHEN type = 'Topic' THEN 24 WHEN type IN ('Entity', 'Claim') THEN 10 ELSE 0 END
+    + CASE WHEN type IN ('Topic', 'Entity', 'Claim', 'SourceDocument') THEN 6 ELSE 0 END + CASE WHEN coalesce(text, '') <> '' THEN 4 ELSE 0 END
+    + CASE WHEN published_at IS NOT NULL THEN 2 ELSE 0 END AS score
+  FROM nodes LEFT JOIN (SELECT node, count(*) AS degree FROM adj GROUP BY node) ON node = id
+  WHERE type IN {tuple(rules.SEED_TYPES)})"""
+
+
+@register("seed_ranking", "W7 P22 F10", q.with_(GRAPH + [ADJ, SCORES], "SELECT id, type, label, score FROM scores ORDER BY score DESC, label, id LIMIT 12"))
+def _(t):
+    scores = gr.seed_scores(graph_of(t), gr.degrees(adjacency_of(t)))
+    return gr.top_seeds(scores, 12).select("id", "type", "label", "score")
+
+
+@register("node_summaries", "P22", q.with_(GRAPH, f"""
+SELECT id, type, {q.ellipsis('coalesce(name, title, text, id)', 96)} AS label, {q.ellipsis("coalesce(text, canonical_uri, '')", 280)} AS description, published_at FROM nodes"""))
+def _(t):
+    return graph_of(t).nodes.select("id", "type", gr.label().alias("label"), gr.description().alias("description"), "published_at")
+
+
+@register("navigable_topics", "F10", q.with_([q.OK_ITEMS], f"""
+SELECT DISTINCT name FROM (SELECT unnest(list_concat(tags, ['YouTube', 'Google News', 'x-' || kind])) AS name FROM ok_items)
+WHERE replace({q.slug('name', 80, False, 'topic')}, '-', '') NOT IN {tuple(rules.NON_NAVIGABLE_TOPICS)}"""))
+def _(t):
+    names = t.ok_items.select(F.explode(F.concat("tags", F.array(F.lit("YouTube"), F.lit("Google News"), F.concat(F.lit("x-"), "kind")))).alias("name")).distinct()
+    return names.filter(gr.navigable(F.col("name")))
+
+
+def topic_seeds(t, limit=24):
+    scores = gr.seed_scores(graph_of(t), gr.degrees(adjacency_of(t)), ["Topic"])
+    return stage(gr.top_seeds(scores, limit), "seeds")
+
+
+def communities_of(t):
+    if not hasattr(t, "_communities"):
+        t._seeds = topic_seeds(t)
+        t._communities = gr.communities(graph_of(t), adjacency_of(t), t._seeds)
+    return t._communities
+
+
+# Breadth-first order of all seeds, one queue step per recursion: the walk
+# carries each seed's visit list; a step appends the unvisited neighbours of
+# the node at the head, in id order, up to the cap.
+WALK = """topseeds AS (SELECT id FROM scores WHERE type = 'Topic' ORDER BY score DESC, label, id LIMIT 24),
+near AS (SELECT node, list(DISTINCT neighbor ORDER BY neighbor)[1:40] AS around FROM adj GROUP BY node),
+walk AS (SELECT id AS seed, 1 AS head, [id] AS seen FROM topseeds
+  UNION ALL SELECT w.seed, w.head + 1, (list_concat(w.seen, list_filter(coalesce(n.around, CAST([] AS VARCHAR[])), lambda x: NOT list_contains(w.seen, x))))[1:16]
+  FROM walk w LEFT JOIN near n ON n.node = w.seen[w.head] WHERE w.head <= len(w.seen) AND len(w.seen) < 16),
+final AS (SELECT seed, arg_max(seen, head) AS seen FROM walk GROUP BY seed)"""
+
+
+def recursive(ctes, select):
+    return q.with_(ctes, select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("neighborhoods", "G4", recursive(GRAPH + [ADJ, SCORES, WALK], """
+SELECT seed, unnest(seen) AS node, unnest(range(1, len(seen) + 1)) AS place FROM final"""))
+def _(t):
+    return gr.neighborhoods(topic_seeds(t), adjacency_of(t)).withColumn("place", F.col("place").cast("bigint"))
+
+
+MEMBERS = "members AS (SELECT seed, unnest(seen) AS node, unnest(range(1, len(seen) + 1)) AS place FROM final)"
+
+
+@register("communities", "G5 J11 A11 A12", recursive(GRAPH + [ADJ, SCORES, WALK, MEMBERS], f"""
+SELECT seed, 'community:' || {q.hash_id("seed || ':' || node_ids", 16)} AS community_id, node_ids, edge_types, start_at, end_at FROM (
+  SELECT seed, array_to_string(seen, '|') AS node_ids,
+    (SELECT string_agg(DISTINCT e.type, '|' ORDER BY e.type) FROM edges e WHERE list_contains(seen, e.src) AND list_contains(seen, e.dst)) AS edge_types,
+    (SELECT min(published_at) FROM nodes n WHERE list_contains(seen, n.id)) AS start_at,
+    (SELECT max(published_at) FROM nodes n WHERE list_contains(seen, n.id)) AS end_at FROM final)"""))
+def _(t):
+    return communities_of(t).summary.select("seed", "community_id", "node_ids", "edge_types", "start_at", "end_at")
+
+
+CITES = f"""cites AS (
+  SELECT id, 1 AS pos, title, canonical_uri AS url, source_name AS source FROM docs
+  UNION ALL SELECT {NODE}, 1, c.title, c.url, c.source_name FROM claims c
+  UNION ALL SELECT {ENTITY}, min(id), arg_min(title, id), url, arg_min(source_name, id) FROM names GROUP BY ALL
+  UNION ALL SELECT 'topic:' || tag, min(id), arg_min(title, id), url, arg_min(source_name, id) FROM (SELECT *, unnest(tags) AS tag FROM ok_items) GROUP BY tag, url),
+ranked AS (SELECT seed, url, title, source, row_number() OVER (PARTITION BY seed ORDER BY place, pos, url) AS rank FROM (
+  SELECT seed, place, pos, url, c.title, source, row_number() OVER (PARTITION BY seed, url ORDER BY place, pos) AS rn FROM members m JOIN cites c ON c.id = m.node) WHERE rn = 1)"""
+
+
+@register("community_citations", "A14 D9", recursive(GRAPH + [ADJ, SCORES, WALK, MEMBERS, CITES], """
+SELECT seed, rank, url, source FROM ranked WHERE rank <= 10"""))
+def _(t):
+    return communities_of(t).citations.select("seed", F.col("rank").cast("bigint").alias("rank"), "url", "source")
+
+
+@register("topic_packets", "G6", None)
+def _(t):
+    comm = communities_of(t)
+    parts = gr.packet_parts(comm, graph_of(t))
+    count = lambda name: parts[name].groupBy("seed").agg(F.count("*").alias(f"n_{name}"))
+    out = comm.citations.groupBy("seed").agg(F.count("*").alias("n_citations"))
+    for name in ("claims", "sources", "entities", "evidence"):
+        out = out.join(count(name), "seed", "left")
+    return out.fillna(0)
+
+
+@register("packet_claims", "G6", recursive(GRAPH + [ADJ, SCORES, WALK, MEMBERS], r"""
+SELECT seed, rank, id FROM (SELECT seed, n.id, row_number() OVER (PARTITION BY seed ORDER BY place) AS rank FROM members m JOIN nodes n ON n.id = m.node WHERE n.type = 'Claim') WHERE rank <= 8"""))
+def _(t):
+    return gr.packet_parts(communities_of(t), graph_of(t))["claims"].select("seed", F.col("rank").cast("bigint").alias("rank"), "id")
+
+
+def pages_of(t):
+    comm = communities_of(t)
+    label = F.substring_index("seed", "topic:", -1)
+    title = tx.topic_title(label)
+    return comm.members.filter(F.col("place") == 1).join(comm.citations.select("seed").distinct(), "seed").join(t._seeds.select(F.col("id").alias("seed"), "score"), "seed").select(
+        "seed", tx.topic_slug(label).alias("slug"), title.alias("title"), F.concat(F.lit("A current briefing on "), title, F.lit(" from the latest monitored sources.")).alias("dek"),
+        (-F.col("score")).alias("place"))
+
+
+@register("topic_pages", "G7 T11", None)
+def _(t):
+    comm, pages = communities_of(t), pages_of(t)
+    parts = gr.packet_parts(comm, graph_of(t))
+    angles = gr.topic_angles(parts["sources"].select("seed", "rank", "kind"), "seed", "rank")
+    return gr.topic_pages(pages, parts, comm).join(angles, "seed", "left").select(
+        "slug", "title", "developments", "source_names", "entity_names", F.coalesce("angles", F.lit(gr.DEFAULT_ANGLE)).alias("angles"))
+
+
+PAGE_ROWS = f"""srcpages AS (SELECT source_name AS slug, min(id) AS place, min_by(title, id) AS title FROM ok_items GROUP BY source_name),
+srccites AS (SELECT * FROM (SELECT source_name AS slug, row_number() OVER (PARTITION BY source_name ORDER BY id) AS rank, kind || '/' || strftime(day, '%d') AS url, kind AS source FROM ok_items) WHERE rank <= 10)"""
+
+
+@register("related_topics", "J9", q.with_([q.OK_ITEMS, PAGE_ROWS, """words AS (
+  SELECT slug, w, pos FROM (SELECT slug, w, min(pos) AS pos FROM (SELECT slug, unnest(l) AS w, unnest(range(len(l))) AS pos FROM (
+    SELECT slug, regexp_split_to_array(lower(title || ' covers ' || slug), '[^a-z0-9]+') AS l FROM srcpages)) WHERE length(w) > 3 AND w NOT IN ('topic', 'brief', 'current') GROUP BY slug, w)),
+reasons AS (SELECT a.slug, b.slug AS candidate, b.place,
+   (SELECT arg_min(y.source, y.rank) FROM srccites y WHERE y.slug = b.slug AND y.url IN (SELECT x.url FROM srccites x WHERE x.slug = a.slug)) AS cited,
+   (SELECT arg_min(x.w, x.pos) FROM words x JOIN words y ON x.w = y.w WHERE x.slug = a.slug AND y.slug = b.slug) AS word
+  FROM srcpages a JOIN srcpages b ON a.slug <> b.slug)"""], """
+SELECT slug, candidate, rank, reason FROM (
+  SELECT slug, candidate, row_number() OVER (PARTITION BY slug ORDER BY place) AS rank,
+    coalesce('Both topics cite ' || cited || '.', 'Both topics discuss ' || word || '.') AS reason FROM reasons WHERE cited IS NOT NULL OR word IS NOT NULL) WHERE rank <= 5"""))
+def _(t):
+    from newsloom.operators.ledger import top_per_key
+
+    pages = t.ok_items.groupBy(F.col("source_name").alias("slug")).agg(F.min("id").alias("place"), F.min_by("title", "id").alias("title"))
+    pages = pages.withColumn("dek", F.concat(F.lit("covers "), "slug"))
+    cites = top_per_key(t.ok_items, ["source_name"], ["id"], 10).select(
+        F.col("source_name").alias("slug"), "rank", F.concat("kind", F.lit("/"), F.date_format("day", "dd")).alias("url"), F.col("kind").alias("source"))
+    return gr.related_topics(pages, cites).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("topic_angles", "T11", q.with_([q.OK_ITEMS], """
+SELECT packet, string_agg(angle, '|' ORDER BY first, angle) AS angles FROM (
+  SELECT packet, angle, first, row_number() OVER (PARTITION BY packet ORDER BY first, angle) AS rank FROM (
+    SELECT source_name AS packet, CASE kind WHEN 'en' THEN 'open-source developer tooling' WHEN 'fr' THEN 'developer education and demos'
+      WHEN 'de' THEN 'news coverage' ELSE 'meta research' END AS angle, min(id) AS first FROM ok_items GROUP BY ALL)) WHERE rank <= 4 GROUP BY packet"""))
+def _(t):
+    kind = F.when(F.col("kind") == "en", "githubOrganizations").when(F.col("kind") == "fr", "youtube").when(F.col("kind") == "de", "googleNews").otherwise("metaResearch")
+    return gr.topic_angles(t.ok_items.select(F.col("source_name").alias("packet"), "id", kind.alias("kind")), "packet", "id")
+
+
+@register("page_grounding", "J7", q.with_([q.ITEMS], """
+SELECT source_name AS slug, count(*) AS n_cited, count(*) FILTER (WHERE status = 'ok' AND kind <> 'en' AND source_name <> 'src3') AS n_kept,
+  CASE WHEN source_name = 'src3' OR count(*) FILTER (WHERE status = 'ok' AND kind <> 'en') = 0 THEN 'no packet'
+       ELSE 'ok' END AS verdict FROM items GROUP BY source_name"""))
+def _(t):
+    pages = t.items.select(F.col("source_name").alias("slug"), "url")
+    packets = t.ok_items.filter((F.col("kind") != "en") & (F.col("source_name") != "src3")).select(F.col("source_name").alias("slug"), "url")
+    return gr.enforce_grounding(pages, packets)
+
+
+@register("page_overlay", "J8", q.with_([q.ITEMS], """
+SELECT id, CASE WHEN status = 'ok' THEN title ELSE 'pending' END AS title, status = 'ok' AS generated FROM items"""))
+def _(t):
+    return gr.overlay(t.items.select("id", F.lit("pending").alias("title")), t.ok_items.select("id", "title"), "id")
+
+
+@register("enrichment_budget", "W11", q.with_([q.OK_ITEMS], """
+SELECT packet_place, rank, id FROM (SELECT dense_rank() OVER (ORDER BY source_name) AS packet_place, row_number() OVER (PARTITION BY source_name ORDER BY id) AS rank, id FROM ok_items)
+WHERE rank <= 2 ORDER BY packet_place, rank LIMIT 12"""))
+def _(t):
+    from newsloom.operators.ledger import top_per_key
+
+    first = top_per_key(t.ok_items.select("source_name", "id"), ["source_name"], ["id"], 8)
+    budget = gr.enrichment_budget(first.withColumnRenamed("source_name", "packet_place"))
+    from pyspark.sql import Window
+    place = F.dense_rank().over(Window.orderBy("packet_place")).cast("bigint")  # at most twelve rows
+    return budget.select(place.alias("packet_place"), F.col("rank").cast("bigint").alias("rank"), "id")
+
+
+@register("table_hash", "A13", "SELECT count(*) AS n_rows, 64 AS n_hex, true AS order_free FROM documents")
+def _(t):
+    one = gr.table_hash(t.documents).select("n_rows", F.col("table_hash").alias("a"))
+    two = gr.table_hash(t.documents.repartition(3).sortWithinPartitions(F.desc("doc_id"))).select(F.col("table_hash").alias("b"))
+    return one.join(two, one["a"] == two["b"], "left").select("n_rows", F.length("a").cast("bigint").alias("n_hex"), F.col("b").isNotNull().alias("order_free"))
+
+
+@register("node_merge", "U3", q.with_([q.LEDGER], """
+SELECT id, coalesce(arg_max(status, seq) FILTER (WHERE status <> 'revisit_pending'), 'Thing') AS type, arg_max(score, seq) FILTER (WHERE score >= 5) AS score, max(seq) AS last_seq FROM ledger GROUP BY id"""))
+def _(t):
+    versions = t.ledger.select(F.col("id"), F.when(F.col("status") != "revisit_pending", F.col("status")).alias("type"),
+                               F.when(F.col("score") >= 5, F.col("score")).alias("score"), F.col("seq").alias("last_seq"), "seq")
+    return gr.merge_nodes(versions, "seq")
+
+
+@register("edge_merge", "U3", q.with_([q.LEDGER], """
+SELECT status AS type, id AS src, id % 7 AS dst, arg_max(score, seq) AS score FROM ledger GROUP BY ALL"""))
+def _(t):
+    versions = t.ledger.select(F.col("status").alias("type"), F.col("id").alias("src"), (F.col("id") % 7).alias("dst"), "score", "seq")
+    return gr.merge_edges(versions, "seq")
+
+
+@register("incremental_graph_merge", "G8", q.with_([q.LEDGER], """
+SELECT id, arg_max(status, seq) AS type, max(seq) AS last_seq FROM ledger GROUP BY id"""))
+def _(t):
+    rows = t.ledger.select("id", F.col("status").alias("type"), F.col("seq").alias("last_seq"), "seq")
+    stored = gr.merge_nodes(rows.filter(F.col("seq") < 800), "seq")
+    delta = gr.merge_nodes(rows.filter(F.col("seq") >= 800), "seq")
+    touched, untouched = gr.touched_buckets(stored, delta)
+    versions = touched.drop("bucket").withColumn("v", F.lit(0)).unionByName(delta.withColumn("v", F.lit(1)))
+    return gr.merge_nodes(versions, "v").unionByName(untouched.drop("bucket")).select("id", "type", "last_seq")
+
+
+@register("json_ld_round_trip", "K5 S3", q.with_(GRAPH, """
+SELECT 'node' AS kind, id AS key, type FROM nodes UNION ALL SELECT 'edge', type || ':' || src || '->' || dst, type FROM edges"""))
+def _(t):
+    g = graph_of(t)
+    path = new_stage_path(t.spark, "jsonld")
+    edge_id = F.concat("type", F.lit(":"), "src", F.lit("->"), "dst")
+    sinks.write_json_ld(g.nodes, g.edges.withColumn("id", edge_id), path)
+    nodes, edges = graphs.split_graph(graphs.read_graph_lines(t.spark, path))
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), "type").unionByName(
+        edges.select(F.lit("edge").alias("kind"), F.col("id").alias("key"), "type"))

@@ -24,7 +24,7 @@ def read_graph_document(spark: SparkSession, path: str) -> DataFrame:
 def read_graph_lines(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a graph stored as one JSON object per line."""
     lines = spark.read.text(path)
-    return lines.select(F.from_json("value", schemas.GRAPH_ENTRY.replace("struct<", "", 1).rsplit(">", 1)[0]).alias("e")).select("e.*")
+    return lines.select(F.from_json("value", schemas.GRAPH_ENTRY).alias("e")).select("e.*")
 
 
 def split_graph(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
