@@ -1 +1,155 @@
+"""Text mining and search queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsloom import rules
+from newsloom.catalog import sqltext as q
+from newsloom.catalog.base import CORPUS_ENTITIES, CORPUS_TERMS, register
+from newsloom.catalog.graph import GRAPH, graph_of
+from newsloom.functions import text as tx, urls as ux
+from newsloom.operators import search as se
+
+EVENT_TITLE = "CASE kind WHEN 'fr' THEN 'Join us ' || title WHEN 'de' THEN 'Meetup research ' || title ELSE title END"
+
+
+@register("relevant_items", "F5 F6", q.with_([q.ITEMS], f"""
+SELECT id FROM (SELECT *, {EVENT_TITLE} AS t FROM items) WHERE {q.contains_any("t || ' ' || summary", CORPUS_TERMS)}
+  AND NOT ({q.any_match('t', [rules.LOW_SIGNAL_PATTERN])} AND NOT {q.any_match("t || ' ' || summary", [rules.RESCUE_PATTERN])})"""))
+def _(t):
+    title = F.when(F.col("kind") == "fr", F.concat(F.lit("Join us "), "title")).when(F.col("kind") == "de", F.concat(F.lit("Meetup research "), "title")).otherwise(F.col("title"))
+    rows = t.items.select("id", title.alias("title"), "summary", F.array().cast("array<string>").alias("entities"))
+    return se.relevant(rows, CORPUS_TERMS).select("id")
+
+
+@register("usable_evidence", "F7 F8", q.with_([q.ITEMS], f"""
+SELECT id, {q.usable('summary', 'title')} AS summary_usable, {q.usable("title || ' - ' || source_name", 'title')} AS echo_usable,
+  ({q.usable('summary', 'title')} OR {q.usable("'Transcript unavailable for ' || title", 'title')}) AS any_usable FROM items"""))
+def _(t):
+    title = F.col("title")
+    echo = F.concat(title, F.lit(" - "), "source_name")
+    return t.items.select(
+        "id", tx.usable_evidence(F.col("summary"), title).alias("summary_usable"), tx.usable_evidence(echo, title).alias("echo_usable"),
+        se.has_usable_evidence([F.col("summary"), F.concat(F.lit("Transcript unavailable for "), title)], title).alias("any_usable"))
+
+
+DAILY = f"""daily AS (
+  SELECT id, day, source_name, url, title, summary, CASE WHEN {q.usable('summary', 'title')} THEN summary ELSE '' END AS evidence,
+    (list_distinct_ordered) AS keywords, tags FROM (
+    SELECT *, (SELECT list(w ORDER BY pos) FROM (SELECT w, min(pos) AS pos FROM (SELECT unnest(ws) AS w, unnest(range(len(ws))) AS pos) GROUP BY w ORDER BY pos LIMIT 12)) AS list_distinct_ordered
+    FROM (SELECT *, list_concat({q.words('title')}, {q.words('kind')}, {q.words('source_name')}) AS ws FROM ok_items)))"""
+
+
+@register("daily_items", "P17", q.with_([q.OK_ITEMS, DAILY], f"""
+SELECT id, title, coalesce(nullif(evidence, ''), summary) AS summary, array_to_string(coalesce(keywords, []), '|') AS keywords,
+  array_to_string({q.known_entities("title || ' ' || evidence || ' ' || array_to_string(tags, ' ')", CORPUS_ENTITIES)}, '|') AS entities FROM daily"""))
+def _(t):
+    return se.daily_items(t.ok_items, CORPUS_ENTITIES).select(
+        "id", "title", "summary", F.array_join("keywords", "|").alias("keywords"), F.array_join("entities", "|").alias("entities"))
+
+
+HEADS = ["the", "that", "with"]
+GENERIC = r"\b[a-z0-9]+(?:[- ][a-z0-9]+){1,3} (?:the|that|with)\b"
+
+
+@register("concept_phrases", "T4", f"""
+SELECT phrase, count(*) AS n FROM (
+  SELECT unnest(list_concat(regexp_extract_all(t, '\\bof the\\b', 0, 'i'), regexp_extract_all(t, '{GENERIC}', 0, 'i'))) AS phrase
+  FROM (SELECT {q.collapse('text')} AS t FROM documents)) GROUP BY phrase""")
+def _(t):
+    found = se.phrases(tx.collapse(F.col("text")), [r"\bof the\b", GENERIC])
+    return t.documents.select(F.explode(found).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+
+
+@register("item_concepts", "T4", q.with_([q.ITEMS], f"""
+SELECT id, array_to_string((SELECT list(w ORDER BY pos) FROM (SELECT w, min(pos) AS pos FROM (SELECT unnest(c) AS w, unnest(range(len(c))) AS pos) GROUP BY w ORDER BY pos LIMIT 5)), '|') AS concepts
+FROM (SELECT id, list_concat(list_filter(regexp_extract_all(summary, '{GENERIC}', 0, 'i'), lambda p: length(p) > 3),
+   list_filter([array_to_string(({q.words('summary')})[1:5], ' ')], lambda p: p <> '')) AS c FROM items)"""))
+def _(t):
+    return t.items.select("id", F.array_join(se.concepts(F.col("summary"), se.concept_patterns(HEADS)), "|").alias("concepts"))
+
+
+@register("grounding_terms", "T8", f"SELECT doc_id, array_to_string(list_sort({q.grounding_terms('text')}), '|') AS terms FROM documents")
+def _(t):
+    return t.documents.select("doc_id", F.array_join(F.array_sort(tx.grounding_terms(F.col("text"))), "|").alias("terms"))
+
+
+@register("theme_tags", "T12", q.with_([q.ITEMS], """
+SELECT id, CASE WHEN contains(lower(summary), 'therea') OR contains(lower(summary), 'tion the') THEN 'alpha'
+  WHEN contains(lower(summary), 'eau') THEN 'beta' WHEN contains(lower(summary), 'ung') THEN 'gamma' ELSE 'other' END AS theme,
+  CASE WHEN regexp_matches(lower(summary), 'limitation|struggle|brittle') THEN 'constraint' WHEN regexp_matches(lower(summary), 'consolidation|semantic|episodic') THEN 'memory organisation'
+  WHEN regexp_matches(lower(summary), 'long-running|context') THEN 'extended work' ELSE 'development' END AS intent FROM items"""))
+def _(t):
+    table = [(2, ["eau"], "beta"), (1, ["therea", "tion the"], "alpha"), (3, ["ung"], "gamma")]
+    return t.items.select("id", tx.first_rule_tag(F.col("summary"), table, "other").alias("theme"),
+                          tx.first_rule_tag(F.col("summary"), rules.INTENT_RULES, rules.DEFAULT_INTENT).alias("intent"))
+
+
+@register("source_evidence", "T9 T6", q.with_([q.ITEMS], f"""
+SELECT id, {q.strip_noise(f"concat_ws(' ', CASE WHEN {q.usable('title', 'source_name')} THEN title END, CASE WHEN {q.usable('summary', 'source_name')} THEN summary END)")} AS evidence,
+  CASE WHEN kind = 'en' THEN title ELSE coalesce(nullif(summary, ''), title) END AS picked FROM items"""))
+def _(t):
+    rows = t.items.withColumns({
+        "shown": F.col("url"), "url": F.when(F.col("kind") == "en", F.concat(F.lit("https://x.com/a/status/"), F.col("id").cast("string"))).otherwise(F.col("url")),
+        "snippet": F.col("title"), "source_text": F.lit(""), "transcript_summary": F.lit(None).cast("string")})
+    return rows.select("id", se.evidence_text(rows, ["title", "summary"], "source_name").alias("evidence"), se.item_evidence().alias("picked"))
+
+
+CORPUS_SIGNALS = ["tion", "eau", "ung", "with", "ther"]
+
+
+RANKED = f"""texts AS (SELECT source_name AS grp, {q.collapse("string_agg(summary, ' ' ORDER BY id)")} AS text FROM ok_items GROUP BY source_name),
+s AS (SELECT grp, unnest(l) AS sentence, unnest(range(1, len(l) + 1)) AS no FROM (SELECT grp, {q.sentences('text')} AS l FROM texts)),
+u AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY no) - 1 AS idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY grp, {q.alnum_key('sentence', 120)} ORDER BY no) AS rn FROM s WHERE length(sentence) > 30 AND {q.alnum_key('sentence', 120)} <> '') WHERE rn = 1),
+r AS (SELECT *, round({' + '.join(f"10 * CAST(contains(lower(sentence), '{w}') AS INTEGER)" for w in CORPUS_SIGNALS)} + least(length(sentence) / 20.0, 12.0) - idx * 0.2, 4) AS score FROM u)"""
+
+
+@register("evidence_ranking", "W6 T6", q.with_([q.OK_ITEMS, RANKED], """
+SELECT grp, sentence, score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, no) AS rank FROM r) WHERE rank <= 12"""))
+def _(t):
+    sents = se.group_texts(t.ok_items, "source_name", "id", "summary")
+    return se.rank_evidence(sents, "source_name", "sentence_no", 12, CORPUS_SIGNALS).select(F.col("source_name").alias("grp"), "sentence", "score")
+
+
+@register("key_takeaways", "T7", None)
+def _(t):
+    s = tx.sentences(F.col("summary"))
+    return t.ok_items.select("id", F.array_join(se.takeaways(F.col("title"), F.slice(s, 1, 24), F.array("title")), "|").alias("takeaways"))
+
+
+@register("evidence_groups", "T5", None)
+def _(t):
+    rows = t.ok_items.select("id", F.slice(tx.sentences(F.col("summary")), 1, 12).alias("evidence"), se.concepts(F.col("summary"), se.concept_patterns(HEADS)).alias("concepts"))
+    grouped = rows.select("id", F.posexplode(se.assign_evidence(F.col("concepts"), F.col("evidence"))).alias("group_no", "g"))
+    return grouped.select("id", "group_no", "g.concept", F.size("g.sentences").alias("n_sentences"))
+
+
+SEARCH = [*GRAPH, f"""tokens AS (
+  SELECT id, type, published_at AS at, token, count(*) AS uses FROM (
+    SELECT id, type, published_at, unnest({q.search_tokens("concat_ws(' ', name, title, text)")}) AS token FROM nodes) GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id AS query_id, DATE '2024-01-01' + CAST(item_id % 30 AS INTEGER) AS asked, unnest({q.search_tokens('text')}) AS token FROM benchmark),
+scored AS (SELECT query_id, id, type, at, CAST(sum(uses) AS BIGINT) + CASE WHEN at IS NOT NULL AND abs(date_diff('day', asked, CAST(at AS DATE))) < 3 THEN 1 ELSE 0 END AS score
+  FROM tokens JOIN asked USING (token) GROUP BY query_id, asked, id, type, at),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 24)"""]
+
+
+def search_frames(t):
+    g = graph_of(t)
+    nodes = g.nodes.select("id", "type", F.concat_ws(" ", "name", "title", "text").alias("text"), F.col("published_at").cast("timestamp_ntz").alias("at"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("query_id") % 30).cast("int")).cast("timestamp_ntz")
+    return t.search_queries.withColumn("at", day), nodes
+
+
+@register("related_nodes", "T10 J12", q.with_(SEARCH, "SELECT query_id, id, type, score, rank FROM found"))
+def _(t):
+    return se.related_nodes(*search_frames(t)).select("query_id", "id", "type", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("related_context", "T10", q.with_(SEARCH, """
+SELECT query_id, section, id, rank, score FROM (
+  SELECT query_id, section, id, score, row_number() OVER (PARTITION BY query_id, section ORDER BY rank) AS rank FROM (
+    SELECT *, lower(type) AS section FROM found WHERE type IN ('Entity', 'Claim', 'Topic') UNION ALL SELECT *, 'temporal' FROM found WHERE at IS NOT NULL)) WHERE rank <= 8"""))
+def _(t):
+    return se.related_context(se.related_nodes(*search_frames(t))).withColumn("rank", F.col("rank").cast("bigint"))
