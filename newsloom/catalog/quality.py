@@ -1 +1,227 @@
+"""Quality rule queries over outputs derived from the items."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsloom import rules
+from newsloom.catalog import sqltext as q
+from newsloom.catalog.base import CORPUS_TERMS, register
+from newsloom.functions import text as tx, urls as ux
+from newsloom.operators import quality as ql
+
+VOICE_TERMS = ["the", "with", "that", "therea"]
+ARTICLE = {"prefer": VOICE_TERMS, "avoid": ["idiot", "pathetic oner"]}
+WIKI = {"prefer": ["les", "der", "de"], "avoid": ["una"]}
+
+
+def outputs(t):
+    """Items as generated outputs: English articles, other topic pages."""
+    article = F.col("kind") == "en"
+    head = F.substring("summary", 1, 80)
+    body = F.concat(F.lit("## "), "title", F.lit("\n\n"), "summary", F.lit("\n\n## More\n\n[link]("), "url", F.lit(")"))
+    cites = F.array(F.struct(F.col("title").alias("title"), F.col("url").alias("url"), F.when(F.col("kind") == "fr", "").otherwise(F.col("source_name")).alias("source")))
+    none = F.expr("cast(array() as array<struct<title: string, url: string, source: string>>)")
+    section = F.array(F.struct(F.get(tx.sentences(F.col("summary")), F.lit(0)).alias("body"), F.array("url").alias("citation_urls")))
+    no_section = F.expr("cast(array() as array<struct<body: string, citation_urls: array<string>>>)")
+    return t.items.select(
+        F.col("id").alias("output_id"), F.when(article, "article").otherwise("wiki").alias("kind"), "title", head.alias("description"),
+        F.when(article, body).otherwise(F.col("summary")).alias("body"), F.when(F.col("status") == "ok", cites).otherwise(none).alias("citations"),
+        F.when(F.col("kind") == "es", F.array(F.lit("https://x.example"))).otherwise(F.array("url")).alias("allowed_urls"),
+        F.col("title").alias("relevance_text"), head.alias("summary"), F.when(article, no_section).otherwise(section).alias("sections"))
+
+
+ART = "kind = 'en'"
+OUT = f"""outs AS (SELECT *, substring(summary, 1, 80) AS head,
+  CASE WHEN {ART} THEN '## ' || title || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## More' || chr(10) || chr(10) || '[link](' || url || ')' ELSE summary END AS body FROM items),
+texts AS (SELECT *, concat_ws(chr(10), nullif(title, ''), nullif(head, ''), nullif(body, '')) AS text FROM outs)"""
+HARD = list(dict.fromkeys(VOICE_TERMS + rules.HARD_SCIENCE_TERMS))
+PLAIN = list(dict.fromkeys(WIKI["prefer"] + rules.WIKI_REFERENCE_TERMS))
+FIRST = f"coalesce(({q.sentences('summary')})[1], '')"
+EXPECT, SEEN = q.keywords("title"), q.keywords("text")
+CHECKS = {
+    "citation-coverage": "status = 'ok'",
+    "citation-richness": "status <> 'ok' OR (kind <> 'fr' AND trim(title) <> '')",
+    "link-health": "true",
+    "grounding": "kind <> 'es'",
+    "relevance": f"len({EXPECT}) = 0 OR len(list_intersect({EXPECT}, {SEEN})) >= greatest(1, least(3, ceil(len({EXPECT}) * 0.2)))",
+    "speculation-boundary": f"NOT {q.any_match('text', ['speculation as fact|will definitely|guaranteed to'])}",
+    "reader-facing-language": f"NOT {q.any_match('text', rules.INTERNAL_LANGUAGE_PATTERNS)}",
+    "tone-match": f"CASE WHEN {ART} THEN NOT {q.any_match('text', rules.WIKI_LIKE_PATTERNS)} AND {q.term_hits('text', HARD)} >= 2 ELSE NOT {q.any_match('text', rules.ARTICLE_RHETORIC_PATTERNS)} END",
+    "word-choice": f"CASE WHEN {ART} THEN {q.term_hits('text', ARTICLE['avoid'])} = 0 AND {q.term_hits('text', HARD)} >= 2 ELSE {q.term_hits('text', WIKI['avoid'])} = 0 AND {q.term_hits('text', PLAIN)} >= 1 END",
+    "detail-level": f"CASE WHEN {ART} THEN {q.word_count('body')} >= 90 ELSE {q.word_count('head')} <= 45 AND {q.word_count(FIRST)} <= 30 END",
+    "voice-adherence": f"NOT {q.any_match('text', rules.HYPE_PATTERNS)}",
+}
+RULES = "rules AS (" + "\nUNION ALL ".join(f"SELECT id AS output_id, '{n}' AS rule, ({c}) AS passed FROM texts" for n, c in CHECKS.items()) + ")"
+WEIGHTS = "weights(rule, weight, required) AS (VALUES " + ", ".join(f"('{n}', {w}, {str(r).lower()})" for n, w, r in rules.RUBRIC) + ")"
+SCORED = """scored AS (SELECT output_id, sum(CASE WHEN passed THEN CAST(weight AS DOUBLE) ELSE 0 END) / sum(CAST(weight AS DOUBLE)) AS raw,
+  count(*) FILTER (WHERE required AND NOT passed) AS required_failures, count(*) FILTER (WHERE NOT passed) AS failures FROM rules JOIN weights USING (rule) GROUP BY output_id)"""
+
+
+def rule_rows(t):
+    return ql.evaluate(outputs(t), article_voice=ARTICLE, wiki_voice=WIKI)
+
+
+@register("rule_results", "Q1 Q2 Q3 Q4 Q5 Q6 Q7 Q8 Q9 Q10 Q11 X17 E4", q.with_([q.ITEMS, OUT, RULES], "SELECT output_id, rule, passed FROM rules"))
+def _(t):
+    return rule_rows(t)
+
+
+@register("rule_failure_counts", "Q1 Q7 Q12", q.with_([q.ITEMS, OUT, RULES, WEIGHTS], """
+SELECT rule, required, count(*) FILTER (WHERE NOT passed) AS failures, count(*) AS n FROM rules JOIN weights USING (rule) GROUP BY rule, required"""))
+def _(t):
+    joined = rule_rows(t).join(F.broadcast(ql.rubric(t.spark)), "rule")
+    return joined.groupBy("rule", "required").agg(F.count_if(~F.col("passed")).alias("failures"), F.count("*").alias("n"))
+
+
+@register("rubric_scores", "A7 Q12", q.with_([q.ITEMS, OUT, RULES, WEIGHTS, SCORED], """
+SELECT output_id, round(raw, 4) AS score, CASE WHEN round(raw, 9) >= 0.86 AND required_failures = 0 THEN 'pass' ELSE 'fail' END AS verdict, required_failures, failures FROM scored"""))
+def _(t):
+    return ql.score(rule_rows(t), ql.rubric(t.spark))
+
+
+@register("combined_evaluators", "A8 E1 E2", q.with_([q.ITEMS], f"""
+SELECT output_id, score, 2 AS n_reports, required_failures, CASE WHEN score >= 0.86 THEN 'pass' ELSE 'fail' END AS verdict FROM (
+  SELECT id AS output_id, round((least({q.word_count('summary')} / 100.0, 1.0) + CASE WHEN status = 'ok' THEN 1.0 ELSE 0.0 END) / 2, 4) AS score,
+    CASE WHEN status = 'ok' THEN 0 ELSE 1 END AS required_failures FROM items)"""))
+def _(t):
+    ok = F.col("n_cited") > 0
+    length = lambda df: df.select("output_id", (F.col("n_words") / 100.0).alias("score"), F.lit(0).alias("required_failures"))
+    cited = lambda df: df.select("output_id", F.when(ok, 1.0).otherwise(-0.5).alias("score"), F.when(ok, 0).otherwise(1).alias("required_failures"))
+    normalise = lambda df: df.select("output_id", F.size("citations").alias("n_cited"), tx.word_count(F.col("full")).alias("n_words"))
+    rows = outputs(t).join(t.items.select(F.col("id").alias("output_id"), F.col("summary").alias("full")), "output_id")
+    return ql.run_evaluators(rows.transform(normalise), {"length": length, "cited": cited})
+
+
+@register("best_attempts", "W8", q.with_([q.LEDGER], """
+SELECT id, attempt, score, CASE WHEN passed THEN 'passed' ELSE 'best_effort' END AS eval_status FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY passed DESC, CASE WHEN passed THEN attempt END, score DESC, attempt) AS rn FROM (
+    SELECT id, seq AS attempt, score / 40 AS score, score / 40 >= 0.86 AND status <> 'revisit_pending' AND status <> 'discovered' AS passed FROM ledger)) WHERE rn = 1"""))
+def _(t):
+    attempts = t.ledger.select("id", F.col("seq").alias("attempt"), (F.col("score") / 40).alias("score"),
+                               F.when(F.col("status") == "revisit_pending", "fail").otherwise("pass").alias("verdict"), (F.col("status") == "discovered").cast("int").alias("required_failures"))
+    return ql.best_attempts(attempts, "id").select("id", "attempt", "score", "eval_status")
+
+
+PARAS = "list_filter(string_split(text, chr(10)), lambda p: p <> '')"
+
+
+def briefs(t):
+    lines = F.filter(F.split("text", "\n"), lambda p: p != "")
+    return t.documents.select(
+        F.col("doc_id").alias("output_id"), tx.clean_title(F.substring_index(tx.collapse(F.col("text")), " ", 8)).alias("title"), lines.alias("paragraphs"),
+        F.slice(lines, 1, 2).alias("headings"), F.array("source", F.substring_index(tx.collapse(F.col("text")), " ", 8)).alias("source_titles"), "text", F.col("text").alias("source_evidence"))
+
+
+LEAD = f"array_to_string(string_split({q.collapse('text')}, ' ')[1:8], ' ')"
+JOINED = "array_to_string(paras, ' ')"
+BRIEF_ROWS = f"""raw AS (SELECT doc_id AS output_id, text, {PARAS} AS paras, {LEAD} AS lead, source FROM documents),
+lead_words AS (SELECT *, list_distinct({q.words('lead')}) AS tw FROM raw),
+paras AS (SELECT output_id, unnest(paras) AS p, tw, lead FROM lead_words),
+echoes AS (SELECT output_id, bool_or(n < 18 OR (n < 40 AND shared / greatest(1, least(n, greatest(1, len(tw)))) >= 0.75) OR fp = {q.alnum_key('lead', 180)}) AS echo FROM (
+  SELECT output_id, tw, lead, len({q.words('p')}) AS n, len(list_filter({q.words('p')}, lambda w: list_contains(tw, w))) AS shared,
+    {q.alnum_key("regexp_replace(p, '^[^:]{3,80}:\\s*', '')", 180)} AS fp FROM paras) GROUP BY output_id),
+terms AS (SELECT *, {q.grounding_terms('text')} AS gt FROM lead_words)"""
+BRIEF_CHECKS = {
+    "word-count": f"{q.word_count(JOINED)} >= 120", "section-count": "len(paras) >= 2", "no-title-echo": "NOT coalesce(echo, false)", "no-template-heading": "true",
+    "detail-terms": f"{q.term_hits(JOINED, CORPUS_TERMS)} >= 2",
+    "no-copied-headline": f"NOT (length({q.headline('lead')}) > 28 AND contains(lower({JOINED}), lower({q.headline('lead')})))",
+    "no-meta-language": f"NOT {q.any_match('text', rules.META_PATTERNS)}", "usable-evidence": "len(gt) > 0",
+    "grounded": "len(gt) = 0 OR len(gt) >= least(4, greatest(2, ceil(len(gt) * 0.2)))",
+}
+BRIEF_SQL = "brief_rules AS (" + "\nUNION ALL ".join(
+    f"SELECT output_id, '{n}' AS rule, ({c}) AS passed FROM terms LEFT JOIN echoes USING (output_id)" for n, c in BRIEF_CHECKS.items()) + ")"
+
+
+@register("brief_rule_results", "Q13", q.with_([BRIEF_ROWS, BRIEF_SQL], "SELECT output_id, rule, passed FROM brief_rules"))
+def _(t):
+    return ql.stack(briefs(t), ql.brief_checks(CORPUS_TERMS))
+
+
+@register("brief_verdicts", "Q14", q.with_([q.ITEMS, OUT, RULES, WEIGHTS, SCORED, BRIEF_ROWS, BRIEF_SQL], """
+SELECT output_id, round(least(mean, round(raw, 4)), 4) AS score,
+  CASE WHEN mean >= 0.86 AND round(raw, 9) >= 0.86 AND required_failures = 0 AND p = n THEN 'pass' ELSE 'fail' END AS verdict
+FROM (SELECT *, (p + 11 - failures) / (n + 11) AS mean FROM scored JOIN (SELECT output_id, count(*) AS n, count(*) FILTER (WHERE passed) AS p FROM brief_rules GROUP BY output_id) USING (output_id))"""))
+def _(t):
+    return ql.brief_verdict(ql.stack(briefs(t), ql.brief_checks(CORPUS_TERMS)), ql.score(rule_rows(t), ql.rubric(t.spark)))
+
+
+@register("publish_guard", "Q15", """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CASE WHEN count(*) FILTER (WHERE value > 30) = 0 THEN 'no source items' ELSE 'no rows' END AS problem
+FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE value > 30) = 0 OR count(*) FILTER (WHERE value > 45) = 0""")
+def _(t):
+    days = t.events.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count_if(F.col("value") > 30).alias("source_items"), F.count_if(F.col("value") > 45).alias("n_rows"))
+    return ql.publish_guard(days)
+
+
+@register("navigation_problems", "Q16", q.with_([q.ITEMS], """
+SELECT day, slug, problem FROM (
+  SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN kind = 'de' THEN '' ELSE source_name END AS slug,
+    CASE WHEN kind = 'de' THEN 'missing slug' WHEN kind = 'fr' THEN 'missing title' WHEN kind = 'es' THEN 'unexpected href' END AS problem FROM items) WHERE problem IS NOT NULL
+UNION ALL SELECT strftime(day, '%Y-%m-%d'), source_name, 'duplicate slug' FROM items WHERE kind <> 'de' GROUP BY day, source_name HAVING count(*) > 1"""))
+def _(t):
+    day = F.col("day").cast("string")
+    stubs = t.items.select(
+        day.alias("day"), F.when(F.col("kind") == "de", "").otherwise(F.col("source_name")).alias("slug"), F.when(F.col("kind") == "fr", "").otherwise(F.concat(F.lit("t"), "title")).alias("title"),
+        F.when(F.col("kind") == "es", "/x/").otherwise(F.concat(F.lit("/daily/"), day, F.lit("/"), "source_name", F.lit("/"))).alias("href"))
+    return ql.navigation_problems(stubs)
+
+
+@register("artifact_problems", "Q18", """
+SELECT event_id AS artifact_id, 'unexpected day' AS problem FROM events WHERE CAST(ts AS DATE) <> DATE '2024-01-05'
+UNION ALL SELECT event_id, 'forbidden field' FROM events WHERE event_type = 'error'
+UNION ALL SELECT event_id, 'day not indexed' FROM events WHERE CAST(ts AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE value > 45)""")
+def _(t):
+    day = F.to_date("ts").cast("string")
+    payload = F.when(F.col("event_type") == "error", F.concat(F.lit('{"a": [{"transcript": '), "props", F.lit("}]}"))).otherwise(F.col("props"))
+    artifacts = t.events.select(F.col("event_id").alias("artifact_id"), day.alias("day"), payload.alias("payload"))
+    indexed = t.events.filter(F.col("value") > 45).select(day.alias("day"))
+    return ql.artifact_problems(artifacts, indexed, "2024-01-05")
+
+
+@register("content_shape", "Q21", f"""
+SELECT doc_id, len(paras) >= 2 AS sections_ok, length(text) >= 48 AS dek_ok, len(list_filter(paras, lambda p: length(p) < 70)) = 0 AS paragraphs_ok,
+  (len(paras) >= 2 AND len(list_filter(paras, lambda p: length(p) < 45)) = 0) AS takeaways_ok FROM (SELECT *, {PARAS} AS paras FROM documents)""")
+def _(t):
+    lines = F.filter(F.split("text", "\n"), lambda p: p != "")
+    rows = t.documents.select("doc_id", F.col("text").alias("dek"), lines.alias("takeaways"), F.transform(
+        lines, lambda p: F.struct(F.lit("A heading").alias("heading"), F.array(p).alias("paragraphs"), F.array(F.lit("https://a.example/b")).alias("citations"))).alias("sections"))
+    c = ql.content_shape()
+    return rows.select("doc_id", c["section-count"].alias("sections_ok"), c["dek-length"].alias("dek_ok"), c["paragraphs"].alias("paragraphs_ok"), c["takeaways"].alias("takeaways_ok"))
+
+
+@register("restricted_citations", "Q22", q.with_([q.ITEMS], """
+SELECT id, CASE WHEN status = 'ok' THEN url ELSE 'https://first.example' END AS kept FROM items"""))
+def _(t):
+    cited = F.array(F.lit("https://no.example"), F.when(F.col("status") == "ok", F.col("url")).otherwise("https://none.example"))
+    return t.items.select("id", F.array_join(ql.restrict_citations(cited, F.array(F.lit("https://first.example"), F.col("url"))), "|").alias("kept"))
+
+
+@register("live_links", "Q3", q.with_([q.PAGE_LINKS], """
+SELECT page_id, url, http_status FROM page_links LEFT JOIN (SELECT DISTINCT url, CASE WHEN length(url) % 2 = 0 THEN 200 ELSE 404 END AS http_status FROM page_links WHERE length(url) % 3 <> 0) USING (url)
+WHERE NOT coalesce(http_status = 200, false)"""))
+def _(t):
+    links = t.page_links.select("page_id", "url")
+    size = F.length("url")
+    probes = links.filter(size % 3 != 0).select("url", F.when(size % 2 == 0, 200).otherwise(404).alias("http_status")).distinct()
+    return ql.live_links(links, probes, "page_id").withColumn("http_status", F.col("http_status").cast("bigint"))
+
+
+@register("reader_text_of_outputs", "P25 P26", q.with_([q.ITEMS], f"""
+SELECT id, title || chr(10) || 'What ' || kind || chr(10) || summary || chr(10) || source_name AS text,
+  array_to_string(list_sort({q.keywords("title || ' ' || summary")}), '|') AS relevance FROM items WHERE summary <> ''"""))
+def _(t):
+    section = F.array(F.struct(F.concat(F.lit("What "), "kind").alias("heading"), F.array("summary", F.lit("")).alias("paragraphs")))
+    text = ql.flatten_output(F.col("title"), section, F.array("source_name", F.lit(None).cast("string")))
+    return t.items.filter(F.col("summary") != "").select("id", text.alias("text"), F.array_join(F.array_sort(tx.relevance_keywords(F.concat("title", F.lit(" "), "summary"))), "|").alias("relevance"))
+
+
+@register("preview_contract", "Q20", None)
+def _(t):
+    from newsloom.operators.citations import preview_contract
+
+    stubs = t.items.select(
+        F.col("id").alias("stub_id"), F.col("summary").alias("text"), F.col("summary").alias("source_text"), (F.col("kind") == "en").alias("expects_social"),
+        F.lit(1).alias("n_social"), (F.col("kind") == "en").cast("int").alias("n_retweets"), F.lit("Retweet").alias("retweet_label"), F.col("source_name").alias("original_author"),
+        F.when(F.col("status") == "ok", F.col("url")).alias("quoted_url"), tx.word_count(F.col("summary")).alias("body_words"), F.lit(2).alias("n_sections"))
+    return preview_contract(stubs)

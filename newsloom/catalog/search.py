@@ -127,11 +127,11 @@ def _(t):
 
 
 SEARCH = [*GRAPH, f"""tokens AS (
-  SELECT id, type, published_at AS at, token, count(*) AS uses FROM (
+  SELECT id, type, published_at AS node_at, token, count(*) AS uses FROM (
     SELECT id, type, published_at, unnest({q.search_tokens("concat_ws(' ', name, title, text)")}) AS token FROM nodes) GROUP BY ALL),
 asked AS (SELECT DISTINCT item_id AS query_id, DATE '2024-01-01' + CAST(item_id % 30 AS INTEGER) AS asked, unnest({q.search_tokens('text')}) AS token FROM benchmark),
-scored AS (SELECT query_id, id, type, at, CAST(sum(uses) AS BIGINT) + CASE WHEN at IS NOT NULL AND abs(date_diff('day', asked, CAST(at AS DATE))) < 3 THEN 1 ELSE 0 END AS score
-  FROM tokens JOIN asked USING (token) GROUP BY query_id, asked, id, type, at),
+scored AS (SELECT query_id, id, type, node_at, CAST(sum(uses) AS BIGINT) + CASE WHEN node_at IS NOT NULL AND abs(date_diff('day', asked, CAST(node_at AS DATE))) < 3 THEN 1 ELSE 0 END AS score
+  FROM tokens JOIN asked USING (token) GROUP BY query_id, asked, id, type, node_at),
 found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 24)"""]
 
 
@@ -150,6 +150,6 @@ def _(t):
 @register("related_context", "T10", q.with_(SEARCH, """
 SELECT query_id, section, id, rank, score FROM (
   SELECT query_id, section, id, score, row_number() OVER (PARTITION BY query_id, section ORDER BY rank) AS rank FROM (
-    SELECT *, lower(type) AS section FROM found WHERE type IN ('Entity', 'Claim', 'Topic') UNION ALL SELECT *, 'temporal' FROM found WHERE at IS NOT NULL)) WHERE rank <= 8"""))
+    SELECT *, lower(type) AS section FROM found WHERE type IN ('Entity', 'Claim', 'Topic') UNION ALL SELECT *, 'temporal' FROM found WHERE node_at IS NOT NULL)) WHERE rank <= 8"""))
 def _(t):
     return se.related_context(se.related_nodes(*search_frames(t))).withColumn("rank", F.col("rank").cast("bigint"))
