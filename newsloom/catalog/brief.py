@@ -1 +1,100 @@
+"""Daily brief queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsloom.catalog import sqltext as q
+from newsloom.catalog.base import CORPUS_ENTITIES, CORPUS_TERMS, register
+from newsloom.catalog.search import CORPUS_SIGNALS, DAILY, HEADS
+from newsloom.operators import search as se
+from newsloom.plans import daily_brief as br
+from newsloom.session import stage
+
+ENT = q.known_entities("title || ' ' || evidence || ' ' || array_to_string(tags, ' ')", CORPUS_ENTITIES)
+CLUSTERS = f"""d AS (SELECT id, day, url, title, coalesce(keywords, CAST([] AS VARCHAR[])) AS kw, {ENT} AS ent FROM daily),
+near AS (SELECT a.id AS x, b.id AS y FROM d a JOIN d b ON a.day = b.day AND a.id <> b.id
+  WHERE a.url = b.url OR (len(list_intersect(a.ent, b.ent)) > 0 AND len(list_intersect(a.kw, b.kw)) > 0) OR len(list_intersect(a.kw, b.kw)) >= 4),
+reach(id, other) AS (SELECT id, id FROM d UNION SELECT r.id, n.y FROM reach r JOIN near n ON n.x = r.other),
+clusters AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id)"""
+
+
+def recursive(ctes, select):
+    return q.with_(ctes, select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def daily(t):
+    return stage(se.daily_items(t.ok_items, CORPUS_ENTITIES), "daily")
+
+
+@register("story_clusters", "C1 C2", recursive([q.OK_ITEMS, DAILY, CLUSTERS], "SELECT id, cluster FROM clusters"))
+def _(t):
+    return br.story_clusters(daily(t))
+
+
+SUMMARY = """m AS (SELECT * FROM clusters JOIN d USING (id)),
+ents AS (SELECT cluster, list(e ORDER BY first)[1:6] AS el FROM (SELECT cluster, e, min(id * 100 + pos) AS first FROM (
+  SELECT cluster, id, unnest(ent) AS e, unnest(range(len(ent))) AS pos FROM m) GROUP BY cluster, e) GROUP BY cluster),
+kws AS (SELECT cluster, list(w ORDER BY first)[1:12] AS kl FROM (SELECT cluster, w, min(id * 100 + pos) AS first FROM (
+  SELECT cluster, id, unnest(kw) AS w, unnest(range(len(kw))) AS pos FROM m) GROUP BY cluster, w) GROUP BY cluster),
+base AS (SELECT cluster, count(*) AS source_count, max(day) AS day, arg_min(title, id) AS lead_title, arg_min(url, id) AS lead_url FROM m GROUP BY cluster),
+joined AS (SELECT *, list_filter(coalesce(kl, []), lambda w: el IS NULL OR NOT list_contains(string_split(lower(el[1]), ' '), w))[1:3] AS tw FROM base LEFT JOIN ents USING (cluster) LEFT JOIN kws USING (cluster)),
+summaries AS (SELECT cluster, source_count, day, lead_url, CASE WHEN el IS NOT NULL AND len(tw) > 0 THEN el[1] || ' ' || array_to_string(list_transform(tw, lambda w: upper(w[1]) || w[2:]), ' ') || ' Update' ELSE lead_title END AS title FROM joined)"""
+
+
+@register("story_summaries", "C4", recursive([q.OK_ITEMS, DAILY, CLUSTERS, SUMMARY], f"""
+SELECT cluster, source_count, strftime(day, '%Y-%m-%d') AS day, title, lead_url, strftime(day, '%Y-%m-%d') || '-' || {q.slug('title')} AS slug FROM summaries"""))
+def _(t):
+    rows = daily(t)
+    return br.cluster_summaries(rows, stage(br.story_clusters(rows), "clusters")).select(
+        "cluster", "source_count", F.col("day").cast("string").alias("day"), "title", "lead_url", "slug")
+
+
+@register("ranked_stories", "W9", recursive([q.OK_ITEMS, DAILY, CLUSTERS, SUMMARY], """
+SELECT strftime(day, '%Y-%m-%d') AS day, rank, cluster, source_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY source_count DESC, cluster) AS rank FROM summaries) WHERE rank <= 5"""))
+def _(t):
+    rows = daily(t)
+    stories = br.cluster_summaries(rows, stage(br.story_clusters(rows), "clusters"))
+    return br.rank_briefs(stories, 5).select(F.col("day").cast("string").alias("day"), F.col("rank").cast("bigint").alias("rank"), "cluster", "source_count")
+
+
+@register("parity_clusters", "C3", None)
+def _(t):
+    return br.parity_clusters(stage(se.daily_items(br.day_ledger(t.ok_items), CORPUS_ENTITIES), "daily"))
+
+
+@register("daily_briefs", "C5 W9", None)
+def _(t):
+    return br.daily_briefs(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES).select("day", "rank", "cluster", "title", "slug", "source_count")
+
+
+@register("daily_briefs_scalable", "C5 C2", None)
+def _(t):
+    return br.daily_briefs(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES, parity=False).select("day", "rank", "cluster", "title", "slug", "source_count")
+
+
+@register("story_sections", "C9 T5 T12 D13", None)
+def _(t):
+    rows = daily(t)
+    clusters = stage(br.story_clusters(rows), "clusters")
+    stories = stage(br.cluster_summaries(rows, clusters), "stories")
+    patterns = se.concept_patterns(HEADS)
+    return br.sections(stories, rows, clusters, CORPUS_SIGNALS, patterns).select(
+        "cluster", "section_no", "heading", "theme", "intent", F.size("paragraphs").alias("n_paragraphs"))
+
+
+@register("publishable_stories", "C10 W10", None)
+def _(t):
+    return br.publishable(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES, 4, 3, CORPUS_TERMS, CORPUS_SIGNALS, se.concept_patterns(HEADS)).select(
+        "day", "place", "output_id", "title", "failed_rules")
+
+
+@register("publish_quota", "W10", """
+SELECT strftime(day, '%Y-%m-%d') AS day, event_id, place FROM (
+  SELECT CAST(ts AS DATE) AS day, event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS place FROM events WHERE value >= 10) WHERE place <= 7""")
+def _(t):
+    from newsloom.operators.quality import publish_quota
+
+    rows = t.events.select(F.to_date("ts").cast("string").alias("day"), "event_id", (F.col("value") >= 10).alias("passed"))
+    return publish_quota(rows, 7, "day", ["event_id"]).select("day", "event_id", F.col("place").cast("bigint").alias("place"))
