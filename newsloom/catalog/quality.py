@@ -147,10 +147,13 @@ def _(t):
 
 
 @register("publish_guard", "Q15", """
-SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CASE WHEN count(*) FILTER (WHERE value > 30) = 0 THEN 'no source items' ELSE 'no rows' END AS problem
-FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE value > 30) = 0 OR count(*) FILTER (WHERE value > 45) = 0""")
+SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN items = 0 THEN 'no source items' ELSE 'no rows' END AS problem FROM (
+  SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE user_id = 1) AS items, count(*) FILTER (WHERE user_id = 1 AND event_type = 'view') AS n_rows
+  FROM events GROUP BY 1) WHERE items = 0 OR n_rows = 0""")
 def _(t):
-    days = t.events.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count_if(F.col("value") > 30).alias("source_items"), F.count_if(F.col("value") > 45).alias("n_rows"))
+    mine = F.col("user_id") == 1
+    days = t.events.groupBy(F.to_date("ts").cast("string").alias("day")).agg(
+        F.count_if(mine).alias("source_items"), F.count_if(mine & (F.col("event_type") == "view")).alias("n_rows"))
     return ql.publish_guard(days)
 
 
