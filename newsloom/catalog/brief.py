@@ -12,8 +12,8 @@ from newsloom.plans import daily_brief as br
 from newsloom.session import stage
 
 ENT = q.known_entities("title || ' ' || evidence || ' ' || array_to_string(tags, ' ')", CORPUS_ENTITIES)
-CLUSTERS = f"""d AS (SELECT id, day, url, title, coalesce(keywords, CAST([] AS VARCHAR[])) AS kw, {ENT} AS ent FROM daily),
-near AS (SELECT a.id AS x, b.id AS y FROM d a JOIN d b ON a.day = b.day AND a.id <> b.id
+CLUSTERS = f"""d AS MATERIALIZED (SELECT id, day, url, title, coalesce(keywords, CAST([] AS VARCHAR[])) AS kw, {ENT} AS ent FROM daily),
+near AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM d a JOIN d b ON a.day = b.day AND a.id <> b.id
   WHERE a.url = b.url OR (len(list_intersect(a.ent, b.ent)) > 0 AND len(list_intersect(a.kw, b.kw)) > 0) OR len(list_intersect(a.kw, b.kw)) >= 4),
 reach(id, other) AS (SELECT id, id FROM d UNION SELECT r.id, n.y FROM reach r JOIN near n ON n.x = r.other),
 clusters AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id)"""

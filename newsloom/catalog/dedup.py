@@ -14,7 +14,7 @@ DEDUP_URL = "'https://www.' || source || '.example/' || (n_chars // 10) || '/?ut
 
 
 @register("greedy_two_key_dedup", "D2", f"""
-WITH RECURSIVE keyed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn,
+WITH RECURSIVE keyed AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn,
     {q.canonical_key('url')} AS u, {q.content_key('text')} AS t
   FROM (SELECT *, {DEDUP_URL} AS url FROM documents)),
 walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS ts
@@ -34,7 +34,7 @@ big AS (SELECT doc_id, len(ws) AS n, ws FROM sets WHERE len(ws) >= 5),
 tok AS (SELECT doc_id, n, unnest(ws) AS w FROM big),
 pairs AS (SELECT a.doc_id AS lo, b.doc_id AS hi FROM tok a JOIN tok b ON a.w = b.w AND a.doc_id < b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.78),
-nodes AS (SELECT hi, row_number() OVER (ORDER BY hi) AS rn, list(lo) AS lows FROM pairs GROUP BY hi),
+nodes AS MATERIALIZED (SELECT hi, row_number() OVER (ORDER BY hi) AS rn, list(lo) AS lows FROM pairs GROUP BY hi),
 walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS gone
   UNION ALL SELECT n.rn, CASE WHEN len(list_filter(n.lows, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, n.hi) ELSE w.gone END
   FROM walk w JOIN nodes n ON n.rn = w.rn + 1)"""
@@ -125,7 +125,7 @@ sets AS (SELECT doc_id * 10000 + pos AS ord, doc_id, pos, list_distinct({q.words
 tok AS (SELECT ord, doc_id, len(ws) AS n, unnest(ws) AS w FROM sets WHERE len(ws) >= 5),
 pairs AS (SELECT a.ord AS lo, b.ord AS hi FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.w = b.w AND a.ord < b.ord
   GROUP BY a.ord, b.ord, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.78),
-nodes AS (SELECT hi, row_number() OVER (ORDER BY hi) AS rn, list(lo) AS lows FROM pairs WHERE hi % 10000 <> 0 GROUP BY hi),
+nodes AS MATERIALIZED (SELECT hi, row_number() OVER (ORDER BY hi) AS rn, list(lo) AS lows FROM pairs WHERE hi % 10000 <> 0 GROUP BY hi),
 walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS gone
   UNION ALL SELECT n.rn, CASE WHEN len(list_filter(n.lows, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, n.hi) ELSE w.gone END
   FROM walk w JOIN nodes n ON n.rn = w.rn + 1)"""

@@ -142,8 +142,8 @@ def communities_of(t):
 # Breadth-first order of all seeds, one queue step per recursion: the walk
 # carries each seed's visit list; a step appends the unvisited neighbours of
 # the node at the head, in id order, up to the cap.
-WALK = """topseeds AS (SELECT id FROM scores WHERE type = 'Topic' ORDER BY score DESC, label, id LIMIT 24),
-near AS (SELECT node, list(DISTINCT neighbor ORDER BY neighbor)[1:40] AS around FROM adj GROUP BY node),
+WALK = """topseeds AS MATERIALIZED (SELECT id FROM scores WHERE type = 'Topic' ORDER BY score DESC, label, id LIMIT 24),
+near AS MATERIALIZED (SELECT node, list(DISTINCT neighbor ORDER BY neighbor)[1:40] AS around FROM adj GROUP BY node),
 walk AS (SELECT id AS seed, 1 AS head, [id] AS seen FROM topseeds
   UNION ALL SELECT w.seed, w.head + 1, (list_concat(w.seen, list_filter(coalesce(n.around, CAST([] AS VARCHAR[])), lambda x: NOT list_contains(w.seen, x))))[1:16]
   FROM walk w LEFT JOIN near n ON n.node = w.seen[w.head] WHERE w.head <= len(w.seen) AND len(w.seen) < 16),

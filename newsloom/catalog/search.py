@@ -147,9 +147,15 @@ def _(t):
     return se.related_nodes(*search_frames(t)).select("query_id", "id", "type", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("related_context", "T10", q.with_(SEARCH, """
+KNOWN_TYPES = ("Entity", "Claim", "Topic", "SourceDocument")
+KNOWN_SEARCH = [*GRAPH, SEARCH[-1].replace("FROM nodes)", f"FROM nodes WHERE type IN {KNOWN_TYPES})")]
+
+
+@register("related_context", "T10", q.with_(KNOWN_SEARCH, """
 SELECT query_id, section, id, rank, score FROM (
   SELECT query_id, section, id, score, row_number() OVER (PARTITION BY query_id, section ORDER BY rank) AS rank FROM (
     SELECT *, lower(type) AS section FROM found WHERE type IN ('Entity', 'Claim', 'Topic') UNION ALL SELECT *, 'temporal' FROM found WHERE node_at IS NOT NULL)) WHERE rank <= 8"""))
 def _(t):
-    return se.related_context(se.related_nodes(*search_frames(t))).withColumn("rank", F.col("rank").cast("bigint"))
+    asked, nodes = search_frames(t)
+    found = se.related_nodes(asked, nodes.filter(F.col("type").isin(*KNOWN_TYPES)))
+    return se.related_context(found).withColumn("rank", F.col("rank").cast("bigint"))

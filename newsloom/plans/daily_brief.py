@@ -160,8 +160,10 @@ def day_ledger(items: DataFrame, cap: int = DAY_LEDGER_CAP) -> DataFrame:
 def selected_items(items: DataFrame, terms: Sequence[str], dictionary, cap: int | None = DAY_LEDGER_CAP) -> DataFrame:
     """Day ledger, enrichment, relevance filter, then greedy dedup per day."""
     base = items if cap is None else day_ledger(items, cap)
-    ready = se.relevant(se.daily_items(base, dictionary).filter((F.col("url") != "") & (F.col("title") != "")), terms)
-    ready = stage(ready, "daily")
+    # staged before the term filter: pushed below the enrichment it would
+    # evaluate the whole enrichment once per term
+    enriched = stage(se.daily_items(base, dictionary), "daily")
+    ready = se.relevant(enriched.filter((F.col("url") != "") & (F.col("title") != "")), terms)
     return dd.dedupe_citations_like(ready, "id", "url", F.concat_ws(" ", "title", "summary", "source_text"), scope=F.col("day"))
 
 
