@@ -27,11 +27,9 @@ def _(t):
 SELECT id, {q.usable('summary', 'title')} AS summary_usable, {q.usable("title || ' - ' || source_name", 'title')} AS echo_usable,
   ({q.usable('summary', 'title')} OR {q.usable("'Transcript unavailable for ' || title", 'title')}) AS any_usable FROM items"""))
 def _(t):
-    title = F.col("title")
-    echo = F.concat(title, F.lit(" - "), "source_name")
-    return t.items.select(
-        "id", tx.usable_evidence(F.col("summary"), title).alias("summary_usable"), tx.usable_evidence(echo, title).alias("echo_usable"),
-        se.has_usable_evidence([F.col("summary"), F.concat(F.lit("Transcript unavailable for "), title)], title).alias("any_usable"))
+    rows = t.items.select("id", "title", "summary", F.concat("title", F.lit(" - "), "source_name").alias("echo"), F.concat(F.lit("Transcript unavailable for "), "title").alias("gone"))
+    rows = tx.with_usable(tx.with_usable(rows, "summary", "title", "summary_usable"), "echo", "title", "echo_usable")
+    return rows.select("id", "summary_usable", "echo_usable", (F.col("summary_usable") | se.has_usable_evidence([F.col("gone")], F.col("title"))).alias("any_usable"))
 
 
 DAILY = f"""daily AS (

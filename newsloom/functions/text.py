@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import rules
 
@@ -128,11 +128,7 @@ def spoken_fillers(c: Column) -> Column:
 
 def content_words(c: Column, stop: Sequence[str] = tuple(rules.STOP_WORDS)) -> Column:
     text = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "&", " and ")
-    banned = F.array(*[F.lit(w) for w in stop])
-    return F.filter(
-        F.split(text, "[^a-z0-9]+"),
-        lambda w: (F.length(w) > 2) & ~F.array_contains(banned, w),
-    )
+    return F.filter(F.split(text, "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
 
 
 def search_tokens(c: Column) -> Column:
@@ -144,14 +140,12 @@ def relevance_keywords(c: Column) -> Column:
     text = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), URL_TOKEN, " ")
     text = F.regexp_replace(text, rf"[^a-z0-9{_SPACE_CHARS}-]", " ")
     terms = F.transform(F.split(text, f"{SPACE}+"), lambda w: F.regexp_replace(w, "^-+|-+$", ""))
-    stop = F.array(*[F.lit(w) for w in rules.RELEVANCE_STOP_WORDS])
-    return F.array_distinct(F.filter(terms, lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(terms, lambda w: (F.length(w) >= 4) & ~w.isin(*rules.RELEVANCE_STOP_WORDS)))
 
 
 def grounding_terms(c: Column) -> Column:
     """Distinct content words over 3 characters among the first 120."""
-    generic = F.array(*[F.lit(w) for w in rules.GENERIC_GROUNDING_WORDS])
-    words = F.filter(content_words(c), lambda w: (F.length(w) > 3) & ~F.array_contains(generic, w))
+    words = F.filter(content_words(c), lambda w: (F.length(w) > 3) & ~w.isin(*rules.GENERIC_GROUNDING_WORDS))
     return F.array_distinct(F.slice(words, 1, 120))
 
 
@@ -242,7 +236,7 @@ def topic_title(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(collapse(c), " "), lambda w: w != "")).cast("bigint")
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"{NON_SPACE}+")).cast("bigint")
 
 
 def term_pattern(term: str) -> str:
@@ -274,10 +268,9 @@ def entity_candidates(c: Column) -> Column:
     text = F.regexp_replace(F.coalesce(c, F.lit("")), URL_TOKEN, " ")
     text = F.regexp_replace(text, js_pattern(r"\b(?:Article URL|Comments URL|Points|# Comments):"), " ")
     run = rf"{BOUNDARY}((?:[A-Z][A-Za-z0-9+.\-]*(?:{SPACE}+[A-Z][A-Za-z0-9+.\-]*){{0,3}})){BOUNDARY}"
-    stop = F.array(*[F.lit(w) for w in rules.STOP_ENTITIES])
     return F.filter(
         F.regexp_extract_all(text, F.lit(run), F.lit(1)),
-        lambda m: (F.length(m) > 2) & ~F.array_contains(stop, m),
+        lambda m: (F.length(m) > 2) & ~m.isin(*rules.STOP_ENTITIES),
     )
 
 
@@ -292,15 +285,29 @@ def usable_evidence(value: Column, title: Column) -> Column:
     )
 
 
+def with_usable(df: DataFrame, value: str, title: str, out: str) -> DataFrame:
+    """Adds ``out``: ``usable_evidence`` of two columns, step by step, so
+    that the cleaned texts are computed once per row."""
+    steps = df.withColumns({"_t": strip_noise(F.col(value)), "_h": source_headline(F.col(title))})
+    steps = steps.withColumns({"_e": source_headline(F.col("_t")), "_n": word_count(F.col("_t"))})
+    echo, head = F.col("_e"), F.col("_h")
+    steps = steps.withColumns({"_short": word_count(echo) <= word_count(head) + 4, "_same": fingerprint(echo) == fingerprint(head)})
+    a, b = F.array_distinct(content_words(echo)), F.array_distinct(content_words(head))
+    smaller = F.least(F.size(a), F.size(b))
+    shared = F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), smaller)
+    echoed = (echo != "") & (head != "") & (F.col("_same") | (F.col("_short") & (smaller > 0) & (shared >= 0.8)))
+    ok = (F.col("_t") != "") & (F.col("_n") >= 5) & ~any_match(F.col("_t"), [rules.UNUSABLE_TEXT_PATTERN]) & ~echoed
+    return steps.withColumn(out, ok).drop("_t", "_h", "_e", "_n", "_short", "_same")
+
+
 def title_only(text: Column, title: Column) -> Column:
     head, echo = source_headline(title), source_headline(text)
     a, b = F.array_distinct(content_words(echo)), F.array_distinct(content_words(head))
     smaller = F.least(F.size(a), F.size(b))
     overlap = F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), smaller)
-    return (echo != "") & (head != "") & (
-        (fingerprint(echo) == fingerprint(head))
-        | ((smaller > 0) & (word_count(echo) <= word_count(head) + 4) & (overlap >= 0.8))
-    )
+    # the length test comes first: long texts never reach the word sets
+    short = word_count(echo) <= word_count(head) + 4
+    return (echo != "") & (head != "") & ((fingerprint(echo) == fingerprint(head)) | (short & (smaller > 0) & (overlap >= 0.8)))
 
 
 def low_signal(title: Column, haystack: Column) -> Column:

@@ -27,8 +27,7 @@ def daily_items(items: DataFrame, dictionary: Sequence[tuple[str, str]] = tuple(
     from newsloom.functions import urls as ux
 
     clean = items.withColumn("title", tx.clean_title(F.col("title"))).withColumn("_s", tx.strip_noise(F.col("summary")))
-    evidence = F.when(tx.usable_evidence(F.col("_s"), F.col("title")), F.col("_s")).otherwise("")
-    rows = clean.withColumn("evidence", evidence)
+    rows = tx.with_usable(clean, "_s", "title", "_ok").withColumn("evidence", F.when(F.col("_ok"), F.col("_s")).otherwise("")).drop("_ok")
     body = F.concat("title", F.lit(" "), "evidence", F.lit(" "), F.array_join("tags", " "))
     keywords = F.slice(F.array_distinct(F.concat(tx.content_words(F.col("title")), F.flatten(F.transform(F.col("tags"), lambda t: tx.content_words(t))))), 1, 12)
     return rows.select(
@@ -90,10 +89,10 @@ def phrases(c: Column, patterns: Sequence[str]) -> Column:
     return F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?i)" + tx.js_pattern(p)), F.lit(0)) for p in patterns]))
 
 
-def concepts(c: Column, patterns: Sequence[str] | None = None, limit: int = 5) -> Column:
-    text = tx.strip_noise(c)
-    stop = F.array(*[F.lit(w) for w in rules.STOP_WORDS])
-    found = F.filter(F.transform(phrases(text, patterns or concept_patterns()), concept_name), lambda p: (F.length(p) > 3) & ~F.array_contains(stop, F.lower(p)))
+def concepts(text: Column, patterns: Sequence[str] | None = None, limit: int = 5) -> Column:
+    """At most five concepts of a noise-stripped text. Pass a plain column:
+    every pattern reads it."""
+    found = F.filter(F.transform(phrases(text, patterns or concept_patterns()), concept_name), lambda p: (F.length(p) > 3) & ~F.lower(p).isin(*rules.STOP_WORDS))
     lead = F.filter(F.array(F.array_join(F.slice(tx.content_words(text), 1, 5), " ")), lambda p: p != "")
     return F.slice(F.array_distinct(F.concat(found, lead)), 1, limit)
 

@@ -180,16 +180,16 @@ def daily_briefs(items: DataFrame, terms=tuple(rules.RELEVANCE_TERMS), dictionar
 def _keep_new(texts: Column, exclude: Column) -> Column:
     """(group, text) structs without near repeats of excluded or earlier
     texts; twelve at most."""
-    start = F.array().cast("array<struct<group: int, text: string>>")
+    shaped = F.transform(texts, lambda t: F.struct(
+        t["group"].cast("int").alias("group"), t["text"].alias("text"), F.array_distinct(tx.content_words(t["text"])).alias("set"), tx.fingerprint(t["text"]).alias("mark")))
+    start = F.array().cast("array<struct<group: int, text: string, set: array<string>, mark: string>>")
     barred = F.transform(exclude, lambda e: F.array_distinct(tx.content_words(e)))
 
     def step(acc: Column, t: Column) -> Column:
-        mine = F.array_distinct(tx.content_words(t["text"]))
-        seen = F.exists(barred, lambda b: se.near(mine, b)) | F.exists(
-            acc, lambda k: se.near(mine, F.array_distinct(tx.content_words(k["text"]))) | (tx.fingerprint(k["text"]) == tx.fingerprint(t["text"])))
-        return F.when(seen | (t["text"] == ""), acc).otherwise(F.concat(acc, F.array(F.struct(t["group"].cast("int").alias("group"), t["text"].alias("text")))))
+        seen = F.exists(acc, lambda k: (k["mark"] == t["mark"]) | se.near(t["set"], k["set"])) | F.exists(barred, lambda b: se.near(t["set"], b))
+        return F.when((t["text"] == "") | seen, acc).otherwise(F.concat(acc, F.array(t)))
 
-    return F.aggregate(texts, start, step)
+    return F.aggregate(shaped, start, step)
 
 
 def sections(stories: DataFrame, daily: DataFrame, clusters: DataFrame, signal_terms=tuple(rules.SIGNAL_TERMS), patterns: Sequence[str] | None = None) -> DataFrame:
@@ -200,15 +200,17 @@ def sections(stories: DataFrame, daily: DataFrame, clusters: DataFrame, signal_t
     ranked = se.rank_evidence(sents, "cluster", "sentence_no", 12, signal_terms)
     evidence = ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda s: s.sentence).alias("evidence"))
     rows = stories.select("cluster", "day", "title").join(evidence, "cluster")
-    rows = rows.withColumn("concepts", se.concepts(F.concat("title", F.lit(". "), F.array_join("evidence", " ")), patterns))
+    rows = stage(rows.withColumn("all_text", tx.strip_noise(F.concat("title", F.lit(". "), F.array_join("evidence", " ")))), "story-evidence")
+    rows = rows.withColumn("concepts", se.concepts(F.col("all_text"), patterns))
     rows = rows.withColumn("groups", se.assign_evidence(F.col("concepts"), F.col("evidence")))
     flat = F.flatten(F.transform(F.col("groups"), lambda g, i: F.transform(g.sentences, lambda s: F.struct(i.alias("group"), tx.spoken_fillers(s).alias("text")))))
     rows = rows.withColumn("kept", _keep_new(flat, F.array("title")))
     built = F.transform(F.col("groups"), lambda g, i: F.struct(
         g.concept.alias("concept"), F.transform(F.filter(F.col("kept"), lambda k: k["group"] == i), lambda k: k["text"]).alias("paragraphs")))
     found = rows.select("cluster", "day", "title", F.posexplode(F.filter(built, lambda s: F.size(s.paragraphs) > 0)).alias("section_no", "s"))
-    text = F.concat_ws(" ", "s.concept", F.array_join("s.paragraphs", " "))
-    named = F.coalesce(tx.non_empty(F.col("s.concept")), F.get(se.concepts(F.array_join("s.paragraphs", " "), patterns), F.lit(0)), F.lit("Development"))
+    found = found.withColumns({"joined": F.array_join("s.paragraphs", " "), "text": F.concat_ws(" ", "s.concept", F.array_join("s.paragraphs", " "))})
+    text = F.col("text")
+    named = F.coalesce(tx.non_empty(F.col("s.concept")), F.get(se.concepts(F.col("joined"), patterns), F.lit(0)), F.lit("Development"))
     return found.select(
         "cluster", "day", "section_no", tx.title_case(tx.collapse(named)).alias("heading"), tx.first_rule_tag(text, rules.THEME_RULES, rules.DEFAULT_THEME).alias("theme"),
         tx.first_rule_tag(text, rules.INTENT_RULES, rules.DEFAULT_INTENT).alias("intent"), F.col("s.paragraphs").alias("paragraphs"))
@@ -218,7 +220,8 @@ def publishable(items: DataFrame, terms, dictionary, per_day: int = 4, multiplie
                 signal_terms=tuple(rules.SIGNAL_TERMS), patterns: Sequence[str] | None = None) -> DataFrame:
     """Evidence gate, candidates, content rules, then the day's quota of
     passing stories."""
-    usable = items.filter(se.has_usable_evidence([F.col("summary")], F.col("title")))
+    gated = tx.with_usable(items.withColumn("_head", tx.clean_title(F.col("title"))), "summary", "_head", "_usable")
+    usable = stage(gated.drop("_head"), "gated").filter("_usable").drop("_usable")
     daily = stage(selected_items(usable, terms, dictionary), "selected")
     clusters = stage(parity_clusters(daily), "clusters")
     stories = stage(rank_briefs(cluster_summaries(daily, clusters), per_day * multiplier), "stories")
