@@ -80,8 +80,9 @@ def overlap_pairs(
 
     ``sets`` has ``scope, id, words`` (distinct words, at least one).
     Prefix filtering: a set of n words that shares k of them with another
-    must share one of its n - k + 1 rarest, so only those rarest words of
-    the smaller set look up the full word index. Exact; nothing sampled.
+    must share at least l of its n - k + l rarest (l = 3, or k if less), so
+    only those rarest words of the smaller set look up the full word index
+    and few pairs reach the full comparison. Exact; nothing sampled.
     """
     sets = stage(sets.withColumn("n", F.size("words")), "sets")
     words = sets.select("scope", "id", "n", F.explode("words").alias("word")).withColumn("slot", F.concat(F.col("scope").cast("string"), F.lit("\u0001"), F.col("word")))
@@ -91,8 +92,8 @@ def overlap_pairs(
     need = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
     ranked = counted.groupBy("scope", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ws"))
     probes = ranked.select(
-        "scope", "id", "n", F.explode(F.slice("ws", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("w")
-    ).select("scope", F.col("id").alias("a"), F.col("n").alias("na"), F.col("w.word").alias("word"), F.col("w.df").alias("df"))
+        "scope", "id", "n", need.alias("need"), F.explode(F.slice("ws", F.lit(1), (F.col("n") - need + F.least(need, F.lit(3))).cast("int"))).alias("w")
+    ).select("scope", F.col("id").alias("a"), F.col("n").alias("na"), F.least("need", F.lit(3)).alias("hits"), F.col("w.word").alias("word"), F.col("w.df").alias("df"))
     index = words.select("scope", "word", F.col("id").alias("b"), F.col("n").alias("nb"), "slot")
 
     # hot words: the probing side is salted, the index side repeated per salt
@@ -103,15 +104,16 @@ def overlap_pairs(
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     n_hot = _size(hot)
     if n_hot == 0:
-        found = probes.select("scope", "a", "na", "slot").join(index.select("b", "nb", "slot"), "slot")
+        found = probes.select("a", "na", "hits", "slot").join(index.select("b", "nb", "slot"), "slot")
     else:
         probe_total = _size(probes)
-        salted = skew.lookup(probes.select("scope", "a", "na", "slot"), hot, "slot", probe_total, plain_rows)
+        salted = skew.lookup(probes.select("a", "na", "hits", "slot"), hot, "slot", probe_total, plain_rows)
         salted = salted.withColumn("salt", F.pmod(F.hash("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
         repeated = skew.lookup(index.select("b", "nb", "slot"), hot, "slot", total, plain_rows)
         repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
         found = salted.join(repeated, ["slot", "salt"])
-    pairs = found.filter(smaller).select("a", "b").distinct()
+    # each (a, b, word) occurs once, so rows per pair are shared rare words
+    pairs = found.filter(smaller).groupBy("a", "b", "hits").agg(F.count("*").alias("_s")).filter(F.col("_s") >= F.col("hits")).select("a", "b")
     left = sets.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("n").alias("na"))
     right = sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))

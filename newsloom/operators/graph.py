@@ -97,12 +97,14 @@ def knowledge_graph(items: DataFrame) -> Graph:
     Names that share a slug share a node; the last name in mention order
     names it.
     """
-    docs = kn.source_documents(items)
+    # nodes, edges and citations all read these, so the texts are parsed once
+    docs = stage(kn.source_documents(items), "source-documents")
     base = document_graph(docs)
     owner = docs.select(F.col("summary_id").alias("evidence_id"), F.col("id").alias("doc"), F.col("published_on").cast("string").alias("at"))
 
-    claims = kn.claims(items).join(owner, "evidence_id").withColumn("node", F.concat(F.lit("claim:"), tx.stable_hash(F.col("claim_id"), 20)))
-    evidence = kn.entity_evidence(items)
+    claims = kn.claims(items).withColumn("node", F.concat(F.lit("claim:"), tx.stable_hash(F.col("claim_id"), 20)))
+    claims = stage(claims.select("evidence_id", "node", "text", "tags", "title", "url", "source_name"), "claims").join(owner, "evidence_id")
+    evidence = stage(kn.entity_evidence(items), "entity-evidence")
     names = kn.entities(evidence).withColumn("node", tx.node_id("entity", F.col("name")))
     entity_names = names.groupBy("node").agg(F.max_by("name", F.struct(-F.col("mentions"), "name")).alias("name"))
     topic_rows = kn.topic_evidence(items).withColumn("node", tx.node_id("topic", F.col("name")))
