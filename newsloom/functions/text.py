@@ -7,6 +7,7 @@ pattern so that the JVM regex engine agrees.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,9 +30,26 @@ def js_pattern(pattern: str) -> str:
     return marked.replace("\0", f"[{_SPACE_CHARS}-]").replace("\1", NON_SPACE).replace("\2", SPACE)
 
 
+def _opening_literal(pattern: str) -> str | None:
+    """Lower-case literal that every match of a pattern starts with."""
+    if "|" in pattern:
+        return None
+    body = pattern.removeprefix("^").removeprefix(r"\b")
+    run = re.match(r"[A-Za-z0-9 :-]*", body).group()
+    if body[len(run):len(run) + 1] in ("?", "*", "{"):
+        run = run[:-1]
+    return run.lower() if len(run) >= 3 else None
+
+
 def any_match(c: Column, patterns: Sequence[str]) -> Column:
-    """True when the text matches one of the patterns, ignoring case."""
-    return c.rlike("(?i)" + "|".join(f"(?:{js_pattern(p)})" for p in patterns))
+    """True when the text matches one of the patterns, ignoring case.
+
+    Where every pattern opens with a literal, texts without any of the
+    literals are told apart by substring tests alone.
+    """
+    hit = c.rlike("(?i)" + "|".join(f"(?:{js_pattern(p)})" for p in patterns))
+    literals = [_opening_literal(p) for p in patterns]
+    return hit if None in literals else contains_any(c, literals) & hit
 
 
 def collapse(c: Column) -> Column:
@@ -247,7 +265,10 @@ def term_pattern(term: str) -> str:
 
 
 def contains_term(c: Column, term: str) -> Column:
-    return F.coalesce(c, F.lit("")).rlike(term_pattern(term))
+    # a plain substring test first: most texts lack most terms, and the
+    # pattern is far dearer than the search for its first word
+    text = F.coalesce(c, F.lit(""))
+    return F.contains(F.lower(text), F.lit(term.strip().lower().split(" ")[0])) & text.rlike(term_pattern(term))
 
 
 def term_hits(c: Column, terms: Sequence[str]) -> Column:

@@ -184,11 +184,10 @@ def related_nodes(
     allows; each node's matches then combine inside its own task.
     """
     asked = queries.select("query_id", F.col("at").alias("asked_at"), F.explode(F.array_distinct(tx.search_tokens(F.col("text")))).alias("token"))
-    held = nodes.select("id", F.explode(tx.search_tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("uses"))
+    held = nodes.select("id", "type", "at", F.explode(tx.search_tokens(F.col("text"))).alias("token"))
     size = plan_bytes(asked)
     asked_side = F.broadcast(asked) if size is not None and size <= broadcast_limit else asked
-    hits = held.join(asked_side, "token").groupBy("query_id", "asked_at", "id").agg(F.sum("uses").alias("overlap"))
-    dated = hits.join(nodes.select("id", "type", "at"), "id")
+    dated = held.join(asked_side, "token").groupBy("query_id", "asked_at", "id", "type", "at").agg(F.count("*").alias("overlap"))
     gap = F.abs(F.unix_micros(F.col("asked_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
     bonus = F.when(gap < near_days * 86_400_000_000, 1).otherwise(0)
     scored = dated.withColumn("score", F.col("overlap") + bonus)
