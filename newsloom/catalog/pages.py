@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from newsloom.catalog import sqltext as q
 from newsloom.catalog.base import register
-from newsloom.functions import text as tx, urls as ux
-from newsloom.operators import citations as ct, knowledge as kn, pages as pg, transcripts as tr
-from newsloom.operators.ledger import latest_by_id, top_per_key
+from newsloom.operators import citations as ct, pages as pg, transcripts as tr
+from newsloom.operators.ledger import latest_by_id
 from newsloom.session import new_stage_path, stage
-from newsloom.sources import catalogue, feeds, graphs, markdown, rss, sinks, snapshots
+from newsloom.sources import catalogue, feeds, markdown, rss, sinks, snapshots
 
 TITLE = q.visible("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.catalog import sqltext as q
-from newsloom.catalog.base import CORPUS_ENTITIES, CORPUS_TERMS, register
-from newsloom.functions import dates as dx, html as hx, text as tx, urls as ux
+from newsloom.catalog.base import CORPUS_TERMS, register
+from newsloom.functions import dates as dx, text as tx, urls as ux
 from newsloom.operators import recovery, rollups
 
 big = lambda c: c.cast("bigint")

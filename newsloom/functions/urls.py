@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from newsloom.functions.text import SPACE, collapse
+from newsloom.functions.text import collapse
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\s]+)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
