@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import chat_format, sharding
+from newsloom.llm import chat_format, language_id, sentencepiece_codec, sharding
 from newsloom.llm.common import read_table
 
 FIXED_CONVERSATION = -7  # added to the table: a user and an assistant row that say control strings
 FIXED_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(documents.filter(~language_id.is_held_out()).select("doc_id", "text", "lang"))
+    rows = documents.select("doc_id", language_id.is_held_out().alias("held_out"), "text")
+    return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of every text, and whether they decode to the very text."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(documents))
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.length("decoded").cast("long").alias("n_chars"),
+                        F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     fixed = spark.range(2).select(
@@ -42,5 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding}
+QUERIES = {
+    "op1_language_id": op1_language_id, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
+}
 ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
