@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import chat_format, language_id, sentencepiece_codec, sharding
+from newsloom.llm import chat_format, exact_dedup, language_id, sentencepiece_codec, sharding
 from newsloom.llm.common import read_table
 
 FIXED_CONVERSATION = -7  # added to the table: a user and an assistant row that say control strings
@@ -18,6 +18,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.find_copies(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP6_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY text)
+"""
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of every text, and whether they decode to the very text."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +71,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_language_id": op1_language_id, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
+    "op1_language_id": op1_language_id, "op6_exact_dedup": op6_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
+ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL}
