@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import chat_format, exact_dedup, language_id, sentencepiece_codec, sharding
+from newsloom.llm import chat_format, exact_dedup, language_id, minhash, sentencepiece_codec, sharding
 from newsloom.llm.common import read_table
 
 FIXED_CONVERSATION = -7  # added to the table: a user and an assistant row that say control strings
@@ -31,10 +31,15 @@ FROM texts WINDOW same AS (PARTITION BY text)
 """
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of every text, and whether they decode to the very text."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(documents))
+    coded = sentencepiece_codec.round_trip(documents)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.length("decoded").cast("long").alias("n_chars"),
                         F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
 
@@ -71,6 +76,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_language_id": op1_language_id, "op6_exact_dedup": op6_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
+    "op1_language_id": op1_language_id, "op6_exact_dedup": op6_exact_dedup, "op7_minhash": op7_minhash, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
 }
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL}

@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.llm.pieces import MODEL_PATH, Pieces, by_length, pieces
 
 UNKNOWN_PENALTY = 10.0  # below the least likely piece, for each character that is no piece
 CACHE_UNITS = 300_000  # encoded units a worker remembers
-BLOCK_CHARS = 4_000_000  # code points of texts handled at once
+BLOCK_BYTES = 1_000_000  # of texts handled at once
 
 
 def log_probabilities(vocabulary: Pieces) -> np.ndarray:
@@ -128,16 +129,45 @@ class Encoder:
         return ids, ends[edges[1:]] - ends[edges[:-1]]
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about BLOCK_CHARS code points each; every text is whole."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= BLOCK_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def blocks(batch: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a batch with about BLOCK_BYTES of text each; every text is whole.
+
+    A function may give its results slice by slice, so memory follows the
+    slice (or the longest text), not the batch.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(batch):
+        end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BLOCK_BYTES)) + 1
+        yield batch.slice(start, min(end, len(batch)) - start)
+        start = end
+
+
+def encode_array(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    ids, counts = encoder.encode(texts.to_pylist())
+    missing = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32(), mask=missing), pa.array(ids, pa.int32()))
+
+
+class Decoder:
+    """Puts together the bytes of ids; an id's bytes come from one table."""
+
+    def __init__(self, path: str = MODEL_PATH):
+        strings = pieces(path).text_bytes
+        self.lengths = np.array([len(s) for s in strings], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        counts = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        size = self.lengths[flat]
+        before = np.cumsum(size) - size
+        joined = self.data[np.repeat(self.starts[flat] - before, size) + np.arange(int(size.sum()))].tobytes()
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
+        # every text was encoded with one leading space
+        return pa.array([joined[a + (joined[a:a + 1] == b" "):b].decode("utf-8", "replace") if there else None
+                         for a, b, there in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist())], pa.string())
 
 
 def encode_column(text: Column, path: str = MODEL_PATH) -> Column:
@@ -147,14 +177,8 @@ def encode_column(text: Column, path: str = MODEL_PATH) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
         for batch in batches:
-            texts = batch.to_pylist()
-            parts = []
-            for a, b in blocks(texts):
-                ids, counts = encoder.encode(texts[a:b])
-                missing = np.array([t is None for t in texts[a:b]])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(missing, False))
-                parts.append(pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            for block in blocks(batch):
+                yield encode_array(encoder, block)
 
     return encode(text)
 
@@ -164,29 +188,28 @@ def decode_column(ids: Column, path: str = MODEL_PATH) -> Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        strings = pieces(path).text_bytes
-        lengths = np.array([len(s) for s in strings], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        data = np.frombuffer(b"".join(strings), np.uint8)
+        decoder = Decoder(path)
         for batch in batches:
-            texts: list[str | None] = []
-            step = 64
-            for a in range(0, len(batch), step):
-                part = batch[a:a + step]
-                flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = np.asarray([0 if n is None else n for n in part.value_lengths().to_pylist()], np.int64)
-                size = lengths[flat]
-                before = np.cumsum(size) - size
-                joined = data[np.repeat(starts[flat] - before, size) + np.arange(int(size.sum()))].tobytes()
-                ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-                for i, there in enumerate(part.is_valid().to_pylist()):
-                    whole = joined[ends[i]:ends[i + 1]]
-                    texts.append((whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace") if there else None)
-            yield pa.array(texts, pa.string())
+            for start in range(0, len(batch), 64):
+                yield decoder.decode(batch.slice(start, 64))
 
     return decode(ids)
 
 
+def code_and_decode_column(text: Column, path: str = MODEL_PATH) -> Column:
+    """struct(ids, decoded): encoding and decoding in one worker, so half the Python processes."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = Encoder(path), Decoder(path)
+        for batch in batches:
+            for block in blocks(batch):
+                ids = encode_array(encoder, block)
+                yield pa.StructArray.from_arrays([ids, decoder.decode(ids)], names=["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_documents(df: DataFrame, text_column: str = "text", ids_column: str = "ids", path: str = MODEL_PATH) -> DataFrame:
     """All columns of ``df`` and the ids; an input column called like ``ids_column`` is replaced."""
     return df.withColumn(ids_column, encode_column(F.col(text_column).cast("string"), path))
@@ -195,3 +218,9 @@ def encode_documents(df: DataFrame, text_column: str = "text", ids_column: str =
 def decode_documents(df: DataFrame, ids_column: str = "ids", decoded_column: str = "decoded", path: str = MODEL_PATH) -> DataFrame:
     """All columns of ``df`` and the text that the ids stand for."""
     return df.withColumn(decoded_column, decode_column(F.col(ids_column), path))
+
+
+def round_trip(df: DataFrame, text_column: str = "text", path: str = MODEL_PATH) -> DataFrame:
+    """All columns of ``df``, ids and decoded, which replace input columns of these names."""
+    out = df.withColumn("_coded", code_and_decode_column(F.col(text_column).cast("string"), path))
+    return out.withColumns({"ids": F.col("_coded.ids"), "decoded": F.col("_coded.decoded")}).drop("_coded")
