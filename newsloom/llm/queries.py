@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import chat_format, exact_dedup, language_id, minhash, sentencepiece_codec, sharding
+from newsloom.llm import chat_format, exact_dedup, language_id, license_scan, minhash, sentencepiece_codec, sharding
 from newsloom.llm.common import read_table
 
 FIXED_CONVERSATION = -7  # added to the table: a user and an assistant row that say control strings
@@ -18,6 +18,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(documents).drop("text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.find_copies(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -76,6 +81,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_language_id": op1_language_id, "op6_exact_dedup": op6_exact_dedup, "op7_minhash": op7_minhash, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
+    "op1_language_id": op1_language_id, "op2_license_scan": op2_license_scan, "op6_exact_dedup": op6_exact_dedup, "op7_minhash": op7_minhash, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
 }
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL}
