@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import chat_format, decontamination, exact_dedup, language_id, license_scan, minhash, sentencepiece_codec, sharding, warc
+from newsloom.llm import chat_format, decontamination, exact_dedup, html_wrappers, language_id, license_scan, minhash, sentencepiece_codec, sharding, warc
 from newsloom.llm.common import read_table
 
 FIXED_CONVERSATION = -7  # added to the table: a user and an assistant row that say control strings
@@ -23,6 +23,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents).drop("text")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"), spark).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -92,6 +96,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_language_id": op1_language_id, "op2_license_scan": op2_license_scan, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_exact_dedup": op6_exact_dedup, "op7_minhash": op7_minhash, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
+    "op1_language_id": op1_language_id, "op2_license_scan": op2_license_scan, "op3_html_extraction": op3_html_extraction, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_exact_dedup": op6_exact_dedup, "op7_minhash": op7_minhash, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
 }
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL}
