@@ -78,6 +78,10 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.cast("string").alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
+def _message_turns(messages: Column, role: str, text: str) -> Column:
+    return F.transform(messages, lambda m: _turn(canonical_role(m[role]), m[text]))
+
+
 def typed_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """Canonical turns (id, turns) of a typed table in one of the layouts.
 
@@ -97,7 +101,7 @@ def typed_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     spec = layout_of(paths)
     if "array" in spec:
         field, role, text = spec["array"]
-        turns = F.coalesce(F.transform(field, lambda m: _turn(canonical_role(m[role]), m[text])), F.array().cast(_TURN))
+        turns = F.coalesce(_message_turns(F.col(field), role, text), F.array().cast(_TURN))
     else:
         slots = [F.when(F.lit(role == "assistant" or path == "prompt") | F.col(path).isNotNull(), _turn(F.lit(role), F.col(path))) for role, path in spec["turns"]]
         turns = F.filter(F.array(*slots), lambda t: t.isNotNull())
@@ -135,7 +139,7 @@ def mixed_turns(df: DataFrame, json_column: str, id_column: str = "conv_id") ->
         if "array" in spec:
             field, role, text = spec["array"]
             parsed = F.try_variant_get("_v", f"$.{field}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            mapped = F.transform(parsed, lambda m, role=role, text=text: _turn(canonical_role(m[role]), m[text]))
+            mapped = _message_turns(parsed, role, text)
         else:
             got = {path: F.try_variant_get("_v", f"$.{path}", "string") for _, path in spec["turns"]}
             slots = [F.when(F.lit(role == "assistant" or path == "prompt") | got[path].isNotNull(), _turn(F.lit(role), got[path])) for role, path in spec["turns"]]

@@ -96,11 +96,11 @@ def block_key(fingerprint: Column, block: int) -> Column:
 
 
 def hamming_index(items: DataFrame) -> DataFrame:
-    """(key, block, item_id, item_fp): each item under every block value within RADIUS // BLOCKS bits of its own."""
+    """(key, block, item, item_fp): each item under every block value within RADIUS // BLOCKS bits of its own."""
     flips = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block_key(F.col("fp"), b).alias("own")) for b in range(BLOCKS)]))
-    rows = items.select("item_id", F.col("fp").alias("item_fp"), blocks.alias("b")).select("item_id", "item_fp", "b.block", "b.own", F.explode(_literal(flips)).alias("flip"))
-    return rows.select(F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "block", "item_id", "item_fp")
+    rows = items.select("item", F.col("fp").alias("item_fp"), blocks.alias("b")).select("item", "item_fp", "b.block", "b.own", F.explode(_literal(flips)).alias("flip"))
+    return rows.select(F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "block", "item", "item_fp")
 
 
 def in_radius(windows: DataFrame, index: DataFrame) -> DataFrame:
@@ -132,7 +132,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     with null ids are searched too and are told apart by their texts' digest.
     """
     items = with_shingles(benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("text")), "text").filter(F.size("h") > 0)
-    items = stage(items.select("item_id", "h", simhash(F.col("h")).alias("fp")), "items")
+    # a number of its own: item ids may be null or repeat
+    items = stage(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "h", simhash(F.col("h")).alias("fp")), "items")
     most = items.agg(F.max(F.size("h"))).first()[0]
     if not most:
         return None
@@ -150,8 +151,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     windows = windows.filter(F.size(F.filter("window", lambda h: bits.has(h))) * (1 + threshold) >= threshold * (F.size("window") + F.col("n")) - 1e-9)
     windows = windows.withColumn("fp", simhash(F.col("window")))
     found = in_radius(windows, stage(hamming_index(items), "hamming-index"))
-    found = found.join(bounded(items.select("item_id", F.col("h").alias("item"))), "item_id")
-    found = found.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item"))).filter(F.col("similarity") >= threshold - 1e-9)
+    found = found.join(bounded(items.select("item", "item_id", F.col("h").alias("shingles"))), "item")
+    found = found.withColumn("similarity", weighted_similarity(F.col("window"), F.col("shingles"))).filter(F.col("similarity") >= threshold - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.size("window") + WIDTH - 1).alias("n_words"))).alias("best")
     return found.groupBy("id", "text_md5", "item_id").agg(best).select(
         "id", "text_md5", "item_id", (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
