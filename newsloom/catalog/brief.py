@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom import rules
 from newsloom.catalog import sqltext as q
 from newsloom.catalog.base import CORPUS_ENTITIES, CORPUS_TERMS, register
 from newsloom.catalog.search import CORPUS_SIGNALS, DAILY, HEADS
@@ -59,19 +60,22 @@ def _(t):
     return br.rank_briefs(stories, 5).select(F.col("day").cast("string").alias("day"), F.col("rank").cast("bigint").alias("rank"), "cluster", "source_count")
 
 
-@register("parity_clusters", "C3", None)
-def _(t):
-    return br.parity_clusters(stage(se.daily_items(br.day_ledger(t.ok_items), CORPUS_ENTITIES), "daily"))
-
-
-@register("daily_briefs", "C5 W9", None)
-def _(t):
-    return br.daily_briefs(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES).select("day", "rank", "cluster", "title", "slug", "source_count")
+HAY = "title || ' ' || summary || ' ' || array_to_string(entities, ' ')"
+SELECTED = f"""ready AS (SELECT id, day, url, title, coalesce(nullif(evidence, ''), summary) AS summary, evidence, keywords, tags,
+    {q.known_entities("title || ' ' || evidence || ' ' || array_to_string(tags, ' ')", CORPUS_ENTITIES)} AS entities FROM daily_all),
+relevant AS (SELECT *, {q.content_key("title || ' ' || summary || ' ' || evidence")} AS text_key FROM ready
+  WHERE url <> '' AND title <> '' AND {q.contains_any(HAY, CORPUS_TERMS)}
+    AND NOT ({q.any_match('title', [rules.LOW_SIGNAL_PATTERN])} AND NOT {q.any_match(HAY, [rules.RESCUE_PATTERN])})),
+daily AS (SELECT * FROM relevant QUALIFY text_key = '' OR row_number() OVER (PARTITION BY day, text_key ORDER BY id) = 1)"""
+SELECTED_ITEMS = [q.OK_ITEMS, DAILY.replace("daily AS", "daily_all AS", 1), SELECTED]
 
 
-@register("daily_briefs_scalable", "C5 C2", None)
+@register("daily_briefs", "C5 C2 W9", recursive([*SELECTED_ITEMS, CLUSTERS, SUMMARY], f"""
+SELECT strftime(day, '%Y-%m-%d') AS day, rank, cluster, title, strftime(day, '%Y-%m-%d') || '-' || {q.slug('title')} AS slug, source_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY source_count DESC, cluster) AS rank FROM summaries) WHERE rank <= 12"""))
 def _(t):
-    return br.daily_briefs(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES, parity=False).select("day", "rank", "cluster", "title", "slug", "source_count")
+    return br.daily_briefs(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES).select(
+        F.col("day").cast("string").alias("day"), F.col("rank").cast("bigint").alias("rank"), "cluster", "title", "slug", "source_count")
 
 
 @register("story_sections", "C9 T5 T12 D13", None)

@@ -16,6 +16,11 @@ def iso(c):
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def with_block(ledger):
+    """Blocks of the dense record number: an id's rows of one block are never many, whatever share of a day it owns."""
+    return ledger.withColumn("block", F.floor(F.col("seq") / 4096))
+
+
 def with_day(ledger):
     return ledger.withColumn("day", F.to_date("observed_at"))
 
@@ -75,7 +80,7 @@ tries AS (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY seq) AS att
 @register("retry_schedule", "X19 I6", q.with_([q.LEDGER, ATTEMPTS], f"""
 SELECT seq, id, attempt, {ISO.format("observed_at + to_minutes(CAST(least(1440, 5 * pow(2, attempt - 1)) AS BIGINT))")} AS next_check_after FROM tries"""))
 def _(t):
-    rows = with_day(t.ledger.select("id", "seq", "status", "observed_at"))
+    rows = with_block(t.ledger.select("id", "seq", "status", "observed_at"))
     return rt.schedule(rt.attempts(rows)).select("seq", "id", "attempt", iso("next_check_after").alias("next_check_after"))
 
 
@@ -140,7 +145,7 @@ SELECT status, previous, valid, count(*) AS n FROM (
   SELECT status, previous, coalesce(coalesce(previous, 'missing') = CASE status WHEN 'briefed' THEN 'parsed' WHEN 'enriched' THEN 'briefed' END, true) AS valid
   FROM (SELECT status, lag(status) OVER (PARTITION BY id ORDER BY seq) AS previous FROM ledger)) GROUP BY ALL"""))
 def _(t):
-    rows = with_day(t.ledger.select("id", "seq", "status", "observed_at"))
+    rows = with_block(t.ledger.select("id", "seq", "status"))
     return rt.transitions(rows).groupBy("status", "previous", "valid").agg(F.count("*").alias("n"))
 
 
@@ -155,8 +160,8 @@ def _(t):
 
 @register("record_ranks", "D5", q.with_([q.LEDGER], "SELECT seq, id, row_number() OVER (PARTITION BY id ORDER BY seq) AS version FROM ledger"))
 def _(t):
-    rows = with_day(t.ledger.select("id", "seq", "observed_at"))
-    return lg.bucketed_rank(rows, "id", "day", "seq", "version").select("seq", "id", "version")
+    rows = with_block(t.ledger.select("id", "seq"))
+    return lg.bucketed_rank(rows, "id", "block", "seq", "version").select("seq", "id", "version")
 
 
 @register("ledger_header", "A5", q.with_([q.ITEMS], """

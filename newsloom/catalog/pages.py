@@ -23,7 +23,7 @@ def _(t):
 
 SPANS = f"""spans AS (
   SELECT page_id, url, unnest(s) AS text, unnest(range(1, len(s) + 1)) AS span_no
-  FROM (SELECT page_id, url, ({q.paragraphs('html')})[1:24] AS s FROM pages))"""
+  FROM (SELECT page_id, url, ({q.paragraphs('html')}) AS s FROM pages))"""
 
 
 @register("page_text_spans", "P11", q.with_([SPANS], f"""
@@ -35,10 +35,10 @@ def _(t):
 
 @register("page_media", "P13", q.with_([q.PAGE_LINKS], f"""
 SELECT page_id, pos AS media_no, 'image:' || {q.hash_id("page_url || ':image:' || href", 20)} AS media_id, url AS uri
-FROM page_links WHERE pos <= 8"""))
+FROM page_links"""))
 def _(t):
     # the given pages have no images, so their anchors stand in
-    return pg.media(t.pages, "image", "a", "href", 8)
+    return pg.media(t.pages, "image", "a", "href")
 
 
 @register("page_excerpts", "P28", f"""

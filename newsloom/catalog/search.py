@@ -114,12 +114,12 @@ def _(t):
 @register("key_takeaways", "T7", None)
 def _(t):
     s = tx.sentences(F.col("summary"))
-    return t.ok_items.select("id", F.array_join(se.takeaways(F.col("title"), F.slice(s, 1, 24), F.array("title")), "|").alias("takeaways"))
+    return t.ok_items.select("id", F.array_join(se.takeaways(F.col("title"), s, F.array("title")), "|").alias("takeaways"))
 
 
 @register("evidence_groups", "T5", None)
 def _(t):
-    rows = t.ok_items.select("id", F.slice(tx.sentences(F.col("summary")), 1, 12).alias("evidence"), se.concepts(F.col("summary"), se.concept_patterns(HEADS)).alias("concepts"))
+    rows = t.ok_items.select("id", tx.sentences(F.col("summary")).alias("evidence"), se.concepts(F.col("summary"), se.concept_patterns(HEADS)).alias("concepts"))
     grouped = rows.select("id", F.posexplode(se.assign_evidence(F.col("concepts"), F.col("evidence"))).alias("group_no", "g"))
     return grouped.select("id", "group_no", "g.concept", F.size("g.sentences").alias("n_sentences"))
 
@@ -145,15 +145,9 @@ def _(t):
     return se.related_nodes(*search_frames(t)).select("query_id", "id", "type", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-KNOWN_TYPES = ("Entity", "Claim", "Topic", "SourceDocument")
-KNOWN_SEARCH = [*GRAPH, SEARCH[-1].replace("FROM nodes)", f"FROM nodes WHERE type IN {KNOWN_TYPES})")]
-
-
-@register("related_context", "T10", q.with_(KNOWN_SEARCH, """
+@register("related_context", "T10", q.with_(SEARCH, """
 SELECT query_id, section, id, rank, score FROM (
   SELECT query_id, section, id, score, row_number() OVER (PARTITION BY query_id, section ORDER BY rank) AS rank FROM (
     SELECT *, lower(type) AS section FROM found WHERE type IN ('Entity', 'Claim', 'Topic') UNION ALL SELECT *, 'temporal' FROM found WHERE node_at IS NOT NULL)) WHERE rank <= 8"""))
 def _(t):
-    asked, nodes = search_frames(t)
-    found = se.related_nodes(asked, nodes.filter(F.col("type").isin(*KNOWN_TYPES)))
-    return se.related_context(found).withColumn("rank", F.col("rank").cast("bigint"))
+    return se.related_context(se.related_nodes(*search_frames(t))).withColumn("rank", F.col("rank").cast("bigint"))

@@ -45,11 +45,13 @@ def body_text(html: Column) -> Column:
     return F.coalesce(inside("main"), inside("article"), inside("body"), visible_text(clean))
 
 
-def text_spans(html: Column, limit: int = 24) -> Column:
-    """First paragraphs, else the whole body text when long enough."""
+def text_spans(html: Column, limit: int | None = None) -> Column:
+    """Paragraphs (the first ``limit``), else the whole body text when long
+    enough."""
     spans = paragraphs(html)
     whole = F.filter(F.array(body_text(html)), lambda t: F.length(t) >= 24)
-    return F.slice(F.when(F.size(spans) > 0, spans).otherwise(whole), 1, limit)
+    found = F.when(F.size(spans) > 0, spans).otherwise(whole)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def meta_content(html: Column, attribute: str, name: str) -> Column:

@@ -11,13 +11,6 @@ from newsloom.operators.ledger import first_per_key
 from newsloom.operators.rollups import with_previous
 from newsloom.session import stage
 
-MAX_ROUNDS = 200
-
-
-class RoundLimit(RuntimeError):
-    """An iterative job did not settle; its result would be incomplete."""
-
-
 def _size(df: DataFrame) -> int:
     """Row count of a staged table (read from file footers)."""
     return df.count()
@@ -42,7 +35,7 @@ def greedy_two_keys(rows: DataFrame, order: str, first: str, second: str, plain_
     open_rows = keyed.filter(F.col("_u").isNotNull() | F.col("_t").isNotNull()).groupBy("_u", "_t").agg(F.min("_o").alias("_o"))
     open_rows = stage(open_rows, "two-key-open")
     kept = free
-    for _ in range(MAX_ROUNDS):
+    while True:
         total = _size(open_rows)
         if total == 0:
             return rows.join(kept.withColumnRenamed("_o", order), order, "left_semi")
@@ -58,7 +51,6 @@ def greedy_two_keys(rows: DataFrame, order: str, first: str, second: str, plain_
         rest = skew.without(rest, chosen.filter("_t is not null"), "_t", total, plain_rows)
         # rows with one null key were kept above or lost to their other key
         open_rows = stage(rest.join(chosen.select("_o"), "_o", "left_anti"), "two-key-open")
-    raise RoundLimit(f"two-key dedup still open after {MAX_ROUNDS} rounds")
 
 
 def dedupe_citations_like(items: DataFrame, order: str, url: str, text: Column, scope: Column | None = None) -> DataFrame:
@@ -129,7 +121,7 @@ def greedy_over_pairs(pairs: DataFrame, plain_rows: int = skew.PLAIN_ROWS) -> Da
     kept id", from pairs ``lo < hi``."""
     open_pairs = stage(pairs.select("lo", "hi"), "near-open")
     dropped = open_pairs.select(F.col("hi").alias("id")).limit(0)
-    for _ in range(MAX_ROUNDS):
+    while True:
         total = _size(open_pairs)
         if total == 0:
             return dropped
@@ -143,7 +135,6 @@ def greedy_over_pairs(pairs: DataFrame, plain_rows: int = skew.PLAIN_ROWS) -> Da
         rest = skew.without(rest, lost.withColumnRenamed("id", "lo"), "lo", total, plain_rows)
         rest = skew.without(rest, lost.withColumnRenamed("id", "hi"), "hi", total, plain_rows)
         open_pairs = stage(rest, "near-open")
-    raise RoundLimit(f"near-duplicate rounds still open after {MAX_ROUNDS}")
 
 
 def near_duplicates(

@@ -21,7 +21,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
-def text_spans(pages: DataFrame, limit: int = 24) -> DataFrame:
+def text_spans(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Ordered text spans with hashed ids; cut before the explode."""
     spans = pages.select("page_id", "url", F.posexplode(hx.text_spans(F.col("html"), limit)).alias("pos", "text"))
     number = (F.col("pos") + 1).cast("string")
@@ -33,12 +33,12 @@ def text_spans(pages: DataFrame, limit: int = 24) -> DataFrame:
     )
 
 
-def media(pages: DataFrame, kind: str, tag: str, attribute: str, limit: int) -> DataFrame:
+def media(pages: DataFrame, kind: str, tag: str, attribute: str, limit: int | None = None) -> DataFrame:
     """The page's card media and its tagged media, resolved and numbered."""
     html = F.col("html")
     card = F.filter(F.array(hx.meta_content(html, "property", f"og:{kind}")), lambda x: x.isNotNull())
     found = F.filter(F.concat(card, hx.attribute_values(html, tag, attribute)), lambda x: x != "")
-    rows = pages.select("page_id", "url", F.posexplode(F.slice(found, 1, limit)).alias("pos", "src"))
+    rows = pages.select("page_id", "url", F.posexplode(found if limit is None else F.slice(found, 1, limit)).alias("pos", "src"))
     return rows.select(
         "page_id", (F.col("pos") + 1).cast("bigint").alias("media_no"),
         F.concat(F.lit(f"{kind}:"), tx.stable_hash(F.concat("url", F.lit(f":{kind}:"), "src"), 20)).alias("media_id"),

@@ -42,12 +42,13 @@ def stage_pending(failures: DataFrame, stage: str) -> DataFrame:
     )
 
 
-def attempts(ledger: DataFrame, key: str = "id", bucket: str = "day", order: str = "seq") -> DataFrame:
+def attempts(ledger: DataFrame, key: str = "id", bucket: str = "block", order: str = "seq") -> DataFrame:
     """Attempt number of every failure: its place in the current run of
     failures of its id. Any other record ends the run.
 
-    Prefix counts are taken inside (id, day) and carried across days, so
-    an id with a third of all records is still many small windows.
+    Prefix counts are taken inside (id, block of records) and carried
+    across blocks, so an id with a third of all records, or of a day's, is
+    still many small windows.
     """
     failing = F.col("status") == "revisit_pending"
     inside = Window.partitionBy(key, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -56,7 +57,7 @@ def attempts(ledger: DataFrame, key: str = "id", bucket: str = "day", order: str
     earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         counted.groupBy(key, bucket)
-        # failures, and failures up to the last ending record, of each day
+        # failures, and failures up to the last ending record, of each block
         .agg(F.sum(failing.cast("bigint")).alias("_t"), F.max("_m").alias("_r"))
     )
     carried = carried.withColumn("_off", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
@@ -91,7 +92,7 @@ def resolve(queue: DataFrame, probes: DataFrame, scraper_key: bool = False) -> D
     return joined.withColumn("resolver_status", outcome)
 
 
-def transitions(ledger: DataFrame, bucket: str = "day") -> DataFrame:
+def transitions(ledger: DataFrame, bucket: str = "block") -> DataFrame:
     """Every record with the state before it and whether the step is one
     the pipeline makes."""
     stepped = bucketed_previous(ledger, "id", bucket, "seq", "status", "previous")

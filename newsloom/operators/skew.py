@@ -23,14 +23,18 @@ def lookup(left: DataFrame, right: DataFrame, key: str, total: int, plain_rows:
     broadcast of the few right rows they need and are never shuffled by
     their key; the rest is an ordinary join.
     """
-    if total < plain_rows:
+    if plain_rows and total < plain_rows:
         return left.join(right, key, "left")
+    # null keys find nothing; in the join they would all go to one partition
+    nulls = left.filter(F.col(key).isNull())
+    left = left.filter(F.col(key).isNotNull())
     hot = hot_keys(left, key, total).select(key).join(right, key, "left").withColumn("_hot", F.lit(True))
     routed = left.join(F.broadcast(hot.select(key, "_hot", *[F.col(c).alias(f"_h_{c}") for c in right.columns if c != key])), key, "left")
     extra = [c for c in right.columns if c != key]
     served = routed.filter("_hot").select(*left.columns, *[F.col(f"_h_{c}").alias(c) for c in extra])
     cold = routed.filter(F.col("_hot").isNull()).select(*left.columns).join(right, key, "left").select(*left.columns, *extra)
-    return served.unionByName(cold)
+    lost = nulls.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra])
+    return served.unionByName(cold).unionByName(lost)
 
 
 def without(left: DataFrame, keys: DataFrame, key: str, total: int, plain_rows: int = PLAIN_ROWS) -> DataFrame:

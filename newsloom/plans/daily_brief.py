@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import rules
@@ -13,10 +12,6 @@ from newsloom.operators import dedup as dd, quality as ql, search as se, skew
 from newsloom.operators.ledger import top_per_key
 from newsloom.session import stage
 
-DAY_LEDGER_CAP = 240  # the daily ledger holds the newest 240 items of a day
-MAX_ROUNDS = 100
-
-
 def merged_terms(rows: DataFrame, group: str, order: str, terms: str, limit: int) -> DataFrame:
     """First-seen distinct terms of each group, at most ``limit``. First
     places are partial aggregates; only the cut lists are gathered."""
@@ -70,7 +65,7 @@ def components(links: DataFrame, plain_rows: int = skew.PLAIN_ROWS) -> DataFrame
     both = stage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
     total = both.count()
     labels = stage(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
+    while True:
         around = skew.lookup(both, labels.select(F.col("src").alias("dst"), F.col("label").alias("near")), "dst", total, plain_rows)
         best = labels.join(around.groupBy("src").agg(F.min("near").alias("near")), "src").select("src", "label", F.least("label", "near").alias("next"))
         jumped = skew.lookup(best, labels.select(F.col("src").alias("next"), F.col("label").alias("far")), "next", total, plain_rows)
@@ -79,7 +74,6 @@ def components(links: DataFrame, plain_rows: int = skew.PLAIN_ROWS) -> DataFrame
         labels = jumped.select("src", "label")
         if done:
             return labels.select(F.col("src").alias("item"), F.col("label").alias("cluster"))
-    raise dd.RoundLimit(f"components still moving after {MAX_ROUNDS} rounds")
 
 
 def story_clusters(daily: DataFrame) -> DataFrame:
@@ -88,52 +82,12 @@ def story_clusters(daily: DataFrame) -> DataFrame:
     return daily.select("id").join(found.withColumnRenamed("item", "id"), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
-def greedy_clusters(items: list[dict]) -> list[int]:
-    """First matching cluster in creation order; the cluster's word sets
-    grow. Returns the position of each item's cluster."""
-    clusters: list[dict] = []
-    out = []
-    for item in items:
-        urls, words, names = set(item["urls"]), list(item["keywords"]), list(item["entities"])
-        for place, c in enumerate(clusters):
-            shared = sum(w in c["keywords"] for w in words)
-            if urls & c["urls"] or (shared > 0 and any(n in c["entities"] for n in names)) or shared >= 4:
-                c["urls"] |= urls
-                c["keywords"].update(words)
-                c["entities"].update(names)
-                out.append(place)
-                break
-        else:
-            clusters.append({"urls": urls, "keywords": set(words), "entities": set(names)})
-            out.append(len(clusters) - 1)
-    return out
-
-
-def parity_clusters(daily: DataFrame, cap: int = DAY_LEDGER_CAP) -> DataFrame:
-    """(id, cluster) by the sequential rule, one day per group.
-
-    The rule is order-dependent, so a day is one task; the daily ledger's
-    cap bounds it. A larger day is an error, never a cut.
-    """
-    def one_day(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > cap:
-            raise ValueError(f"a day has {len(pdf)} items; its ledger holds {cap}")
-        pdf = pdf.sort_values("id")
-        places = greedy_clusters(pdf[["urls", "keywords", "entities"]].to_dict("records"))
-        first: dict[int, int] = {}
-        for ident, place in zip(pdf["id"], places):
-            first.setdefault(place, ident)
-        return pd.DataFrame({"id": pdf["id"], "cluster": [first[p] for p in places]})
-
-    keyed = daily.select("day", "id", F.array(ux.canonical_key(F.col("url"))).alias("urls"), "keywords", "entities")
-    return keyed.groupBy("day").applyInPandas(one_day, "id bigint, cluster bigint")
-
-
 def cluster_summaries(daily: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row per story: lead, title, slug, tags and counts."""
     joined = daily.join(clusters, "id")
-    lead = F.max_by(F.struct("title", "url"), F.struct("day", -F.col("id")))
-    base = joined.groupBy("cluster").agg(F.count("*").alias("source_count"), F.max("day").alias("day"), lead.alias("lead"))
+    latest = F.col("published_at" if "published_at" in daily.columns else "day").cast("timestamp")
+    lead = F.max_by(F.struct("title", "url"), F.struct(latest, -F.col("id")))
+    base = joined.groupBy("cluster").agg(F.count("*").alias("source_count"), F.max("day").alias("day"), F.max(latest).alias("latest"), lead.alias("lead"))
     entities = merged_terms(joined, "cluster", "id", "entities", 6).withColumnRenamed("terms", "entities")
     keywords = merged_terms(joined, "cluster", "id", "keywords", 12).withColumnRenamed("terms", "keywords")
     none = F.array().cast("array<string>")
@@ -144,34 +98,29 @@ def cluster_summaries(daily: DataFrame, clusters: DataFrame) -> DataFrame:
     title = F.when(entity.isNotNull() & (F.size(topic) > 0), F.concat(entity, F.lit(" "), F.array_join(F.transform(topic, tx.title_case), " "), F.lit(" Update"))).otherwise(
         tx.ellipsis(tx.strip_noise(F.col("lead.title")), 92))
     tags = F.slice(F.array_distinct(F.concat("entities", "keywords")), 1, 6)
-    rows = rows.select("cluster", "day", "source_count", title.alias("title"), tags.alias("tags"), F.col("lead.url").alias("lead_url"))
+    rows = rows.select("cluster", "day", "latest", "source_count", title.alias("title"), tags.alias("tags"), F.col("lead.url").alias("lead_url"))
     slug = F.concat(F.col("day").cast("string"), F.lit("-"), tx.slug(F.col("title")))
     return rows.withColumn("slug", slug).withColumn("href", F.concat(F.lit("/daily/"), F.col("day").cast("string"), F.lit("/"), "slug", F.lit("/")))
 
 
 def rank_briefs(summaries: DataFrame, per_day: int = 12) -> DataFrame:
-    return top_per_key(summaries, ["day"], [F.desc("source_count"), "cluster"], per_day)
+    """The day's stories by sources, then by their latest item, then by id."""
+    return top_per_key(summaries, ["day"], [F.desc("source_count"), F.desc("latest"), "cluster"], per_day)
 
 
-def day_ledger(items: DataFrame, cap: int = DAY_LEDGER_CAP) -> DataFrame:
-    return top_per_key(items, ["day"], ["id"], cap, "_r").drop("_r")
-
-
-def selected_items(items: DataFrame, terms: Sequence[str], dictionary, cap: int | None = DAY_LEDGER_CAP) -> DataFrame:
-    """Day ledger, enrichment, relevance filter, then greedy dedup per day."""
-    base = items if cap is None else day_ledger(items, cap)
+def selected_items(items: DataFrame, terms: Sequence[str], dictionary) -> DataFrame:
+    """Enrichment of all items, relevance filter, then greedy dedup per day."""
     # staged before the term filter: pushed below the enrichment it would
     # evaluate the whole enrichment once per term
-    enriched = stage(se.daily_items(base, dictionary), "daily")
+    enriched = stage(se.daily_items(items, dictionary), "daily")
     ready = se.relevant(enriched.filter((F.col("url") != "") & (F.col("title") != "")), terms)
     return dd.dedupe_citations_like(ready, "id", "url", F.concat_ws(" ", "title", "summary", "source_text"), scope=F.col("day"))
 
 
-def daily_briefs(items: DataFrame, terms=tuple(rules.RELEVANCE_TERMS), dictionary=tuple(rules.KNOWN_ENTITIES), per_day: int = 12, parity: bool = True) -> DataFrame:
-    """Ranked stories of every day. ``parity`` clusters sequentially over
-    the capped day ledger; otherwise components over all items."""
-    daily = stage(selected_items(items, terms, dictionary, DAY_LEDGER_CAP if parity else None), "selected")
-    clusters = stage(parity_clusters(daily) if parity else story_clusters(daily), "clusters")
+def daily_briefs(items: DataFrame, terms=tuple(rules.RELEVANCE_TERMS), dictionary=tuple(rules.KNOWN_ENTITIES), per_day: int = 12) -> DataFrame:
+    """Ranked stories of every day, from all its items."""
+    daily = stage(selected_items(items, terms, dictionary), "selected")
+    clusters = stage(story_clusters(daily), "clusters")
     return rank_briefs(cluster_summaries(daily, clusters), per_day)
 
 
@@ -199,12 +148,18 @@ def sections(stories: DataFrame, daily: DataFrame, clusters: DataFrame, signal_t
     sents = stage(se.group_texts(members, "cluster", "id", "text"), "story-sentences")
     ranked = se.rank_evidence(sents, "cluster", "sentence_no", 12, signal_terms)
     evidence = ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda s: s.sentence).alias("evidence"))
-    rows = stories.select("cluster", "day", "title").join(evidence, "cluster")
+    # a story without usable sentences falls back to the first sentences of its items' summaries
+    spare = top_per_key(members.withColumn("_first", tx.summarize(F.col("summary"), 2)).filter(F.col("_first") != ""), ["cluster"], ["id"], 12)
+    spare = spare.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "_first"))), lambda s: s["_first"]).alias("spare"))
+    rows = stories.select("cluster", "day", "title").join(evidence, "cluster", "left").join(spare, "cluster", "left")
+    rows = rows.withColumn("evidence", F.coalesce("evidence", "spare", F.array("title"))).drop("spare")
     rows = stage(rows.withColumn("all_text", tx.strip_noise(F.concat("title", F.lit(". "), F.array_join("evidence", " ")))), "story-evidence")
     rows = rows.withColumn("concepts", se.concepts(F.col("all_text"), patterns))
     rows = rows.withColumn("groups", se.assign_evidence(F.col("concepts"), F.col("evidence")))
     flat = F.flatten(F.transform(F.col("groups"), lambda g, i: F.transform(g.sentences, lambda s: F.struct(i.alias("group"), tx.spoken_fillers(s).alias("text")))))
     rows = rows.withColumn("kept", _keep_new(flat, F.array("title")))
+    # where every paragraph only repeats the title, the title's own paragraph stays
+    rows = rows.withColumn("kept", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.slice(_keep_new(flat, F.array().cast("array<string>")), 1, 1)))
     built = F.transform(F.col("groups"), lambda g, i: F.struct(
         g.concept.alias("concept"), F.transform(F.filter(F.col("kept"), lambda k: k["group"] == i), lambda k: k["text"]).alias("paragraphs")))
     found = rows.select("cluster", "day", "title", F.posexplode(F.filter(built, lambda s: F.size(s.paragraphs) > 0)).alias("section_no", "s"))
@@ -223,7 +178,7 @@ def publishable(items: DataFrame, terms, dictionary, per_day: int = 4, multiplie
     gated = tx.with_usable(items.withColumn("_head", tx.clean_title(F.col("title"))), "summary", "_head", "_usable")
     usable = stage(gated.drop("_head"), "gated").filter("_usable").drop("_usable")
     daily = stage(selected_items(usable, terms, dictionary), "selected")
-    clusters = stage(parity_clusters(daily), "clusters")
+    clusters = stage(story_clusters(daily), "clusters")
     stories = stage(rank_briefs(cluster_summaries(daily, clusters), per_day * multiplier), "stories")
     parts = sections(stories, daily, clusters, signal_terms, patterns)
     body = parts.groupBy("cluster").agg(
@@ -232,7 +187,9 @@ def publishable(items: DataFrame, terms, dictionary, per_day: int = 4, multiplie
     # titles and evidence of the cited sources, at most twelve per story
     cited = top_per_key(daily.join(clusters, "id").join(stories.select("cluster"), "cluster"), ["cluster"], ["id"], 12).groupBy("cluster").agg(
         F.collect_list("title").alias("source_titles"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "source_text"))), lambda s: s.source_text), " ").alias("source_evidence"))
-    briefs = stories.join(body, "cluster").join(cited, "cluster")
+    none = F.array().cast("array<string>")
+    briefs = stories.join(body, "cluster", "left").join(cited, "cluster", "left").withColumns({
+        **{c: F.coalesce(c, none) for c in ("paragraphs", "headings", "source_titles")}, "source_evidence": F.coalesce("source_evidence", F.lit(""))})
     briefs = briefs.withColumn("text", F.concat_ws("\n", F.array_join("headings", "\n"), F.array_join("paragraphs", "\n"))).withColumnRenamed("cluster", "output_id")
     verdicts = ql.stack(briefs, ql.brief_checks(detail_terms)).groupBy("output_id").agg(F.count_if(~F.col("passed")).alias("failed_rules"), F.every("passed").alias("passed"))
     return ql.publish_quota(stories.withColumnRenamed("cluster", "output_id").join(verdicts, "output_id"), per_day)

@@ -29,7 +29,11 @@ SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Runtime options the jobs rely on; rules the caller excluded stay excluded."""
     for key, value in RUNTIME_CONF.items():
+        if key == "spark.sql.optimizer.excludedRules":
+            kept = [r for r in (spark.conf.get(key, "") or "").split(",") if r.strip()]
+            value = ",".join(dict.fromkeys([*kept, value]))
         spark.conf.set(key, value)
     return spark
 
@@ -44,24 +48,19 @@ def local_session(cores: int = 8, memory: str = "20g", partitions: int = 8) -> S
         .config("spark.sql.session.timeZone", "UTC")
     )
     spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):  # a core setting: it cannot be added to a running session
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: the cluster's spark.checkpoint.dir.
-
-    A temporary folder stands in only on a local master, where driver and
-    executors are one machine.
-    """
+    """Folder for staged tables: the cluster's spark.checkpoint.dir."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not path:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share before running these jobs")
+    return path.rstrip("/")
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:

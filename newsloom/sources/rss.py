@@ -16,9 +16,10 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RSS_ITEM).option("rowTag", "item").options(**_OPTIONS).format("xml").load(path)
 
 
-def items_of_xml(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
+def items_of_xml(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """Raw items of an XML text column, the first ``limit`` per text."""
-    blocks = F.slice(F.regexp_extract_all(F.col(column), F.lit(r"(?is)<item\b.*?</item>"), F.lit(0)), 1, limit)
+    blocks = F.regexp_extract_all(F.col(column), F.lit(r"(?is)<item\b.*?</item>"), F.lit(0))
+    blocks = blocks if limit is None else F.slice(blocks, 1, limit)
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.posexplode(blocks).alias("item_pos", "_xml")).select(
         *rest, F.col("item_pos").cast("bigint").alias("item_pos"), F.from_xml("_xml", schemas.RSS_ITEM, _OPTIONS).alias("_i")

@@ -28,8 +28,8 @@ def append_ledger(df: DataFrame, path: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Append-only ledger; order lives in the ``seq`` column, never in file
-    positions. Lines that do not parse are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    positions. A line that does not parse is an error: nothing is lost silently."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def write_raw(df: DataFrame, path: str, source: str = "source_id") -> None:

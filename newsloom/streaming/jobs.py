@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from newsloom.session import new_stage_path
 
@@ -43,9 +43,21 @@ def per_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoin
     return finish(stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark, over the recent batches."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Rows dropped behind the watermark, summed over all batches of all
+    queries while it is added to ``spark.streams``."""
+
+    def __init__(self) -> None:
+        self.dropped = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def _updates(path: str) -> Callable[[DataFrame, int], None]:
@@ -95,33 +107,41 @@ def with_known(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def upsert_day_index(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Day counts kept by batch: each batch writes the next version of the
-    index from the one before it, so a replayed batch is harmless."""
+    """Day counts as one delta per batch id, added up on reading. Nothing is
+    kept in the process: a replayed batch replaces its delta, a restarted
+    stream goes on from the stored ones."""
     spark = stream.sparkSession
     schema = "day string, n bigint"
-    versions: list[int] = []
 
-    def merge(df: DataFrame, batch: int) -> None:
+    def count(df: DataFrame, batch: int) -> None:
         fresh = df.groupBy(F.to_date("observed_at").cast("string").alias("day")).agg(F.count("*").alias("n"))
-        earlier = [v for v in versions if v < batch]
-        if earlier:
-            stored = df.sparkSession.read.schema(schema).parquet(f"{path}/version={earlier[-1]}")
-            fresh = stored.unionByName(fresh).groupBy("day").agg(F.sum("n").alias("n"))
-        fresh.write.mode("overwrite").parquet(f"{path}/version={batch}")
-        if batch not in versions:
-            versions.append(batch)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    per_batch(stream, merge, checkpoint)
-    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}")
+    _first_delta(spark, schema, path)
+    per_batch(stream, count, checkpoint)
+    return spark.read.schema(schema).parquet(path).groupBy("day").agg(F.sum("n").alias("n"))
+
+
+def _first_delta(spark: SparkSession, schema: str, path: str) -> None:
+    """An empty delta, so an index without batches can be read."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
 
 def merge_graph_batches(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Node versions merged per batch; reading merges the batches by
-    latest non-null attribute."""
-    from newsloom.operators.graph import merge_nodes
+    """Node versions merged per batch. Every attribute keeps the order of
+    the version that set it, so a late version never overrides a newer
+    value, in its own batch or across batches."""
+    attributes = [c for c in stream.columns if c not in ("id", "seq")]
+    schema = stream.select("id", *[F.struct(F.col(c).alias("value"), F.col("seq").alias("seq")).alias(c) for c in attributes]).schema
 
-    per_batch(stream, lambda df, b: merge_nodes(df, "seq").join(df.groupBy("id").agg(F.max("seq").alias("seq")), "id").write.mode("overwrite").parquet(f"{path}/batch={b}"), checkpoint)
-    return merge_nodes(stream.sparkSession.read.parquet(path).drop("batch"), "seq")
+    def merge(df: DataFrame, batch: int) -> None:
+        newest = [F.max_by(F.struct(F.col(c).alias("value"), F.col("seq").alias("seq")), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in attributes]
+        df.groupBy("id").agg(*newest).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    _first_delta(stream.sparkSession, schema, path)
+    per_batch(stream, merge, checkpoint)
+    stored = stream.sparkSession.read.schema(schema).parquet(path)
+    return stored.groupBy("id").agg(*[F.max_by(F.col(c)["value"], F.when(F.col(c)["value"].isNotNull(), F.col(c)["seq"])).alias(c) for c in attributes])
 
 
 def paths(spark: SparkSession, name: str) -> tuple[str, str]:
