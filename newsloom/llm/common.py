@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.session import new_stage_path, stage
 
-__all__ = ["read_table", "shared_fs", "stage", "new_stage_path", "bounded", "spread_lookup", "text_or_empty", "write_file"]
+__all__ = ["blocks", "read_table", "shared_fs", "stage", "new_stage_path", "bounded", "spread_lookup", "text_or_empty", "write_file"]
 
 # A side is broadcast only if its counted rows stay within this.
 BROADCAST_ROWS = 1_000_000
 # Rows of one key are dealt over this many join partitions once the key is hot.
 SALTS = 256
+# Bytes of texts that a Python worker handles at once.
+BLOCK_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +76,17 @@ def write_file(uri: str, name: str, data: bytes, attempt: str) -> None:
     with store.open_output_stream(temporary) as out:
         out.write(data)
     store.move(temporary, posixpath.join(folder, name))
+
+
+def blocks(batch: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a batch with about BLOCK_BYTES of text each; every text is whole.
+
+    A function may give its results slice by slice, so memory follows the
+    slice (or the longest text), not the batch.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(batch):
+        end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BLOCK_BYTES)) + 1
+        yield batch.slice(start, min(end, len(batch)) - start)
+        start = end

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import stage
+from newsloom.llm.common import blocks, stage
 from newsloom.llm.pieces import MODEL_PATH, by_length, pieces
 
 UNKNOWN = "und"
@@ -187,32 +187,53 @@ def predict_column(model, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        current = model.value
-        place: dict[str, int] = {}
-        table = np.zeros((0, len(current.languages)))
+        scorer = Scorer(model.value)
         for batch in batches:
-            langs, scores = [], []
-            for scalar in batch:
-                text = scalar.as_py()
-                found = words_of(text) if text else []
-                if not found or not current.languages:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                if len(place) > CACHE_WORDS:
-                    place, table = {}, table[:0]
-                if new := list(set(found).difference(place)):
-                    table = _grown(table, len(place), score_words(current, new))
-                    place.update(zip(new, range(len(place), len(place) + len(new))))
-                total = table[np.fromiter(map(place.__getitem__, found), np.int64, len(found))].sum(axis=0)
-                best = int(total.argmax())
-                langs.append(current.languages[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+            for block in blocks(batch):
+                langs, scores = scorer.predict(block.to_pylist())
+                yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return predict(text)
 
 
+class Scorer:
+    """Predicts lists of texts; new words of a list are scored together, and a bounded number is remembered."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((0, len(model.languages)))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        words: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                found = words_of(text)
+                counts[i] = len(found)
+                words += found
+        if not self.model.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if len(self.place) > CACHE_WORDS:
+            self.place, self.table = {}, self.table[:0]
+        if new := list(set(words).difference(self.place)):
+            self.table = _grown(self.table, len(self.place), score_words(self.model, new))
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        langs, scores, start = [], [], 0
+        for n in counts.tolist():
+            if not n:
+                langs.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            total = self.table[at[start:start + n]].sum(axis=0)
+            start += n
+            best = int(total.argmax())
+            langs.append(self.model.languages[best])
+            scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+        return langs, scores
+
+
 def _grown(table: np.ndarray, used: int, rows: np.ndarray) -> np.ndarray:
     """``table`` with ``rows`` after its first ``used`` rows; room doubles, so copies stay few."""
     if used + len(rows) > len(table):

@@ -19,11 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsloom.llm.common import blocks
 from newsloom.llm.pieces import MODEL_PATH, Pieces, by_length, pieces
 
 UNKNOWN_PENALTY = 10.0  # below the least likely piece, for each character that is no piece
 CACHE_UNITS = 300_000  # encoded units a worker remembers
-BLOCK_BYTES = 1_000_000  # of texts handled at once
 
 
 def log_probabilities(vocabulary: Pieces) -> np.ndarray:
@@ -129,20 +129,6 @@ class Encoder:
         return ids, ends[edges[1:]] - ends[edges[:-1]]
 
 
-def blocks(batch: pa.Array) -> Iterator[pa.Array]:
-    """Slices of a batch with about BLOCK_BYTES of text each; every text is whole.
-
-    A function may give its results slice by slice, so memory follows the
-    slice (or the longest text), not the batch.
-    """
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(batch):
-        end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BLOCK_BYTES)) + 1
-        yield batch.slice(start, min(end, len(batch)) - start)
-        start = end
-
-
 def encode_array(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
     ids, counts = encoder.encode(texts.to_pylist())
     missing = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
