@@ -77,7 +77,7 @@ def _(t):
 @register("rubric_scores", "A7 Q12", q.with_([q.ITEMS, OUT, RULES, WEIGHTS, SCORED], """
 SELECT output_id, round(raw, 4) AS score, CASE WHEN round(raw, 9) >= 0.86 AND required_failures = 0 THEN 'pass' ELSE 'fail' END AS verdict, required_failures, failures FROM scored"""))
 def _(t):
-    return ql.score(rule_rows(t), ql.rubric(t.spark))
+    return ql.scored_outputs(outputs(t), article_voice=ARTICLE, wiki_voice=WIKI)
 
 
 @register("combined_evaluators", "A8 E1 E2", q.with_([q.ITEMS], f"""
@@ -135,7 +135,7 @@ BRIEF_SQL = "brief_rules AS (" + "\nUNION ALL ".join(
 
 @register("brief_rule_results", "Q13", q.with_([BRIEF_ROWS, BRIEF_SQL], "SELECT output_id, rule, passed FROM brief_rules"))
 def _(t):
-    return ql.stack(briefs(t), ql.brief_checks(CORPUS_TERMS))
+    return ql.brief_results(briefs(t), CORPUS_TERMS)
 
 
 @register("brief_verdicts", "Q14", q.with_([q.ITEMS, OUT, RULES, WEIGHTS, SCORED, BRIEF_ROWS, BRIEF_SQL], """
@@ -143,7 +143,7 @@ SELECT output_id, round(least(mean, round(raw, 4)), 4) AS score,
   CASE WHEN mean >= 0.86 AND round(raw, 9) >= 0.86 AND required_failures = 0 AND p = n THEN 'pass' ELSE 'fail' END AS verdict
 FROM (SELECT *, (p + 11 - failures) / (n + 11) AS mean FROM scored JOIN (SELECT output_id, count(*) AS n, count(*) FILTER (WHERE passed) AS p FROM brief_rules GROUP BY output_id) USING (output_id))"""))
 def _(t):
-    return ql.brief_verdict(ql.stack(briefs(t), ql.brief_checks(CORPUS_TERMS)), ql.score(rule_rows(t), ql.rubric(t.spark)))
+    return ql.brief_verdict(ql.brief_results(briefs(t), CORPUS_TERMS), ql.score(rule_rows(t), ql.rubric(t.spark)))
 
 
 @register("publish_guard", "Q15", """

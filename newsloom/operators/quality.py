@@ -85,6 +85,21 @@ def evaluate(outputs: DataFrame, **voices) -> DataFrame:
     return stack(outputs.withColumn("reader_text", reader_text()), output_checks(**voices))
 
 
+def scored_outputs(outputs: DataFrame, key: str = "output_id", threshold: float = rules.MIN_SCORE, weights: Sequence = tuple(rules.RUBRIC), **voices) -> DataFrame:
+    """Weighted score and verdict per output in one projection: outputs are
+    one row each, so their rules need no explode and no shuffle."""
+    checks = output_checks(**voices)
+    marked = outputs.withColumn("reader_text", reader_text()).select(key, *[F.coalesce(checks[name], F.lit(False)).alias(f"_{i}") for i, (name, _, _) in enumerate(weights)])
+    cell = lambda i: F.col(f"_{i}")
+    won = sum((F.when(cell(i), F.lit(float(w))).otherwise(0.0) for i, (_, w, _) in enumerate(weights)), F.lit(0.0))
+    count = lambda flags: sum((c.cast("bigint") for c in flags), F.lit(0).cast("bigint"))
+    whole = float(sum(w for _, w, _ in weights))
+    rows = marked.select(key, (won / F.lit(whole) if whole else F.lit(1.0)).alias("_share"),
+                         count(~cell(i) for i, (_, _, required) in enumerate(weights) if required).alias("required_failures"), count(~cell(i) for i in range(len(weights))).alias("failures"))
+    passed = (F.round("_share", 9) >= threshold) & (F.col("required_failures") == 0)
+    return rows.select(key, F.round("_share", 4).alias("score"), F.when(passed, "pass").otherwise("fail").alias("verdict"), "required_failures", "failures")
+
+
 def live_links(links: DataFrame, probes: DataFrame, key: str) -> DataFrame:
     """Links whose probe (``url, http_status``) is missing or failed."""
     return links.join(probes, "url", "left").filter(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False))).select(key, "url", "http_status")
@@ -146,13 +161,25 @@ def best_attempts(attempts: DataFrame, key: str, threshold: float = rules.MIN_SC
     return best.withColumn("eval_status", F.when(F.col("passed"), "passed").otherwise("best_effort"))
 
 
+def with_brief_parts(briefs: DataFrame) -> DataFrame:
+    """What several brief rules read, computed once per row."""
+    return briefs.withColumns({
+        "_joined": F.array_join("paragraphs", " "), "_title_words": F.array_distinct(tx.content_words(F.col("title"))),
+        "_source_marks": F.transform(F.col("source_titles"), tx.fingerprint),
+        "_wanted": tx.grounding_terms(F.col("source_evidence")), "_used": tx.grounding_terms(F.col("text"))})
+
+
+def brief_results(briefs: DataFrame, terms: Sequence[str] = tuple(rules.BRIEF_DETAIL_TERMS), key: str = "output_id") -> DataFrame:
+    """(key, rule, passed) of the nine brief rules."""
+    return stack(with_brief_parts(briefs), brief_checks(terms), key)
+
+
 def brief_checks(terms: Sequence[str] = tuple(rules.BRIEF_DETAIL_TERMS)) -> dict[str, Column]:
     """The nine brief rules as columns over briefs with ``title,
     paragraphs, headings, source_titles`` (arrays), ``text,
-    source_evidence``."""
-    paragraphs, joined = F.col("paragraphs"), F.array_join("paragraphs", " ")
-    title_words = F.array_distinct(tx.content_words(F.col("title")))
-    source_marks = F.transform(F.col("source_titles"), tx.fingerprint)
+    source_evidence``, after ``with_brief_parts``."""
+    paragraphs, joined = F.col("paragraphs"), F.col("_joined")
+    title_words, source_marks = F.col("_title_words"), F.col("_source_marks")
 
     def echo(p: Column) -> Column:
         words = tx.content_words(p)
@@ -164,7 +191,7 @@ def brief_checks(terms: Sequence[str] = tuple(rules.BRIEF_DETAIL_TERMS)) -> dict
         )
 
     copied = F.exists(F.transform(F.col("source_titles"), tx.source_headline), lambda h: (F.length(h) > 28) & F.contains(F.lower(joined), F.lower(h)))
-    wanted, used = tx.grounding_terms(F.col("source_evidence")), tx.grounding_terms(F.col("text"))
+    wanted, used = F.col("_wanted"), F.col("_used")
     minimum = F.least(F.lit(4), F.greatest(F.lit(2), F.ceil(F.size(wanted) * 0.2)))
     return {
         "word-count": tx.word_count(joined) >= 120, "section-count": F.size("headings") >= 2,

@@ -191,5 +191,5 @@ def publishable(items: DataFrame, terms, dictionary, per_day: int = 4, multiplie
     briefs = stories.join(body, "cluster", "left").join(cited, "cluster", "left").withColumns({
         **{c: F.coalesce(c, none) for c in ("paragraphs", "headings", "source_titles")}, "source_evidence": F.coalesce("source_evidence", F.lit(""))})
     briefs = briefs.withColumn("text", F.concat_ws("\n", F.array_join("headings", "\n"), F.array_join("paragraphs", "\n"))).withColumnRenamed("cluster", "output_id")
-    verdicts = ql.stack(briefs, ql.brief_checks(detail_terms)).groupBy("output_id").agg(F.count_if(~F.col("passed")).alias("failed_rules"), F.every("passed").alias("passed"))
+    verdicts = ql.brief_results(briefs, detail_terms).groupBy("output_id").agg(F.count_if(~F.col("passed")).alias("failed_rules"), F.every("passed").alias("passed"))
     return ql.publish_quota(stories.withColumnRenamed("cluster", "output_id").join(verdicts, "output_id"), per_day)

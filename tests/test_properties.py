@@ -94,19 +94,121 @@ def test_story_keys_connect_like_pairs(spark):
     assert {r.id: r.cluster for r in br.story_clusters(df).collect()} == {i: find(i) for i in range(25)}
 
 
-def test_parity_clusters_grow_and_guard(spark):
-    rows = [
-        (1, "d", "https://a.example/1", ["alpha", "beta", "gamma", "delta"], []),
-        (2, "d", "https://a.example/2", ["alpha", "beta", "gamma", "delta", "omega"], []),
-        (3, "d", "https://a.example/3", ["omega", "alpha", "beta", "gamma"], []),  # matches through the grown set
-        (4, "d", "https://b.example/4", ["zeta"], ["OpenAI"]),
-        (5, "d", "https://b.example/5", ["zeta"], ["OpenAI"]),
-        (6, "e", "https://a.example/1", ["alpha"], []),
-    ]
-    df = spark.createDataFrame(rows, "id bigint, day string, url string, keywords array<string>, entities array<string>")
-    assert {r.id: r.cluster for r in br.parity_clusters(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
-    with pytest.raises(Exception, match="its ledger holds 2"):
-        br.parity_clusters(df, cap=2).collect()
+def test_large_days_lose_no_item(spark):
+    """A day of over a thousand items: all of them reach a story."""
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    rows = [(i, "2024-01-01" if i < 1300 else "2024-01-02", f"Report zz{i:05d} about {words[i % 6]} systems", f"https://n.example/{i}", "src", [f"tag{i}"], f"A long summary of report zz{i:05d} with the term agents and memory in it.") for i in range(1400)]
+    items = spark.createDataFrame(rows, "id bigint, day string, title string, url string, source_name string, tags array<string>, summary string").withColumn("day", F.to_date("day"))
+    stories = br.daily_briefs(items, ["report"], [("zzz", "Zzz")], per_day=5000)
+    assert {r.day.isoformat(): r.n for r in stories.groupBy("day").agg(F.sum("source_count").alias("n")).collect()} == {"2024-01-01": 1300, "2024-01-02": 100}
+
+
+def test_rank_prefers_later_stories(spark):
+    rows = [(1, "2024-01-01", 2, "2024-01-01 08:00:00"), (2, "2024-01-01", 2, "2024-01-01 09:00:00"), (3, "2024-01-01", 5, "2024-01-01 01:00:00")]
+    df = spark.createDataFrame(rows, "cluster bigint, day string, source_count bigint, latest string")
+    assert [r.cluster for r in br.rank_briefs(df, 3).orderBy("rank").collect()] == [3, 2, 1]
+
+
+def test_long_key_chains_settle(spark):
+    """Rows whose keys alternate settle one link per round; there is no limit of rounds."""
+    rows = [(i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(24)]
+    df = spark.createDataFrame(rows, "o bigint, u string, t string")
+    assert {r.o for r in dd.greedy_two_keys(df, "o", "u", "t").collect()} == set(range(0, 24, 2))
+
+
+def test_hot_id_in_one_day_is_many_blocks(spark):
+    from newsloom.operators import retry as rt
+
+    rng = random.Random(4)
+    rows = [(s, 1 if rng.random() < 0.4 else rng.randrange(2, 60), rng.choice(["revisit_pending", "parsed", "briefed"]), s // 100) for s in range(6000)]
+    df = spark.createDataFrame(rows, "seq bigint, id bigint, status string, block bigint")
+    want, run, last = {}, {}, {}
+    steps = {}
+    for s, i, status, _ in rows:
+        run[i] = run.get(i, 0) + 1 if status == "revisit_pending" else 0
+        if run[i]:
+            want[s] = run[i]
+        steps[s] = last.get(i)
+        last[i] = status
+    assert {r.seq: r.attempt for r in rt.attempts(df).collect()} == want
+    assert {r.seq: r.previous for r in rt.transitions(df).collect()} == steps
+    # no (id, block) window holds more than a twentieth of the hot id's rows
+    hot = sum(i == 1 for _, i, _, _ in rows)
+    assert df.filter("id = 1").groupBy("block").count().agg(F.max("count")).first()[0] <= hot / 20
+
+
+def test_null_keys_are_kept_apart(spark):
+    left = spark.createDataFrame([(1, None), (2, "a"), (3, "b"), (4, None)], "o bigint, k string")
+    right = spark.createDataFrame([("a", 10)], "k string, v bigint")
+    for limit in (0, 100):
+        assert {(r.o, r.v) for r in skew.lookup(left, right, "k", 4, limit).collect()} == {(1, None), (2, 10), (3, None), (4, None)}
+
+
+def test_late_versions_do_not_override(spark):
+    """An old value in a late batch, beside a newer value of another attribute."""
+    from newsloom.session import new_stage_path
+    from newsloom.streaming import jobs as sj
+
+    folder, (out, checkpoint) = new_stage_path(spark, "late"), sj.paths(spark, "late")
+    schema = "id bigint, type string, score double, seq bigint"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        return {r.id: (r.type, r.score) for r in sj.merge_graph_batches(sj.tail(spark, folder, schema), out, checkpoint).collect()}
+
+    assert arrive((1, "new", None, 100)) == {1: ("new", None)}
+    assert arrive((1, "old", None, 10), (1, None, 5.0, 120), (2, "x", 1.0, 1)) == {1: ("new", 5.0), 2: ("x", 1.0)}
+
+
+def test_day_index_goes_on_after_a_restart(spark):
+    from newsloom.session import new_stage_path
+    from newsloom.streaming import jobs as sj
+
+    folder, (out, checkpoint) = new_stage_path(spark, "days"), sj.paths(spark, "days")
+
+    def arrive(*days):
+        spark.createDataFrame([(f"2024-01-{d:02} 10:00:00",) for d in days], "observed_at string").coalesce(1).write.mode("append").parquet(folder)
+        return read()
+
+    def read():
+        return {r.day: r.n for r in sj.upsert_day_index(sj.tail(spark, folder, "observed_at string"), out, checkpoint).collect()}
+
+    assert arrive(1, 2, 2) == {"2024-01-01": 1, "2024-01-02": 2}
+    assert arrive(3, 1) == {"2024-01-01": 2, "2024-01-02": 2, "2024-01-03": 1}
+    assert read() == {"2024-01-01": 2, "2024-01-02": 2, "2024-01-03": 1}  # nothing new
+
+
+def test_late_rows_are_counted(spark):
+    import time
+
+    from newsloom.session import new_stage_path
+    from newsloom.streaming import jobs as sj
+
+    folder, (out, checkpoint) = new_stage_path(spark, "lateness"), sj.paths(spark, "lateness")
+    for hours in ((1, 2), (80,), (81,), (3, 90)):  # late by two batches
+        rows = [(h, f"2024-01-{1 + h // 24:02} {h % 24:02}:00:00") for h in hours]
+        spark.createDataFrame(rows, "seq bigint, at string").select("seq", F.to_timestamp("at").cast("timestamp_ntz").alias("observed_at")).coalesce(1).write.mode("append").parquet(folder)
+    listener = sj.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        stream = sj.tail(spark, folder, "seq bigint, observed_at timestamp_ntz", files_per_batch=1)
+        sj.append_to(sj.local_day_rollup(stream, "UTC", "1 hour"), out, checkpoint)
+        for _ in range(50):
+            if listener.dropped:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.dropped == 1
+
+
+def test_bad_ledger_lines_are_errors(spark, tmp_path):
+    from newsloom.sources import sinks
+
+    (tmp_path / "a.json").write_text('{"id": 1}\n{broken\n')
+    with pytest.raises(Exception):
+        sinks.read_ledger(spark, str(tmp_path), "id bigint").collect()
+
 
 
 @pytest.mark.parametrize("seed", [7, 8])
