@@ -47,6 +47,26 @@ def _(t):
         "id", "title", "summary", F.array_join("keywords", "|").alias("keywords"), F.array_join("entities", "|").alias("entities"))
 
 
+# transcripts from conversations, descriptions and related URLs from pages of the same number
+FULL = f"""spoken AS (SELECT conv_id AS id, string_agg(text, ' ' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id),
+about AS (SELECT page_id AS id, {q.collapse("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS description, url AS related FROM pages),
+full_items AS (SELECT i.*, CASE WHEN coalesce(transcript, '') <> '' THEN {q.summarize(q.strip_noise('transcript'), 5)} ELSE '' END AS t, {q.strip_noise("coalesce(description, '')")} AS d, related
+  FROM ok_items i LEFT JOIN spoken USING (id) LEFT JOIN about USING (id)),
+evident AS (SELECT *, {q.strip_noise(f"concat_ws(' ', CASE WHEN {q.usable('summary', 'title')} THEN summary END, CASE WHEN {q.usable('t', 'title')} THEN t END, CASE WHEN {q.usable('d', 'title')} THEN d END)")} AS evidence FROM full_items)"""
+
+
+@register("daily_items_in_full", "P17", q.with_([q.OK_ITEMS, FULL], f"""
+SELECT id, title, coalesce(nullif(evidence, ''), summary) AS summary, evidence AS source_text, coalesce(related, '') AS related,
+  array_to_string({q.known_entities("title || ' ' || evidence || ' ' || array_to_string(tags, ' ')", CORPUS_ENTITIES)}, '|') AS entities FROM evident"""))
+def _(t):
+    order = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    spoken = t.turns.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("transcript_text"))
+    about = t.pages.select(F.col("page_id").alias("id"), tx.collapse(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("description"), F.array("url").alias("related_urls"))
+    rows = t.ok_items.join(spoken, "id", "left").join(about, "id", "left")
+    return se.daily_items(rows, CORPUS_ENTITIES).select(
+        "id", "title", "summary", "source_text", F.coalesce(F.get("related_urls", F.lit(0)), F.lit("")).alias("related"), F.array_join("entities", "|").alias("entities"))
+
+
 HEADS = ["the", "that", "with"]
 GENERIC = r"\b[a-z0-9]+(?:[- ][a-z0-9]+){1,3} (?:the|that|with)\b"
 

@@ -23,17 +23,39 @@ def relevant(df: DataFrame, terms: Sequence[str] = tuple(rules.RELEVANCE_TERMS))
 
 def daily_items(items: DataFrame, dictionary: Sequence[tuple[str, str]] = tuple(rules.KNOWN_ENTITIES)) -> DataFrame:
     """Items made ready for the brief: clean title, usable evidence text,
-    dictionary entities and twelve keywords."""
+    dictionary entities and twelve keywords.
+
+    Evidence is the usable ones of summary, transcript summary (or, where
+    there is none, five sentences of the transcript text) and description.
+    The last three and ``related_urls`` are optional columns.
+    """
     from newsloom.functions import urls as ux
 
     clean = items.withColumn("title", tx.clean_title(F.col("title"))).withColumn("_s", tx.strip_noise(F.col("summary")))
-    rows = tx.with_usable(clean, "_s", "title", "_ok").withColumn("evidence", F.when(F.col("_ok"), F.col("_s")).otherwise("")).drop("_ok")
+    fields = ["_s"]
+    if "transcript_summary" in items.columns or "transcript_text" in items.columns:
+        none = F.lit(None).cast("string")
+        told = F.col("transcript_summary") if "transcript_summary" in items.columns else none
+        spoken = F.col("transcript_text") if "transcript_text" in items.columns else none
+        brief = F.when(tx.strip_noise(F.coalesce(spoken, F.lit(""))) != "", tx.summarize(tx.strip_noise(spoken), 5))
+        clean = clean.withColumn("_told", F.coalesce(tx.non_empty(tx.strip_noise(told)), brief, F.lit("")))
+        fields.append("_told")
+    if "description" in items.columns:
+        clean = clean.withColumn("_about", tx.strip_noise(F.coalesce("description", F.lit(""))))
+        fields.append("_about")
+    rows = clean
+    for field in fields:
+        rows = tx.with_usable(rows, field, "title", f"_ok{field}")
+    parts = [F.when(F.col(f"_ok{field}"), F.col(field)) for field in fields]
+    evidence = F.coalesce(parts[0], F.lit("")) if len(parts) == 1 else tx.strip_noise(F.concat_ws(" ", *parts))
+    rows = rows.withColumn("evidence", evidence)
+    related = [F.col("related_urls")] if "related_urls" in items.columns else []
     body = F.concat("title", F.lit(" "), "evidence", F.lit(" "), F.array_join("tags", " "))
     keywords = F.slice(F.array_distinct(F.concat(tx.content_words(F.col("title")), F.flatten(F.transform(F.col("tags"), lambda t: tx.content_words(t))))), 1, 12)
     return rows.select(
         "id", "day", "title", "url", "source_name", "tags", F.coalesce(tx.non_empty(F.col("evidence")), "_s").alias("summary"),
         F.when(ux.is_post_url(F.col("url")), "").otherwise(F.col("evidence")).alias("source_text"),
-        tx.known_entities(body, dictionary).alias("entities"), keywords.alias("keywords"),
+        tx.known_entities(body, dictionary).alias("entities"), keywords.alias("keywords"), *related,
     )
 
 

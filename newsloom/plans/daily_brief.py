@@ -35,7 +35,8 @@ def _subsets_of_four(words: Column) -> Column:
 
 def story_keys(daily: DataFrame) -> DataFrame:
     """(item, key) rows such that two items of a day belong together when
-    they share a key: a URL; an entity and a keyword; or four keywords.
+    they share a key: a URL, their own or a related one; an entity and a
+    keyword; or four keywords.
 
     Composite keys turn "shares an entity and a keyword" and "shares four
     keywords" into equality, so no pair of items is ever enumerated.
@@ -43,11 +44,13 @@ def story_keys(daily: DataFrame) -> DataFrame:
     day = F.col("day").cast("string")
     words = F.array_sort(F.col("keywords"))
     key = lambda kind, body: F.concat(day, F.lit(f"|{kind}|"), body)
+    related = F.coalesce("related_urls", F.array().cast("array<string>")) if "related_urls" in daily.columns else F.array().cast("array<string>")
+    urls = F.array_distinct(F.transform(F.concat(F.array("url"), related), ux.canonical_key))
     combos = F.flatten(F.transform(F.col("entities"), lambda e: F.transform(F.col("keywords"), lambda k: F.concat(e, F.lit("\u0001"), k))))
     fours = F.transform(_subsets_of_four(words), lambda s: F.array_join(s, "\u0001"))
     mark = lambda c: F.transform(c, lambda x: F.concat(F.xxhash64(x).cast("string"), F.lit(":"), F.xxhash64(F.lit("b"), x).cast("string")))
     keys = F.concat(
-        F.array(key("u", ux.canonical_key(F.col("url")))),
+        F.transform(F.filter(urls, lambda u: u != ""), lambda u: key("u", u)),
         F.transform(combos, lambda x: key("e", x)), F.transform(mark(fours), lambda x: key("k", x)),
     )
     return daily.select(F.col("id").alias("item"), F.explode(F.array_distinct(keys)).alias("key"))

@@ -269,3 +269,15 @@ def test_takeaways_skip_repeats(spark):
 def test_content_words_are_ascii(spark):
     out = spark.range(1).select(tx.content_words(F.lit("R&D café naïve The NEW agents")).alias("w")).first().w
     assert out == ["caf", "agents"]
+
+
+def test_related_urls_and_transcripts_join_stories(spark):
+    rows = [(1, "First report title", "https://a.example/1", "Words of the first summary, long enough to count as evidence.", ["https://b.example/2"], None, None),
+            (2, "Second other heading", "https://b.example/2", "Something else entirely is told here about nothing shared.", None, "The spoken part names Zorblax twice over, and says so at some length today.", None),
+            (3, "Third lone piece", "https://c.example/3", "A third text that stands alone with its own distinct content.", None, None, "The description mentions Zorblax in a full and usable sentence.")]
+    items = spark.createDataFrame(rows, "id bigint, title string, url string, summary string, related_urls array<string>, transcript_text string, description string").withColumns(
+        {"day": F.to_date(F.lit("2024-01-01")), "source_name": F.lit("s"), "tags": F.array().cast("array<string>")})
+    daily = se.daily_items(items, [("zorblax", "Zorblax")])
+    got = {r.id: (list(r.entities), "Zorblax" in r.source_text) for r in daily.collect()}
+    assert got == {1: ([], False), 2: (["Zorblax"], True), 3: (["Zorblax"], True)}
+    assert {r.id: r.cluster for r in br.story_clusters(daily).collect()} == {1: 1, 2: 1, 3: 3}
