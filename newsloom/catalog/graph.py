@@ -188,7 +188,14 @@ def _(t):
     return communities_of(t).citations.select("seed", F.col("rank").cast("bigint").alias("rank"), "url", "source")
 
 
-@register("topic_packets", "G6", None)
+PARTS = r"""parts AS (
+  SELECT seed, count(*) FILTER (type = 'Claim' AND trim(n.text) <> '') AS claims, count(*) FILTER (type = 'SourceDocument' AND canonical_uri IS NOT NULL) AS sources,
+    count(*) FILTER (type = 'Entity' AND trim(name) <> '') AS entities FROM members m JOIN nodes n ON n.id = m.node GROUP BY seed)"""
+
+
+@register("topic_packets", "G6", recursive(GRAPH + [ADJ, SCORES, WALK, MEMBERS, CITES, PARTS], """
+SELECT seed, n_citations, least(claims, 8) AS n_claims, least(sources, 8) AS n_sources, least(entities, 10) AS n_entities, least(least(claims, 8) + least(sources, 8), 10) AS n_evidence
+FROM parts JOIN (SELECT seed, count(*) AS n_citations FROM ranked WHERE rank <= 10 GROUP BY seed) USING (seed)"""))
 def _(t):
     comm = communities_of(t)
     parts = gr.packet_parts(comm, graph_of(t))
@@ -196,7 +203,7 @@ def _(t):
     out = comm.citations.groupBy("seed").agg(F.count("*").alias("n_citations"))
     for name in ("claims", "sources", "entities", "evidence"):
         out = out.join(count(name), "seed", "left")
-    return out.fillna(0)
+    return out.select("seed", "n_citations", *[F.coalesce(f"n_{name}", F.lit(0)).cast("bigint").alias(f"n_{name}") for name in ("claims", "sources", "entities", "evidence")])
 
 
 @register("packet_claims", "G6", recursive(GRAPH + [ADJ, SCORES, WALK, MEMBERS], r"""

@@ -219,7 +219,15 @@ def _(t):
     return t.items.filter(F.col("summary") != "").select("id", text.alias("text"), F.array_join(F.array_sort(tx.relevance_keywords(F.concat("title", F.lit(" "), "summary"))), "|").alias("relevance"))
 
 
-@register("preview_contract", "Q20", None)
+PREVIEW = {
+    "raw-repost-marker": r"regexp_matches(summary, '\bRT\b')", "flattened-quoted-link": r"regexp_matches(summary, '(?i)Read more here:\s*https?://')",
+    "instruction-language": q.any_match("summary", rules.META_PATTERNS), "repost-author": "kind = 'en' AND source_name IS NULL", "quoted-link": "kind = 'en' AND status <> 'ok'",
+    "body-length": f"trim(summary) <> '' AND {q.word_count('summary')} < 120", "headline-echo": r"trim(summary) <> '' AND regexp_matches(summary, '(?m)^[A-Z][^\n:]{3,90}:\s*[A-Z][^\n]+$')",
+    "detail-terms": f"trim(summary) <> '' AND {q.term_hits('summary', rules.BRIEF_DETAIL_TERMS)} = 0", "source-terms": f"trim(summary) <> '' AND len(list_distinct({q.grounding_terms('summary')})) < 2",
+}
+
+
+@register("preview_contract", "Q20", q.with_([q.ITEMS], "\nUNION ALL ".join(f"SELECT id AS stub_id, '{rule}' AS rule FROM items WHERE {test}" for rule, test in PREVIEW.items())))
 def _(t):
     from newsloom.operators.citations import preview_contract
 

@@ -18,7 +18,7 @@ def _size(df: DataFrame) -> int:
 
 # --- two-key greedy dedup -----------------------------------------------------
 
-def greedy_two_keys(rows: DataFrame, order: str, first: str, second: str, plain_rows: int = skew.PLAIN_ROWS) -> DataFrame:
+def greedy_two_keys(rows: DataFrame, order: str, first: str, second: str, plain_rows: int | None = skew.PLAIN_ROWS) -> DataFrame:
     """Keep a row unless an earlier *kept* row has its first or second key.
 
     Empty keys never match. Equals the sequential greedy loop: a row is
@@ -66,7 +66,7 @@ def dedupe_citations_like(items: DataFrame, order: str, url: str, text: Column,
 # --- near-duplicate texts -------------------------------------------------------
 
 def overlap_pairs(
-    sets: DataFrame, threshold: float = rules.NEAR_DUPLICATE_OVERLAP, plain_rows: int = skew.PLAIN_ROWS
+    sets: DataFrame, threshold: float = rules.NEAR_DUPLICATE_OVERLAP, plain_rows: int | None = skew.PLAIN_ROWS
 ) -> DataFrame:
     """Pairs whose shared words reach ``threshold`` of the smaller set.
 
@@ -116,7 +116,7 @@ def overlap_pairs(
     )
 
 
-def greedy_over_pairs(pairs: DataFrame, plain_rows: int = skew.PLAIN_ROWS) -> DataFrame:
+def greedy_over_pairs(pairs: DataFrame, plain_rows: int | None = skew.PLAIN_ROWS) -> DataFrame:
     """Ids dropped by the sequential rule "drop when similar to an earlier
     kept id", from pairs ``lo < hi``."""
     open_pairs = stage(pairs.select("lo", "hi"), "near-open")
@@ -139,7 +139,7 @@ def greedy_over_pairs(pairs: DataFrame, plain_rows: int = skew.PLAIN_ROWS) -> Da
 
 def near_duplicates(
     rows: DataFrame, order: str, text: str, scope: Column | None = None, fixed: Column | None = None,
-    threshold: float = rules.NEAR_DUPLICATE_OVERLAP, plain_rows: int = skew.PLAIN_ROWS,
+    threshold: float = rules.NEAR_DUPLICATE_OVERLAP, plain_rows: int | None = skew.PLAIN_ROWS,
 ) -> DataFrame:
     """Orders of the rows that repeat an earlier kept row of their scope.
 

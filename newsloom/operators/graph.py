@@ -172,7 +172,7 @@ def touched_buckets(stored: DataFrame, delta: DataFrame, buckets: int = 256) ->
 
 # --- structure -----------------------------------------------------------------------
 
-def adjacency(graph: Graph, plain_rows: int = skew.PLAIN_ROWS) -> DataFrame:
+def adjacency(graph: Graph, plain_rows: int | None = skew.PLAIN_ROWS) -> DataFrame:
     """Both directions of every edge whose two ends are nodes."""
     total = graph.edges.count()
     known = graph.nodes.select("id").distinct()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# below this many rows a key cannot hurt and the plain join is used
-PLAIN_ROWS = 1_000_000
+# rows above which hot keys are routed apart; None leaves skewed joins to
+# adaptive execution, which splits hot partitions at run time
+PLAIN_ROWS: int | None = None
 # a key is hot above 1/HOT_SHARE of the rows, so fewer than HOT_SHARE keys
 # are hot: that bounds what is broadcast
 HOT_SHARE = 1000
@@ -16,14 +17,15 @@ def hot_keys(left: DataFrame, key: str, total: int) -> DataFrame:
     return left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(1, total // HOT_SHARE))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, total: int, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, total: int, plain_rows: int | None = PLAIN_ROWS) -> DataFrame:
     """Left join to ``right``, which has one row per key.
 
-    ``total`` is the row count of ``left``. Rows of hot keys meet a
+    ``total`` is the row count of ``left``. Where hot keys are routed, their
+    rows meet a
     broadcast of the few right rows they need and are never shuffled by
     their key; the rest is an ordinary join.
     """
-    if plain_rows and total < plain_rows:
+    if plain_rows is None or total < plain_rows:
         return left.join(right, key, "left")
     # null keys find nothing; in the join they would all go to one partition
     nulls = left.filter(F.col(key).isNull())
@@ -37,13 +39,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, total: int, plain_rows:
     return served.unionByName(cold).unionByName(lost)
 
 
-def without(left: DataFrame, keys: DataFrame, key: str, total: int, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+def without(left: DataFrame, keys: DataFrame, key: str, total: int, plain_rows: int | None = PLAIN_ROWS) -> DataFrame:
     """Anti-join to distinct ``keys``; nulls of ``key`` stay."""
     marks = keys.select(key).withColumn("_gone", F.lit(True))
     return lookup(left, marks, key, total, plain_rows).filter(F.col("_gone").isNull()).drop("_gone")
 
 
-def only(left: DataFrame, keys: DataFrame, key: str, total: int, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+def only(left: DataFrame, keys: DataFrame, key: str, total: int, plain_rows: int | None = PLAIN_ROWS) -> DataFrame:
     """Semi-join to distinct ``keys``."""
     marks = keys.select(key).withColumn("_kept", F.lit(True))
     return lookup(left, marks, key, total, plain_rows).filter("_kept").drop("_kept")

@@ -56,7 +56,7 @@ def story_keys(daily: DataFrame) -> DataFrame:
     return daily.select(F.col("id").alias("item"), F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def components(links: DataFrame, plain_rows: int = skew.PLAIN_ROWS) -> DataFrame:
+def components(links: DataFrame, plain_rows: int | None = skew.PLAIN_ROWS) -> DataFrame:
     """(item, cluster): connected components of (item, anchor) links by
     their smallest id; items without links are absent.
 
