@@ -131,13 +131,42 @@ def _(t):
     return se.rank_evidence(sents, "source_name", "sentence_no", 12, CORPUS_SIGNALS).select(F.col("source_name").alias("grp"), "sentence", "score")
 
 
-@register("key_takeaways", "T7", None)
+# the sequential picks, one sentence per recursion; four picks end a row
+SETS = f"""shaped AS (SELECT id, title, list_distinct({q.words('title')}) AS tw, {q.sentences('summary')} AS ev FROM ok_items),
+lined AS (SELECT id, tw, s, list_distinct(ws) AS sw, len(ws) AS n, {q.alnum_key('s', 180)} AS fp, no, len(list_filter(ws, lambda w: list_contains(tw, w))) AS said FROM (
+  SELECT id, tw, s, no, {q.words('s')} AS ws FROM (SELECT id, tw, unnest(ev) AS s, unnest(range(1, len(ev) + 1)) AS no FROM shaped))),
+fit AS (SELECT id, s, sw, fp, row_number() OVER (PARTITION BY id ORDER BY no) AS k FROM lined
+  WHERE n > 7 AND said < greatest(5, floor(n * 0.6))
+    AND NOT (least(len(sw), len(tw)) >= {rules.NEAR_DUPLICATE_MIN_WORDS} AND len(list_intersect(sw, tw)) >= least(len(sw), len(tw)) * {rules.NEAR_DUPLICATE_OVERLAP} - 1e-9)),
+picks(id, k, kept, sets, marks) AS (
+  SELECT id, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[][]), CAST([] AS VARCHAR[]) FROM ok_items
+  UNION ALL SELECT p.id, p.k + 1, CASE WHEN again THEN kept ELSE list_append(kept, s) END, CASE WHEN again THEN sets ELSE list_append(sets, sw) END, CASE WHEN again THEN marks ELSE list_append(marks, fp) END
+  FROM (SELECT p.*, f.s, f.sw, f.fp, list_contains(marks, f.fp) OR len(list_filter(sets, lambda x: least(len(x), len(f.sw)) >= {rules.NEAR_DUPLICATE_MIN_WORDS}
+    AND len(list_intersect(x, f.sw)) >= least(len(x), len(f.sw)) * {rules.NEAR_DUPLICATE_OVERLAP} - 1e-9)) > 0 AS again
+    FROM picks p JOIN fit f ON f.id = p.id AND f.k = p.k + 1 WHERE len(p.kept) < 4) p)"""
+
+
+@register("key_takeaways", "T7", q.with_([q.OK_ITEMS, SETS], "SELECT id, array_to_string(arg_max(kept, k), '|') AS takeaways FROM picks GROUP BY id").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(t):
     s = tx.sentences(F.col("summary"))
     return t.ok_items.select("id", F.array_join(se.takeaways(F.col("title"), s, F.array("title")), "|").alias("takeaways"))
 
 
-@register("evidence_groups", "T5", None)
+GROUPS = f"""begun AS (SELECT id, {q.sentences('summary')} AS ev,
+    coalesce((SELECT list(w ORDER BY pos) FROM (SELECT w, min(pos) AS pos FROM (SELECT unnest(c) AS w, unnest(range(len(c))) AS pos) GROUP BY w ORDER BY pos LIMIT 5)), CAST([] AS VARCHAR[])) AS cs
+  FROM (SELECT id, summary, list_concat(list_filter(regexp_extract_all(summary, '{GENERIC}', 0, 'i'), lambda p: length(p) > 3),
+    list_filter([array_to_string(({q.words('summary')})[1:5], ' ')], lambda p: p <> '')) AS c FROM ok_items)),
+grouping(id, k, cs, ev, used, groups) AS (
+  SELECT id, 1, cs, ev, CAST([] AS VARCHAR[]), CAST([] AS STRUCT(concept VARCHAR, n BIGINT)[]) FROM begun
+  UNION ALL SELECT id, k + 1, cs, ev, list_concat(used, hits), CASE WHEN len(hits) = 0 THEN groups ELSE list_append(groups, {{'concept': cs[k], 'n': len(hits)}}) END
+  FROM (SELECT *, (list_filter(ev, lambda s: NOT list_contains(used, s) AND len(list_filter(terms, lambda t: contains(lower(s), t))) > 0))[1:3] AS hits
+    FROM (SELECT *, {q.words('cs[k]')} AS terms FROM grouping WHERE k <= len(cs)))),
+ended AS (SELECT id, groups, len(list_filter(ev, lambda s: NOT list_contains(used, s))) AS spare FROM grouping WHERE k = len(cs) + 1),
+cut AS (SELECT id, list_concat(groups, list_transform(range(0, spare, 3), lambda i: {{'concept': CAST(NULL AS VARCHAR), 'n': least(3, spare - i)}}))[1:4] AS g FROM ended)"""
+
+
+@register("evidence_groups", "T5", q.with_([q.OK_ITEMS, GROUPS], """
+SELECT id, pos AS group_no, x.concept AS concept, x.n AS n_sentences FROM (SELECT id, unnest(g) AS x, unnest(range(len(g))) AS pos FROM cut)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(t):
     rows = t.ok_items.select("id", tx.sentences(F.col("summary")).alias("evidence"), se.concepts(F.col("summary"), se.concept_patterns(HEADS)).alias("concepts"))
     grouped = rows.select("id", F.posexplode(se.assign_evidence(F.col("concepts"), F.col("evidence"))).alias("group_no", "g"))
