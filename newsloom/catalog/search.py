@@ -194,9 +194,13 @@ def _(t):
     return se.related_nodes(*search_frames(t)).select("query_id", "id", "type", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("related_context", "T10", q.with_(SEARCH, """
+# whole documents fill the first places here, so sections are cut from a longer list
+DEPTH = 1000
+
+
+@register("related_context", "T10", q.with_([*GRAPH, SEARCH[-1].replace("rank <= 24", f"rank <= {3 * DEPTH}")], """
 SELECT query_id, section, id, rank, score FROM (
   SELECT query_id, section, id, score, row_number() OVER (PARTITION BY query_id, section ORDER BY rank) AS rank FROM (
     SELECT *, lower(type) AS section FROM found WHERE type IN ('Entity', 'Claim', 'Topic') UNION ALL SELECT *, 'temporal' FROM found WHERE node_at IS NOT NULL)) WHERE rank <= 8"""))
 def _(t):
-    return se.related_context(se.related_nodes(*search_frames(t))).withColumn("rank", F.col("rank").cast("bigint"))
+    return se.related_context(se.related_nodes(*search_frames(t), limit=DEPTH)).withColumn("rank", F.col("rank").cast("bigint"))

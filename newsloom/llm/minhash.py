@@ -9,8 +9,8 @@ low are dropped; the others are compared on their full shingle sets.
 Pairs inside a bucket are not all built. Round one ties every member to its
 bucket's smallest id. Round two looks only at buckets that still hold more
 than one component, and there only at members of different components, in
-cells of bounded size; every such pair is examined, so no link that could
-join two components is lost.
+cells of bounded size, where likely pairs are compared at once; every such
+pair is examined, so no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from newsloom.llm.components import components
 BANDS, ROWS = 32, 5  # a pair at the threshold 0.8 shares no band once in 300,000
 BITS = 4  # kept of each minimum
 SLACK = 4.5  # standard deviations below the threshold at which an estimate still goes on
-CELL = 2048  # members of one side of a compared cell
+CELL = 1024  # members of one side of a compared cell
 
 _rng = np.random.default_rng(20240501)
 MULTIPLIERS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,50 +158,78 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(compare, f"a {_id_type(pairs, 'a')}, b {_id_type(pairs, 'b')}")
 
 
-def cell_pairs(members: DataFrame, low: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of members of one bucket in different components.
+def cell_links(members: DataFrame, low: DataFrame, texts: DataFrame, least: float, width: int, percent: int) -> DataFrame:
+    """Links between members of one bucket in different components.
 
     members: (key, id, component, size). A bucket of many members is cut into
     parts of about CELL; every two parts meet in one cell, which one task
-    compares block by block.
+    compares block by block: likely pairs by signature, then on full sets,
+    where the cell's links so far have not joined the two already. So a cell
+    gives fewer links than it has members, and no pair leaves it unconfirmed.
     """
     kind = _id_type(members, "id")
     parts = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    rows = members.join(low, "id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = members.join(low, "id").join(texts, "id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "low")
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "low", "text")
     cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            marks = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+            marks = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "i", "j")]
             cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            if not len(cuts):
+                continue
+            table = pa.Table.from_batches(held)
             for a, b in zip(np.append(0, cuts[:-1]), cuts):
-                yield from _compare_cell(table.slice(a, b - a), least, kind)
-            held = table.slice(cuts[-1] if len(cuts) else 0).to_batches()
+                yield from _link_cell(table.slice(a, b - a), least, width, percent)
+            held = table.slice(cuts[-1]).to_batches()
         if held:
-            yield from _compare_cell(pa.Table.from_batches(held), least, kind)
+            yield from _link_cell(pa.Table.from_batches(held), least, width, percent)
 
     return cells.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def _compare_cell(cell: pa.Table, least: float, kind: str) -> Iterator[pa.RecordBatch]:
-    if cell.num_rows < 2:
+def _link_cell(cell: pa.Table, least: float, width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    component = cell.column("component").to_pylist()
+    if len(set(component)) < 2:
         return
     part, i, j = (cell.column(c).to_numpy() for c in ("part", "i", "j"))
     low = np.frombuffer(b"".join(cell.column("low").to_pylist()), np.uint64).reshape(cell.num_rows, -1)
-    ids, component = cell.column("id").to_pylist(), np.unique(np.asarray(cell.column("component").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
+    ids, texts, sets = cell.column("id").to_pylist(), cell.column("text"), {}
+    first = {c: n for n, c in reversed(list(enumerate(component)))}
+    root = [first[c] for c in component]  # rows of one component are joined from the start
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def shingles(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingle_set(texts[x].as_py(), width)
+        return sets[x]
+
+    found: list[tuple] = []
     left, right = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
     for start in range(0, len(left), 64):
         block = left[start:start + 64]
-        x, y = np.nonzero((component[block][:, None] != component[right]) & (estimated(low[block][:, None], low[right][None]) >= least))
-        pairs = {(max(ids[p], ids[q]), min(ids[p], ids[q])) for p, q in zip(block[x], right[y])}
-        if pairs:
-            a, b = zip(*pairs)
-            yield pa.RecordBatch.from_pydict({"a": list(a), "b": list(b)}, schema=pa.schema([("a", cell.schema.field("id").type), ("b", cell.schema.field("id").type)]))
+        like = estimated(low[block][:, None], low[right][None])
+        x, y = np.nonzero(like >= least)
+        best = np.argsort(-like[x, y], kind="stable")  # the likeliest first: one link spares many comparisons
+        for p, q in zip(block[x[best]].tolist(), right[y[best]].tolist()):
+            if find(p) == find(q):
+                continue
+            common = len(np.intersect1d(shingles(p), shingles(q), assume_unique=True))
+            if 100 * common >= percent * (len(shingles(p)) + len(shingles(q)) - common):
+                found.append((max(ids[p], ids[q]), min(ids[p], ids[q])))
+                root[find(p)] = find(q)
+    if found:
+        a, b = zip(*found)
+        kind = cell.schema.field("id").type
+        yield pa.RecordBatch.from_pydict({"a": list(a), "b": list(b)}, schema=pa.schema([("a", kind), ("b", kind)]))
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -241,10 +269,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     open_keys = tied.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", F.lit(True).alias("open"), F.lit(1).alias("one"))
     # heads were compared with all members of their bucket in round one
     left = tied.filter("id <> head").join(open_keys, "key", "left_semi")
-    more = stage(cell_pairs(left, low, least), "likely-pairs")
+    more = stage(cell_links(left, low, texts, least, width, percent), "cell-links")
     if more.limit(1).count():
-        links = stage(links.unionByName(confirmed(more, texts, width, percent)), "confirmed-pairs")
-        reached = components(links)
+        reached = components(links.unionByName(more))
 
     named = classes.join(reached, F.col("node") == F.col("id"), "left").select("digest", "size", F.coalesce("component", "node").alias("component"))
     found = spread_lookup(signed.select("id", "n", "digest"), stage(named, "class-components"), "digest", "size", "id", total)
