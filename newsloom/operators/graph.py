@@ -15,7 +15,7 @@ from newsloom import rules
 from newsloom.functions import text as tx
 from newsloom.operators import knowledge as kn, skew
 from newsloom.operators.ledger import first_per_key, top_per_key
-from newsloom.session import stage
+from newsloom.session import small, stage
 
 NODE_COLUMNS = ["id", "type", "name", "title", "text", "canonical_uri", "source_name", "source_kind", "published_at"]
 
@@ -160,14 +160,23 @@ def merge_edges(versions: DataFrame, order: str) -> DataFrame:
     return latest.select("type", "src", "dst", "_r.*")
 
 
-def touched_buckets(stored: DataFrame, delta: DataFrame, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(rows of buckets the delta touches, all other rows), so that an
-    incremental merge rewrites only the touched hash buckets. The bucket
-    list is bounded by ``buckets``."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-    hit = delta.select(bucket.alias("bucket")).distinct()
-    marked = stored.withColumn("bucket", bucket)
-    return (marked.join(F.broadcast(hit), "bucket", "left_semi"), marked.join(F.broadcast(hit), "bucket", "left_anti"))
+def write_buckets(nodes: DataFrame, path: str, buckets: int = 256) -> None:
+    """Stores a node table by hash bucket of its ids."""
+    nodes.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def merge_into_buckets(path: str, delta: DataFrame, buckets: int = 256) -> DataFrame:
+    """Merges newer node versions into a stored table: only the buckets that
+    the delta touches are read and replaced. Returns the stored table."""
+    spark = delta.sparkSession
+    delta = stage(delta.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")), "node-delta")
+    hit = [r[0] for r in delta.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    old = spark.read.schema(delta.schema).parquet(path).filter(F.col("bucket").isin(hit))
+    versions = old.withColumn("_v", F.lit(0)).unionByName(delta.withColumn("_v", F.lit(1)))
+    # staged: the buckets replaced are the ones just read
+    merged = stage(merge_nodes(versions, "_v"), "node-buckets")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return spark.read.schema(delta.schema).parquet(path).drop("bucket")
 
 
 # --- structure -----------------------------------------------------------------------
@@ -229,27 +238,29 @@ def neighborhoods(seeds: DataFrame, adjacent: DataFrame, max_nodes: int = 16) ->
     One level per round for all seeds. A parent can add at most
     ``max_nodes`` members, so only that many of its unvisited neighbours,
     in id order, are looked at; the visited table has at most
-    ``max_nodes`` rows per seed.
+    ``max_nodes`` rows per seed. Seeds that are full leave the frontier, so
+    most searches end after a level or two. Tables of members are broadcast
+    only while they are small.
     """
     visited = stage(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1).alias("place")), "bfs")
     frontier = visited
     for _ in range(max_nodes):
-        near = adjacent.join(F.broadcast(frontier.select("seed", "node", F.col("place").alias("parent"))), "node").select("seed", "parent", F.col("neighbor").alias("node"))
-        near = near.join(F.broadcast(visited.select("seed", "node")), ["seed", "node"], "left_anti").distinct()
+        near = adjacent.join(small(frontier.select("seed", "node", F.col("place").alias("parent"))), "node").select("seed", "parent", F.col("neighbor").alias("node"))
+        near = near.join(small(visited.select("seed", "node")), ["seed", "node"], "left_anti").distinct()
         near = top_per_key(near, ["seed", "parent"], ["node"], max_nodes, "_r").drop("_r")
         near = first_per_key(near, ["seed", "node"], ["parent"])
         counts = visited.groupBy("seed").agg(F.max("place").alias("_used"))
-        ranked = top_per_key(near, ["seed"], ["parent", "node"], max_nodes, "_r").join(F.broadcast(counts), "seed")
+        ranked = top_per_key(near, ["seed"], ["parent", "node"], max_nodes, "_r").join(counts, "seed")
         fresh = stage(
             ranked.filter(F.col("_r") + F.col("_used") <= max_nodes).select("seed", "node", (F.col("_r") + F.col("_used")).alias("place")), "bfs")
-        if fresh.isEmpty():
-            break
         visited = visited.unionByName(fresh)
-        frontier = fresh
+        open_seeds = visited.groupBy("seed").agg(F.count("*").alias("_n")).filter(F.col("_n") < max_nodes).select("seed")
+        frontier = stage(fresh.join(open_seeds, "seed", "left_semi"), "bfs")
+        if frontier.isEmpty():
+            break
     return visited
 
 
-
 @dataclass
 class Communities:
     members: DataFrame      # seed, node, place
@@ -260,8 +271,9 @@ class Communities:
 def community_citations(members: DataFrame, graph: Graph, limit: int | None = None) -> DataFrame:
     """First citation per URL in member order, then citation order; a
     node's own address comes after its listed citations."""
-    joined = graph.citations.join(F.broadcast(members), graph.citations["id"] == members["node"]).select("seed", "place", "pos", "id", "title", "url", "source")
-    owners = graph.nodes.join(F.broadcast(members), graph.nodes["id"] == members["node"])
+    members = small(members)
+    joined = graph.citations.join(members, graph.citations["id"] == members["node"]).select("seed", "place", "pos", "id", "title", "url", "source")
+    owners = graph.nodes.join(members, graph.nodes["id"] == members["node"])
     own = owners.filter(F.col("canonical_uri").isNotNull()).select(
         "seed", "place", F.lit(2**31 - 1).alias("pos"), "id", F.coalesce("title", "name", label()).alias("title"), F.col("canonical_uri").alias("url"),
         F.coalesce("source_name", "type").alias("source"))
@@ -274,10 +286,10 @@ def community_citations(members: DataFrame, graph: Graph, limit: int | None = No
 
 def communities(graph: Graph, adjacent: DataFrame, seeds: DataFrame, max_nodes: int = 16, max_citations: int = 10) -> Communities:
     members = stage(neighborhoods(seeds, adjacent, max_nodes), "members")
-    inner = adjacent.join(F.broadcast(members.select("seed", F.col("node"))), "node").join(
-        F.broadcast(members.select("seed", F.col("node").alias("neighbor"))), ["seed", "neighbor"])
+    inner = adjacent.join(small(members.select("seed", F.col("node"))), "node").join(
+        small(members.select("seed", F.col("node").alias("neighbor"))), ["seed", "neighbor"])
     types = inner.select("seed", "type").distinct().groupBy("seed").agg(F.array_join(F.sort_array(F.collect_set("type")), "|").alias("edge_types"))
-    attributed = graph.nodes.join(F.broadcast(members), graph.nodes["id"] == members["node"])
+    attributed = graph.nodes.join(small(members), graph.nodes["id"] == members["node"])
     span = attributed.groupBy("seed").agg(F.min("published_at").alias("start_at"), F.max("published_at").alias("end_at"))
     ids = members.groupBy("seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda s: s.node), "|").alias("node_ids"))
     summary = ids.join(types, "seed", "left").join(span, "seed", "left").withColumn(
@@ -290,7 +302,7 @@ def communities(graph: Graph, adjacent: DataFrame, seeds: DataFrame, max_nodes:
 def packet_parts(comm: Communities, graph: Graph) -> dict[str, DataFrame]:
     """Claims, sources, entities and evidence of every community, ranked in
     member order and cut (8, 8, 10, 10)."""
-    members = graph.nodes.join(F.broadcast(comm.members), graph.nodes["id"] == comm.members["node"])
+    members = graph.nodes.join(small(comm.members), graph.nodes["id"] == comm.members["node"])
     claims = members.filter((F.col("type") == "Claim") & F.col("text").isNotNull()).withColumn("text", tx.reader_text(F.col("text"))).filter(F.col("text") != "")
     sources = members.filter((F.col("type") == "SourceDocument") & F.col("canonical_uri").isNotNull()).select(
         "seed", "place", tx.reader_text(F.coalesce("title", label())).alias("title"), tx.reader_text(F.coalesce("source_name", F.lit("Source"))).alias("source"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -79,6 +79,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# rows up to which a counted side is sent to every executor
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``rows`` rows, else
+    as it is. It is counted, so it should be a staged table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """Optimizer's size estimate of a frame, None when it has none."""
     try:
