@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import posixpath
 from collections.abc import Iterator
 
@@ -12,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.session import new_stage_path, stage
 
-__all__ = ["blocks", "read_table", "shared_fs", "stage", "new_stage_path", "bounded", "spread_lookup", "text_or_empty", "write_file"]
+__all__ = ["blocks", "release_memory", "read_table", "shared_fs", "stage", "new_stage_path", "bounded", "spread_lookup", "text_or_empty", "write_file"]
 
 # A side is broadcast only if its counted rows stay within this.
 BROADCAST_ROWS = 1_000_000
 # Rows of one key are dealt over this many join partitions once the key is hot.
 SALTS = 256
 # Bytes of texts that a Python worker handles at once.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 400_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,3 +92,14 @@ def blocks(batch: pa.Array) -> Iterator[pa.Array]:
         end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BLOCK_BYTES)) + 1
         yield batch.slice(start, min(end, len(batch)) - start)
         start = end
+
+
+def release_memory() -> None:
+    """Gives freed memory of a worker process back to the system.
+
+    Workers stay for later tasks; without this each keeps the most it ever
+    used, and an executor holds several.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import spread_lookup, stage
+from newsloom.llm.common import release_memory, spread_lookup, stage
 from newsloom.llm.components import components
 
 BANDS, ROWS = 32, 5  # a pair at the threshold 0.8 shares no band once in 300,000
@@ -110,7 +110,7 @@ def signatures(df: DataFrame, id_column: str, text_column: str, width: int) -> D
     schema = pa.schema([("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("low", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(start, 256) for b in batches for start in range(0, b.num_rows, 256)):  # results in small batches
             rows = []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), width)
@@ -122,6 +122,7 @@ def signatures(df: DataFrame, id_column: str, text_column: str, width: int) -> D
                 rows.append({"n": len(shingles), "digest": blake2b(shingles.tobytes(), digest_size=16).digest(), "keys": keys.view(np.int64).tolist(), "low": packed(low)})
             made = pa.RecordBatch.from_pylist(rows, schema=schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["id", *schema.names])
+        release_memory()
 
     return df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
         sign, f"id {_id_type(df, id_column)}, n long, digest binary, keys array<bigint>, low binary")
@@ -154,6 +155,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 common = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * common >= percent * (len(mine) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     return both.mapInArrow(compare, f"a {_id_type(pairs, 'a')}, b {_id_type(pairs, 'b')}")
 
@@ -188,6 +190,7 @@ def cell_links(members: DataFrame, low: DataFrame, texts: DataFrame, least: floa
             held = table.slice(cuts[-1]).to_batches()
         if held:
             yield from _link_cell(pa.Table.from_batches(held), least, width, percent)
+        release_memory()
 
     return cells.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
