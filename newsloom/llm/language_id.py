@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import blocks, stage
+from newsloom.llm.common import blocks, release_memory, stage
 from newsloom.llm.pieces import MODEL_PATH, by_length, pieces
 
 UNKNOWN = "und"
@@ -29,7 +29,7 @@ MAX_LANGUAGES = 500  # the most frequent labels are learned
 ROUNDS = 2  # of expectation maximisation
 SMOOTHING = 0.1  # added to each expected count
 UNKNOWN_CHAR = 1e-9  # probability of a character that is no piece, in each language
-CACHE_WORDS = 200_000  # scored words a worker remembers
+CACHE_WORDS = 60_000  # scored words a worker remembers
 
 
 @dataclass(frozen=True)
@@ -192,6 +192,8 @@ def predict_column(model, text: Column) -> Column:
             for block in blocks(batch):
                 langs, scores = scorer.predict(block.to_pylist())
                 yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+        del scorer
+        release_memory()
 
     return predict(text)
 

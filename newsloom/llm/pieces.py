@@ -16,7 +16,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 FILTER_BITS = 21
 #: lattice cells (strings x ends x piece lengths) in memory at once
-CELLS = 2_000_000
+CELLS = 500_000
 
 
 class Pieces:

@@ -19,11 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import blocks
+from newsloom.llm.common import blocks, release_memory
 from newsloom.llm.pieces import MODEL_PATH, Pieces, by_length, pieces
 
 UNKNOWN_PENALTY = 10.0  # below the least likely piece, for each character that is no piece
-CACHE_UNITS = 300_000  # encoded units a worker remembers
+CACHE_UNITS = 100_000  # encoded units a worker remembers
 
 
 def log_probabilities(vocabulary: Pieces) -> np.ndarray:
@@ -165,6 +165,8 @@ def encode_column(text: Column, path: str = MODEL_PATH) -> Column:
         for batch in batches:
             for block in blocks(batch):
                 yield encode_array(encoder, block)
+        del encoder
+        release_memory()
 
     return encode(text)
 
@@ -192,6 +194,8 @@ def code_and_decode_column(text: Column, path: str = MODEL_PATH) -> Column:
             for block in blocks(batch):
                 ids = encode_array(encoder, block)
                 yield pa.StructArray.from_arrays([ids, decoder.decode(ids)], names=["ids", "decoded"])
+        del encoder, decoder
+        release_memory()
 
     return both(text)
 
