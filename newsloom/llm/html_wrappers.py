@@ -20,6 +20,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -37,6 +38,8 @@ FURNITURE_ROLES = set("navigation banner contentinfo complementary search form d
 FURNITURE_WORDS = set(
     "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget notice notices cookie cookies "
     "consent gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments reply replies respond disqus form search pagination pager toolbar".split())
+# words that say where a part stands, not what it is
+PLACE_WORDS = set("area bar block bottom box container inner left list primary right secondary section site slot top unit wrap wrapper".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 BLOCKS_CLOSE_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -121,8 +124,8 @@ def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
             return
 
 
-# A wrapper entry is [key, repeated, optional, kids, literal text or None, characters seen]; the key of a text is "#".
-KEY, REPEATED, OPTIONAL, KIDS, LITERAL, CHARS = range(6)
+# A wrapper entry is [key, repeated, optional, kids, literal text or None, characters seen, pages that have it]; the key of a text is "#".
+KEY, REPEATED, OPTIONAL, KIDS, LITERAL, CHARS, SEEN = range(7)
 
 
 def skeleton(node: Node) -> list:
@@ -133,10 +136,10 @@ def skeleton(node: Node) -> list:
             if text:
                 # of a long text the digest is enough to see whether it ever differs
                 literal = text if len(text) <= 80 else hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
-                kids.append(["#", False, False, [], literal, len(text)])
+                kids.append(["#", False, False, [], literal, len(text), 1])
         elif kid.tag not in INLINE or kid.kids:
             kids.append(skeleton(kid))
-    return [node.key, False, False, folded(kids), None, 0]
+    return [node.key, False, False, folded(kids), None, 0, 1]
 
 
 def folded(entries: list[list]) -> list[list]:
@@ -144,7 +147,7 @@ def folded(entries: list[list]) -> list[list]:
     out: list[list] = []
     for entry in entries:
         if out and out[-1][KEY] == entry[KEY]:
-            out[-1] = merged(out[-1], entry)
+            out[-1] = merged(out[-1], entry, True)
             out[-1][REPEATED] = True
         else:
             out.append(entry)
@@ -152,20 +155,20 @@ def folded(entries: list[list]) -> list[list]:
         i = 0
         while i + 2 * width <= len(out):
             if [e[KEY] for e in out[i:i + width]] == [e[KEY] for e in out[i + width:i + 2 * width]]:
-                group = [merged(a, b) for a, b in zip(out[i:i + width], out[i + width:i + 2 * width])]
+                group = [merged(a, b, True) for a, b in zip(out[i:i + width], out[i + width:i + 2 * width])]
                 j = i + 2 * width
                 while [e[KEY] for e in out[j:j + width]] == [e[KEY] for e in group]:
-                    group = [merged(a, b) for a, b in zip(group, out[j:j + width])]
+                    group = [merged(a, b, True) for a, b in zip(group, out[j:j + width])]
                     j += width
-                out[i:j] = [["(" + "|".join(e[KEY] for e in group) + ")", True, False, group, None, 0]]
+                out[i:j] = [["(" + "|".join(e[KEY] for e in group) + ")", True, False, group, None, 0, 1]]
             i += 1
     return out
 
 
-def merged(a: list, b: list) -> list:
+def merged(a: list, b: list, same_page: bool = False) -> list:
     """One entry that stands for two of one key."""
-    return [a[KEY], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], aligned(a[KIDS], b[KIDS]),
-            a[LITERAL] if a[LITERAL] == b[LITERAL] else None, a[CHARS] + b[CHARS]]
+    return [a[KEY], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], aligned(a[KIDS], b[KIDS], same_page),
+            a[LITERAL] if a[LITERAL] == b[LITERAL] else None, a[CHARS] + b[CHARS], max(a[SEEN], b[SEEN]) if same_page else a[SEEN] + b[SEEN]]
 
 
 def _grouped(entries: list[list], others: list[list]) -> list[list]:
@@ -175,24 +178,24 @@ def _grouped(entries: list[list], others: list[list]) -> list[list]:
             keys = [e[KEY] for e in group[KIDS]]
             for i in range(len(entries) - len(keys) + 1):
                 if [e[KEY] for e in entries[i:i + len(keys)]] == keys:
-                    entries = [*entries[:i], [group[KEY], True, False, entries[i:i + len(keys)], None, 0], *entries[i + len(keys):]]
+                    entries = [*entries[:i], [group[KEY], True, False, entries[i:i + len(keys)], None, 0, max(e[SEEN] for e in entries[i:i + len(keys)])], *entries[i + len(keys):]]
                     break
     return entries
 
 
-def aligned(a: list[list], b: list[list]) -> list[list]:
+def aligned(a: list[list], b: list[list], same_page: bool = False) -> list[list]:
     """Entries of both lists in order: matches merged, mismatches optional."""
     a, b = _grouped(a, b), _grouped(b, a)
     keys_a, keys_b = [e[KEY] for e in a], [e[KEY] for e in b]
     if keys_a == keys_b:
-        return [merged(x, y) for x, y in zip(a, b)]
+        return [merged(x, y, same_page) for x, y in zip(a, b)]
     out: list[list] = []
     i = j = 0
     for x, y in [*_matches(keys_a, keys_b), (len(a), len(b))]:
         for e in [*a[i:x], *b[j:y]]:
             out.append([*e[:OPTIONAL], True, *e[KIDS:]])
         if x < len(a):
-            out.append(merged(a[x], b[y]))
+            out.append(merged(a[x], b[y], same_page))
         i, j = x + 1, y + 1
     return out
 
@@ -234,6 +237,7 @@ def absorb(into: list, entry: list) -> None:
     if into[LITERAL] != entry[LITERAL]:
         into[LITERAL] = None
     into[CHARS] += entry[CHARS]
+    into[SEEN] += entry[SEEN]
     for a, b in zip(into[KIDS], entry[KIDS]):
         absorb(a, b)
 
@@ -244,46 +248,132 @@ def align_all(wrappers: list[list]) -> list:
 
 # ---- judging a wrapper
 
-def is_furniture(key: str) -> bool:
+PART, WHOLE, TAG = 1, 2, 3  # how a key names furniture: a word inside a class or id, a whole class or id, the tag or role
+
+
+@lru_cache(maxsize=65536)
+def named(key: str) -> int:
+    """How the key names furniture; 0 if it does not."""
     tag, *marks = key.split(" ")
     if tag in FURNITURE_TAGS:
-        return True
-    words = " ".join(marks)
-    if "@" in words and set(words.split("@", 1)[1].split()) & FURNITURE_ROLES:
-        return True
-    return bool(set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words.split("@", 1)[0]).lower())) & FURNITURE_WORDS)
+        return TAG
+    words, _, roles = " ".join(marks).partition("@")
+    if set(roles.split()) & FURNITURE_ROLES:
+        return TAG
+    found = 0
+    for token in words.split():
+        parts = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+        if parts & FURNITURE_WORDS:
+            found = max(found, PART if parts - FURNITURE_WORDS - PLACE_WORDS else WHOLE)
+    return found
+
+
+def holder(key: str) -> int:
+    """ARTICLE or MAIN if the tag or role says so."""
+    tag, roles = key.split(" ")[0], key.partition("@")[2].split()
+    return ARTICLE if tag == "article" or "article" in roles else MAIN if tag == "main" or "main" in roles else 0
+
+
+def never_furniture(key: str, in_article: bool) -> bool:
+    """Whole pages and articles; an article inside another one can be a comment or a teaser."""
+    return key.split(" ")[0] in ("", "html", "body") or holder(key) == MAIN or (holder(key) == ARTICLE and not in_article)
 
 
 ARTICLE, MAIN, DENSE = 1, 2, 3  # why a node holds the article; a page uses the first of these that it has
 
 
-def _running(entry: list, linked: bool = False) -> int:
+@dataclass
+class Facts:
+    """What an entry shows over all pages."""
+
+    chars: int = 0
+    linked: int = 0  # of them inside links
+    running: int = 0  # of them outside links and furniture tags, and not the same on all pages
+    holder: bool = False  # an article or main is in it
+    varies: bool = False  # a text in it is not the same on all pages
+    headline: bool = False  # an h1 that varies is in it
+
+
+def facts_of(entry: list, found: dict[int, Facts], linked: bool = False) -> Facts:
+    """Facts of the entry and, by id, of all entries below."""
+    if entry[KEY] == "#":
+        fixed = entry[LITERAL] is not None and not entry[REPEATED] and entry[SEEN] > 1
+        own = Facts(entry[CHARS], entry[CHARS] * linked, 0 if linked or fixed else entry[CHARS], varies=not fixed)
+    else:
+        tag = entry[KEY].split(" ")[0]
+        kids = [facts_of(e, found, linked or tag == "a") for e in _kids(entry)]
+        open_ = named(entry[KEY]) != TAG or tag in ("form", "header")
+        varies = any(k.varies for k in kids)
+        own = Facts(sum(k.chars for k in kids), sum(k.linked for k in kids), open_ * sum(k.running for k in kids), open_ and (bool(holder(entry[KEY])) or any(k.holder for k in kids)),
+                    varies, open_ and (tag == "h1" and varies or any(k.headline for k in kids)))
+    found[id(entry)] = own
+    return own
+
+
+def furniture_of(entry: list, total: int, facts: Facts, in_article: bool) -> bool:
+    """Furniture by its name and by what the wrapper shows of it."""
+    name = named(entry[KEY]) if entry[KEY] != "#" else 0
+    tag = entry[KEY].split(" ")[0]
+    if not name or never_furniture(entry[KEY], in_article):
+        return False
+    share = facts.running / total if total else 0
+    most = share > (0.5 if name == PART or facts.holder else 0.8)  # most of all running text
+    if name == TAG:  # a form around the page, the header of an article
+        return not (tag == "form" and most or tag == "header" and facts.headline)
+    if most or facts.headline:
+        return False
+    return name == WHOLE or 2 * facts.linked > facts.chars or (entry[SEEN] > 1 and not facts.running)
+
+
+def _running(entry: list, furniture: set[int], linked: bool = False) -> int:
     """Characters of an entry's texts that differ between pages or repeat, outside furniture and links."""
     if entry[KEY] == "#":
         return 0 if linked or (entry[LITERAL] is not None and not entry[REPEATED]) else entry[CHARS]
-    if is_furniture(entry[KEY]) or linked:
+    if id(entry) in furniture or linked:
         return 0
     inside = linked or entry[KEY].split(" ")[0] == "a"
-    return sum(_running(e, inside) for e in entry[KIDS])
+    return sum(_running(e, furniture, inside) for e in entry[KIDS])
 
 
 def judged(entry: list) -> dict:
-    """{key, repeated, furniture, holds, kids}: the wrapper with its verdicts."""
-    total = _running(entry)
-    dense = entry
-    while True:  # down to the smallest node that holds nearly all running text
-        heavy = next((e for e in _kids(dense) if e[KEY] != "#" and e[KEY].split(" ")[0] not in INLINE and not is_furniture(e[KEY]) and not e[REPEATED] and _running(e) >= 0.8 * total), None)
-        if heavy is None or not total:
+    """{furniture, holds, kids by key}: the wrapper with its verdicts."""
+    facts: dict[int, Facts] = {}
+    whole = facts_of(entry, facts).running
+    furniture: set[int] = set()
+
+    def mark(e: list, in_article: bool) -> None:
+        if e[KEY] != "#" and furniture_of(e, whole, facts[id(e)], in_article):
+            furniture.add(id(e))
+            return
+        for k in _kids(e):
+            mark(k, in_article or holder(e[KEY]) == ARTICLE)
+
+    mark(entry, False)
+    total = _running(entry, furniture)
+    dense = [entry]
+    while total:  # down to the smallest node that holds nearly all running text
+        heavy = next((same for key, same in _by_key(dense).items() if key.split(" ")[0] not in INLINE and not any(e[REPEATED] or id(e) in furniture for e in same)
+                      and sum(_running(e, furniture) for e in same) >= 0.8 * total), None)
+        if heavy is None:
             break
         dense = heavy
+    dense_ids = set(map(id, dense))
 
-    def verdict(e: list) -> dict:
-        tag = e[KEY].split(" ")[0]
-        role = e[KEY].split("@", 1)[1].split() if "@" in e[KEY] else []
-        holds = ARTICLE if tag == "article" or "article" in role else MAIN if tag == "main" or "main" in role else DENSE if e is dense else 0
-        return {"key": e[KEY], "furniture": e[KEY] != "#" and is_furniture(e[KEY]), "holds": holds, "kids": [verdict(k) for k in _kids(e)]}
+    def verdict(same: list[list]) -> dict:
+        key = same[0][KEY]
+        return {"furniture": all(id(e) in furniture for e in same), "holds": holder(key) or (DENSE if id(same[0]) in dense_ids else 0), "kids": {k: verdict(v) for k, v in _by_key(same).items()}}
 
-    return verdict(entry)
+    return verdict([entry])
+
+
+def _by_key(entries: list[list]) -> dict[str, list[list]]:
+    """Kids that are tags, by key: pages whose order differs leave one key at several places of a wrapper."""
+    out: dict[str, list[list]] = {}
+    for entry in entries:
+        for e in _kids(entry):
+            if e[KEY] != "#":
+                out.setdefault(e[KEY], []).append(e)
+    return out
 
 
 def _kids(entry: list) -> list[list]:
@@ -306,23 +396,18 @@ def text_of(root: Node, wrapper: dict) -> str:
         open_blocks.clear()
 
     def walk(node: Node, entry: dict | None, held: frozenset[int]) -> None:
-        kids, at = (entry or {}).get("kids", []), 0
+        kids = (entry or {}).get("kids", {})
         for kid in node.kids:
             if isinstance(kid, str):
                 for tier in held:
                     open_blocks.setdefault(tier, []).append(html.unescape(kid))
                 continue
-            match = next((i for i in range(at, len(kids)) if kids[i]["key"] == kid.key), None)
-            if match is None:
-                match = next((i for i in range(len(kids)) if kids[i]["key"] == kid.key), None)
-            else:
-                at = match
-            judgement = kids[match] if match is not None else None
+            judgement = kids.get(kid.key)
             inline = kid.tag in INLINE
             if not inline:
                 end_block()
             if judgement is None:
-                skip, inner = is_furniture(kid.key), held
+                skip, inner = named(kid.key) > PART and not never_furniture(kid.key, ARTICLE in held), held
             else:
                 skip, inner = judgement["furniture"], held | {judgement["holds"]} if judgement["holds"] else held
             if kid.tag == "br":

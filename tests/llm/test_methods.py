@@ -159,6 +159,27 @@ def test_main_text(spark, container):
     assert got == want
 
 
+def extracted(spark, pages):
+    rows = [(i, f"https://news.example/{i}", page) for i, page in enumerate(pages)]
+    return [r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_theme_classes_are_no_furniture(spark):
+    def page(i, n):
+        paragraphs = "".join(f"<p>Paragraph {j} of page {i} says a little more than others do." for j in range(n))
+        return (f"<body class='single has-sidebar'><div class='site-header'>The Site</div><div id='page' class='site with-header'><form id=all><article class='post comments-open'>"
+                f"<header class=entry-header><a href=/c>News</a></header><div class='article-header'><h1>Headline {i}</h1></div>{paragraphs}"
+                f"<div class='post-comments'><p><a href=/{i}>Comments</a></p></div></article></form><div class='sidebar'><p>Side {i}</p></div></div><div class=footer>Us</div>")
+
+    def want(i, n):
+        return "\n\n".join([f"Headline {i}", *[f"Paragraph {j} of page {i} says a little more than others do." for j in range(n)]])
+
+    assert extracted(spark, [page(i, 2 + i % 3) for i in range(6)]) == [want(i, 2 + i % 3) for i in range(6)]
+    assert extracted(spark, [page(0, 3)]) == [want(0, 3)]
+    plain = [re.sub("</?article[^>]*>", "", page(i, 3)) for i in range(6)]  # nothing but the wrapper shows the article
+    assert extracted(spark, plain) == [want(i, 3) for i in range(6)]
+
+
 def test_page_query(spark):
     import html
 
