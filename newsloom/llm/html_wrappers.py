@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +34,7 @@ from newsloom.llm.common import spread_lookup, stage, text_or_empty
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noframes".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_TAGS = set("head nav header footer aside form script style noscript template iframe svg canvas object button select option menu dialog title textarea video audio map input".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 FURNITURE_WORDS = set(
@@ -50,7 +52,8 @@ TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-LCS_CELLS = 250_000  # beyond this many comparisons, levels are aligned greedily in order
+LCS_CELLS = 250_000  # beyond this many comparisons, levels are halved before they are aligned
+LEAST_PAGES = 3  # pages of a host that must show a text or link node before it counts as the host's
 SKELETONS = 64  # distinct skeletons of a host that a task holds before it aligns them
 HOSTS = 2_000  # wrappers a task holds before it hands them on
 SALTS = 64  # first-step groups per host
@@ -60,10 +63,11 @@ BROADCAST_WRAPPERS = 5_000
 class Node:
     """A tag with its kids (nodes and strings)."""
 
-    __slots__ = ("tag", "key", "kids")
+    __slots__ = ("tag", "key", "kids", "blocks")
 
     def __init__(self, tag: str, key: str):
         self.tag, self.key, self.kids = tag, key, []
+        self.blocks: dict[str, int] = {}  # digest and length of the blocks of text in it and in its kids
 
 
 def key_of(tag: str, attributes: str) -> str:
@@ -124,8 +128,43 @@ def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
             return
 
 
-# A wrapper entry is [key, repeated, optional, kids, literal text or None, characters seen, pages that have it]; the key of a text is "#".
-KEY, REPEATED, OPTIONAL, KIDS, LITERAL, CHARS, SEEN = range(7)
+# A wrapper entry is [key, repeated, optional, kids, literal text or None, characters seen, pages that have it, digests of
+# the blocks in it that all of them have, whether they have others too]; the key of a text is "#".
+KEY, REPEATED, OPTIONAL, KIDS, LITERAL, CHARS, SEEN, COMMON, VARIED = range(9)
+
+
+def block_digest(key: str, text: str) -> str:
+    return hashlib.blake2b(f"{key}\t{text}".encode(), digest_size=8).hexdigest()
+
+
+def note_blocks(root: Node) -> Node:
+    """Gives each block of text, read as text_of reads it, to the node above the one it stands in."""
+    parts: list[str] = []
+
+    def walk(node: Node, within: Node, above: Node) -> None:
+        for kid in node.kids:
+            if isinstance(kid, str):
+                parts.append(html.unescape(kid))
+                continue
+            if kid.tag == "br":
+                parts.append(" ")
+            if kid.tag in INLINE:
+                if named(kid.key) < WHOLE:
+                    walk(kid, within, above)
+            else:
+                end(within, above)
+                walk(kid, kid, within)
+                end(kid, within)
+
+    def end(within: Node, above: Node) -> None:
+        if parts:
+            if text := " ".join("".join(parts).split()):
+                above.blocks[block_digest(within.key, text)] = len(text)
+            parts.clear()
+
+    walk(root, root, root)
+    end(root, root)
+    return root
 
 
 def skeleton(node: Node) -> list:
@@ -136,10 +175,10 @@ def skeleton(node: Node) -> list:
             if text:
                 # of a long text the digest is enough to see whether it ever differs
                 literal = text if len(text) <= 80 else hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
-                kids.append(["#", False, False, [], literal, len(text), 1])
+                kids.append(["#", False, False, [], literal, len(text), 1, {}, False])
         elif kid.tag not in INLINE or kid.kids:
             kids.append(skeleton(kid))
-    return [node.key, False, False, folded(kids), None, 0, 1]
+    return [node.key, False, False, folded(kids), None, 0, 1, node.blocks, False]
 
 
 def folded(entries: list[list]) -> list[list]:
@@ -160,7 +199,7 @@ def folded(entries: list[list]) -> list[list]:
                 while [e[KEY] for e in out[j:j + width]] == [e[KEY] for e in group]:
                     group = [merged(a, b, True) for a, b in zip(group, out[j:j + width])]
                     j += width
-                out[i:j] = [["(" + "|".join(e[KEY] for e in group) + ")", True, False, group, None, 0, 1]]
+                out[i:j] = [["(" + "|".join(e[KEY] for e in group) + ")", True, False, group, None, 0, 1, {}, False]]
             i += 1
     return out
 
@@ -168,7 +207,14 @@ def folded(entries: list[list]) -> list[list]:
 def merged(a: list, b: list, same_page: bool = False) -> list:
     """One entry that stands for two of one key."""
     return [a[KEY], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], aligned(a[KIDS], b[KIDS], same_page),
-            a[LITERAL] if a[LITERAL] == b[LITERAL] else None, a[CHARS] + b[CHARS], max(a[SEEN], b[SEEN]) if same_page else a[SEEN] + b[SEEN]]
+            a[LITERAL] if a[LITERAL] == b[LITERAL] else None, a[CHARS] + b[CHARS], max(a[SEEN], b[SEEN]) if same_page else a[SEEN] + b[SEEN], *_common(a, b, same_page)]
+
+
+def _common(a: list, b: list, same_page: bool) -> tuple[dict[str, int], bool]:
+    x, y = a[COMMON], b[COMMON]
+    if same_page:
+        return x | y, a[VARIED] or b[VARIED]
+    return {k: n for k, n in x.items() if k in y}, a[VARIED] or b[VARIED] or x.keys() != y.keys()
 
 
 def _grouped(entries: list[list], others: list[list]) -> list[list]:
@@ -178,7 +224,7 @@ def _grouped(entries: list[list], others: list[list]) -> list[list]:
             keys = [e[KEY] for e in group[KIDS]]
             for i in range(len(entries) - len(keys) + 1):
                 if [e[KEY] for e in entries[i:i + len(keys)]] == keys:
-                    entries = [*entries[:i], [group[KEY], True, False, entries[i:i + len(keys)], None, 0, max(e[SEEN] for e in entries[i:i + len(keys)])], *entries[i + len(keys):]]
+                    entries = [*entries[:i], [group[KEY], True, False, entries[i:i + len(keys)], None, 0, max(e[SEEN] for e in entries[i:i + len(keys)]), {}, False], *entries[i + len(keys):]]
                     break
     return entries
 
@@ -201,16 +247,12 @@ def aligned(a: list[list], b: list[list], same_page: bool = False) -> list[list]
 
 
 def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    if len(a) * len(b) > LCS_CELLS:
-        found, at = [], 0
-        for i, key in enumerate(a):
-            try:
-                j = b.index(key, at)
-            except ValueError:
-                continue
-            found.append((i, j))
-            at = j + 1
-        return found
+    """A longest common subsequence; large levels are halved (Hirschberg) down to LCS_CELLS, so memory stays linear."""
+    if len(a) * len(b) > LCS_CELLS and min(len(a), len(b)) > 1:
+        half = len(a) // 2
+        before, after = _prefix_matches(b, a[:half]), _prefix_matches(b[::-1], a[half:][::-1])
+        cut = max(range(len(b) + 1), key=lambda j: before[j] + after[len(b) - j])
+        return _matches(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _matches(a[half:], b[cut:])]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -227,6 +269,19 @@ def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return found
 
 
+def _prefix_matches(b: list[str], a: list[str]) -> list[int]:
+    """Length of the longest common subsequence of ``a`` and each prefix of ``b``: one bit of an integer per place of ``b``."""
+    places: dict[str, int] = {}
+    for j, key in enumerate(b):
+        places[key] = places.get(key, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full  # a 0 where the length grows
+    for key in a:
+        hits = row & places.get(key, 0)
+        row = (row + hits | row & ~hits) & full
+    return [0, *accumulate(bit == "0" for bit in reversed(f"{row:0{len(b)}b}"[-len(b):]))]
+
+
 def shape(entry: list) -> str:
     """What two skeletons must share to differ in texts only."""
     return f"{entry[KEY]}{'+' * entry[REPEATED]}{'?' * entry[OPTIONAL]}[{','.join(map(shape, entry[KIDS]))}]" if entry[KIDS] else f"{entry[KEY]}{'+' * entry[REPEATED]}"
@@ -238,6 +293,7 @@ def absorb(into: list, entry: list) -> None:
         into[LITERAL] = None
     into[CHARS] += entry[CHARS]
     into[SEEN] += entry[SEEN]
+    into[COMMON], into[VARIED] = _common(into, entry, False)
     for a, b in zip(into[KIDS], entry[KIDS]):
         absorb(a, b)
 
@@ -246,6 +302,15 @@ def align_all(wrappers: list[list]) -> list:
     return reduce(merged, wrappers)
 
 
+def forgetful(entry: list) -> list:
+    """Without the common blocks of entries on too few pages to be judged by them; their lengths stay as one sum."""
+    if entry[SEEN] < LEAST_PAGES and entry[COMMON]:
+        entry[COMMON] = {"": sum(entry[COMMON].values())}
+    for kid in entry[KIDS]:
+        forgetful(kid)
+    return entry
+
+
 # ---- judging a wrapper
 
 PART, WHOLE, TAG = 1, 2, 3  # how a key names furniture: a word inside a class or id, a whole class or id, the tag or role
@@ -336,7 +401,11 @@ def _running(entry: list, furniture: set[int], linked: bool = False) -> int:
 
 
 def judged(entry: list) -> dict:
-    """{furniture, holds, kids by key}: the wrapper with its verdicts."""
+    """The wrapper with its verdicts: furniture, holds, kids by key, and what of its text is the host's.
+
+    common: blocks that all pages show; links: nothing but links; trusted, of
+    the whole: whether article and main hold most running text.
+    """
     facts: dict[int, Facts] = {}
     whole = facts_of(entry, facts).running
     furniture: set[int] = set()
@@ -359,11 +428,37 @@ def judged(entry: list) -> dict:
         dense = heavy
     dense_ids = set(map(id, dense))
 
-    def verdict(same: list[list]) -> dict:
-        key = same[0][KEY]
-        return {"furniture": all(id(e) in furniture for e in same), "holds": holder(key) or (DENSE if id(same[0]) in dense_ids else 0), "kids": {k: verdict(v) for k, v in _by_key(same).items()}}
-
-    return verdict([entry])
+    def weight(e: list, tier: int, inside: bool = False) -> int:
+        """Running characters in the entries of this tier, outside furniture."""
+        inside = inside or not tier or (e[KEY] != "#" and holder(e[KEY]) == tier)
+        if e[KEY] == "#":
+            return inside * facts[id(e)].running
+        return 0 if id(e) in furniture else sum(weight(k, tier, inside) for k in _kids(e))
+
+    def shown(e: list) -> int:
+        return sum(n * e[SEEN] for n in e[COMMON].values()) + sum(shown(k) for k in _kids(e) if k[KEY] != "#" and id(k) not in furniture)
+
+    def verdict(same: list[list], pages: int, repeated: bool = False, templates: bool = True) -> dict:
+        key, seen = same[0][KEY], sum(e[SEEN] for e in same)
+        holds = holder(key) or (DENSE if id(same[0]) in dense_ids else 0)
+        repeated = repeated or any(e[REPEATED] for e in same)
+        if holds:
+            # its pages decide what is a template; where most of its text is the same, they are copies of one another
+            pages, repeated = seen, False
+            templates = 2 * sum(map(shown, same)) <= sum(facts[id(e)].chars for e in same)
+        common: dict[str, int] = {}
+        for e in same:
+            for digest in e[COMMON]:
+                common[digest] = common.get(digest, 0) + e[SEEN]
+        chars, linked = (sum(getattr(facts[id(e)], n) for e in same) for n in ("chars", "linked"))
+        of_host = templates and seen >= LEAST_PAGES and 2 * seen > pages
+        return {"furniture": all(id(e) in furniture for e in same), "holds": holds, "kids": {k: verdict(v, pages, repeated, templates) for k, v in _by_key(same).items()},
+                "repeated": repeated, "varied": any(e[VARIED] for e in same), "links": of_host and not holds and not repeated and 10 * linked >= 9 * chars > 0,
+                "common": {d for d, n in common.items() if templates and n >= LEAST_PAGES and 2 * n > pages}}
+
+    out, all_running = verdict([entry], entry[SEEN]), weight(entry, 0)
+    out["trusted"] = {tier for tier in (ARTICLE, MAIN) if 2 * weight(entry, tier) >= all_running}
+    return out
 
 
 def _by_key(entries: list[list]) -> dict[str, list[list]]:
@@ -377,25 +472,34 @@ def _by_key(entries: list[list]) -> dict[str, list[list]]:
 
 
 def _kids(entry: list) -> list[list]:
-    """Kids with the members of repeated groups in the groups' places."""
+    """Kids with the members of repeated groups, repeated themselves, in the groups' places."""
     out = []
     for e in entry[KIDS]:
-        out += _kids(e) if e[KEY].startswith("(") else [e]
+        if e[KEY].startswith("("):
+            for member in _kids(e):
+                member[REPEATED] = True
+                out.append(member)
+        else:
+            out.append(e)
     return out
 
 
 def text_of(root: Node, wrapper: dict) -> str:
-    """Blocks of the nodes that hold the article, joined by two line breaks."""
-    tiers: dict[int, list[str]] = {}
+    """Blocks of the nodes that hold the article, without the host's own, joined by two line breaks."""
+    tiers: dict[int, list[tuple[str, bool]]] = {}  # blocks, and whether they are the host's
     open_blocks: dict[int, list[str]] = {}
 
-    def end_block() -> None:
+    def end_block(block: tuple) -> None:
+        key, own, above, links = block
         for tier, parts in open_blocks.items():
             if text := " ".join("".join(parts).split()):
-                tiers.setdefault(tier, []).append(text)
+                hosts = links and key.split(" ")[0] not in HEADINGS
+                if not hosts and above and above["common"] and (above["varied"] or not (own and own["repeated"])):
+                    hosts = block_digest(key, text) in above["common"]
+                tiers.setdefault(tier, []).append((text, hosts))
         open_blocks.clear()
 
-    def walk(node: Node, entry: dict | None, held: frozenset[int]) -> None:
+    def walk(node: Node, entry: dict | None, held: frozenset[int], block: tuple) -> None:
         kids = (entry or {}).get("kids", {})
         for kid in node.kids:
             if isinstance(kid, str):
@@ -405,7 +509,7 @@ def text_of(root: Node, wrapper: dict) -> str:
             judgement = kids.get(kid.key)
             inline = kid.tag in INLINE
             if not inline:
-                end_block()
+                end_block(block)
             if judgement is None:
                 skip, inner = named(kid.key) > PART and not never_furniture(kid.key, ARTICLE in held), held
             else:
@@ -416,15 +520,20 @@ def text_of(root: Node, wrapper: dict) -> str:
             elif not skip:
                 if len(inner) > len(held):
                     tiers.setdefault(judgement["holds"], [])
-                walk(kid, judgement, inner)
-            if not inline:
-                end_block()
-
-    walk(root, wrapper, frozenset([wrapper["holds"]]) if wrapper["holds"] else frozenset())
-    end_block()
+                kid_block = block if inline else (kid.key, judgement, block[1], block[3] or bool(judgement and judgement["links"]))
+                walk(kid, judgement, inner, kid_block)
+                if not inline:
+                    end_block(kid_block)
+
+    start = (root.key, wrapper, wrapper, False)
+    walk(root, wrapper, frozenset([wrapper["holds"]]) if wrapper["holds"] else frozenset(), start)
+    end_block(start)
+    # a page that shows nothing but its host's blocks keeps them
+    texts = {tier: [t for t, hosts in blocks if not hosts] or [t for t, _ in blocks] for tier, blocks in tiers.items()}
+    longest = max((sum(map(len, blocks)) for blocks in texts.values()), default=0)
     for tier in (ARTICLE, MAIN, DENSE):
-        if tier in tiers:
-            return "\n\n".join(tiers[tier])
+        if tier in texts and (tier in wrapper["trusted"] or 2 * sum(map(len, texts[tier])) >= longest):
+            return "\n\n".join(texts[tier])
     return ""
 
 
@@ -451,7 +560,7 @@ def fit_wrappers(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                entry = skeleton(parse(page.as_py()))
+                entry = skeleton(note_blocks(parse(page.as_py())))
                 found = hosts.setdefault(host, {})
                 seen[host] = seen.get(host, 0) + 1
                 form = shape(entry)
@@ -467,6 +576,10 @@ def fit_wrappers(pages: DataFrame) -> DataFrame:
         if hosts:
             yield hand_on()
 
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        out = align(rows)
+        return out.assign(wrapper=[json.dumps(forgetful(json.loads(w))) for w in out["wrapper"]])
+
     def align(rows: pd.DataFrame) -> pd.DataFrame:
         one = align_all([json.loads(w) for w in rows["wrapper"]])
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(one)], "pages": [rows["pages"].sum()]})
@@ -474,7 +587,7 @@ def fit_wrappers(pages: DataFrame) -> DataFrame:
     kind = "host string, wrapper string, pages long"
     parts = pages.mapInArrow(own, kind).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     parts = parts.groupBy("host", "salt").applyInPandas(align, kind)
-    return parts.groupBy("host").applyInPandas(align, kind)
+    return parts.groupBy("host").applyInPandas(whole, kind)
 
 
 @lru_cache(maxsize=256)

@@ -180,6 +180,41 @@ def test_theme_classes_are_no_furniture(spark):
     assert extracted(spark, plain) == [want(i, 3) for i in range(6)]
 
 
+def test_wrapper_decides_the_text(spark):
+    def page(i, n, article="article", extra=""):
+        paragraphs = "".join(f"<p>Paragraph {j} of page {i} has its own words and no others." for j in range(n))
+        cards = "".join(f"<div class=card><p>Card {j} of {i}<p>Read more</div>" for j in range(2))
+        return (f"<body><div class=top>Site</div><{article} class=x><h1>Title {i}</h1>{paragraphs}<p>Get our <b>letter</b> by mail.{extra}<div class=tags><a href=/a>Tag {i}</a> <a href=/b>Tag b</a></div>"
+                f"{cards}<blockquote>Quote {i}</blockquote><div class=note><span>All rights reserved.</span></div><ul><li>fixed<li>list</ul></{article}></body>")
+
+    def want(i, n):
+        return "\n\n".join([f"Title {i}", *[f"Paragraph {j} of page {i} has its own words and no others." for j in range(n)], f"Card 0 of {i}", f"Card 1 of {i}", f"Quote {i}", "fixed", "list"])
+
+    for article in ("article", "div"):
+        assert extracted(spark, [page(i, 1 + i % 4, article) for i in range(8)]) == [want(i, 1 + i % 4) for i in range(8)]
+    # copies of one page are no template
+    copy = extracted(spark, [page(1, 3)] * 4)
+    assert copy == extracted(spark, [page(1, 3)]) * 4 and "Get our letter by mail." in copy[0]
+    # articles that are teasers beside the text
+    teasers = [f"<body><div class=story><h1>T{i}</h1>{''.join(f'<p>Paragraph {j} of {i} is much longer than any of the teasers.' for j in range(5))}</div><article>Short {i}</article></body>" for i in range(4)]
+    assert all("Paragraph 4" in t and "Short" not in t for t in extracted(spark, teasers))
+
+
+def test_large_levels_align_exactly(monkeypatch):
+    rng = random.Random(5)
+    for cells in (250_000, 4):
+        monkeypatch.setattr(html_wrappers, "LCS_CELLS", cells)
+        for _ in range(200):
+            a, b = (["".join(rng.choice("abcd")) for _ in range(rng.randint(0, 14))] for _ in "ab")
+            longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+            found = html_wrappers._matches(a, b)
+            assert len(found) == longest[-1][-1] and all(a[i] == b[j] for i, j in found)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+
+
 def test_page_query(spark):
     import html
 
