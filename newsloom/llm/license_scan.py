@@ -9,8 +9,10 @@ matches are chained, per template, into the span of the text they cover.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -144,19 +146,30 @@ class Automaton:
             yield position, state, longest
 
 
+    def places(self, state: int, longest: int) -> Iterator[tuple[int, int, int]]:
+        """(template, position, length) of all places where at least LONG_MATCH of the last words end, each at its longest."""
+        seen: set[tuple[int, int]] = set()
+        while longest >= LONG_MATCH:
+            for place in self.ends[state]:
+                if place not in seen:
+                    seen.add(place)
+                    yield *place, longest
+            state = self.link[state]
+            longest = self.length[state]
+
+
 @lru_cache(maxsize=2)
 def automaton(templates: tuple = tuple(TEMPLATES.items()), phrases: tuple = tuple(PHRASES.items())) -> Automaton:
     """One automaton per worker process."""
     return Automaton(dict(templates), dict(phrases))
 
 
-def chained(matches: list[tuple[int, int, int]], size: int) -> tuple[int, int, int]:
-    """(covered template words, first, last text word) of the best chain of (text end, template end, length).
+def chained(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(covered template words, first, last text word) of the chain of (text end, template end, length) that ends at each match, best first.
 
     Matches follow one another in text and template; between two of them at
     most MAX_GAP words of either are skipped.
     """
-    best = (0, -1, -1)
     runs: list[tuple[int, int, int, int]] = []  # text end, template end, covered, first text word
     for text_end, template_end, length in sorted(matches):
         covered, first = length, text_end - length + 1
@@ -167,8 +180,36 @@ def chained(matches: list[tuple[int, int, int]], size: int) -> tuple[int, int, i
             if t < template_end and template_end - length - t <= MAX_GAP and gain > 0 and c + gain > covered:
                 covered, first = c + gain, f
         runs.append((text_end, template_end, covered, first))
-        best = max(best, (covered, first, text_end), key=lambda x: x[0])
-    return min(best[0], size), best[1], best[2]
+    return sorted(((min(c, size), f, e) for e, _, c, f in runs), key=lambda x: (-x[0], x[2]))
+
+
+def all_chains(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """All chains that reach LEAST_COVER, none over another, better ones first; what they leave is chained again."""
+    taken: list[tuple[int, int, int]] = []  # first, last, covered; in order
+    while matches:
+        found = len(taken)
+        for covered, first, last in chained(matches, size):
+            if covered < LEAST_COVER * size:
+                break
+            at = bisect(taken, (last + 1,))  # the spans before start at or before the chain's end
+            if not at or taken[at - 1][1] < first:
+                taken.insert(at, (first, last, covered))
+        if len(taken) == found:
+            break
+        matches = [part for match in matches for part in _outside(match, taken)]
+    return [(covered, first, last) for first, last, covered in taken]
+
+
+def _outside(match: tuple[int, int, int], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The parts of a match, still long, that lie in no taken span."""
+    text_end, template_end, length = match
+    out, start = [], text_end - length + 1
+    at = max(bisect(taken, (start + 1,)) - 1, 0)
+    for first, last, _ in [*takewhile(lambda s: s[0] <= text_end, islice(taken, at, None)), (text_end + 1, text_end + 1, 0)]:
+        if first - start >= LONG_MATCH:
+            out.append((first - 1, template_end - (text_end - first + 1), first - start))
+        start = max(start, last + 1)
+    return out
 
 
 def scan_text(machine: Automaton, text: str | None) -> dict:
@@ -181,23 +222,20 @@ def scan_text(machine: Automaton, text: str | None) -> dict:
     for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1) if len(known) else []:
         if len(run) < 2:
             continue
-        last: tuple[int, int, int] | None = None
-        for at in [*machine.stream(ids[run[0]:run[-1] + 1].tolist(), int(run[0])), None]:
-            # a match is maximal where the next word does not prolong it
-            if last is not None and last[2] >= LONG_MATCH and (at is None or at[2] <= last[2]):
-                for template, end in machine.ends[last[1]]:
-                    long_ends.setdefault(template, []).append((last[0], end, last[2]))
-            if at is None:
-                break
-            for length, label in machine.said[at[1]]:
-                if length <= at[2]:
-                    found.append((at[0] - length + 1, label))
-            last = at
+        words_known = ids[run[0]:run[-1] + 1].tolist()
+        for (position, state, longest), following in zip(machine.stream(words_known, int(run[0])), [*words_known[1:], -1]):
+            if longest >= LONG_MATCH:
+                for template, end, length in machine.places(state, longest):
+                    # in this place the match is maximal where the next word does not prolong it
+                    if machine.templates[template][1][end + 1:end + 2] != [following]:
+                        long_ends.setdefault(template, []).append((position, end, length))
+            for length, label in machine.said[state]:
+                if length <= longest:
+                    found.append((position - length + 1, label))
     spans = []
     for template, matches in long_ends.items():
         name, ids_of = machine.templates[template]
-        covered, first, end = chained(matches, len(ids_of))
-        if covered >= LEAST_COVER * len(ids_of):
+        for covered, first, end in all_chains(matches, len(ids_of)):
             spans.append({"label": name, "first": first, "last": end, "cover": covered / len(ids_of)})
     base = sorted({label for _, label in found})
     return {
@@ -217,7 +255,7 @@ def scan(df: DataFrame, text_column: str = "text") -> DataFrame:
 
     n_words; n_base, first_word, last_word and base_labels of the base
     phrases (null places where there is none); spans: label, first and last
-    word and cover of each chained template; labels of both, sorted; score: 1
+    word and cover of each chained template, once for every copy; labels of both, sorted; score: 1
     with a base phrase, else the best cover. A null text counts as empty.
     """
 

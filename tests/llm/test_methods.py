@@ -118,6 +118,36 @@ def test_licence_spans():
     assert plain["labels"] == ""
 
 
+def test_every_copy_of_a_licence():
+    machine, mit, bsd = license_scan.automaton(), license_scan.TEMPLATES["mit"], license_scan.TEMPLATES["bsd"]
+    n, m = len(license_scan.words_of(mit)), len(license_scan.words_of(bsd))
+    got = license_scan.scan_text(machine, " ".join([mit, "left pad", bsd, mit, mit, "zz " * 50, mit]))
+    assert [(s["label"], s["first"], s["last"], s["cover"]) for s in got["spans"] if s["label"] in ("mit", "bsd")] == [
+        ("mit", 0, n - 1, 1), ("bsd", n + 2, n + m + 1, 1), ("mit", n + m + 2, 2 * n + m + 1, 1), ("mit", 2 * n + m + 2, 3 * n + m + 1, 1), ("mit", 3 * n + m + 52, 4 * n + m + 51, 1)]
+    many = license_scan.scan_text(machine, (mit + "\n") * 3000)["spans"]
+    assert [s["first"] for s in many if s["label"] == "mit"] == [n * i for i in range(3000)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40))
+def test_all_places_of_long_matches(words):
+    templates = {"x": "a b a b c a d a b c a d d", "y": "b c a d a b c d b a a b"}
+    machine = license_scan.Automaton(templates, {"c a": "p"})
+    ids = [machine.word_ids[w.encode()] for w in words]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(license_scan, "LONG_MATCH", 2)
+        for at, state, longest in machine.stream(ids, 0):
+            want = set()
+            for t, (_, own) in enumerate(machine.templates):
+                for end in range(len(own)):
+                    k = 0
+                    while k <= min(at, end) and own[end - k] == ids[at - k]:
+                        k += 1
+                    if k >= 2:
+                        want.add((t, end, k))
+            assert set(machine.places(state, longest)) == want
+
+
 def test_licence_query(spark):
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in QUERIES["op2_license_scan"](spark, DATA).collect()}
     assert got == {i: brute_licences(t) for i, t, _ in documents()}
