@@ -284,13 +284,24 @@ def community_citations(members: DataFrame, graph: Graph, limit: int | None = No
     return ranked.select("seed", "rank", "place", "title", "url", "source")
 
 
+DATE_COLUMNS = ["published_at", "observed_at", "valid_from", "valid_until", "event_date", "ingested_at"]
+
+
+def temporal_range(members: DataFrame) -> DataFrame:
+    """(seed, start_at, end_at): first and last of all dates that the nodes have, in those of DATE_COLUMNS that there are."""
+    dates = F.array(*[F.col(c).cast("string") for c in DATE_COLUMNS if c in members.columns])
+    each = members.select("seed", F.explode(dates).alias("at"))
+    order = F.struct(F.col("at").try_cast("timestamp"), "at")
+    return each.filter(F.coalesce("at", F.lit("")) != "").groupBy("seed").agg(F.min_by("at", order).alias("start_at"), F.max_by("at", order).alias("end_at"))
+
+
 def communities(graph: Graph, adjacent: DataFrame, seeds: DataFrame, max_nodes: int = 16, max_citations: int = 10) -> Communities:
     members = stage(neighborhoods(seeds, adjacent, max_nodes), "members")
     inner = adjacent.join(small(members.select("seed", F.col("node"))), "node").join(
         small(members.select("seed", F.col("node").alias("neighbor"))), ["seed", "neighbor"])
     types = inner.select("seed", "type").distinct().groupBy("seed").agg(F.array_join(F.sort_array(F.collect_set("type")), "|").alias("edge_types"))
     attributed = graph.nodes.join(small(members), graph.nodes["id"] == members["node"])
-    span = attributed.groupBy("seed").agg(F.min("published_at").alias("start_at"), F.max("published_at").alias("end_at"))
+    span = temporal_range(attributed)
     ids = members.groupBy("seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda s: s.node), "|").alias("node_ids"))
     summary = ids.join(types, "seed", "left").join(span, "seed", "left").withColumn(
         "community_id", F.concat(F.lit("community:"), tx.stable_hash(F.concat("seed", F.lit(":"), "node_ids"), 16)))

@@ -124,12 +124,19 @@ def score(rule_rows: DataFrame, weights: DataFrame, key: str = "output_id", thre
     return total.select(key, value.alias("score"), F.when(passed, "pass").otherwise("fail").alias("verdict"), "required_failures", "failures")
 
 
+FINDINGS = ("assertions", "feedback", "required_fixes")
+
+
 def combine_reports(reports: DataFrame, key: str = "output_id", threshold: float = rules.MIN_SCORE) -> DataFrame:
-    """Mean of clamped evaluator scores and merged counts. ``reports`` has
-    ``score, required_failures``; a null score counts as 0."""
+    """Mean of clamped evaluator scores, merged counts and merged findings.
+    ``reports`` has ``score, required_failures``; a null score counts as 0.
+    Findings are the array columns of FINDINGS that it has, put one after
+    another by its ``position``."""
     clamped = F.least(F.greatest(F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return reports.groupBy(key).agg(
-        F.round(F.avg(clamped), 4).alias("score"), F.count("*").alias("n_reports"), F.sum("required_failures").alias("required_failures")
+        F.round(F.avg(clamped), 4).alias("score"), F.count("*").alias("n_reports"), F.sum("required_failures").alias("required_failures"),
+        *[F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", F.col(c).alias("found"))).cast(f"array<struct<position:int,found:array<string>>>")), lambda r: F.coalesce(r.found, F.array().cast("array<string>")))).alias(c)
+          for c in FINDINGS if c in reports.columns]
     ).withColumn("verdict", F.when(F.col("score") >= threshold, "pass").otherwise("fail"))
 
 
@@ -143,11 +150,13 @@ Evaluator = Callable[[DataFrame], DataFrame]
 
 def run_evaluators(outputs: DataFrame, evaluators: dict[str, Evaluator]) -> DataFrame:
     """Mean over custom evaluators, each from outputs to ``output_id,
-    score, required_failures``."""
+    score, required_failures`` and any of FINDINGS, arrays of strings."""
     merged = None
-    for name, fn in evaluators.items():
-        part = fn(outputs).select("output_id", F.col("score").cast("double").alias("score"), F.col("required_failures").cast("bigint").alias("required_failures")).withColumn("evaluator", F.lit(name))
-        merged = part if merged is None else merged.unionByName(part)
+    for position, (name, fn) in enumerate(evaluators.items()):
+        report = fn(outputs)
+        part = report.select("output_id", F.col("score").cast("double").alias("score"), F.col("required_failures").cast("bigint").alias("required_failures"), *[c for c in FINDINGS if c in report.columns]).withColumns(
+            {"evaluator": F.lit(name), "position": F.lit(position)})
+        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
     return combine_reports(merged)
 
 

@@ -281,3 +281,22 @@ def test_related_urls_and_transcripts_join_stories(spark):
     got = {r.id: (list(r.entities), "Zorblax" in r.source_text) for r in daily.collect()}
     assert got == {1: ([], False), 2: (["Zorblax"], True), 3: (["Zorblax"], True)}
     assert {r.id: r.cluster for r in br.story_clusters(daily).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_merged_findings_of_evaluators(spark):
+    from newsloom.operators import quality as ql
+
+    outputs = spark.createDataFrame([(1,), (2,)], "output_id long")
+    words = lambda df: df.select("output_id", F.lit(2.0).alias("score"), F.lit(0).alias("required_failures"), F.array(F.lit("z"), F.lit("short")).alias("feedback"))
+    links = lambda df: df.select("output_id", F.lit(0.5).alias("score"), F.lit(1).alias("required_failures"), F.when(F.col("output_id") == 1, F.array(F.lit("dead link"))).alias("feedback"), F.array(F.lit("fix")).alias("required_fixes"))
+    got = {r.output_id: r.asDict() for r in ql.run_evaluators(outputs, {"words": words, "links": links}).collect()}
+    common = {"score": 0.75, "n_reports": 2, "required_failures": 1, "verdict": "fail", "required_fixes": ["fix"]}
+    assert got == {1: {"output_id": 1, "feedback": ["z", "short", "dead link"], **common}, 2: {"output_id": 2, "feedback": ["z", "short"], **common}}
+
+
+def test_temporal_range_reads_all_dates(spark):
+    from newsloom.operators import graph as gr
+
+    rows = [("s", "2026-05-02", None, "2026-05-01T23:00:00-05:00", None, "2026-05-09", ""), ("s", None, "2026-04-30T10:00:00Z", None, "2027-01-01", None, None), ("t", None, None, None, None, None, None)]
+    members = spark.createDataFrame(rows, "seed string, published_at string, observed_at string, valid_from string, valid_until string, event_date string, ingested_at string")
+    assert [tuple(r) for r in gr.temporal_range(members).collect()] == [("s", "2026-04-30T10:00:00Z", "2027-01-01")]
