@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import chat_format, decontamination, exact_dedup, html_wrappers, language_id, license_scan, minhash, sentencepiece_codec, sharding, warc
+from newsloom.llm import (chat_format, decontamination, exact_dedup, hard_negatives, html_wrappers, language_id, license_scan, minhash, sentencepiece_codec, sharding,
+                          toxicity, warc, whitening)
 from newsloom.llm.common import read_table
 
 FIXED_CONVERSATION = -7  # added to the table: a user and an assistant row that say control strings
@@ -95,7 +96,48 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(documents, labels.filter(~language_id.is_held_out()))
+    rows = documents.withColumn("held_out", language_id.is_held_out())
+    return toxicity.score(rows, model, threshold=0.7).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.vectors_of(read_table(spark, sf_dir, "embeddings"))
+    planted = F.when((F.col("id") % 7 == 0) & (F.col("id") != hard_negatives.NO_ID), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    is_anchor = (F.col("id") % 100 == 0) & (F.col("id") != hard_negatives.NO_ID)
+    return hard_negatives.mine(rows.withColumn("label", planted), is_anchor, positives=5, negatives=10)
+
+
+OP13_SQL = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score
+  FROM usable a JOIN usable c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_license_scan": op2_license_scan, "op3_html_extraction": op3_html_extraction, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_exact_dedup": op6_exact_dedup, "op7_minhash": op7_minhash, "op8_sentencepiece": op8_sentencepiece, "op9_chat_formatting": op9_chat_formatting, "op10_sharding": op10_sharding,
+    "op11_toxicity": op11_toxicity, "op12_whitening": op12_whitening, "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op13_hard_negatives": OP13_SQL}

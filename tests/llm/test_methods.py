@@ -38,7 +38,7 @@ def test_against_sql(spark, name):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert set(QUERIES) | {"pipeline"} <= set(names) and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(names) and len(QUERIES) == 13
 
 
 # ---- language
