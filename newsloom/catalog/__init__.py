@@ -3,7 +3,7 @@ SQL that states the expected result where SQL can state it."""
 
 from newsloom.catalog.base import REGISTRY, Tables
 from newsloom.catalog import (  # noqa: F401  (registration on import)
-    brief, dashboards, dedup, graph, joins, knowledge, ledger, pages, quality, scalars, search, streams,
+    artifacts, brief, dashboards, dedup, graph, joins, knowledge, ledger, pages, quality, scalars, search, streams,
 )
 
 __all__ = ["REGISTRY", "Tables"]

@@ -10,6 +10,8 @@ from newsloom.catalog.base import CORPUS_ENTITIES, CORPUS_TERMS, register
 from newsloom.catalog.graph import GRAPH, graph_of
 from newsloom.functions import text as tx
 from newsloom.operators import search as se
+from newsloom.operators.tagging import needles, tag_longest
+from newsloom.operators.timeband import nearest_in_time
 
 EVENT_TITLE = "CASE kind WHEN 'fr' THEN 'Join us ' || title WHEN 'de' THEN 'Meetup research ' || title ELSE title END"
 
@@ -194,13 +196,49 @@ def _(t):
     return se.related_nodes(*search_frames(t)).select("query_id", "id", "type", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-# whole documents fill the first places here, so sections are cut from a longer list
-DEPTH = 1000
+CUT = """SELECT query_id, section, id, rank, score FROM (
+  SELECT query_id, section, id, score, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, id) AS rank FROM (
+    SELECT *, lower(type) AS section FROM {found} WHERE type IN ('Entity', 'Claim', 'Topic') UNION ALL SELECT *, 'temporal' FROM {found} WHERE node_at IS NOT NULL)) WHERE rank <= 8"""
 
 
-@register("related_context", "T10", q.with_([*GRAPH, SEARCH[-1].replace("rank <= 24", f"rank <= {3 * DEPTH}")], """
-SELECT query_id, section, id, rank, score FROM (
-  SELECT query_id, section, id, score, row_number() OVER (PARTITION BY query_id, section ORDER BY rank) AS rank FROM (
-    SELECT *, lower(type) AS section FROM found WHERE type IN ('Entity', 'Claim', 'Topic') UNION ALL SELECT *, 'temporal' FROM found WHERE node_at IS NOT NULL)) WHERE rank <= 8"""))
+@register("related_context", "T10", q.with_(SEARCH, CUT.format(found="scored")))
 def _(t):
-    return se.related_context(se.related_nodes(*search_frames(t), limit=DEPTH)).withColumn("rank", F.col("rank").cast("bigint"))
+    return se.related_sections(*search_frames(t)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# whole texts fill the first places of every query, so the other nodes are asked
+OTHERS = "found_others AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE type <> 'TextSpan') WHERE rank <= 24)"
+
+
+@register("related_context_of_best", "T10", q.with_([*SEARCH, OTHERS], CUT.format(found="found_others")))
+def _(t):
+    queries, nodes = search_frames(t)
+    return se.related_context(se.related_nodes(queries, nodes.filter(F.col("type") != "TextSpan"))).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# documents ask for the events around noon of their day
+
+@register("temporal_neighbors", "J12", q.with_([q.ITEMS, """asking AS (SELECT id AS probe, CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR AS asked_at FROM items)""",
+    """gaps AS (SELECT asked_at, event_id AS id, abs(epoch_us(ts) - epoch_us(asked_at)) AS gap FROM events JOIN (SELECT DISTINCT asked_at FROM asking) ON ts BETWEEN asked_at - INTERVAL 3 DAY AND asked_at + INTERVAL 3 DAY)""",
+    """best AS (SELECT *, row_number() OVER (PARTITION BY asked_at ORDER BY gap, id) AS rank FROM gaps WHERE gap < 259200000000)"""], """
+SELECT probe, id, gap, rank FROM asking JOIN best USING (asked_at) WHERE rank <= 5"""))
+def _(t):
+    probes = t.items.select(F.col("id").alias("probe"), (F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")).alias("asked_at"))
+    rows = t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    return nearest_in_time(probes, rows).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+DICTIONARY = """dictionary AS (SELECT DISTINCT key FROM (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key FROM names) WHERE key <> '')"""
+
+
+@register("dictionary_tags", "T3", q.with_([q.OK_ITEMS, q.NAMES, DICTIONARY, """toks AS (
+  SELECT id, list_filter(regexp_split_to_array(lower(summary), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM items),
+grams AS (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM toks), range(1, 9) r(n) WHERE i + n - 1 <= len(w))""",
+    """longest AS (SELECT id, i, arg_max(key, n) AS key FROM grams JOIN dictionary USING (key) GROUP BY id, i)"""], """
+SELECT id, key, count(*) AS n, min(i) AS first_word FROM longest GROUP BY id, key"""))
+def _(t):
+    from newsloom.operators import knowledge as kn
+
+    names = kn.entity_evidence(t.ok_items).select("name")
+    found = tag_longest(t.items.select("id", "summary"), needles(names, "name", max_words=8), "id", "summary")
+    return found.groupBy("id", "key").agg(F.count("*").alias("n"), F.min("first_word").cast("bigint").alias("first_word"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom import rules
 from newsloom.functions import text as tx
 from newsloom.operators.ledger import first_per_key, top_per_key
-from newsloom.session import plan_bytes
+from newsloom.session import plan_bytes, small, stage
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
@@ -210,20 +210,67 @@ def related_nodes(
     size = plan_bytes(asked)
     asked_side = F.broadcast(asked) if size is not None and size <= broadcast_limit else asked
     dated = held.join(asked_side, "token").groupBy("query_id", "asked_at", "id", "type", "at").agg(F.count("*").alias("overlap"))
-    gap = F.abs(F.unix_micros(F.col("asked_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
-    bonus = F.when(gap < near_days * 86_400_000_000, 1).otherwise(0)
-    scored = dated.withColumn("score", F.col("overlap") + bonus)
+    scored = dated.withColumn("score", F.col("overlap") + _recent(near_days))
     return top_per_key(scored, ["query_id"], [F.desc("score"), "id"], 3 * limit).select("query_id", "id", "type", "at", "score", "rank")
 
 
 def related_context(found: DataFrame, limit: int = 8) -> DataFrame:
-    """The best ``limit`` entities, claims, topics and dated nodes."""
-    typed = found.filter(F.col("type").isin("Entity", "Claim", "Topic")).withColumn("section", F.lower("type"))
-    dated = found.filter(F.col("at").isNotNull()).withColumn("section", F.lit("temporal"))
-    both = typed.unionByName(dated).withColumnRenamed("rank", "overall")
+    """Sections as the reference cuts them, from the ``3 * limit`` best nodes of ``related_nodes`` whatever their type:
+    the best ``limit`` entities, claims, topics and dated nodes among those. Where other nodes lead, sections come out short."""
+    both = found.select("query_id", F.explode(sections_of()).alias("section"), F.col("rank").alias("overall"), "id", "score")
     return top_per_key(both, ["query_id", "section"], ["overall"], limit).select("query_id", "section", "rank", "id", "score")
 
 
+def sections_of() -> Column:
+    """Sections a node can stand in: its type's, and the dated one."""
+    typed = F.when(F.col("type").isin("Entity", "Claim", "Topic"), F.lower("type"))
+    return F.array_compact(F.array(typed, F.when(F.col("at").isNotNull(), F.lit("temporal"))))
+
+
+def _recent(near_days: int) -> Column:
+    gap = F.abs(F.unix_micros(F.col("asked_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
+    return F.when(gap < near_days * 86_400_000_000, 1).otherwise(0)
+
+
+def related_sections(queries: DataFrame, nodes: DataFrame, limit: int = 8, near_days: int = 3, pilot: int = 16) -> DataFrame:
+    """Per query and section the best ``limit`` nodes of all that match: (query_id, section, rank, id, score).
+
+    Scores are those of ``related_nodes``. An inverted index holds the uses of
+    each asked token, and per token and section the length and best entry of
+    its list. Exact scores of a ``pilot``-th of the nodes bound the last place
+    from below; the longest lists whose best entries together stay under that
+    bound cannot bring a node in, so their entries are left aside. A node found
+    in the other lists meets them only if it can still reach the bound.
+    """
+    asked = stage(queries.select("query_id", F.col("at").alias("asked_at"), F.explode(F.array_distinct(tx.search_tokens(F.col("text")))).alias("token")), "asked")
+    tokens = small(asked.select("token").distinct())
+    listed = nodes.withColumn("sections", sections_of()).filter(F.size("sections") > 0)
+    held = listed.select("id", "at", "sections", F.explode(tx.search_tokens(F.col("text"))).alias("token")).join(tokens, "token", "left_semi")
+    # a node's entries stand side by side, so they are counted before they are shuffled
+    held = held.groupBy("id", "at", "sections", "token").agg(F.count("*").alias("uses"))
+    index = stage(held.select(F.explode("sections").alias("section"), "token", "id", "at", "uses"), "token-index")
+
+    place = ["query_id", "section"]
+    first = index.filter(F.pmod(F.xxhash64("id"), F.lit(pilot)) == 0).join(small(asked), "token")
+    first = first.groupBy(*place, "id", "asked_at", "at").agg(F.sum("uses").alias("n")).select(*place, "id", (F.col("n") + _recent(near_days)).alias("score"))
+    first = top_per_key(first, place, [F.desc("score")], limit).groupBy(*place).agg(F.min("score").alias("floor"), F.count("*").alias("_n"))
+    floors = first.filter(F.col("_n") == limit).drop("_n")
+
+    lists = index.groupBy("section", "token").agg(F.count("*").alias("length"), F.max("uses").alias("best"))
+    so_far = F.sum("best").over(Window.partitionBy(*place).orderBy(F.desc("length"), "token"))  # one query's tokens
+    bounds = asked.join(lists, "token").join(floors, place, "left").withColumn("aside", F.coalesce(so_far + 1 < F.col("floor"), F.lit(False)))
+    bounds = stage(bounds, "list-bounds")
+    rest = bounds.filter("aside").groupBy(*place).agg(F.sum("best").alias("rest"))
+    wanted = bounds.filter(~F.col("aside")).select(*place, "asked_at", "token", "floor").join(rest, place, "left")
+    part = index.join(small(wanted), ["section", "token"]).groupBy(*place, "asked_at", "id", "at", "floor", "rest").agg(F.sum("uses").alias("n"))
+    part = stage(part.filter(F.col("floor").isNull() | (F.col("n") + F.coalesce("rest", F.lit(0)) + 1 >= F.col("floor"))), "candidates")
+    left = bounds.filter("aside").select("query_id", "section", "token")
+    more = part.select("query_id", "section", "id").join(index.select("section", "id", "token", "uses"), ["section", "id"]).join(small(left), ["query_id", "section", "token"])
+    more = more.groupBy("query_id", "section", "id").agg(F.sum("uses").alias("m"))
+    scored = part.join(more, ["query_id", "section", "id"], "left").select(*place, "id", (F.col("n") + F.coalesce("m", F.lit(0)) + _recent(near_days)).alias("score"))
+    return top_per_key(scored, place, [F.desc("score"), "id"], limit).select("query_id", "section", "rank", "id", "score")
+
+
 # --- links between items -----------------------------------------------------------------
 
 def url_linkage(rows: DataFrame, item: str = "id", key: str = "url_key") -> DataFrame:
@@ -238,7 +285,6 @@ def star_links(held: DataFrame) -> DataFrame:
     """(item, anchor) for distinct (item, key) rows. The anchor is a
     partial aggregate; hot keys meet it through a broadcast lookup."""
     from newsloom.operators import skew
-    from newsloom.session import stage
 
     held = stage(held, "held")
     anchors = held.groupBy("key").agg(F.min("item").alias("anchor"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
