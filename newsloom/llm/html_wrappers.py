@@ -26,9 +26,10 @@ from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import spread_lookup, stage, text_or_empty
+from newsloom.llm.common import new_stage_path, shared_fs, text_or_empty
 
 # Tags by their meaning in HTML.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -44,6 +45,10 @@ FURNITURE_WORDS = set(
 PLACE_WORDS = set("area bar block bottom box container inner left list primary right secondary section site slot top unit wrap wrapper".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+HEAD_CONTENT = set("base basefont bgsound head html link meta noscript script style template title".split())
+CELLS = set("td th dt dd caption".split())
+# words that ids are made of where they name a part of the layout; other ids name places in a text
+ID_WORDS = FURNITURE_WORDS | PLACE_WORDS | set("article body content entry page post story text".split())
 BLOCKS_CLOSE_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 TOKEN = re.compile(
@@ -57,7 +62,8 @@ LEAST_PAGES = 3  # pages of a host that must show a text or link node before it
 SKELETONS = 64  # distinct skeletons of a host that a task holds before it aligns them
 HOSTS = 2_000  # wrappers a task holds before it hands them on
 SALTS = 64  # first-step groups per host
-BROADCAST_WRAPPERS = 5_000
+RARE = 32  # an optional entry that fewer than one in so many pages have is left out
+JUDGED = 256  # wrappers a worker keeps
 
 
 class Node:
@@ -71,10 +77,12 @@ class Node:
 
 
 def key_of(tag: str, attributes: str) -> str:
-    """Tag with its class, id and role, digits aside: what makes two tags the same in a wrapper."""
+    """Tag with its class, layout id and role, digits aside: what makes two tags the same in a wrapper."""
     if "=" not in attributes:
         return tag
     found = {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes)}
+    if "id" in found and not set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found["id"]).lower())) <= ID_WORDS:
+        del found["id"]
     marks = [("." if name == "class" else "#" if name == "id" else "@") + re.sub(r"\d+", "", " ".join(sorted(found[name].split()))) for name in ("class", "id", "role") if name in found]
     return " ".join([tag, *marks])
 
@@ -88,6 +96,8 @@ def parse(page: str) -> Node:
         found = TOKEN.search(page, position)
         start = found.start() if found else size
         if start > position:
+            if stack[-1].tag == "head" and not page[position:start].isspace():
+                _close(stack, {"head"}, set())
             stack[-1].kids.append(page[position:start])
         if not found:
             break
@@ -105,6 +115,8 @@ def parse(page: str) -> Node:
                     break
             continue
         attributes = found["attributes"] or found["rest"] or ""
+        if tag not in HEAD_CONTENT:
+            _close(stack, {"head"}, set())
         if tag in BLOCKS_CLOSE_P:
             _close(stack, {"p"}, {"article", "section", "div", "td", "th", "li", "blockquote", "body", "main"})
         if tag in CLOSES:
@@ -299,7 +311,17 @@ def absorb(into: list, entry: list) -> None:
 
 
 def align_all(wrappers: list[list]) -> list:
-    return reduce(merged, wrappers)
+    """One wrapper of several, the same in whatever order they come, without its rarest branches."""
+    return pruned(reduce(merged, sorted(wrappers, key=json.dumps)))
+
+
+def pruned(entry: list) -> list:
+    """Without optional entries that few of the pages have: what each page has for itself doesn't pile up.
+
+    Pages of a rare template are read by themselves.
+    """
+    entry[KIDS] = [pruned(e) for e in entry[KIDS] if not e[OPTIONAL] or e[SEEN] * RARE >= entry[SEEN]]
+    return entry
 
 
 def forgetful(entry: list) -> list:
@@ -485,18 +507,23 @@ def _kids(entry: list) -> list[list]:
 
 
 def text_of(root: Node, wrapper: dict) -> str:
-    """Blocks of the nodes that hold the article, without the host's own, joined by two line breaks."""
-    tiers: dict[int, list[tuple[str, bool]]] = {}  # blocks, and whether they are the host's
+    """Blocks of the nodes that hold the article, without the host's own, joined by two line breaks.
+
+    A heading that all pages show stays where text of the page follows it, and
+    so do such cells of a table: their places in the article are the page's.
+    """
+    tiers: dict[int, list[tuple[str, bool, bool]]] = {}  # blocks, whether they are the host's, whether they are headings
     open_blocks: dict[int, list[str]] = {}
 
     def end_block(block: tuple) -> None:
         key, own, above, links = block
+        tag = key.split(" ")[0]
         for tier, parts in open_blocks.items():
             if text := " ".join("".join(parts).split()):
-                hosts = links and key.split(" ")[0] not in HEADINGS
-                if not hosts and above and above["common"] and (above["varied"] or not (own and own["repeated"])):
+                hosts = links and tag not in HEADINGS
+                if not hosts and tag not in CELLS and above and above["common"] and (above["varied"] or not (own and own["repeated"])):
                     hosts = block_digest(key, text) in above["common"]
-                tiers.setdefault(tier, []).append((text, hosts))
+                tiers.setdefault(tier, []).append((text, hosts, tag in HEADINGS))
         open_blocks.clear()
 
     def walk(node: Node, entry: dict | None, held: frozenset[int], block: tuple) -> None:
@@ -529,7 +556,7 @@ def text_of(root: Node, wrapper: dict) -> str:
     walk(root, wrapper, frozenset([wrapper["holds"]]) if wrapper["holds"] else frozenset(), start)
     end_block(start)
     # a page that shows nothing but its host's blocks keeps them
-    texts = {tier: [t for t, hosts in blocks if not hosts] or [t for t, _ in blocks] for tier, blocks in tiers.items()}
+    texts = {tier: _of_page(blocks) or [t for t, *_ in blocks] for tier, blocks in tiers.items()}
     longest = max((sum(map(len, blocks)) for blocks in texts.values()), default=0)
     for tier in (ARTICLE, MAIN, DENSE):
         if tier in texts and (tier in wrapper["trusted"] or 2 * sum(map(len, texts[tier])) >= longest):
@@ -537,6 +564,25 @@ def text_of(root: Node, wrapper: dict) -> str:
     return ""
 
 
+def _of_page(blocks: list[tuple[str, bool, bool]]) -> list[str]:
+    """Blocks that are not the host's; a heading of the host stays with a block of the page below it."""
+    out: list[str] = []
+    waiting: list[str] = []
+    for text, hosts, heading in blocks:
+        if hosts and heading:
+            waiting = [text]
+        elif not hosts:
+            out += [*waiting, text]
+            waiting = []
+    return out
+
+
+def main_text(page: str, wrapper: dict | None) -> str:
+    """Text of a page by its host's verdicts; a page that has none of the nodes they speak of is judged by itself."""
+    root = parse(page)
+    return (wrapper and text_of(root, wrapper)) or text_of(root, judged(skeleton(note_blocks(root))))
+
+
 # ---- the Spark job
 
 def host_of(url: str | Column) -> Column:
@@ -590,32 +636,51 @@ def fit_wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(whole, kind)
 
 
-@lru_cache(maxsize=256)
-def _judged(wrapper: str) -> dict:
-    return judged(json.loads(wrapper))
+class Judgements:
+    """Verdicts by host from the written wrappers; a bounded number is kept."""
 
+    def __init__(self, path: str):
+        store, folder = shared_fs(path)
+        self.table = dataset.dataset(folder, filesystem=store, format="parquet")
+        self.known: dict[str, dict] = {}
+
+    def of(self, hosts: list[str]) -> dict[str, dict]:
+        """Verdicts of all these hosts, read in one pass over the files that can hold them."""
+        if missing := set(hosts) - self.known.keys():
+            if len(self.known) > JUDGED:
+                self.known = {h: self.known[h] for h in self.known.keys() & set(hosts)}
+            for part in self.table.to_batches(filter=dataset.field("host").isin(sorted(missing)), batch_size=64):
+                for host, wrapper in zip(part["host"].to_pylist(), part["wrapper"]):
+                    self.known[host] = judged(json.loads(wrapper.as_py()))
+        return self.known
+
+
+def main_text_column(page: Column, host: Column, path: str) -> Column:
+    """Main text of each page; a worker reads the wrappers of a batch's hosts from ``path``, each once."""
 
-def main_text_column(page: Column, wrapper: Column) -> Column:
     @F.arrow_udf("string")
-    def main_text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for pages, wrappers in batches:
-            yield pa.array([text_of(parse(p.as_py()), _judged(w.as_py())) for p, w in zip(pages, wrappers)], pa.string())
+    def texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        judgements = Judgements(path)
+        for pages, hosts in batches:
+            names = hosts.to_pylist()
+            for at in range(0, len(names), JUDGED):
+                known = judgements.of(names[at:at + JUDGED])
+                yield pa.array([main_text(p.as_py(), known.get(h)) for p, h in zip(pages[at:at + JUDGED], names[at:at + JUDGED])], pa.string())
 
-    return main_text(page, wrapper)
+    return texts(page, host)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null html counts as empty and gives an empty text; a null or odd URL
-    belongs to the host "". Repeated pages and ids each give their row; an
+    belongs to the host "". A page that has none of the nodes its host's
+    wrapper speaks of (a rare template) is judged by itself. Repeated pages and ids each give their row; an
     empty table gives no rows; other columns are not read.
     """
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), host_of(F.col(url_column).cast("string")).alias("host"), text_or_empty(html_column).alias("page"))
-    wrappers = stage(fit_wrappers(rows.select("host", "page")), "wrappers")
-    if wrappers.limit(BROADCAST_WRAPPERS + 1).count() <= BROADCAST_WRAPPERS:
-        rows = rows.join(F.broadcast(wrappers), "host", "left")
-    else:
-        rows = spread_lookup(rows, wrappers, "host", "pages", "page_id", wrappers.agg(F.sum("pages")).first()[0])
-    rows = rows.withColumn("text", main_text_column(F.col("page"), F.col("wrapper")))
+    path = new_stage_path(pages.sparkSession, "wrappers")
+    fit_wrappers(rows.select("host", "page")).select("host", "wrapper").sortWithinPartitions("host").write.option("maxRecordsPerFile", 256).parquet(path)
+    # pages of a host side by side, so that a task reads each wrapper once
+    rows = rows.sortWithinPartitions("host").withColumn("text", main_text_column(F.col("page"), F.col("host"), path))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
