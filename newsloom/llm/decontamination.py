@@ -15,9 +15,13 @@
 4. Candidates are verified by the weighted Jaccard similarity of the window's
    and the item's shingles (sum of smaller over sum of larger counts).
 
-At the threshold 0.8 about 98 of 100 window and item pairs lie within the
-radius, and a document has several windows around a passage; exact passages
-have distance 0.
+Items of few shingles spread too widely for the radius: up to SHORT shingles,
+a window meets every item that has its first shingle, which is exact. Items of
+under five words are one shingle, their whole sequence.
+
+At the threshold 0.8 about 98 of 100 pairs of a window and a longer item lie
+within the radius, and a document has several windows around a passage; exact
+passages have distance 0.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from newsloom.llm.common import bounded, stage, text_or_empty
 WIDTH = 5  # words per shingle
 THRESHOLD = 0.8
 BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 15
+SHORT = 7  # shingles of an item that is looked up by them
 MAX_SLOTS = 1 << 16  # of the bit set, 64 bits each: the bound on what reaches the driver and the plan
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -46,17 +51,26 @@ def _literal(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(_LONGS)
 
 
-def with_shingles(df: DataFrame, text_column: str, name: str = "h") -> DataFrame:
+def with_words(df: DataFrame, text_column: str) -> DataFrame:
+    """``df`` with the hash of each word as ``_words``."""
+    words = F.array_remove(F.split(F.lower(text_or_empty(text_column)), SEPARATORS), "")
+    return df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def with_shingles(df: DataFrame, text_column: str, name: str = "h", keep_words: bool = False) -> DataFrame:
     """``df`` with the hash of the five-word shingle at each position; none where the text has fewer words.
 
     Words are cut at ASCII characters that are no letter or digit, after
     lower-casing; null counts as empty. Word hashes are a column of their
     own, or they would be computed anew for every shingle.
     """
-    words = F.array_remove(F.split(F.lower(text_or_empty(text_column)), SEPARATORS), "")
-    df = df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
+    df = with_words(df, text_column)
     shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_words") - WIDTH, F.lit(0))), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WIDTH)]))
-    return df.withColumn(name, F.when(F.size("_words") < WIDTH, F.array().cast(_LONGS)).otherwise(shingles)).drop("_words")
+    return df.withColumn(name, F.when(F.size("_words") < WIDTH, F.array().cast(_LONGS)).otherwise(shingles)).drop(*[] if keep_words else ["_words"])
+
+
+def sequence_hash(words: Column) -> Column:
+    return F.aggregate(words, _long(0), lambda acc, w: F.xxhash64(acc, w))
 
 
 class BitSet:
@@ -103,14 +117,20 @@ def hamming_index(items: DataFrame) -> DataFrame:
     return rows.select(F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "block", "item", "item_fp")
 
 
+def named_index(items: DataFrame) -> DataFrame:
+    """The same columns for items that windows know by their number."""
+    return items.select((-1 - F.col("item")).alias("key"), F.lit(BLOCKS).alias("block"), "item", F.col("fp").alias("item_fp"))
+
+
 def in_radius(windows: DataFrame, index: DataFrame) -> DataFrame:
-    """Windows (with fp) joined with every item whose fingerprint is within RADIUS, once."""
-    probes = F.explode(F.array(*[block_key(F.col("fp"), b) for b in range(BLOCKS)]))
+    """Windows joined with the item they know (``known_item``), else with every item whose fingerprint is within RADIUS of fp, once."""
+    blocks = F.array(*[block_key(F.col("fp"), b) for b in range(BLOCKS)])
+    probes = F.explode(F.when(F.col("known_item").isNotNull(), F.array(-1 - F.col("known_item"))).otherwise(blocks))
     found = windows.withColumn("key", probes).join(bounded(index), "key")
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     near = [F.bit_count(F.shiftrightunsigned(differ, BLOCK_BITS * b).bitwiseAND(_long((1 << BLOCK_BITS) - 1))) <= RADIUS // BLOCKS for b in range(BLOCKS)]
     first = F.coalesce(*[F.when(n, F.lit(b)) for b, n in enumerate(near)])  # a pair that meets in several blocks counts in the first
-    return found.filter((F.bit_count(differ) <= RADIUS) & (first == F.col("block"))).drop("key", "block", "item_fp")
+    return found.filter(F.col("known_item").isNotNull() | ((F.bit_count(differ) <= RADIUS) & (first == F.col("block")))).drop("key", "block", "item_fp", "known_item")
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
@@ -126,36 +146,68 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
                  item_column: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame | None:
     """One row per document and item found in it: id, text_md5, item_id, start_word, n_words, similarity.
 
-    start_word (from 0) is the first best window's. Items of fewer than five
-    words are found nowhere: so short a phrase proves nothing. None if no item
-    can be found, because the benchmark is empty or has only such items. Rows
+    start_word (from 0) is the first best window's. An item of fewer than five
+    words is found where its words stand in sequence. None if no item can be
+    found, because the benchmark is empty or has no item with a word. Rows
     with null ids are searched too and are told apart by their texts' digest.
     """
-    items = with_shingles(benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("text")), "text").filter(F.size("h") > 0)
+    every = with_shingles(benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("text")), "text", keep_words=True).filter(F.size("_words") > 0)
     # a number of its own: item ids may be null or repeat
-    items = stage(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "h", simhash(F.col("h")).alias("fp")), "items")
+    every = stage(every.select(F.monotonically_increasing_id().alias("item"), "item_id", "h", "_words", simhash(F.col("h")).alias("fp")), "items")
+    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    parts = [p for p in (_similar(rows, every.filter(F.size("h") > 0).drop("_words"), threshold), _sequences(rows, every.filter(F.size("h") == 0))) if p is not None]
+    if not parts:
+        return None
+    found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best")
+    return found.groupBy("id", "text_md5", "item_id").agg(best).select(
+        "id", "text_md5", "item_id", (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
+
+
+def _sequences(rows: DataFrame, items: DataFrame) -> DataFrame | None:
+    """Places of items of under WIDTH words: (id, text_md5, item_id, start, n_words, similarity)."""
+    items = items.select("item_id", F.size("_words").alias("n_words"), sequence_hash(F.col("_words")).alias("hash"))
+    sizes = [r[0] for r in items.select("n_words").distinct().collect()]  # of 1 to 4
+    if not sizes:
+        return None
+    bits = BitSet(items.select(F.col("hash").alias("h")))
+
+    def sequences(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - n, F.lit(0)))
+        return F.struct(F.lit(n).alias("n_words"), F.transform(starts, lambda i: sequence_hash(F.slice("_words", i + 1, F.lit(n)))).alias("h"))
+
+    listed = with_words(rows, "text").select("id", F.md5("text").alias("text_md5"), F.size("_words").alias("total"), F.explode(F.array(*map(sequences, sizes))).alias("part"))
+    places = F.explode(F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: bits.has(F.get("h", i))))
+    listed = listed.select("id", "text_md5", "total", "part.n_words", "part.h").filter(F.col("total") >= F.col("n_words"))
+    listed = listed.select("id", "text_md5", "n_words", "h", places.alias("start")).select("id", "text_md5", "n_words", "start", F.get("h", F.col("start")).alias("hash"))
+    return listed.join(bounded(items), ["n_words", "hash"]).select("id", "text_md5", "item_id", "start", "n_words", F.lit(1.0).alias("similarity"))
+
+
+def _similar(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
+    """Windows of at least the threshold's similarity: (id, text_md5, item_id, start, n_words, similarity)."""
     most = items.agg(F.max(F.size("h"))).first()[0]
     if not most:
         return None
     known = stage(items.select(F.explode("h").alias("h"), F.size("h").alias("n")).distinct(), "item-shingles")
     bits = BitSet(known)
 
-    rows = with_shingles(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "text")
+    rows = with_shingles(rows, "text")
     # the generator takes an expression, not a column: then no filter is inferred that would evaluate it twice
     starts = F.explode(F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: bits.has(F.get("h", i))))
     starts = rows.select("id", "text", "h", starts.alias("start")).select("id", F.md5("text").alias("text_md5"), "start", F.get("h", F.col("start")).alias("first"),
                                                                    F.slice("h", F.col("start") + 1, F.lit(most)).alias("window"))
-    sizes = bounded(known.select(F.col("h").alias("first"), "n"))
-    windows = starts.join(sizes, "first").select("id", "text_md5", "start", "n", F.slice("window", F.lit(1), F.col("n")).alias("window"))
+    short = items.filter(F.size("h") <= SHORT)
+    sizes = known.filter(F.col("n") > SHORT).select(F.col("h").alias("first"), "n", F.lit(None).cast("long").alias("known_item"))
+    named = short.select(F.explode(F.array_distinct("h")).alias("first"), F.size("h").alias("n"), F.col("item").alias("known_item"))
+    windows = starts.join(bounded(stage(sizes.union(named), "item-sizes")), "first").select(
+        "id", "text_md5", "start", "n", "known_item", F.slice("window", F.lit(1), F.col("n")).alias("window"))
     # of so many shingles, at least these must be some item's
     windows = windows.filter(F.size(F.filter("window", lambda h: bits.has(h))) * (1 + threshold) >= threshold * (F.size("window") + F.col("n")) - 1e-9)
-    windows = windows.withColumn("fp", simhash(F.col("window")))
-    found = in_radius(windows, stage(hamming_index(items), "hamming-index"))
+    windows = windows.withColumn("fp", F.when(F.col("known_item").isNull(), simhash(F.col("window"))))
+    found = in_radius(windows, stage(hamming_index(items.filter(F.size("h") > SHORT)).union(named_index(short)), "hamming-index"))
     found = found.join(bounded(items.select("item", "item_id", F.col("h").alias("shingles"))), "item")
     found = found.withColumn("similarity", weighted_similarity(F.col("window"), F.col("shingles"))).filter(F.col("similarity") >= threshold - 1e-9)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.size("window") + WIDTH - 1).alias("n_words"))).alias("best")
-    return found.groupBy("id", "text_md5", "item_id").agg(best).select(
-        "id", "text_md5", "item_id", (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
+    return found.select("id", "text_md5", "item_id", "start", (F.size("window") + WIDTH - 1).alias("n_words"), "similarity")
 
 
 def without_contaminated(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -78,7 +78,8 @@ def test_decontamination(docs, none, spark):
     assert got == {(1, 1, 1, 5), (None, 1, 1, 5), (1, None, 0, 7), (None, None, 0, 7)}
     kept = decontamination.without_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2
-    assert decontamination.contaminated(docs, bench.filter("item_id = 3")) is None
+    assert decontamination.contaminated(docs, bench.filter("item_id = 3")).count() == 0
+    assert decontamination.contaminated(docs, bench.filter("item_id = 2")) is None
     assert decontamination.without_contaminated(docs, bench.limit(0)).count() == len(ROWS)
     assert decontamination.contaminated(none, bench).count() == 0
 
