@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page id: a histogram of bytes over the id range
-gives the shard borders, so a rerun makes the same shards. Each shard is one
+Records are range-sorted by page id and, where ids repeat or are null, by
+digest: quantiles of a sample that is drawn by bytes and by the records' own
+hashes give the shard borders, so a rerun makes the same shards. Each shard is one
 task, which regenerates record headers, HTTP headers and digests, compresses
 record by record and rolls to the next file once the compressed size is
 reached. A file is written under a temporary name and renamed; the job's
@@ -18,18 +19,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm.common import new_stage_path, shared_fs, spread_lookup, stage, text_or_empty, write_file
 
 ROLL_BYTES = 32 * 1024 * 1024  # compressed size at which the next file begins
 SHARD_BYTES = 64 * 1024 * 1024  # payload bytes a task writes, about
-BINS = 4096  # of the histogram, and so the largest number of shards
+MAX_SHARDS = 16_384  # beyond, shards get larger
+SAMPLES_PER_SHARD = 16  # expected number of sampled records
+HEAD_BYTES = 800  # a record's own headers, about
+NO_ID = -(2 ** 63)  # a null id is written first
 DATE = "2024-01-01T00:00:00Z"  # a fixed date keeps reruns identical
 _PAYLOAD_LEAST = 0  # bytes: smaller payloads are never revisits
 
@@ -78,21 +83,42 @@ def _member(data: bytes) -> bytes:
     return deflate.compress(data) + deflate.flush()
 
 
-def shards_of(pages: DataFrame, id_column: str, bytes_column: str, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """(smallest id, ids per bin, shard of each bin): equal id bins, joined until a shard is full."""
-    edge = pages.agg(F.min(id_column), F.max(id_column)).first()
-    low, high = (edge[0] or 0), (edge[1] or 0)
-    step = (high - low) // BINS + 1
-    at = ((F.coalesce(F.col(id_column), F.lit(low)) - low) / F.lit(step)).cast("int")
-    sizes = dict(pages.groupBy(at.alias("bin")).agg(F.sum(bytes_column)).collect())  # a row per bin
-    shards, shard, held = [], 0, 0
-    for i in range(BINS):
-        size = int(sizes.get(i) or 0)
-        if held and held + size > shard_bytes:
-            shard, held = shard + 1, 0
-        held += size
-        shards.append(shard)
-    return low, step, shards
+def _place(payload_digest: Column) -> Column:
+    """(id, digest) of a record, in the order of the archive."""
+    return F.struct(F.coalesce(F.col("id"), F.lit(NO_ID)).alias("id"), F.conv(F.substring(payload_digest, 1, 15), 16, 10).cast("long").alias("d"))
+
+
+def shard_cuts(pages: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """Sorted first places of all shards but the first, at quantiles of a byte-weighted sample of (id, digest, bytes) rows.
+
+    At most MAX_SHARDS * SAMPLES_PER_SHARD places, about, reach the driver at
+    any input size. Only rows that repeat one id with one payload share a place.
+    """
+    size = F.col("bytes") + HEAD_BYTES
+    total = pages.agg(F.sum(size)).first()[0] or 0
+    shards = min(-(-total // shard_bytes), MAX_SHARDS)
+    if shards < 2:
+        return []
+    chance = F.pmod(F.xxhash64("id", "digest"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    place = _place(F.col("digest"))
+    drawn = sorted((r["id"], r["d"]) for r in pages.filter(chance < size * F.lit(shards * SAMPLES_PER_SHARD / total)).select(place.alias("p")).select("p.*").collect())
+    return sorted({drawn[i * len(drawn) // shards] for i in range(1, shards)}) if drawn else []
+
+
+def shard_of(place: Column, cuts: list[tuple[int, int]]) -> Column:
+    """Number of cuts at or before the place, found in two short steps."""
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda v: v <= place))
+
+    if not cuts:
+        return F.lit(0)
+    fan = max(int(len(cuts) ** 0.5), 1)
+    blocks = [cuts[i:i + fan] for i in range(0, len(cuts), fan)]
+    kind = "array<struct<id:bigint,d:bigint>>"
+    # one literal, folded once: a literal per cut would swell the plan
+    nested = F.from_json(F.lit(json.dumps([[{"id": i, "d": d} for i, d in b] for b in blocks])), f"array<{kind}>")
+    block = below(F.from_json(F.lit(json.dumps([{"id": b[0][0], "d": b[0][1]} for b in blocks])), kind))
+    return F.when(block == 0, 0).otherwise((block - 1) * fan + below(F.element_at(nested, F.greatest(block, F.lit(1)))))
 
 
 def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html",
@@ -106,20 +132,19 @@ def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column:
     spark = pages.sparkSession
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).cast("string").alias("url"), F.encode(text_or_empty(payload_column), "UTF-8").alias("payload"))
     slim = stage(rows.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes")), "warc-pages")
-    low, step, shards = shards_of(slim, "id", "bytes", shard_bytes)
+    cuts = shard_cuts(slim, shard_bytes)
 
     copies = slim.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("size")).filter("size > 1")
     copies = stage(copies, "warc-copies")  # payloads that occur again
     total = copies.agg(F.sum("size")).first()[0] or 0
+    rows = rows.withColumn("digest", F.sha1("payload"))
     if total:
-        rows = spread_lookup(rows.withColumn("digest", F.sha1("payload")), copies, "digest", "size", "id", total)
+        rows = spread_lookup(rows, copies, "digest", "size", "id", total)
         refers = F.when((F.octet_length("payload") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
     else:
         refers = F.lit(None).cast("long")
-    at = ((F.coalesce(F.col("id"), F.lit(low)) - low) / F.lit(step)).cast("int")
-    shard = F.element_at(F.array(*[F.lit(s) for s in shards]), at + 1)
-    rows = rows.select(shard.alias("shard"), "id", "url", "payload", refers.alias("refers_to"))
-    rows = rows.repartitionById(shards[-1] + 1, F.col("shard")).sortWithinPartitions("shard", "id", "url", "payload")
+    rows = rows.select(shard_of(_place(F.col("digest")), cuts).cast("int").alias("shard"), "id", "url", "payload", refers.alias("refers_to"))
+    rows = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "url", "payload")
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = uuid.uuid4().hex
