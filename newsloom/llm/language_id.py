@@ -10,26 +10,26 @@ of labelled rows; prediction reads every word of every text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.llm.common import blocks, release_memory, stage
 from newsloom.llm.pieces import MODEL_PATH, by_length, pieces
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")  # letters with their marks; number signs are no letters
 SAMPLE_ROWS = 1000  # expected number of labelled rows per language that the fit reads, whole
-MAX_LANGUAGES = 500  # the most frequent labels are learned
 ROUNDS = 2  # of expectation maximisation
 SMOOTHING = 0.1  # added to each expected count
 UNKNOWN_CHAR = 1e-9  # probability of a character that is no piece, in each language
-CACHE_WORDS = 60_000  # scored words a worker remembers
+CACHE_WORDS = 60_000  # scored words a worker remembers,
+CACHE_SCORES = 2_000_000  # and scores: with many languages, fewer words
 
 
 @dataclass(frozen=True)
@@ -140,9 +140,10 @@ def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lan
 
     A label with more than ``sample_rows`` rows is sampled by a hash of the
     id, at a rate that gives that many rows; smaller ones are read in full.
+    Every label is learned: the model holds labels x vocabulary doubles.
     """
     labelled = labelled.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
-    counts = labelled.groupBy(F.col(label_column).alias("label")).count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy(F.col(label_column).alias("label")).count().collect()
     vocabulary = pieces(path)
     start = _with_rows(np.repeat((1.0 / (np.argsort(np.argsort(vocabulary.ids)) + 2.0))[:, None], max(len(counts), 1), axis=1))
     start[:-2] /= start[:-2].sum(axis=0)
@@ -168,11 +169,13 @@ def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "lan
                 used = np.flatnonzero(got)
                 yield pd.DataFrame({"label": label, "piece": used.astype(np.int32), "n": got[used]})
 
-        found = words.mapInPandas(expect, "label string, piece int, n double").groupBy("label", "piece").agg(F.sum("n").alias("n")).toPandas()
+        found = words.mapInPandas(expect, "label string, piece int, n double").groupBy("label", "piece").agg(F.sum("n").alias("n"))
+        # a row per label, as large as its part of the model
+        found = found.groupBy("label").agg(F.collect_list("piece").alias("piece"), F.collect_list("n").alias("n")).toArrow()
         table = np.full((len(vocabulary.strings), len(languages)), SMOOTHING)
         where = {label: i for i, label in enumerate(languages)}
-        found = found.sort_values(["label", "piece"])
-        table[found["piece"], found["label"].map(where)] += found["n"].round(6)
+        for label, piece, n in zip(found["label"].to_pylist(), found["piece"], found["n"]):
+            table[piece.values.to_numpy(), where[label]] += n.values.to_numpy().round(6)
         model = Model(languages, _with_rows(table / table.sum(axis=0)), path)
     return model
 
@@ -216,7 +219,7 @@ class Scorer:
                 words += found
         if not self.model.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if len(self.place) > CACHE_WORDS:
+        if len(self.place) > min(CACHE_WORDS, CACHE_SCORES // len(self.model.languages)):
             self.place, self.table = {}, self.table[:0]
         if new := list(set(words).difference(self.place)):
             self.table = _grown(self.table, len(self.place), score_words(self.model, new))
