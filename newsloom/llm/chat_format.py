@@ -158,13 +158,12 @@ def unescape(text: Column) -> Column:
 
 
 def _role_out(role: Column) -> Column:
-    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    """One line: each backslash is followed by a letter that says what it stands for, so no two codes overlap."""
+    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n"))
 
 
 def _role_in(role: Column) -> Column:
-    # "\\n" (an escaped backslash before n) is no line break: hold escaped backslashes aside
-    held = F.replace(role, F.lit("\\\\"), F.lit("\u0000"))
-    return unescape(F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\")))
+    return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\")))
 
 
 def formatted(turns: Column) -> Column:
