@@ -9,7 +9,7 @@ from newsloom.catalog.base import register
 from newsloom.operators import citations as ct, pages as pg, transcripts as tr
 from newsloom.operators.ledger import latest_by_id
 from newsloom.session import new_stage_path, stage
-from newsloom.sources import catalogue, feeds, markdown, rss, sinks, snapshots
+from newsloom.sources import catalogue, feeds, markdown, rss, sinks, snapshots, versions
 
 TITLE = q.visible("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")
 
@@ -361,9 +361,9 @@ def _(t):
 @register("latest_snapshot_round_trip", "K1", q.with_([q.OK_ITEMS], "SELECT id, title, url FROM ok_items"))
 def _(t):
     path = new_stage_path(t.spark, "latest")
-    for rows in (t.items.limit(5), t.ok_items):  # the second write replaces the first
-        sinks.write_latest(rows.select("id", "title", "url"), path)
-    return t.spark.read.schema("id bigint, title string, url string").parquet(path)
+    for rows in (t.items.filter(F.col("status") != "ok"), t.ok_items):  # the second version replaces the first
+        versions.publish(rows.select("id", "title", "url"), path)
+    return versions.read_version(t.spark, path)
 
 
 @register("dated_archive_round_trip", "K3", """
@@ -371,11 +371,29 @@ SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, count(*) AS n, CASE WHEN
 def _(t):
     path = new_stage_path(t.spark, "archive")
     rows = t.events.select(F.to_date("ts").cast("string").alias("date"), "event_id", F.lit("first").alias("version"))
-    sinks.write_days(rows, path)
-    later = rows.filter(F.col("date") >= "2024-01-15").withColumn("version", F.lit("second"))
-    sinks.write_days(later, path)
-    stored = t.spark.read.schema("event_id bigint, version string, date string").parquet(path)
-    return stored.groupBy("date", "version").agg(F.count("*").alias("n"))
+    versions.publish_days(rows, path)
+    versions.publish_days(rows.filter(F.col("date") >= "2024-01-15").withColumn("version", F.lit("second")), path)
+    return versions.read_version(t.spark, path).groupBy("date", "version").agg(F.count("*").alias("n"))
+
+
+@register("guarded_publish", "Q15 A5 K1", q.with_([q.OK_ITEMS], """
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, (SELECT count(*) FROM ok_items) AS header_items, (SELECT strftime(min(day), '%Y-%m-%d') FROM ok_items) AS header_start,
+  (SELECT strftime(max(day), '%Y-%m-%d') FROM ok_items) AS header_end FROM ok_items GROUP BY ok_items.day"""))
+def _(t):
+    """Three deliveries of a snapshot: the second has too few items and is refused."""
+    path = new_stage_path(t.spark, "guarded")
+    header = {"items": F.count("*"), "start": F.min("day"), "end": F.max("day")}
+    least = t.ok_items.count() // 4
+    refuse = lambda found: None if found["items"] >= least else f"{found['items']} items of at least {least}"
+    rows = t.ok_items.select("id", "day", "title")
+    for part in (rows.filter("id % 2 = 0"), rows, rows.filter("id % 10 = 0")):
+        try:
+            versions.publish(part, path, header, refuse)
+        except versions.Rejected:
+            continue  # readers keep the version before
+    found = versions.VersionLog(t.spark, path).latest()[1]["metrics"]
+    stored = versions.read_version(t.spark, path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+    return stored.select("day", "n", F.lit(int(found["items"])).cast("bigint").alias("header_items"), F.lit(found["start"]).alias("header_start"), F.lit(found["end"]).alias("header_end"))
 
 
 @register("ledger_append_round_trip", "K4 S2", q.with_([q.LEDGER], """

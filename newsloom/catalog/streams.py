@@ -39,6 +39,32 @@ def stream(t, folder):
     return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), status.alias("status"), F.col("ts").alias("observed_at"), F.col("value").alias("score"), "event_type")
 
 
+HEARTBEAT = -1  # id of a record that only moves the watermark on
+ORDER = (3, 0, 5, 1, 4, 2)  # in which files arrive where the order must not matter
+
+
+def disordered(t, build, name):
+    """Runs ``build(stream)`` over the files in another order than their records', in two deliveries, and then two heartbeats:
+    the watermark moves after a batch, so what the first frees comes out with the second."""
+    folder = new_stage_path(t.spark, "arrivals")
+    out, checkpoint = sj.paths(t.spark, name)
+    events = t.read("events")
+    last, newest = events.agg(F.max("event_id"), F.max("ts")).first()
+    numbered = events.withColumn("_part", F.least(F.floor(F.col("event_id") * PARTS / ((last or 0) + 1)), F.lit(PARTS - 1)))
+    df = None
+    for delivery in (ORDER[:3], ORDER[3:]):
+        for part in delivery:
+            numbered.filter(F.col("_part") == part).drop("_part").orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(folder)
+        df = build(stream(t, folder))
+        sj.append_to(df, out, checkpoint)
+    for days in (100, 200):
+        beat = events.limit(1).select(*[(F.lit(newest) + F.expr(f"INTERVAL {days} DAYS")).cast(events.schema["ts"].dataType).alias("ts") if c == "ts"
+                                        else F.lit(HEARTBEAT).cast(events.schema[c].dataType).alias(c) if c in ("event_id", "user_id") else F.col(c) for c in events.columns])
+        beat.write.mode("append").parquet(folder)
+        sj.append_to(build(stream(t, folder)), out, checkpoint)
+    return t.spark.read.schema(df.schema).parquet(out).filter(F.col("id") != HEARTBEAT)
+
+
 def restarted(t, job):
     """Runs ``job(stream)`` on the first delivery, and again, from its checkpoint, after the second."""
     folder, deliver = parts_of(t)
@@ -96,18 +122,42 @@ def _(t):
     return out.select(F.col("start_day").cast("string").alias("start_day"), "n", F.round("total", 4).alias("total"))
 
 
-@register("stream_retry_queue", "I6 X19", q.with_([q.LEDGER, ATTEMPTS], f"""
-SELECT seq, id, attempt, {ISO.format("observed_at + to_minutes(CAST(least(1440, 5 * pow(2, attempt - 1)) AS BIGINT))")} AS due FROM tries"""))
+DUE = "observed_at + to_minutes(CAST(least(1440, 5 * pow(2, attempt - 1)) AS BIGINT))"
+
+
+@register("stream_retry_queue", "I6 X19", q.with_([q.LEDGER, ATTEMPTS, f"""
+due AS (SELECT id, attempt, {DUE} AS due, next_at FROM (SELECT *, lead(observed_at) OVER (PARTITION BY id ORDER BY seq) AS next_at, status = 'revisit_pending' AS failed FROM ledger) l
+  JOIN (SELECT seq, attempt FROM tries) USING (seq)),
+ends AS (SELECT *, lag(attempt) OVER (PARTITION BY id ORDER BY seq) AS before FROM (SELECT * FROM ledger LEFT JOIN (SELECT seq, attempt FROM tries) USING (seq)))"""], f"""
+SELECT 'scheduled' AS event, seq, id, attempt, {ISO.format(DUE)} AS due FROM tries
+UNION ALL SELECT 'due', -1, id, attempt, {ISO.format("due")} FROM due WHERE next_at IS NULL OR due <= next_at
+UNION ALL SELECT 'resolved', seq, id, before, NULL FROM ends WHERE attempt IS NULL AND before IS NOT NULL"""))
 def _(t):
-    found = run(t, lambda rows: sf.retry_queue(rows, "1 hour"), "retry")
-    return found.filter(F.col("event") == "scheduled").select("seq", "id", "attempt", iso("due").alias("due"))
+    found = disordered(t, lambda rows: sf.retry_queue(rows, "60 days"), "retry")
+    return found.select("event", "seq", "id", "attempt", iso("due").alias("due"))
 
 
 @register("stream_state_progress", "I7", q.with_([q.LEDGER], """
 SELECT id, seq, status, previous, coalesce(coalesce(previous, 'missing') = CASE status WHEN 'briefed' THEN 'parsed' WHEN 'enriched' THEN 'briefed' END, true) AS valid
 FROM (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY seq) AS previous FROM ledger)"""))
 def _(t):
-    return run(t, sf.state_progress, "states")
+    return disordered(t, lambda rows: sf.state_progress(rows, "60 days"), "states")
+
+
+@register("stream_late_rows", "I4", f"""
+WITH parted AS (SELECT *, CAST(least(floor(event_id * {PARTS} / ((SELECT max(event_id) FROM events) + 1)), {PARTS - 1}) AS INTEGER) AS part FROM events),
+placed AS (SELECT part, list_position({list(ORDER)}, part) AS place, max(ts) AS newest FROM parted GROUP BY part),
+marks AS (SELECT part, max(newest) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM placed)
+SELECT event_id AS seq, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, coalesce(ts < mark - INTERVAL 36 HOUR, false) AS late FROM parted JOIN marks USING (part)""")
+def _(t):
+    folder, (out, checkpoint) = new_stage_path(t.spark, "arrivals"), sj.paths(t.spark, "late")
+    events = t.read("events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    part = F.least(F.floor(F.col("event_id") * PARTS / (last + 1)), F.lit(PARTS - 1))
+    for number in ORDER:
+        events.filter(part == number).coalesce(1).write.mode("append").parquet(folder)
+        on_time, late = sj.split_late(stream(t, folder), "observed_at", "36 HOURS", out, checkpoint)
+    return on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))).select("seq", F.to_date("observed_at").cast("string").alias("day"), "late")
 
 
 @register("stream_static_join", "I8", q.with_([q.LEDGER], "SELECT seq, id, source, lang FROM ledger JOIN documents ON doc_id = id"))

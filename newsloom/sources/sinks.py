@@ -7,21 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newsloom import rules
 
 
-def write_latest(df: DataFrame, path: str) -> None:
-    """Replace the latest snapshot."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def write_families(df: DataFrame, path: str, family: str = "family") -> None:
     """One folder per feed family in a single job."""
     df.write.mode("overwrite").partitionBy(family).json(path)
 
 
-def write_days(df: DataFrame, path: str, day: str = "date") -> None:
-    """Dated archive: only the days present are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-
-
 def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

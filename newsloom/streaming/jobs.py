@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from newsloom.session import new_stage_path
+from newsloom.streaming.store import DeltaStore
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,23 +61,16 @@ class LateRows(StreamingQueryListener):
         pass
 
 
-def _updates(path: str) -> Callable[[DataFrame, int], None]:
-    def write(df: DataFrame, batch: int) -> None:
-        # one folder per batch id: a replayed batch overwrites itself
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-    return write
-
-
 def latest_per_id(stream: DataFrame, columns: list[str], path: str, checkpoint: str) -> DataFrame:
-    """Latest record per id: changed ids are written per batch, the newest
-    batch of an id is current."""
+    """Latest record per id: each batch adds its own latest ones, which are merged level by level."""
     row = F.struct("seq", *columns)
-    current = stream.groupBy("id").agg(F.max_by(row, "seq").alias("_r")).select("id", "_r.*")
-    per_batch(current, _updates(path), checkpoint, "update")
-    stored = stream.sparkSession.read.parquet(path)
-    newest = F.struct(*[c for c in stored.columns if c != "id"])
-    return stored.groupBy("id").agg(F.max_by(newest, "seq").alias("_r")).select("id", "_r.*").drop("batch")
+
+    def newest(df: DataFrame) -> DataFrame:
+        return df.groupBy("id").agg(F.max_by(row, "seq").alias("_r")).select("id", "_r.*")
+
+    store = DeltaStore(stream.sparkSession, path, stream.select("id", "seq", *columns).schema, newest)
+    per_batch(stream, lambda df, batch: store.add(batch, newest(df)), checkpoint)
+    return store.read()
 
 
 def first_within(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:
@@ -107,24 +101,16 @@ def with_known(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def upsert_day_index(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Day counts as one delta per batch id, added up on reading. Nothing is
-    kept in the process: a replayed batch replaces its delta, a restarted
-    stream goes on from the stored ones."""
-    spark = stream.sparkSession
-    schema = "day string, n bigint"
+    """Day counts as one delta per batch. Nothing is kept in the process: a
+    replayed batch is not added again, a restarted stream goes on from the
+    stored deltas."""
+    store = DeltaStore(stream.sparkSession, path, "day string, n bigint", lambda df: df.groupBy("day").agg(F.sum("n").alias("n")))
 
     def count(df: DataFrame, batch: int) -> None:
-        fresh = df.groupBy(F.to_date("observed_at").cast("string").alias("day")).agg(F.count("*").alias("n"))
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        store.add(batch, df.groupBy(F.to_date("observed_at").cast("string").alias("day")).agg(F.count("*").alias("n")))
 
-    _first_delta(spark, schema, path)
     per_batch(stream, count, checkpoint)
-    return spark.read.schema(schema).parquet(path).groupBy("day").agg(F.sum("n").alias("n"))
-
-
-def _first_delta(spark: SparkSession, schema: str, path: str) -> None:
-    """An empty delta, so an index without batches can be read."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return store.read()
 
 
 def merge_graph_batches(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -132,16 +118,42 @@ def merge_graph_batches(stream: DataFrame, path: str, checkpoint: str) -> DataFr
     the version that set it, so a late version never overrides a newer
     value, in its own batch or across batches."""
     attributes = [c for c in stream.columns if c not in ("id", "seq")]
-    schema = stream.select("id", *[F.struct(F.col(c).alias("value"), F.col("seq").alias("seq")).alias(c) for c in attributes]).schema
+    set_by = lambda c: F.struct(F.col(c).alias("value"), F.col("seq").alias("seq"))
+    schema = stream.select("id", *[set_by(c).alias(c) for c in attributes]).schema
+
+    def merge(df: DataFrame) -> DataFrame:
+        newest = [F.max_by(F.col(c), F.when(F.col(c)["value"].isNotNull(), F.col(c)["seq"])).alias(c) for c in attributes]
+        return df.groupBy("id").agg(*newest)
 
-    def merge(df: DataFrame, batch: int) -> None:
-        newest = [F.max_by(F.struct(F.col(c).alias("value"), F.col("seq").alias("seq")), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in attributes]
-        df.groupBy("id").agg(*newest).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    store = DeltaStore(stream.sparkSession, path, schema, merge)
+    per_batch(stream, lambda df, batch: store.add(batch, merge(df.select("id", *[set_by(c).alias(c) for c in attributes]))), checkpoint)
+    return store.read().select("id", *[F.col(c)["value"].alias(c) for c in attributes])
 
-    _first_delta(stream.sparkSession, schema, path)
-    per_batch(stream, merge, checkpoint)
-    stored = stream.sparkSession.read.schema(schema).parquet(path)
-    return stored.groupBy("id").agg(*[F.max_by(F.col(c)["value"], F.when(F.col(c)["value"].isNotNull(), F.col(c)["seq"])).alias(c) for c in attributes])
+
+def split_late(stream: DataFrame, time: str, lateness: str, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """(rows on time, late rows) as two tables; together they are all rows of the stream.
+
+    A row is late if its time lies more than ``lateness`` behind the newest
+    time of earlier batches. Each batch records its own newest time, one row,
+    so the mark of a batch is the same when it is run again; the batch's
+    folders are replaced whole.
+    """
+    spark = stream.sparkSession
+    marks = DeltaStore(spark, f"{path}/marks", "one int, newest timestamp", lambda df: df.groupBy("one").agg(F.max("newest").alias("newest")))
+    parts = {name: DeltaStore(spark, f"{path}/{name}", stream.schema, lambda df: df) for name in ("on_time", "late")}
+
+    def split(df: DataFrame, batch: int) -> None:
+        # marks of batches before this one: a replayed batch finds its own mark stored already
+        before = [s for s in marks.segments() if s["last"] < batch]
+        mark = marks._read(before).agg(F.max("newest")).first()[0] if before else None
+        at = F.col(time).cast("timestamp")
+        late = F.lit(False) if mark is None else F.coalesce(at < F.lit(mark) - F.expr(f"INTERVAL {lateness}"), F.lit(False))
+        parts["on_time"].add(batch, df.filter(~late))
+        parts["late"].add(batch, df.filter(late))
+        marks.add(batch, df.select(F.lit(1).alias("one"), at.alias("newest")).groupBy("one").agg(F.max("newest").alias("newest")))
+
+    per_batch(stream, split, checkpoint)
+    return parts["on_time"].read(), parts["late"].read()
 
 
 def paths(spark: SparkSession, name: str) -> tuple[str, str]:

@@ -1,4 +1,10 @@
-"""Keyed state: retry queue and document states."""
+"""Keyed state: retry queue and document states, in the order of event time.
+
+Records wait in a map of their id's state until the watermark has passed
+them; a timer then releases them in order. So files may arrive in any order
+within the allowed lateness and give what one sorted batch gives. Rows are
+read frame by frame, and results leave in frames of bounded size.
+"""
 
 from __future__ import annotations
 
@@ -13,83 +19,156 @@ from newsloom.streaming.jobs import ROCKSDB
 
 RETRY_SCHEMA = "id bigint, seq bigint, event string, attempt bigint, due timestamp"
 STATE_SCHEMA = "id bigint, seq bigint, status string, previous string, valid boolean"
+FRAME_ROWS = 10_000
+NEVER = 0
 
 
 def backoff_minutes(attempt: int) -> int:
     return min(1440, 5 * 2 ** min(max(0, attempt - 1), 20))
 
 
-class RetryQueue(StatefulProcessor):
-    """Counts failures per id, schedules the next check and fires it when
-    event time gets there; any other record clears the queue entry."""
+class InEventOrder(StatefulProcessor):
+    """Holds an id's records back until the watermark is at their time, then hands them on by (time, seq).
+
+    ``start`` gives an id's first state, a tuple of STATE; ``step(state, seq,
+    status, at)`` the next state and output rows; ``wake(state)`` a time at
+    which the id wants to act without a record, which ``woken(state, at)``
+    does. All times are in microseconds.
+    """
+
+    STATE = ""
+    COLUMNS: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.attempts = handle.getValueState("attempts", "attempts bigint, due bigint")
+        self.waiting = handle.getMapState("waiting", "at bigint, seq bigint", "status string")
+        self.own = handle.getValueState("own", self.STATE)
+        self.alarm = handle.getValueState("alarm", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq")  # one id's rows of one micro-batch
-        count, due = self.attempts.get() if self.attempts.exists() else (0, 0)
-        out = []
-        for seq, status, at in zip(batch["seq"], batch["status"], batch["at"]):
-            if due:
-                self.handle.deleteTimer(due)
-                due = 0
-            if status == "revisit_pending":
-                count += 1
-                check = at + pd.Timedelta(minutes=backoff_minutes(count))
-                due = int(check.timestamp() * 1000)
-                self.handle.registerTimer(due)
-                out.append((key[0], seq, "scheduled", count, check))
-            elif count:
-                out.append((key[0], seq, "resolved", count, None))
-                count = 0
-        self.attempts.update((count, due))
-        yield pd.DataFrame(out, columns=["id", "seq", "event", "attempt", "due"]).astype({"due": "datetime64[us]"})
+        first = NEVER
+        for frame in rows:
+            at = frame["at"].astype("datetime64[us]").astype("int64")
+            for when, seq, status in zip(at, frame["seq"], frame["status"]):
+                self.waiting.updateValue((int(when), int(seq)), (status,))
+                first = int(when) if first == NEVER else min(first, int(when))
+        self._set_alarm(first)
+        yield pd.DataFrame([], columns=self.COLUMNS).pipe(self.typed)
+
+    def _set_alarm(self, at: int) -> None:
+        """One timer an id: the earliest time at which something is to be done."""
+        now = self.alarm.get()[0] if self.alarm.exists() else NEVER
+        if at == NEVER or (now != NEVER and now <= at):
+            return
+        if now != NEVER:
+            self.handle.deleteTimer(-(-now // 1000))
+        self.handle.registerTimer(-(-at // 1000))
+        self.alarm.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        when = expiredTimerInfo.getExpiryTimeInMs()
-        count, due = self.attempts.get() if self.attempts.exists() else (0, 0)
-        if count and due == when:
-            self.attempts.update((count, 0))
-            yield pd.DataFrame({"id": [key[0]], "seq": [-1], "event": ["due"], "attempt": [count], "due": [pd.Timestamp(when, unit="ms")]}).astype({"due": "datetime64[us]"})
+        if not self.alarm.exists() or -(-self.alarm.get()[0] // 1000) != expiredTimerInfo.getExpiryTimeInMs():
+            return  # replaced by an earlier one
+        self.alarm.update((NEVER,))
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready = sorted(place for place in self.waiting.keys() if place[0] <= passed)  # what lateness holds back
+        state = self.own.get() if self.own.exists() else self.start()
+        out: list[tuple] = []
+        for at, seq in ready:
+            if (due := self.wake(state)) != NEVER and due <= at:
+                state, rows = self.woken(state, due)
+                out += [(key[0], *r) for r in rows]
+            state, rows = self.step(state, seq, self.waiting.getValue((at, seq))[0], at)
+            self.waiting.removeKey((at, seq))
+            out += [(key[0], *r) for r in rows]
+            if len(out) >= FRAME_ROWS:
+                yield pd.DataFrame(out, columns=self.COLUMNS).pipe(self.typed)
+                out = []
+        if (due := self.wake(state)) != NEVER and due <= passed:
+            state, rows = self.woken(state, due)
+            out += [(key[0], *r) for r in rows]
+        self.own.update(state)
+        coming = min((place[0] for place in self.waiting.keys()), default=NEVER)
+        times = [t for t in (coming, self.wake(state)) if t != NEVER]
+        if times:
+            self._set_alarm(min(times))
+        yield pd.DataFrame(out, columns=self.COLUMNS).pipe(self.typed)
+
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def step(self, state: tuple, seq: int, status: str, at: int) -> tuple[tuple, list[tuple]]:
+        raise NotImplementedError
+
+    def wake(self, state: tuple) -> int:
+        return NEVER
+
+    def woken(self, state: tuple, at: int) -> tuple[tuple, list[tuple]]:
+        return state, []
+
+    def typed(self, frame: pd.DataFrame) -> pd.DataFrame:
+        return frame
 
     def close(self) -> None:
         pass
 
 
-class StateProgress(StatefulProcessor):
+class RetryQueue(InEventOrder):
+    """Counts failures per id, schedules the next check and fires it when
+    event time gets there; any other record clears the queue entry."""
+
+    STATE = "attempts bigint, due bigint"
+    COLUMNS = ["id", "seq", "event", "attempt", "due"]
+
+    def start(self) -> tuple:
+        return 0, NEVER
+
+    def step(self, state, seq, status, at):
+        count = state[0]
+        if status == "revisit_pending":
+            due = at + backoff_minutes(count + 1) * 60_000_000
+            return (count + 1, due), [(seq, "scheduled", count + 1, due)]
+        return (0, NEVER), [(seq, "resolved", count, None)] if count else []
+
+    def wake(self, state):
+        return state[1]
+
+    def woken(self, state, at):
+        return (state[0], NEVER), [(-1, "due", state[0], at)]
+
+    def typed(self, frame: pd.DataFrame) -> pd.DataFrame:
+        due = pd.to_datetime(frame["due"].astype("Int64"), unit="us")
+        return frame.assign(due=due).astype({"id": "int64", "seq": "int64", "attempt": "int64", "event": "object", "due": "datetime64[us]"})
+
+
+class StateProgress(InEventOrder):
     """Emits every record with the state before it and whether the step is
     one the pipeline makes."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string")
+    STATE = "last string"
+    COLUMNS = ["id", "seq", "status", "previous", "valid"]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq")
-        previous = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for seq, status in zip(batch["seq"], batch["status"]):
-            need = rules.STATE_PRECONDITIONS.get(status)
-            out.append((key[0], seq, status, previous, need is None or previous == need))
-            previous = status
-        self.last.update((previous,))
-        yield pd.DataFrame(out, columns=["id", "seq", "status", "previous", "valid"])
+    def start(self) -> tuple:
+        return (None,)
 
-    def close(self) -> None:
-        pass
+    def step(self, state, seq, status, at):
+        need = rules.STATE_PRECONDITIONS.get(status)
+        return (status,), [(seq, status, state[0], need is None or state[0] == need)]
 
+    def typed(self, frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.astype({"id": "int64", "seq": "int64", "status": "object", "previous": "object", "valid": "bool"})
 
-def retry_queue(stream: DataFrame, lateness: str) -> DataFrame:
-    """Schedules, resolutions and due checks of ``id, seq, status,
-    observed_at`` records."""
+
+def _in_order(stream: DataFrame, processor: StatefulProcessor, schema: str, lateness: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.select("id", "seq", "status", F.col("observed_at").cast("timestamp").alias("at")).withWatermark("at", lateness)
-    return rows.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=RetryQueue(), outputStructType=RETRY_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-def state_progress(stream: DataFrame) -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.select("id", "seq", "status").groupBy("id").transformWithStateInPandas(
-        statefulProcessor=StateProgress(), outputStructType=STATE_SCHEMA, outputMode="Append", timeMode="None")
+def retry_queue(stream: DataFrame, lateness: str) -> DataFrame:
+    """Schedules, resolutions and due checks of ``id, seq, status,
+    observed_at`` records, each once the watermark has passed it."""
+    return _in_order(stream, RetryQueue(), RETRY_SCHEMA, lateness)
+
+
+def state_progress(stream: DataFrame, lateness: str) -> DataFrame:
+    return _in_order(stream, StateProgress(), STATE_SCHEMA, lateness)
