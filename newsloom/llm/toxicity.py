@@ -185,14 +185,27 @@ class LabelModel:
         self.a = np.full(voters + 2, 0.5)  # of each voter in toxic texts; then of silence and of the label 1
         self.b = np.full(voters + 2, 0.5)
         self.share = np.ones(voters + 2)
+        self.correlation = np.eye(voters)  # of the voters in toxic texts, where positive
         self.prior = prior
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(toxic | votes). votes: (rows, voters + 2) of 0 and 1; a voter's 0 is no vote, a label's 0 is a vote for clean."""
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of toxic. votes: (rows, voters + 2) of 0 and 1; a voter's 0 is no vote, a label's 0 is a vote for clean."""
         odds = np.log(self.prior / (1 - self.prior)) + votes[:, :-1] @ (self.share[:-1] * np.log(self.a[:-1] / self.b[:-1]))
         label = votes[:, -1]
-        odds += np.where(label == 1, np.log(self.a[-1] / self.b[-1]), np.log((1 - self.a[-1]) / (1 - self.b[-1])))
-        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        return odds + np.where(label == 1, np.log(self.a[-1] / self.b[-1]), np.log((1 - self.a[-1]) / (1 - self.b[-1])))
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.odds(votes))
+
+    def by_others(self, votes: np.ndarray) -> np.ndarray:
+        """(rows, voters): P(toxic) without what each voter, and others as far as they are correlated with it, have said."""
+        voters = len(self.correlation)
+        said = votes[:, :voters] * (self.share[:voters] * np.log(self.a[:voters] / self.b[:voters]))
+        return _sigmoid(self.odds(votes)[:, None] - said @ self.correlation)
+
+
+def _sigmoid(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
 def _votes(batch: pd.DataFrame) -> np.ndarray:
@@ -202,7 +215,9 @@ def _votes(batch: pd.DataFrame) -> np.ndarray:
 def fit_label_model(rows: DataFrame, voters: int, prior: float, rounds: int = ROUNDS) -> LabelModel:
     """rows: votes array<byte> (voters, then silence, then the label) and weight of each sampled text.
 
-    Each round is one pass over the rows, whose tasks give sums alone.
+    Each round is one pass over the rows, whose tasks give sums alone. A
+    voter's rates are taken from what the label and the other voters say of
+    its texts, so that no voter, nor two that say the same, confirm themselves.
     """
     model, size = LabelModel(voters, prior), voters + 2
     model.a[-1], model.b[-1] = 1 - LABEL_ERRORS, LABEL_ERRORS * prior / (1 - prior)
@@ -210,8 +225,11 @@ def fit_label_model(rows: DataFrame, voters: int, prior: float, rounds: int = RO
     def step(current: LabelModel, first: bool) -> None:
         def part(batch: pd.DataFrame) -> np.ndarray:
             votes, w = _votes(batch), batch["weight"].to_numpy()
-            q = current.posterior(votes * ([0.0] * (size - 1) + [1.0]) if first else votes)  # at first the label speaks alone
-            return np.concatenate([(w * q) @ votes, (w * (1 - q)) @ votes, [(w * q).sum(), w.sum()]])
+            known = votes * ([0.0] * (size - 1) + [1.0]) if first else votes  # at first the label speaks alone
+            q, others = current.posterior(known), current.by_others(known)
+            heard = w[:, None] * votes[:, :voters]
+            last = votes[:, voters:]
+            return np.concatenate([(heard * others).sum(axis=0), (w * q) @ last, (heard * (1 - others)).sum(axis=0), (w * (1 - q)) @ last, [(w * q).sum(), w.sum()]])
 
         got = _summed(rows, 2 * size + 2, part)
         toxic, every = got[-2], got[-1]
@@ -233,6 +251,7 @@ def fit_label_model(rows: DataFrame, voters: int, prior: float, rounds: int = RO
         spread = np.sqrt(np.maximum(a * (1 - a), 1e-12))
         correlation = np.clip(covariance / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(correlation, 1.0)
+        current.correlation = correlation
         current.share[:voters] = 1 / correlation.sum(axis=1)
 
     step(model, True)
