@@ -10,7 +10,7 @@ from newsloom import rules
 from newsloom.functions import text as tx, urls as ux
 from newsloom.operators import dedup as dd, quality as ql, search as se, skew
 from newsloom.operators.ledger import top_per_key
-from newsloom.session import stage
+from newsloom.session import small, stage
 
 def merged_terms(rows: DataFrame, group: str, order: str, terms: str, limit: int) -> DataFrame:
     """First-seen distinct terms of each group, at most ``limit``. First
@@ -33,27 +33,38 @@ def _subsets_of_four(words: Column) -> Column:
     return out
 
 
+def shared_words(daily: DataFrame, least: int = 2) -> DataFrame:
+    """(item, words): of each item's keywords, sorted, those that at least ``least`` items of its day have.
+
+    A word of one item is in no shared combination. Counts are combined before
+    they are shuffled, and an item has twelve keywords at most.
+    """
+    held = stage(daily.select(F.col("id").alias("item"), "day", F.explode(F.array_distinct("keywords")).alias("word")), "day-words")
+    common = held.groupBy("day", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
+    return held.join(small(stage(common, "shared-words")), ["day", "word"]).groupBy("item").agg(F.array_sort(F.collect_list("word")).alias("words"))
+
+
 def story_keys(daily: DataFrame) -> DataFrame:
     """(item, key) rows such that two items of a day belong together when
     they share a key: a URL, their own or a related one; an entity and a
     keyword; or four keywords.
 
     Composite keys turn "shares an entity and a keyword" and "shares four
-    keywords" into equality, so no pair of items is ever enumerated.
+    keywords" into equality, so no pair of items is ever enumerated. Only
+    words that another item of the day has too are combined.
     """
     day = F.col("day").cast("string")
-    words = F.array_sort(F.col("keywords"))
     key = lambda kind, body: F.concat(day, F.lit(f"|{kind}|"), body)
     related = F.coalesce("related_urls", F.array().cast("array<string>")) if "related_urls" in daily.columns else F.array().cast("array<string>")
     urls = F.array_distinct(F.transform(F.concat(F.array("url"), related), ux.canonical_key))
-    combos = F.flatten(F.transform(F.col("entities"), lambda e: F.transform(F.col("keywords"), lambda k: F.concat(e, F.lit("\u0001"), k))))
-    fours = F.transform(_subsets_of_four(words), lambda s: F.array_join(s, "\u0001"))
+    by_url = daily.select(F.col("id").alias("item"), F.explode(F.transform(F.filter(urls, lambda u: u != ""), lambda u: key("u", u))).alias("key"))
+    shared = shared_words(daily)
+    rows = stage(daily.select(F.col("id").alias("item"), "day", "entities").join(shared, "item"), "story-words")
+    combos = F.flatten(F.transform(F.col("entities"), lambda e: F.transform(F.col("words"), lambda k: F.concat(e, F.lit("\u0001"), k))))
+    fours = F.transform(_subsets_of_four(F.col("words")), lambda s: F.array_join(s, "\u0001"))
     mark = lambda c: F.transform(c, lambda x: F.concat(F.xxhash64(x).cast("string"), F.lit(":"), F.xxhash64(F.lit("b"), x).cast("string")))
-    keys = F.concat(
-        F.transform(F.filter(urls, lambda u: u != ""), lambda u: key("u", u)),
-        F.transform(combos, lambda x: key("e", x)), F.transform(mark(fours), lambda x: key("k", x)),
-    )
-    return daily.select(F.col("id").alias("item"), F.explode(F.array_distinct(keys)).alias("key"))
+    keys = F.concat(F.transform(combos, lambda x: key("e", x)), F.transform(mark(fours), lambda x: key("k", x)))
+    return by_url.unionByName(rows.select("item", F.explode(keys).alias("key"))).distinct()
 
 
 def components(links: DataFrame, plain_rows: int | None = skew.PLAIN_ROWS) -> DataFrame:
@@ -131,7 +142,7 @@ def daily_briefs(items: DataFrame, terms=tuple(rules.RELEVANCE_TERMS), dictionar
 
 def _keep_new(texts: Column, exclude: Column) -> Column:
     """(group, text) structs without near repeats of excluded or earlier
-    texts; twelve at most."""
+    texts."""
     shaped = F.transform(texts, lambda t: F.struct(
         t["group"].cast("int").alias("group"), t["text"].alias("text"), F.array_distinct(tx.content_words(t["text"])).alias("set"), tx.fingerprint(t["text"]).alias("mark")))
     start = F.array().cast("array<struct<group: int, text: string, set: array<string>, mark: string>>")
