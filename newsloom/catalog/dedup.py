@@ -94,7 +94,7 @@ def _(t):
     return dd.unique_blocks(rows, "raw", "body").select("doc_id", "body")
 
 
-def _dev_text(x):
+def dev_text(x):
     t = f"regexp_replace({x}, 'https?://\\S+', ' ', 'gi')"
     t = f"regexp_replace({t}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
     t = f"regexp_replace({t}, '\\.([A-Z])', '. \\1', 'g')"
@@ -106,9 +106,9 @@ USEFUL = f"length(text) >= 35 AND NOT {q.any_match('text', rules.DEVELOPMENT_DEN
 
 
 RAW_DEVELOPMENTS = f"""raw AS (
-  SELECT source_name AS packet, 0 AS origin, id * 1000 + pos AS pos, {_dev_text('sentence')} AS text
+  SELECT source_name AS packet, 0 AS origin, id * 1000 + pos AS pos, {dev_text('sentence')} AS text
   FROM (SELECT *, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT *, ({q.sentences('summary')})[1:4] AS s FROM ok_items))
-  UNION ALL SELECT source_name, 1, id, {_dev_text('title')} FROM ok_items)"""
+  UNION ALL SELECT source_name, 1, id, {dev_text('title')} FROM ok_items)"""
 
 
 @register("useful_developments", "D12 F9", q.with_([q.OK_ITEMS, RAW_DEVELOPMENTS], f"""

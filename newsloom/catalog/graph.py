@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from newsloom import rules
 from newsloom.catalog import sqltext as q
 from newsloom.catalog.base import register
+from newsloom.catalog.dedup import USEFUL, dev_text
 from newsloom.catalog.knowledge import CLAIMS, DOCS, PAIRS
 from newsloom.functions import text as tx
 from newsloom.operators import graph as gr, pages as pg
+from newsloom.operators.degrees import DegreeStore
 from newsloom.session import new_stage_path, stage
 from newsloom.sources import graphs, sinks
 
@@ -49,7 +51,7 @@ def graph_of(t):
 
 def adjacency_of(t):
     if not hasattr(t, "_adjacency"):
-        t._adjacency = stage(gr.adjacency(graph_of(t)), "adjacency")
+        t._adjacency = gr.store_adjacency(gr.closed_adjacency(graph_of(t).edges))
     return t._adjacency
 
 
@@ -60,7 +62,7 @@ def _(t):
 
 @register("graph_edges", "G2", q.with_(GRAPH, "SELECT type, src, dst FROM edges"))
 def _(t):
-    return gr.knowledge_graph(t.ok_items).edges
+    return gr.knowledge_edges(gr.parsed_items(t.ok_items))
 
 
 @register("page_graph_edges", "G1", q.with_([q.PAGE_LINKS, f"""spans AS (
@@ -95,7 +97,24 @@ def _(t):
 
 @register("node_degrees", "A10", q.with_(GRAPH + [ADJ], "SELECT node AS id, count(*) AS degree FROM adj GROUP BY node"))
 def _(t):
-    return gr.degrees(adjacency_of(t))
+    return gr.closed_degrees(gr.knowledge_edges(gr.parsed_items(t.ok_items)))
+
+
+@register("incremental_degrees", "A10 G8", q.with_(GRAPH + ["""left_nodes AS (SELECT id FROM nodes WHERE type <> 'Topic' OR id LIKE 'topic:src1%')""",
+    """left_edges AS (SELECT * FROM edges WHERE type <> 'coOccursWith' AND src IN (SELECT id FROM left_nodes) AND dst IN (SELECT id FROM left_nodes))"""], """
+SELECT id, count(*) AS degree FROM (SELECT src AS id FROM left_edges UNION ALL SELECT dst FROM left_edges) GROUP BY id"""))
+def _(t):
+    """Five changes: nodes of a part, its edges, the other nodes (which free waiting edges), edges that go, nodes that go."""
+    graph = graph_of(t)
+    store = DegreeStore(t.spark, new_stage_path(t.spark, "degrees"), 16)
+    nodes, edges = graph.nodes.select("id"), graph.edges
+    part = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    store.apply(add_nodes=nodes.filter(part))
+    store.apply(add_edges=edges)
+    store.apply(add_nodes=nodes.filter(~part))
+    store.apply(drop_edges=edges.filter("type = 'coOccursWith'"))
+    store.apply(drop_nodes=graph.nodes.filter("type = 'Topic' AND id NOT LIKE 'topic:src1%'").select("id"))
+    return store.degrees()
 
 
 SCORES = f"""scores AS (
@@ -109,7 +128,7 @@ SCORES = f"""scores AS (
 
 @register("seed_ranking", "W7 P22 F10", q.with_(GRAPH + [ADJ, SCORES], "SELECT id, type, label, score FROM scores ORDER BY score DESC, label, id LIMIT 12"))
 def _(t):
-    scores = gr.seed_scores(graph_of(t), gr.degrees(adjacency_of(t)))
+    scores = gr.seed_scores(graph_of(t), gr.closed_degrees(graph_of(t).edges))
     return gr.top_seeds(scores, 12).select("id", "type", "label", "score")
 
 
@@ -128,7 +147,7 @@ def _(t):
 
 
 def topic_seeds(t, limit=24):
-    scores = gr.seed_scores(graph_of(t), gr.degrees(adjacency_of(t)), ["Topic"])
+    scores = gr.seed_scores(graph_of(t), gr.closed_degrees(graph_of(t).edges), ["Topic"])
     return stage(gr.top_seeds(scores, limit), "seeds")
 
 
@@ -212,6 +231,24 @@ def _(t):
     return gr.packet_parts(communities_of(t), graph_of(t))["claims"].select("seed", F.col("rank").cast("bigint").alias("rank"), "id")
 
 
+# the rows of the packets; every claim here has one citation of its own, its item's
+PACKETS = f"""pclaims AS (SELECT * FROM (SELECT seed, text, url, row_number() OVER (PARTITION BY seed ORDER BY place) AS rank FROM (
+  SELECT seed, place, {q.reader('n.text')} AS text, c.url FROM members m JOIN nodes n ON n.id = m.node JOIN cites c ON c.id = n.id WHERE n.type = 'Claim') WHERE text <> '') WHERE rank <= 8),
+psources AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY place) AS rank FROM (
+  SELECT seed, place, {q.reader('d.title')} AS title, {q.reader('d.source_kind')} AS kind, d.canonical_uri AS url, {q.reader('d.text')} AS excerpt FROM members m JOIN docs d ON d.id = m.node)
+  QUALIFY rank <= 8),
+pentities AS (SELECT * FROM (SELECT seed, name, row_number() OVER (PARTITION BY seed ORDER BY place) AS rank FROM (
+  SELECT seed, place, {q.reader('n.name')} AS name FROM members m JOIN nodes n ON n.id = m.node WHERE n.type = 'Entity') WHERE name <> '') WHERE rank <= 10)"""
+
+
+@register("packet_evidence", "G6", recursive(GRAPH + [ADJ, SCORES, WALK, MEMBERS, CITES, PACKETS], """
+SELECT seed, rank, excerpt, urls FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY origin, at) AS rank FROM (
+  SELECT seed, 0 AS origin, rank AS at, text AS excerpt, url AS urls FROM pclaims UNION ALL SELECT seed, 1, rank, coalesce(nullif(excerpt, ''), title), url FROM psources)) WHERE rank <= 10""".replace("rank AS at", "rank AS spot").replace("origin, at", "origin, spot")))
+def _(t):
+    rows = gr.packet_parts(communities_of(t), graph_of(t))["evidence"]
+    return rows.select("seed", F.col("rank").cast("bigint").alias("rank"), "excerpt", F.array_join("citation_urls", "|").alias("urls"))
+
+
 def pages_of(t):
     comm = communities_of(t)
     label = F.substring_index("seed", "topic:", -1)
@@ -221,7 +258,22 @@ def pages_of(t):
         (-F.col("score")).alias("place"))
 
 
-@register("topic_pages", "G7 T11", None)
+TOPIC_PAGES = f"""told AS (SELECT seed, 0 AS origin, rank AS pos, {dev_text('text')} AS text FROM pclaims UNION ALL SELECT seed, 1, rank, {dev_text('title')} FROM psources),
+devs AS (SELECT seed, string_agg(text, '|' ORDER BY origin, pos) AS developments FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY origin, pos) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed, substring(lower(text), 1, 90) ORDER BY origin, pos) AS rn FROM told WHERE {USEFUL}) WHERE rn = 1) WHERE place <= 5 GROUP BY seed),
+named AS (SELECT seed, string_agg(source, '|' ORDER BY first) AS source_names FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY first) AS place FROM (
+    SELECT seed, {q.ellipsis(q.reader('source'), 96)} AS source, min(rank) AS first FROM ranked WHERE rank <= 10 GROUP BY seed, source)) WHERE place <= 4 GROUP BY seed),
+spoken_of AS (SELECT seed, string_agg(name, '|' ORDER BY rank) AS entity_names FROM pentities WHERE rank <= 5 GROUP BY seed),
+seen_from AS (SELECT seed, string_agg(kind, '|' ORDER BY first, kind) AS angles FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY first, kind) AS place FROM (SELECT seed, lower(kind) AS kind, min(rank) AS first FROM psources WHERE kind <> '' GROUP BY seed, lower(kind))) WHERE place <= 4 GROUP BY seed),
+titled AS (SELECT DISTINCT seed, substring(seed, 7) AS slug FROM ranked WHERE rank <= 10)"""
+
+
+@register("topic_pages", "G7 T11", recursive(GRAPH + [ADJ, SCORES, WALK, MEMBERS, CITES, PACKETS, TOPIC_PAGES], f"""
+SELECT slug, upper(slug[1]) || slug[2:] AS title, developments, source_names, entity_names, coalesce(angles, {q.quote(gr.DEFAULT_ANGLE)}) AS angles
+FROM titled LEFT JOIN devs USING (seed) LEFT JOIN named USING (seed) LEFT JOIN spoken_of USING (seed) LEFT JOIN seen_from USING (seed)"""))
 def _(t):
     comm, pages = communities_of(t), pages_of(t)
     parts = gr.packet_parts(comm, graph_of(t))

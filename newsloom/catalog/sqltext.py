@@ -107,6 +107,17 @@ def headline(x: str) -> str:
     return collapse(f"regexp_replace(coalesce({x}, ''), '\\s+-\\s+[^-]+$', '')")
 
 
+def reader(x: str) -> str:
+    """Internal ids and jargon rewritten, in order."""
+    steps = [(r"https?://\S+", " ", "gi"), (r"\b(?:claim|topic|community|source-doc):[a-z0-9_.:-]+", " ", "gi"), (r"\bknowledge graph\b", "source corpus", "gi"),
+             (r"\bgraph\b", "source corpus", "gi"), (r"\bnode\b", "source", "gi"), (r"\bneighborhood\b", "topic area", "gi"), (r"\btraversal\b", "research", "gi"),
+             (r"([a-z])([A-Z])", r"\1 \2", "g"), (r"\.([A-Z])", r". \1", "g"), (r"\bOpen AI\b", "OpenAI", "g"), (r"\bGit Hub\b", "GitHub", "g"),
+             (r"\bDeep Mind\b", "DeepMind", "g"), (r"\bx AI\b", "xAI", "g")]
+    for pattern, new, flags in steps:
+        x = f"regexp_replace({x}, {quote(pattern)}, {quote(new)}, '{flags}')"
+    return collapse(x)
+
+
 def title_only(text: str, title: str) -> str:
     e, h = headline(text), headline(title)
     a, b = f"list_distinct({words(e)})", f"list_distinct({words(h)})"

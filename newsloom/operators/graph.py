@@ -15,7 +15,7 @@ from newsloom import rules
 from newsloom.functions import text as tx
 from newsloom.operators import knowledge as kn, skew
 from newsloom.operators.ledger import first_per_key, top_per_key
-from newsloom.session import small, stage
+from newsloom.session import new_stage_path, small, stage
 
 NODE_COLUMNS = ["id", "type", "name", "title", "text", "canonical_uri", "source_name", "source_kind", "published_at"]
 
@@ -91,28 +91,47 @@ def page_graph(meta: DataFrame, spans: DataFrame, images: DataFrame) -> Graph:
     return Graph(_union(nodes), _union(edges), cited)
 
 
+def parsed_items(items: DataFrame) -> DataFrame:
+    """What nodes and edges read of items, texts parsed once: (id, doc, url, title, source_name, at, tags, names, said)."""
+    rows = items.select("id", kn.document_id().alias("doc"), "url", "title", "source_name", F.col("day").cast("string").alias("at"), "tags",
+                        kn.candidates().alias("names"), kn.first_sentences().alias("said"))
+    return stage(rows, "parsed-items")
+
+
+def knowledge_edges(parsed: DataFrame) -> DataFrame:
+    """Distinct edges of parsed items. Every end is a node of ``knowledge_graph`` by construction."""
+    doc, span, scope = F.col("doc"), F.concat("doc", F.lit(":span-1")), F.concat("doc", F.lit(":temporal-scope"))
+    number = F.transform(F.col("said"), lambda s, i: F.concat(F.lit("claim:"), tx.stable_hash(F.concat(F.col("id").cast("string"), F.lit(":claim-"), (i + 1).cast("string")), 20)))
+    entity = lambda c: tx.node_id("entity", c)
+    topics = F.transform(F.array_distinct("tags"), lambda t: tx.node_id("topic", t))
+    claims = parsed.select("doc", topics.alias("topics"), F.explode(number).alias("node"))
+    names = parsed.select("doc", F.explode(F.array_distinct(F.transform(F.filter("names", lambda n: n.isNotNull()), entity))).alias("node"))
+    pairs = kn.co_mention_evidence(parsed, names=F.col("names"))
+    frames = [
+        _edges(parsed, "derivedFrom", span, doc), _edges(parsed, "cites", span, doc), _edges(parsed, "hasTemporalScope", doc, scope),
+        _edges(claims, "derivedFrom", F.col("node"), doc), _edges(claims, "supportsClaim", doc, F.col("node")),
+        _edges(claims.select("node", F.explode("topics").alias("topic")), "supportsClaim", F.col("topic"), F.col("node")),
+        _edges(names, "mentions", doc, F.col("node")), _edges(parsed.select("doc", F.explode(topics).alias("topic")), "mentions", doc, F.col("topic")),
+        _edges(pairs, "coOccursWith", entity(F.col("left")), entity(F.col("right"))),
+    ]
+    return _union(frames).distinct()
+
+
 def knowledge_graph(items: DataFrame) -> Graph:
     """Documents, claims, entities and topics of usable items.
 
     Names that share a slug share a node; the last name in mention order
     names it.
     """
-    # nodes, edges and citations all read these, so the texts are parsed once
-    docs = stage(kn.source_documents(items), "source-documents")
-    base = document_graph(docs)
-    owner = docs.select(F.col("summary_id").alias("evidence_id"), F.col("id").alias("doc"), F.col("published_on").cast("string").alias("at"))
-
-    claims = kn.claims(items).withColumn("node", F.concat(F.lit("claim:"), tx.stable_hash(F.col("claim_id"), 20)))
-    claims = stage(claims.select("evidence_id", "node", "text", "tags", "title", "url", "source_name"), "claims").join(owner, "evidence_id")
-    evidence = stage(kn.entity_evidence(items), "entity-evidence")
+    parsed = parsed_items(items)
+    base = document_graph(kn.source_documents(items))
+    owner = parsed.select(F.col("id").alias("evidence_id"), "doc", "at")
+    claims = kn.claims(parsed, sentences=F.col("said")).withColumn("node", F.concat(F.lit("claim:"), tx.stable_hash(F.col("claim_id"), 20))).join(owner, "evidence_id")
+    evidence = kn.entity_evidence(parsed, F.col("names"))
     names = kn.entities(evidence).withColumn("node", tx.node_id("entity", F.col("name")))
     entity_names = names.groupBy("node").agg(F.max_by("name", F.struct(-F.col("mentions"), "name")).alias("name"))
-    topic_rows = kn.topic_evidence(items).withColumn("node", tx.node_id("topic", F.col("name")))
+    topic_rows = kn.topic_evidence(parsed).withColumn("node", tx.node_id("topic", F.col("name")))
     topic_names = topic_rows.groupBy("node").agg(F.max("name").alias("name"))
-    entity_rows = evidence.withColumn("node", tx.node_id("entity", F.col("name"))).join(owner, "evidence_id")
-    topic_docs = topic_rows.join(owner, "evidence_id")
-    pairs = kn.co_mention_evidence(items).select(
-        tx.node_id("entity", F.col("left")).alias("l"), tx.node_id("entity", F.col("right")).alias("r"))
 
     nodes = [
         base.nodes,
@@ -120,24 +139,16 @@ def knowledge_graph(items: DataFrame) -> Graph:
         _nodes(entity_names, "Entity", id=F.col("node"), name=F.col("name")),
         _nodes(topic_names, "Topic", id=F.col("node"), name=F.col("name")),
     ]
-    tagged = claims.select("node", F.explode(F.array_distinct("tags")).alias("tag"))
-    edges = [
-        base.edges,
-        _edges(claims, "derivedFrom", F.col("node"), F.col("doc")), _edges(claims, "supportsClaim", F.col("doc"), F.col("node")),
-        _edges(tagged, "supportsClaim", tx.node_id("topic", F.col("tag")), F.col("node")),
-        _edges(entity_rows, "mentions", F.col("doc"), F.col("node")), _edges(topic_docs, "mentions", F.col("doc"), F.col("node")),
-        _edges(pairs, "coOccursWith", F.col("l"), F.col("r")),
-    ]
     cites = [
         base.citations,
         claims.select(F.col("node").alias("id"), F.lit(1).alias("pos"), "title", "url", F.col("source_name").alias("source")),
     ]
-    for rows in (entity_rows, topic_docs):
+    for rows in (evidence.withColumn("node", tx.node_id("entity", F.col("name"))), topic_rows):
         # one citation per (node, url)
         cites.append(rows.groupBy(F.col("node").alias("id"), "url").agg(
             F.min("evidence_id").cast("int").alias("pos"), F.min_by("title", "evidence_id").alias("title"), F.min_by("source_name", "evidence_id").alias("source")
         ).select("id", "pos", "title", "url", "source"))
-    return Graph(_union(nodes), _union(edges).distinct(), _union(cites))
+    return Graph(_union(nodes), knowledge_edges(parsed), _union(cites))
 
 
 # --- merging -----------------------------------------------------------------------
@@ -191,6 +202,28 @@ def adjacency(graph: Graph, plain_rows: int | None = skew.PLAIN_ROWS) -> DataFra
         solid.select(F.col("dst").alias("node"), F.col("src").alias("neighbor"), "type"))
 
 
+def closed_adjacency(edges: DataFrame) -> DataFrame:
+    """Both directions of distinct edges whose ends are known to be nodes: no join with the nodes."""
+    ways = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("neighbor")), F.struct(F.col("dst").alias("node"), F.col("src").alias("neighbor"))))
+    return edges.select("type", ways.alias("way")).select("way.node", "way.neighbor", "type")
+
+
+def bucket_of(c: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+ADJACENCY_BUCKETS = 64
+
+
+def store_adjacency(adjacent: DataFrame, buckets: int = ADJACENCY_BUCKETS) -> DataFrame:
+    """Adjacency as a table in the shared folder, one folder per bucket of the node, so that a search reads the buckets of its frontier alone."""
+    spark = adjacent.sparkSession
+    path = new_stage_path(spark, "adjacency")
+    adjacent.withColumn("bucket", bucket_of("node", buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "node").write.partitionBy("bucket").parquet(path)
+    schema = adjacent.withColumn("bucket", bucket_of("node", buckets)).schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def dangling_edges(graph: Graph) -> DataFrame:
     ends = graph.edges.select("type", "src", "dst", F.explode(F.array("src", "dst")).alias("id"))
     return ends.join(graph.nodes.select("id"), "id", "left_anti").select("type", "src", "dst").distinct()
@@ -200,6 +233,11 @@ def degrees(adjacent: DataFrame) -> DataFrame:
     return adjacent.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("degree"))
 
 
+def closed_degrees(edges: DataFrame) -> DataFrame:
+    """Degrees from distinct edges alone, where every end is known to be a node."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+
+
 def navigable(name: Column) -> Column:
     return ~F.coalesce(F.regexp_replace(tx.topic_slug(name), "-", "").isin(rules.NON_NAVIGABLE_TOPICS), F.lit(False))
 
@@ -240,12 +278,18 @@ def neighborhoods(seeds: DataFrame, adjacent: DataFrame, max_nodes: int = 16) ->
     in id order, are looked at; the visited table has at most
     ``max_nodes`` rows per seed. Seeds that are full leave the frontier, so
     most searches end after a level or two. Tables of members are broadcast
-    only while they are small.
+    only while they are small. Where the adjacency is stored by bucket, a
+    round reads the folders of its frontier's buckets and no others.
     """
+    buckets = ADJACENCY_BUCKETS if "bucket" in adjacent.columns else None
     visited = stage(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1).alias("place")), "bfs")
     frontier = visited
     for _ in range(max_nodes):
-        near = adjacent.join(small(frontier.select("seed", "node", F.col("place").alias("parent"))), "node").select("seed", "parent", F.col("neighbor").alias("node"))
+        reached = adjacent
+        if buckets:
+            hit = [r[0] for r in frontier.select(bucket_of("node", buckets)).distinct().collect()]  # at most ``buckets`` numbers
+            reached = adjacent.filter(F.col("bucket").isin(hit)).drop("bucket")
+        near = reached.join(small(frontier.select("seed", "node", F.col("place").alias("parent"))), "node").select("seed", "parent", F.col("neighbor").alias("node"))
         near = near.join(small(visited.select("seed", "node")), ["seed", "node"], "left_anti").distinct()
         near = top_per_key(near, ["seed", "parent"], ["node"], max_nodes, "_r").drop("_r")
         near = first_per_key(near, ["seed", "node"], ["parent"])
@@ -297,7 +341,8 @@ def temporal_range(members: DataFrame) -> DataFrame:
 
 def communities(graph: Graph, adjacent: DataFrame, seeds: DataFrame, max_nodes: int = 16, max_citations: int = 10) -> Communities:
     members = stage(neighborhoods(seeds, adjacent, max_nodes), "members")
-    inner = adjacent.join(small(members.select("seed", F.col("node"))), "node").join(
+    reached = adjacent.drop("bucket")
+    inner = reached.join(small(members.select("seed", F.col("node"))), "node").join(
         small(members.select("seed", F.col("node").alias("neighbor"))), ["seed", "neighbor"])
     types = inner.select("seed", "type").distinct().groupBy("seed").agg(F.array_join(F.sort_array(F.collect_set("type")), "|").alias("edge_types"))
     attributed = graph.nodes.join(small(members), graph.nodes["id"] == members["node"])
@@ -312,20 +357,35 @@ def communities(graph: Graph, adjacent: DataFrame, seeds: DataFrame, max_nodes:
 
 def packet_parts(comm: Communities, graph: Graph) -> dict[str, DataFrame]:
     """Claims, sources, entities and evidence of every community, ranked in
-    member order and cut (8, 8, 10, 10)."""
-    members = graph.nodes.join(small(comm.members), graph.nodes["id"] == comm.members["node"])
+    member order and cut (8, 8, 10, 10).
+
+    A claim cites its own citations, else the packet's first; a source's
+    excerpt is its text spans, and cites the source.
+    """
+    chosen = small(comm.members)
+    members = graph.nodes.join(chosen, graph.nodes["id"] == comm.members["node"])
     claims = members.filter((F.col("type") == "Claim") & F.col("text").isNotNull()).withColumn("text", tx.reader_text(F.col("text"))).filter(F.col("text") != "")
     sources = members.filter((F.col("type") == "SourceDocument") & F.col("canonical_uri").isNotNull()).select(
-        "seed", "place", tx.reader_text(F.coalesce("title", label())).alias("title"), tx.reader_text(F.coalesce("source_name", F.lit("Source"))).alias("source"),
+        "seed", "place", "id", tx.reader_text(F.coalesce("title", label())).alias("title"), tx.reader_text(F.coalesce("source_name", F.lit("Source"))).alias("source"),
         tx.reader_text(F.coalesce("source_kind", F.lit(""))).alias("kind"), F.col("canonical_uri").alias("url"), "published_at")
     entities = members.filter((F.col("type") == "Entity") & F.col("name").isNotNull()).select("seed", "place", tx.reader_text(F.col("name")).alias("name")).filter(F.col("name") != "")
-    claims = top_per_key(claims.select("seed", "place", "id", "text"), ["seed"], ["place"], 8)
-    sources = top_per_key(sources, ["seed"], ["place"], 8)
-    evidence = claims.select("seed", F.lit(0).alias("origin"), "rank", F.col("text").alias("excerpt")).unionByName(
-        sources.select("seed", F.lit(1).alias("origin"), "rank", F.col("title").alias("excerpt"))).withColumnRenamed("rank", "at")
+    claims = stage(top_per_key(claims.select("seed", "place", "id", "text"), ["seed"], ["place"], 8), "packet-claims")
+    sources = stage(top_per_key(sources, ["seed"], ["place"], 8), "packet-sources")
+
+    own = graph.citations.filter(F.coalesce("url", F.lit("")) != "").join(small(claims.select("id").distinct()), "id")
+    own = own.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda c: c.url).alias("own_urls"))
+    first = comm.citations.filter(F.col("rank") == 1).select("seed", F.array("url").alias("first_url"))
+    claims = claims.join(own, "id", "left").join(first, "seed", "left").withColumn("citation_urls", F.coalesce("own_urls", "first_url", F.array().cast("array<string>"))).drop("own_urls", "first_url")
+    spans = graph.edges.filter(F.col("type") == "derivedFrom").join(small(sources.select(F.col("id").alias("dst")).distinct()), "dst").select(F.col("dst").alias("id"), F.col("src").alias("span"))
+    texts = graph.nodes.filter((F.col("type") == "TextSpan") & (F.coalesce("text", F.lit("")) != "")).select(F.col("id").alias("span"), "text").join(small(spans), "span")
+    texts = texts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x.text), " ").alias("excerpt"))
+    sources = sources.join(texts, "id", "left").withColumn("excerpt", tx.reader_text(F.coalesce("excerpt", F.lit("")))).drop("id")
+
+    evidence = claims.select("seed", F.lit(0).alias("origin"), F.col("rank").alias("at"), F.col("text").alias("excerpt"), "citation_urls").unionByName(
+        sources.select("seed", F.lit(1).alias("origin"), F.col("rank").alias("at"), F.coalesce(tx.non_empty(F.col("excerpt")), "title").alias("excerpt"), F.array("url").alias("citation_urls")))
     return {
         "claims": claims, "sources": sources, "entities": top_per_key(entities, ["seed"], ["place"], 10),
-        "evidence": top_per_key(evidence, ["seed"], ["origin", "at"], 10),
+        "evidence": top_per_key(evidence.filter(F.col("excerpt") != ""), ["seed"], ["origin", "at"], 10),
     }
 
 

@@ -20,9 +20,13 @@ def knowledge_sources(items: DataFrame) -> DataFrame:
     )
 
 
-def claims(items: DataFrame, per_item: int = 4) -> DataFrame:
+def first_sentences(per_item: int = 4) -> Column:
+    return F.slice(tx.sentences(F.col("summary")), 1, per_item)
+
+
+def claims(items: DataFrame, per_item: int = 4, sentences: Column | None = None) -> DataFrame:
     """The first sentences of every item; cut before the explode."""
-    picked = F.slice(tx.sentences(F.col("summary")), 1, per_item)
+    picked = first_sentences(per_item) if sentences is None else sentences
     return items.select(
         "id", "title", "source_name", "url", "tags", F.posexplode(picked).alias("pos", "text")
     ).select(
@@ -36,9 +40,11 @@ def candidates(title: str = "title", summary: str = "summary") -> Column:
     return F.concat(tx.entity_candidates(F.col(title)), tx.entity_candidates(F.col(summary)))
 
 
-def entity_evidence(items: DataFrame) -> DataFrame:
-    """One row per (name, item) with the number of mentions; no shuffle."""
-    named = items.select("id", "url", "title", "source_name", F.array_sort(candidates()).alias("names"))
+def entity_evidence(items: DataFrame, names: Column | None = None) -> DataFrame:
+    """One row per (name, item) with the number of mentions; no shuffle.
+    ``names``: the candidates, where they have been found already."""
+    names = candidates() if names is None else names
+    named = items.select("id", "url", "title", "source_name", F.array_sort(names).alias("names"))
     # first places of each distinct name in the sorted array; a name's
     # mentions run up to the place of the next one
     uses = F.transform(with_first_use(F.col("names")), lambda s, i: F.struct(s.token.alias("name"), s.first.alias("first"), i.alias("at")))
@@ -76,9 +82,10 @@ def topics(evidence: DataFrame) -> DataFrame:
     return per_url.groupBy("name").agg(F.sum("e").alias("n_evidence"), F.count("*").alias("n_citations"))
 
 
-def co_mention_evidence(items: DataFrame, names_per_item: int = 8) -> DataFrame:
+def co_mention_evidence(items: DataFrame, names_per_item: int = 8, names: Column | None = None) -> DataFrame:
     """Unordered pairs of each item's first distinct names (at most 28)."""
-    named = items.select("id", "url", F.slice(F.array_distinct(candidates()), 1, names_per_item).alias("names"))
+    found = candidates() if names is None else names
+    named = items.select("id", "url", F.slice(F.array_distinct(found), 1, names_per_item).alias("names"))
     names = F.col("names")
     pairs = F.flatten(
         F.transform(
@@ -99,13 +106,16 @@ def co_mentions(evidence: DataFrame) -> DataFrame:
     return per_url.groupBy("left", "right").agg(F.sum("e").alias("n_evidence"), F.count("*").alias("n_citations"))
 
 
+def document_id() -> Column:
+    key = F.coalesce(tx.non_empty(F.col("url")), F.col("id").cast("string"))
+    return F.concat(F.lit("source-doc:"), tx.stable_hash(key, 20))
+
+
 def source_documents(items: DataFrame) -> DataFrame:
     """Stored form of an item: hashed id, content hash, one text span."""
     text = F.coalesce(tx.non_empty(F.col("summary")), F.col("title"))
-    key = F.coalesce(tx.non_empty(F.col("url")), F.col("id").cast("string"))
-    doc_id = F.concat(F.lit("source-doc:"), tx.stable_hash(key, 20))
     return items.select(
-        doc_id.alias("id"), F.col("id").alias("summary_id"), F.col("url").alias("canonical_uri"), "title", "source_name",
+        document_id().alias("id"), F.col("id").alias("summary_id"), F.col("url").alias("canonical_uri"), "title", "source_name",
         F.col("kind").alias("source_kind"), F.col("day").alias("published_on"), "tags", text.alias("text"),
     ).select(
         "*",
