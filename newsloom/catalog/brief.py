@@ -88,10 +88,12 @@ def _(t):
         "cluster", "section_no", "heading", "theme", "intent", F.size("paragraphs").alias("n_paragraphs"))
 
 
-@register("publishable_stories", "C10 W10", None)
+@register("publishable_stories", "C10 W10 Q14", None)
 def _(t):
-    return br.publishable(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES, 4, 3, CORPUS_TERMS, CORPUS_SIGNALS, se.concept_patterns(HEADS)).select(
-        "day", "place", "output_id", "title", "failed_rules")
+    from newsloom.catalog.quality import ARTICLE
+
+    return br.publishable(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES, 4, 3, CORPUS_TERMS, CORPUS_SIGNALS, se.concept_patterns(HEADS), ARTICLE).select(
+        "day", "place", "output_id", "title", "failed_rules", "rubric_score", "score")
 
 
 @register("publish_quota", "W10", """

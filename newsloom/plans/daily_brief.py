@@ -185,25 +185,56 @@ def sections(stories: DataFrame, daily: DataFrame, clusters: DataFrame, signal_t
         tx.first_rule_tag(text, rules.INTENT_RULES, rules.DEFAULT_INTENT).alias("intent"), F.col("s.paragraphs").alias("paragraphs"))
 
 
+def brief_outputs(briefs: DataFrame) -> DataFrame:
+    """Briefs as articles, in the shape the rubric reads: sections as
+    markdown, then the takeaways; the sources are what may be cited."""
+    sections = F.transform(F.col("section_list"), lambda s: F.concat(F.lit("## "), s.heading, F.lit("\n\n"), F.array_join(s.paragraphs, "\n"), F.lit("\n")))
+    points = F.transform(F.col("takeaways"), lambda t: F.concat(F.lit("- "), t))
+    body = F.array_join(F.concat(sections, F.array(F.lit("## Key Takeaways\n")), points), "\n")
+    none = F.array().cast("array<struct<body: string, citation_urls: array<string>>>")
+    return briefs.select(
+        "output_id", F.lit("article").alias("kind"), "title", F.coalesce(F.get("paragraphs", F.lit(0)), F.lit("")).alias("description"), body.alias("body"),
+        F.col("sources").alias("citations"), F.transform("sources", lambda c: c.url).alias("allowed_urls"), F.concat_ws(" ", "title", F.array_join("source_titles", " ")).alias("relevance_text"),
+        F.lit("").alias("summary"), none.alias("sections"))
+
+
 def publishable(items: DataFrame, terms, dictionary, per_day: int = 4, multiplier: int = 3, detail_terms=tuple(rules.BRIEF_DETAIL_TERMS),
-                signal_terms=tuple(rules.SIGNAL_TERMS), patterns: Sequence[str] | None = None) -> DataFrame:
-    """Evidence gate, candidates, content rules, then the day's quota of
-    passing stories."""
+                signal_terms=tuple(rules.SIGNAL_TERMS), patterns: Sequence[str] | None = None, voice: dict = rules.VOICE_PROFILES["journalist"]) -> DataFrame:
+    """Evidence gate, candidates, content rules and rubric, then the day's
+    quota of passing stories: those with every content rule, a passing rubric
+    and a mean of all rules at the threshold."""
+    briefs, verdicts = judged_briefs(items, terms, dictionary, per_day * multiplier, detail_terms, signal_terms, patterns, voice)
+    stories = briefs.select("output_id", "day", "rank", "title", "source_count")
+    return ql.publish_quota(stories.join(verdicts, "output_id"), per_day)
+
+
+def judged_briefs(items: DataFrame, terms, dictionary, candidates: int, detail_terms, signal_terms, patterns, voice) -> tuple[DataFrame, DataFrame]:
+    """(briefs, verdicts) of the day's candidates; a verdict is ``output_id, failed_rules, rubric_score, score, passed``."""
     gated = tx.with_usable(items.withColumn("_head", tx.clean_title(F.col("title"))), "summary", "_head", "_usable")
     usable = stage(gated.drop("_head"), "gated").filter("_usable").drop("_usable")
     daily = stage(selected_items(usable, terms, dictionary), "selected")
     clusters = stage(story_clusters(daily), "clusters")
-    stories = stage(rank_briefs(cluster_summaries(daily, clusters), per_day * multiplier), "stories")
+    stories = stage(rank_briefs(cluster_summaries(daily, clusters), candidates), "stories")
     parts = sections(stories, daily, clusters, signal_terms, patterns)
     body = parts.groupBy("cluster").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "paragraphs"))), lambda s: s.paragraphs)).alias("paragraphs"),
-        F.transform(F.array_sort(F.collect_list(F.struct("section_no", "heading"))), lambda s: s.heading).alias("headings"))
+        F.transform(F.array_sort(F.collect_list(F.struct("section_no", "heading"))), lambda s: s.heading).alias("headings"),
+        F.transform(F.array_sort(F.collect_list(F.struct("section_no", "heading", "paragraphs"))), lambda s: F.struct(s.heading.alias("heading"), s.paragraphs.alias("paragraphs"))).alias("section_list"))
     # titles and evidence of the cited sources, at most twelve per story
     cited = top_per_key(daily.join(clusters, "id").join(stories.select("cluster"), "cluster"), ["cluster"], ["id"], 12).groupBy("cluster").agg(
-        F.collect_list("title").alias("source_titles"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "source_text"))), lambda s: s.source_text), " ").alias("source_evidence"))
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "title"))), lambda s: s.title).alias("source_titles"),
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "title", "url", "source_name"))), lambda s: F.struct(s.title.alias("title"), s.url.alias("url"), s.source_name.alias("source"))).alias("sources"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "source_text"))), lambda s: s.source_text), " ").alias("source_evidence"))
     none = F.array().cast("array<string>")
     briefs = stories.join(body, "cluster", "left").join(cited, "cluster", "left").withColumns({
         **{c: F.coalesce(c, none) for c in ("paragraphs", "headings", "source_titles")}, "source_evidence": F.coalesce("source_evidence", F.lit(""))})
     briefs = briefs.withColumn("text", F.concat_ws("\n", F.array_join("headings", "\n"), F.array_join("paragraphs", "\n"))).withColumnRenamed("cluster", "output_id")
-    verdicts = ql.brief_results(briefs, detail_terms).groupBy("output_id").agg(F.count_if(~F.col("passed")).alias("failed_rules"), F.every("passed").alias("passed"))
-    return ql.publish_quota(stories.withColumnRenamed("cluster", "output_id").join(verdicts, "output_id"), per_day)
+    briefs = briefs.withColumns({
+        "section_list": F.coalesce("section_list", F.array().cast("array<struct<heading: string, paragraphs: array<string>>>")),
+        "sources": F.coalesce("sources", F.array().cast("array<struct<title: string, url: string, source: string>>"))})
+    briefs = stage(briefs.withColumn("takeaways", se.takeaways(F.col("title"), F.col("paragraphs"), F.slice("paragraphs", 1, 1))), "briefs")
+    rows = ql.brief_results(briefs, detail_terms)
+    rubric = stage(ql.scored_outputs(brief_outputs(briefs), article_voice=voice), "rubric")
+    failed = rows.groupBy("output_id").agg(F.count_if(~F.col("passed")).alias("failed_rules"))
+    final = ql.brief_verdict(rows, rubric).select("output_id", "score", (F.col("verdict") == "pass").alias("passed"))
+    return briefs, failed.join(rubric.select("output_id", F.col("score").alias("rubric_score")), "output_id").join(final, "output_id")
