@@ -81,16 +81,25 @@ def _(t):
 
 
 @register("combined_evaluators", "A8 E1 E2", q.with_([q.ITEMS], f"""
-SELECT output_id, score, 2 AS n_reports, required_failures, CASE WHEN score >= 0.86 THEN 'pass' ELSE 'fail' END AS verdict FROM (
+SELECT output_id, score, 2 AS n_reports, required_failures, CASE WHEN score >= 0.86 THEN 'pass' ELSE 'fail' END AS verdict,
+  concat_ws('|', 'has ' || n_words || ' words', CASE WHEN required_failures = 0 THEN 'is cited' ELSE 'is not cited' END) AS assertions,
+  concat_ws('|', CASE WHEN n_words < 100 THEN 'write more' END, CASE WHEN required_failures > 0 THEN 'name a source' END) AS feedback,
+  CASE WHEN required_failures > 0 THEN 'cite a source' ELSE '' END AS required_fixes FROM (
   SELECT id AS output_id, round((least({q.word_count('summary')} / 100.0, 1.0) + CASE WHEN status = 'ok' THEN 1.0 ELSE 0.0 END) / 2, 4) AS score,
-    CASE WHEN status = 'ok' THEN 0 ELSE 1 END AS required_failures FROM items)"""))
+    CASE WHEN status = 'ok' THEN 0 ELSE 1 END AS required_failures, {q.word_count('summary')} AS n_words FROM items)"""))
 def _(t):
     ok = F.col("n_cited") > 0
-    length = lambda df: df.select("output_id", (F.col("n_words") / 100.0).alias("score"), F.lit(0).alias("required_failures"))
-    cited = lambda df: df.select("output_id", F.when(ok, 1.0).otherwise(-0.5).alias("score"), F.when(ok, 0).otherwise(1).alias("required_failures"))
+    found = lambda c, text: F.when(c, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    length = lambda df: df.select(
+        "output_id", (F.col("n_words") / 100.0).alias("score"), F.lit(0).alias("required_failures"), F.array(F.format_string("has %d words", "n_words")).alias("assertions"),
+        found(F.col("n_words") < 100, "write more").alias("feedback"))
+    cited = lambda df: df.select(
+        "output_id", F.when(ok, 1.0).otherwise(-0.5).alias("score"), F.when(ok, 0).otherwise(1).alias("required_failures"),
+        F.when(ok, F.array(F.lit("is cited"))).otherwise(F.array(F.lit("is not cited"))).alias("assertions"), found(~ok, "name a source").alias("feedback"), found(~ok, "cite a source").alias("required_fixes"))
     normalise = lambda df: df.select("output_id", F.size("citations").alias("n_cited"), tx.word_count(F.col("full")).alias("n_words"))
     rows = outputs(t).join(t.items.select(F.col("id").alias("output_id"), F.col("summary").alias("full")), "output_id")
-    return ql.run_evaluators(rows.transform(normalise), {"length": length, "cited": cited})
+    merged = ql.run_evaluators(rows.transform(normalise), {"length": length, "cited": cited})
+    return merged.withColumns({c: F.array_join(c, "|") for c in ql.FINDINGS})
 
 
 @register("best_attempts", "W8", q.with_([q.LEDGER], """
@@ -106,11 +115,18 @@ def _(t):
 PARAS = "list_filter(string_split(text, chr(10)), lambda p: p <> '')"
 
 
+TEMPLATE_HEADING = "How it changes the practical tradeoff"
+OTHER_EVIDENCE = "Quarterly shipments of refrigerated machinery slowed while harbour inspectors questioned warehouse paperwork"
+
+
 def briefs(t):
+    """Documents as briefs. Some have a template's heading, some cite evidence that they don't use, some have none."""
     lines = F.filter(F.split("text", "\n"), lambda p: p != "")
+    template = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit(TEMPLATE_HEADING))).otherwise(F.array().cast("array<string>"))
+    evidence = F.when(F.col("doc_id") % 5 == 1, OTHER_EVIDENCE).when(F.col("doc_id") % 5 == 2, "").otherwise(F.col("text"))
     return t.documents.select(
         F.col("doc_id").alias("output_id"), tx.clean_title(F.substring_index(tx.collapse(F.col("text")), " ", 8)).alias("title"), lines.alias("paragraphs"),
-        F.slice(lines, 1, 2).alias("headings"), F.array("source", F.substring_index(tx.collapse(F.col("text")), " ", 8)).alias("source_titles"), "text", F.col("text").alias("source_evidence"))
+        F.concat(F.slice(lines, 1, 2), template).alias("headings"), F.array("source", F.substring_index(tx.collapse(F.col("text")), " ", 8)).alias("source_titles"), "text", evidence.alias("source_evidence"))
 
 
 LEAD = f"array_to_string(string_split({q.collapse('text')}, ' ')[1:8], ' ')"
@@ -121,13 +137,13 @@ paras AS (SELECT output_id, unnest(paras) AS p, tw, lead FROM lead_words),
 echoes AS (SELECT output_id, bool_or(n < 18 OR (n < 40 AND shared / greatest(1, least(n, greatest(1, len(tw)))) >= 0.75) OR fp = {q.alnum_key('lead', 180)}) AS echo FROM (
   SELECT output_id, tw, lead, len({q.words('p')}) AS n, len(list_filter({q.words('p')}, lambda w: list_contains(tw, w))) AS shared,
     {q.alnum_key("regexp_replace(p, '^[^:]{3,80}:\\s*', '')", 180)} AS fp FROM paras) GROUP BY output_id),
-terms AS (SELECT *, {q.grounding_terms('text')} AS gt FROM lead_words)"""
+terms AS (SELECT *, {q.grounding_terms(f"CASE output_id % 5 WHEN 1 THEN '{OTHER_EVIDENCE}' WHEN 2 THEN '' ELSE text END")} AS gt, {q.grounding_terms('text')} AS used FROM lead_words)"""
 BRIEF_CHECKS = {
-    "word-count": f"{q.word_count(JOINED)} >= 120", "section-count": "len(paras) >= 2", "no-title-echo": "NOT coalesce(echo, false)", "no-template-heading": "true",
+    "word-count": f"{q.word_count(JOINED)} >= 120", "section-count": "least(len(paras), 2) + CASE WHEN output_id % 7 = 0 THEN 1 ELSE 0 END >= 2", "no-title-echo": "NOT coalesce(echo, false)", "no-template-heading": f"output_id % 7 <> 0 AND NOT {q.any_match('array_to_string(paras[1:2], chr(10))', [rules.TEMPLATE_HEADING_PATTERN])}",
     "detail-terms": f"{q.term_hits(JOINED, CORPUS_TERMS)} >= 2",
     "no-copied-headline": f"NOT (length({q.headline('lead')}) > 28 AND contains(lower({JOINED}), lower({q.headline('lead')})))",
     "no-meta-language": f"NOT {q.any_match('text', rules.META_PATTERNS)}", "usable-evidence": "len(gt) > 0",
-    "grounded": "len(gt) = 0 OR len(gt) >= least(4, greatest(2, ceil(len(gt) * 0.2)))",
+    "grounded": "len(gt) = 0 OR len(list_intersect(gt, used)) >= least(4, greatest(2, ceil(len(gt) * 0.2)))",
 }
 BRIEF_SQL = "brief_rules AS (" + "\nUNION ALL ".join(
     f"SELECT output_id, '{n}' AS rule, ({c}) AS passed FROM terms LEFT JOIN echoes USING (output_id)" for n, c in BRIEF_CHECKS.items()) + ")"
