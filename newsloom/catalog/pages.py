@@ -146,34 +146,38 @@ def _(t):
     return items.join(t.read("pages").select("url", "page_id"), "url")
 
 
+ENTRIES, TAKEN = 3, 2  # entries of a feed, and how many of them a query takes
+
+
 def raw_entry(t):
-    """Documents as raw feed entries with missing fields."""
+    """Documents as feeds of several raw entries with missing fields."""
     none = F.lit(None).cast("string")
     even = F.col("id") % 2 == 0
-    entry = F.struct(
-        F.when(even, F.col("title")).alias("title"), "url", none.alias("id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("guid-"), F.col("id").cast("string"))).alias("guid"),
+    entry = lambda k: F.struct(
+        F.when(even, F.col("title")).alias("title"), F.concat("url", F.lit(f"?e={k}")).alias("link"), none.alias("id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("guid-"), F.col("id").cast("string"), F.lit(f"-{k}"))).alias("guid"),
         F.when(even, F.col("day").cast("string")).alias("isoDate"), F.lit("2024-02-01").alias("pubDate"),
         F.when(F.col("id") % 5 == 0, F.col("source_name")).alias("creator"), none.alias("author"),
         F.when(F.col("id") % 4 == 0, F.col("title")).alias("contentSnippet"), F.col("title").alias("summary"),
         F.concat(F.array(F.concat(F.lit("<![CDATA['"), "kind", F.lit("']]>")), F.lit(" ")), F.array("source_name")).alias("categories"),
     )
-    entry = entry.withField("link", F.col("url")).dropFields("url")
-    return t.items.select("id", "source_name", F.array(entry).alias("raw"))
+    return t.items.select("id", "source_name", F.array(*map(entry, range(ENTRIES))).alias("raw"))
 
 
 FEED_SQL = q.with_([q.ITEMS], """
-SELECT id, CASE WHEN id % 2 = 0 THEN title ELSE '' END AS title, url AS link, CASE WHEN id % 3 = 0 THEN 'guid-' || id ELSE url END AS item_id,
+SELECT id, CAST(entry AS INTEGER) AS entry, CASE WHEN id % 2 = 0 THEN title ELSE '' END AS title, url || '?e=' || entry AS link,
+  CASE WHEN id % 3 = 0 THEN 'guid-' || id || '-' || entry ELSE url || '?e=' || entry END AS item_id,
   CASE WHEN id % 2 = 0 THEN strftime(day, '%Y-%m-%d') ELSE '2024-02-01' END AS published_at,
-  CASE WHEN id % 5 = 0 THEN source_name ELSE {author} END AS author, {categories} AS categories, {source} AS source FROM items""")
+  CASE WHEN id % 5 = 0 THEN source_name ELSE {author} END AS author, {categories} AS categories, {source} AS source FROM items, range(2) r(entry)""")
 
 
 def feed_query(t, family):
     variant = feeds.VARIANTS[family]
-    item = F.get(feeds.normalize_items(F.col("raw"), variant, F.col("source_name")), F.lit(0))
-    rows = raw_entry(t).select("id", item.alias("i"))
+    taken = feeds.normalize_items(F.col("raw"), variant, F.col("source_name"), TAKEN)
+    rows = raw_entry(t).select("id", F.posexplode(taken).alias("entry", "i"))
     cats = F.array_join("i.categories", "|") if variant.categories != "none" else F.lit("")
     source = F.col("i.source") if variant.source else F.lit("")
-    return rows.select("id", "i.title", "i.link", F.col("i.id").alias("item_id"), F.col("i.publishedAt").alias("published_at"), "i.author",
+    return rows.select("id", "entry", "i.title", "i.link", F.col("i.id").alias("item_id"), F.col("i.publishedAt").alias("published_at"), "i.author",
                        cats.alias("categories"), source.alias("source"))
 
 
@@ -190,30 +194,32 @@ for _name, _family, _ids, _author, _cats, _source in [
 
 
 @register("paper_items", "P7", q.with_([q.ITEMS], """
-SELECT id, title, 'https://huggingface.co/papers/' || id AS link, strftime(day, '%Y-%m-%d') AS published_at,
-  CASE WHEN kind = 'en' THEN source_name || ', ' || kind ELSE kind END AS author, id % 7 AS upvotes, CASE WHEN id % 2 = 0 THEN 3 ELSE 0 END AS comments FROM items"""))
+SELECT id, CAST(entry AS INTEGER) AS entry, title, 'https://huggingface.co/papers/' || id || '-' || entry AS link, strftime(day, '%Y-%m-%d') AS published_at,
+  CASE WHEN kind = 'en' THEN source_name || ', ' || kind ELSE kind END AS author, id % 7 AS upvotes, CASE WHEN id % 2 = 0 THEN 3 ELSE 0 END AS comments FROM items, range(2) r(entry)"""))
 def _(t):
     none = F.lit(None).cast("string")
     authors = F.array(F.struct(F.col("source_name").alias("name"), (F.col("kind") != "en").alias("hidden")), F.struct(F.col("kind").alias("name"), F.lit(None).cast("boolean").alias("hidden")))
-    paper = F.struct(F.col("id").cast("string").alias("id"), F.col("title").alias("title"), authors.alias("authors"), F.col("day").cast("string").alias("publishedAt"),
+    paper = lambda k: F.struct(F.concat(F.col("id").cast("string"), F.lit(f"-{k}")).alias("id"), F.col("title").alias("title"), authors.alias("authors"), F.col("day").cast("string").alias("publishedAt"),
                      none.alias("submittedOnDailyAt"), F.col("title").alias("summary"), none.alias("ai_summary"), (F.col("id") % 7).alias("upvotes"),
-                     F.array("kind").alias("ai_keywords"), none.alias("projectPage"), none.alias("githubRepo"))
-    entry = F.struct(none.alias("id"), none.alias("title"), none.alias("publishedAt"), none.alias("summary"),
-                     F.when(F.col("id") % 2 == 0, F.lit(3).cast("bigint")).alias("numComments"), none.alias("thumbnail"), paper.alias("paper"))
-    return t.items.select("id", F.get(feeds.papers(F.array(entry)), F.lit(0)).alias("p")).select(
-        "id", "p.title", "p.link", F.col("p.publishedAt").alias("published_at"), "p.author", "p.upvotes", "p.comments")
+                     F.array("kind").alias("ai_keywords"), none.alias("projectPage"), none.alias("githubRepo"))
+    entry = lambda k: F.struct(none.alias("id"), none.alias("title"), none.alias("publishedAt"), none.alias("summary"),
+                     F.when(F.col("id") % 2 == 0, F.lit(3).cast("bigint")).alias("numComments"), none.alias("thumbnail"), paper(k).alias("paper"))
+    return t.items.select("id", F.posexplode(feeds.papers(F.array(*map(entry, range(ENTRIES))), TAKEN)).alias("entry", "p")).select(
+        "id", "entry", "p.title", "p.link", F.col("p.publishedAt").alias("published_at"), "p.author", "p.upvotes", "p.comments")
 
 
 @register("repository_items", "P8", q.with_([q.ITEMS], """
-SELECT id, source_name || '/' || kind AS title, url AS link, CASE WHEN id = 0 THEN url ELSE CAST(id AS VARCHAR) END AS repo_id, strftime(day, '%Y-%m-%d') AS published_at,
-  source_name AS author, id % 11 AS stars, 0 AS forks FROM items"""))
+SELECT id, CAST(entry AS INTEGER) AS entry, source_name || '/' || kind AS title, url || '?e=' || entry AS link,
+  CASE WHEN id * 10 + entry = 0 THEN url || '?e=' || entry ELSE CAST(id * 10 + entry AS VARCHAR) END AS repo_id, strftime(day, '%Y-%m-%d') AS published_at,
+  source_name AS author, id % 11 AS stars, 0 AS forks FROM items, range(2) r(entry)"""))
 def _(t):
     none = F.lit(None).cast("string")
-    repo = F.struct("id", F.concat("source_name", F.lit("/"), "kind").alias("full_name"), none.alias("name"), F.col("url").alias("html_url"), none.alias("description"),
+    repo = lambda k: F.struct(
+                    (F.col("id") * 10 + k).alias("id"), F.concat("source_name", F.lit("/"), "kind").alias("full_name"), none.alias("name"), F.concat("url", F.lit(f"?e={k}")).alias("html_url"), none.alias("description"),
                     (F.col("id") % 11).alias("stargazers_count"), F.lit(None).cast("bigint").alias("forks_count"), F.lit(1).cast("bigint").alias("open_issues_count"),
                     F.col("kind").alias("language"), none.alias("pushed_at"), F.col("day").cast("string").alias("updated_at"), F.struct(F.col("source_name").alias("login")).alias("owner"))
-    return t.items.select("id", F.get(feeds.repositories(F.array(repo)), F.lit(0)).alias("r")).select(
-        "id", "r.title", "r.link", F.col("r.id").alias("repo_id"), F.col("r.publishedAt").alias("published_at"), "r.author", "r.stars", "r.forks")
+    return t.items.select("id", F.posexplode(feeds.repositories(F.array(*map(repo, range(ENTRIES))), TAKEN)).alias("entry", "r")).select(
+        "id", "entry", "r.title", "r.link", F.col("r.id").alias("repo_id"), F.col("r.publishedAt").alias("published_at"), "r.author", "r.stars", "r.forks")
 
 
 def item_xml(t):

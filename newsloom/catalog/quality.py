@@ -235,20 +235,30 @@ def _(t):
     return t.items.filter(F.col("summary") != "").select("id", text.alias("text"), F.array_join(F.array_sort(tx.relevance_keywords(F.concat("title", F.lit(" "), "summary"))), "|").alias("relevance"))
 
 
+SHOWN = "CASE WHEN id % 11 = 0 THEN 'RT ' || summary WHEN id % 13 = 0 THEN summary || ' Read more here: https://x.example/1' ELSE summary END"
+SOURCE = f"CASE id % 3 WHEN 0 THEN '{OTHER_EVIDENCE}' ELSE summary END"
 PREVIEW = {
-    "raw-repost-marker": r"regexp_matches(summary, '\bRT\b')", "flattened-quoted-link": r"regexp_matches(summary, '(?i)Read more here:\s*https?://')",
-    "instruction-language": q.any_match("summary", rules.META_PATTERNS), "repost-author": "kind = 'en' AND source_name IS NULL", "quoted-link": "kind = 'en' AND status <> 'ok'",
-    "body-length": f"trim(summary) <> '' AND {q.word_count('summary')} < 120", "headline-echo": r"trim(summary) <> '' AND regexp_matches(summary, '(?m)^[A-Z][^\n:]{3,90}:\s*[A-Z][^\n]+$')",
-    "detail-terms": f"trim(summary) <> '' AND {q.term_hits('summary', rules.BRIEF_DETAIL_TERMS)} = 0", "source-terms": f"trim(summary) <> '' AND len(list_distinct({q.grounding_terms('summary')})) < 2",
+    "raw-repost-marker": r"regexp_matches(shown, '\bRT\b')", "flattened-quoted-link": r"regexp_matches(shown, '(?i)Read more here:\s*https?://')",
+    "instruction-language": q.any_match("shown", rules.META_PATTERNS), "missing-social-preview": "kind = 'en' AND id % 17 = 0", "missing-repost-preview": "kind = 'en' AND id % 5 = 0",
+    "repost-label": "kind = 'en' AND id % 5 <> 0 AND id % 7 = 0", "repost-author": "kind = 'en' AND id % 5 <> 0 AND id % 9 = 0", "quoted-link": "kind = 'en' AND id % 5 <> 0 AND status <> 'ok'",
+    "body-length": f"trim(source) <> '' AND {q.word_count('shown')} < 120", "section-count": "trim(source) <> '' AND id % 19 = 0",
+    "headline-echo": r"trim(source) <> '' AND regexp_matches(shown, '(?m)^[A-Z][^\n:]{3,90}:\s*[A-Z][^\n]+$')",
+    "detail-terms": f"trim(source) <> '' AND {q.term_hits('shown', rules.BRIEF_DETAIL_TERMS)} = 0",
+    "source-terms": f"trim(source) <> '' AND len(list_intersect({q.grounding_terms('source')}, {q.grounding_terms('shown')})) < 2",
 }
+STUBS = f"stubs AS (SELECT *, {SHOWN} AS shown, {SOURCE} AS source FROM items)"
 
 
-@register("preview_contract", "Q20", q.with_([q.ITEMS], "\nUNION ALL ".join(f"SELECT id AS stub_id, '{rule}' AS rule FROM items WHERE {test}" for rule, test in PREVIEW.items())))
+@register("preview_contract", "Q20", q.with_([q.ITEMS, STUBS], "\nUNION ALL ".join(f"SELECT id AS stub_id, '{rule}' AS rule FROM stubs WHERE {test}" for rule, test in PREVIEW.items())))
 def _(t):
     from newsloom.operators.citations import preview_contract
 
-    stubs = t.items.select(
-        F.col("id").alias("stub_id"), F.col("summary").alias("text"), F.col("summary").alias("source_text"), (F.col("kind") == "en").alias("expects_social"),
-        F.lit(1).alias("n_social"), (F.col("kind") == "en").cast("int").alias("n_retweets"), F.lit("Retweet").alias("retweet_label"), F.col("source_name").alias("original_author"),
-        F.when(F.col("status") == "ok", F.col("url")).alias("quoted_url"), tx.word_count(F.col("summary")).alias("body_words"), F.lit(2).alias("n_sections"))
+    every = lambda n: F.col("id") % n == 0
+    english = F.col("kind") == "en"
+    shown = F.when(every(11), F.concat(F.lit("RT "), "summary")).when(every(13), F.concat("summary", F.lit(" Read more here: https://x.example/1"))).otherwise(F.col("summary"))
+    stubs = t.items.withColumn("shown", shown).select(
+        F.col("id").alias("stub_id"), F.col("shown").alias("text"), F.when(every(3), OTHER_EVIDENCE).otherwise(F.col("summary")).alias("source_text"), english.alias("expects_social"),
+        F.when(every(17), 0).otherwise(1).alias("n_social"), (english & ~every(5)).cast("int").alias("n_retweets"), F.when(every(7), "Repost").otherwise("Retweet").alias("retweet_label"),
+        F.when(~every(9), F.col("source_name")).alias("original_author"), F.when(F.col("status") == "ok", F.col("url")).alias("quoted_url"), tx.word_count(F.col("shown")).alias("body_words"),
+        F.when(every(19), 1).otherwise(2).alias("n_sections"))
     return preview_contract(stubs)
