@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom import rules
 from newsloom.catalog import sqltext as q
 from newsloom.catalog.base import CORPUS_ENTITIES, CORPUS_TERMS, register
-from newsloom.catalog.search import CORPUS_SIGNALS, DAILY, HEADS
+from newsloom.catalog.search import CORPUS_SIGNALS, DAILY, GENERIC, HEADS, RANKED
 from newsloom.operators import search as se
 from newsloom.plans import daily_brief as br
 from newsloom.session import stage
@@ -78,14 +78,64 @@ def _(t):
         F.col("day").cast("string").alias("day"), F.col("rank").cast("bigint").alias("rank"), "cluster", "title", "slug", "source_count")
 
 
-@register("story_sections", "C9 T5 T12 D13", None)
+FILLERS = [r"^So,\s*", r"^Okay,\s*", r"^Now,\s*now\s*", r"\bbeautiful\b\.?", r"\bhere\b"]
+
+
+def _fillers(x: str) -> str:
+    x = q.strip_noise(x)
+    for pattern in FILLERS:
+        x = f"regexp_replace({x}, {q.quote(pattern)}, '', 'gi')"
+    return q.collapse(x)
+
+
+def _concepts(x: str) -> str:
+    """At most five concepts of a text, first seen first."""
+    found = f"list_concat(list_filter(regexp_extract_all({x}, '{GENERIC}', 0, 'i'), lambda p: length(p) > 3), list_filter([array_to_string(({q.words(x)})[1:5], ' ')], lambda p: p <> ''))"
+    return f"coalesce((SELECT list(w ORDER BY pos) FROM (SELECT w, min(pos) AS pos FROM (SELECT unnest(c) AS w, unnest(range(len(c))) AS pos FROM (SELECT {found} AS c)) GROUP BY w ORDER BY pos LIMIT 5)), CAST([] AS VARCHAR[]))"
+
+
+NEAR = "least(len({a}), len({b})) >= {least} AND len(list_intersect({a}, {b})) >= least(len({a}), len({b})) * {share} - 1e-9"
+_near = lambda a, b: NEAR.format(a=a, b=b, least=rules.NEAR_DUPLICATE_MIN_WORDS, share=rules.NEAR_DUPLICATE_OVERLAP)
+SECTIONS = f"""members AS (SELECT c.cluster AS grp, id, title, coalesce(nullif(evidence, ''), summary) AS summary, coalesce(nullif(evidence, ''), summary, title) AS text FROM daily JOIN clusters c USING (id)),
+texts AS (SELECT grp, {q.collapse("string_agg(text, ' ' ORDER BY id)")} AS text FROM members GROUP BY grp),
+{RANKED[RANKED.index("s AS (SELECT grp"):]},
+best AS (SELECT grp, list(sentence ORDER BY rank) AS ev FROM (SELECT grp, sentence, row_number() OVER (PARTITION BY grp ORDER BY score DESC, no) AS rank FROM r) WHERE rank <= 12 GROUP BY grp),
+spare AS (SELECT grp, list(lead ORDER BY id) AS sp FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id) AS rn FROM (SELECT grp, id, {q.summarize('summary', 2)} AS lead FROM members) WHERE lead <> '') WHERE rn <= 12 GROUP BY grp),
+told AS (SELECT *, {q.strip_noise("title || '. ' || array_to_string(ev, ' ')")} AS all_text FROM (SELECT cluster AS grp, title, coalesce(ev, sp, [title]) AS ev FROM summaries LEFT JOIN best ON best.grp = cluster LEFT JOIN spare ON spare.grp = cluster)),
+begun AS (SELECT grp, title, ev, all_text, {_concepts('all_text')} AS cs FROM told),
+grouping(grp, k, cs, ev, used, groups) AS (
+  SELECT grp, 1, cs, ev, CAST([] AS VARCHAR[]), CAST([] AS STRUCT(concept VARCHAR, lines VARCHAR[])[]) FROM begun
+  UNION ALL SELECT grp, k + 1, cs, ev, list_concat(used, hits), CASE WHEN len(hits) = 0 THEN groups ELSE list_append(groups, {{'concept': cs[k], 'lines': hits}}) END
+  FROM (SELECT *, (list_filter(ev, lambda s: NOT list_contains(used, s) AND len(list_filter(terms, lambda t: contains(lower(s), t))) > 0))[1:3] AS hits
+    FROM (SELECT *, {q.words('cs[k]')} AS terms FROM grouping WHERE k <= len(cs)))),
+ended AS (SELECT grp, groups, list_filter(ev, lambda s: NOT list_contains(used, s)) AS rest FROM grouping WHERE k = len(cs) + 1),
+cut AS (SELECT grp, list_concat(groups, list_transform(range(0, len(rest), 3), lambda i: {{'concept': CAST(NULL AS VARCHAR), 'lines': rest[i + 1:i + 3]}}))[1:4] AS g FROM ended),
+parts AS (SELECT grp, unnest(g) AS part, unnest(range(len(g))) AS gi FROM cut),
+lines AS (SELECT grp, gi, si, {_fillers('line')} AS text FROM (SELECT grp, gi, unnest(part.lines) AS line, unnest(range(len(part.lines))) AS si FROM parts)),
+said AS (SELECT *, list_distinct({q.words('text')}) AS ws, {q.alnum_key('text', 180)} AS mark, row_number() OVER (PARTITION BY grp ORDER BY gi, si) AS k FROM lines),
+picks(grp, k, tw, kept, sets, marks) AS (
+  SELECT grp, 0, list_distinct({q.words('title')}), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[][]), CAST([] AS VARCHAR[]) FROM begun
+  UNION ALL SELECT grp, k + 1, tw, CASE WHEN again THEN kept ELSE list_append(kept, k + 1) END, CASE WHEN again THEN sets ELSE list_append(sets, ws) END, CASE WHEN again THEN marks ELSE list_append(marks, mark) END
+  FROM (SELECT p.*, s.ws, s.mark, s.text = '' OR list_contains(marks, s.mark) OR ({_near('p.tw', 's.ws')}) OR len(list_filter(sets, lambda x: {_near('x', 's.ws')})) > 0 AS again
+    FROM picks p JOIN said s ON s.grp = p.grp AND s.k = p.k + 1)),
+chosen AS (SELECT grp, CASE WHEN len(kept) > 0 THEN kept ELSE [(SELECT min(s.k) FROM said s WHERE s.grp = p.grp AND s.text <> '')] END AS kept FROM (SELECT grp, arg_max(kept, k) AS kept FROM picks GROUP BY grp) p),
+built AS (SELECT s.grp, s.gi, count(*) AS n, string_agg(s.text, ' ' ORDER BY s.k) AS joined FROM said s JOIN chosen c ON c.grp = s.grp AND list_contains(c.kept, s.k) GROUP BY s.grp, s.gi),
+named AS (SELECT b.*, p.part.concept AS concept, row_number() OVER (PARTITION BY b.grp ORDER BY b.gi) - 1 AS section_no, {_concepts('joined')} AS own FROM built b JOIN parts p ON p.grp = b.grp AND p.gi = b.gi)"""
+
+
+@register("story_sections", "C9 T5 T12 D13", recursive([q.OK_ITEMS, DAILY, CLUSTERS, SUMMARY, SECTIONS], f"""
+SELECT grp AS cluster, CAST(section_no AS INTEGER) AS section_no, topic, theme, intent, lower(heading) AS heading, CAST(n AS INTEGER) AS n_paragraphs FROM (
+  SELECT grp, section_no, n, {q.collapse("coalesce(nullif(concept, ''), own[1], 'Development')")} AS heading,
+    {q.first_rule("concat_ws(' ', concept, joined)", rules.HEADING_RULES, rules.DEFAULT_THEME)} AS theme, {q.first_rule("concat_ws(' ', concept, joined)", rules.INTENT_RULES, rules.DEFAULT_INTENT)} AS intent,
+    (SELECT {q.first_rule('all_text', rules.TOPIC_RULES, rules.DEFAULT_TOPIC)} FROM begun WHERE begun.grp = named.grp) AS topic FROM named)"""))
 def _(t):
     rows = daily(t)
     clusters = stage(br.story_clusters(rows), "clusters")
     stories = stage(br.cluster_summaries(rows, clusters), "stories")
     patterns = se.concept_patterns(HEADS)
+    # title case of headings has its own query
     return br.sections(stories, rows, clusters, CORPUS_SIGNALS, patterns).select(
-        "cluster", "section_no", "heading", "theme", "intent", F.size("paragraphs").alias("n_paragraphs"))
+        "cluster", "section_no", "topic", "theme", "intent", F.lower("heading").alias("heading"), F.size("paragraphs").alias("n_paragraphs"))
 
 
 @register("publishable_stories", "C10 W10 Q14", None)

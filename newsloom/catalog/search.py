@@ -95,15 +95,16 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(F.array_sort(tx.grounding_terms(F.col("text"))), "|").alias("terms"))
 
 
-@register("theme_tags", "T12", q.with_([q.ITEMS], """
-SELECT id, CASE WHEN contains(lower(summary), 'therea') OR contains(lower(summary), 'tion the') THEN 'alpha'
-  WHEN contains(lower(summary), 'eau') THEN 'beta' WHEN contains(lower(summary), 'ung') THEN 'gamma' ELSE 'other' END AS theme,
-  CASE WHEN regexp_matches(lower(summary), 'limitation|struggle|brittle') THEN 'constraint' WHEN regexp_matches(lower(summary), 'consolidation|semantic|episodic') THEN 'memory organisation'
-  WHEN regexp_matches(lower(summary), 'long-running|context') THEN 'extended work' ELSE 'development' END AS intent FROM items"""))
-def _(t):
-    table = [(2, ["eau"], "beta"), (1, ["therea", "tion the"], "alpha"), (3, ["ung"], "gamma")]
-    return t.items.select("id", tx.first_rule_tag(F.col("summary"), table, "other").alias("theme"),
-                          tx.first_rule_tag(F.col("summary"), rules.INTENT_RULES, rules.DEFAULT_INTENT).alias("intent"))
+LETTERS = [(2, ["eau"], "beta"), (1, ["therea", "tion the"], "alpha"), (3, ["ung"], "gamma")]
+
+
+@register("theme_tags", "T12", q.with_([q.ITEMS], f"""
+SELECT id, {q.first_rule('summary', LETTERS, 'other')} AS theme, {q.first_rule('summary', rules.TOPIC_RULES, rules.DEFAULT_TOPIC)} AS topic,
+  {q.first_rule('summary', rules.HEADING_RULES, rules.DEFAULT_THEME)} AS heading, {q.first_rule('summary', rules.INTENT_RULES, rules.DEFAULT_INTENT)} AS intent FROM items"""))
+def _(t):
+    tag = lambda table, default: tx.first_rule_tag(F.col("summary"), table, default)
+    return t.items.select("id", tag(LETTERS, "other").alias("theme"), tag(rules.TOPIC_RULES, rules.DEFAULT_TOPIC).alias("topic"),
+                          tag(rules.HEADING_RULES, rules.DEFAULT_THEME).alias("heading"), tag(rules.INTENT_RULES, rules.DEFAULT_INTENT).alias("intent"))
 
 
 @register("source_evidence", "T9 T6", q.with_([q.ITEMS], f"""

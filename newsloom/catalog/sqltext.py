@@ -107,6 +107,11 @@ def headline(x: str) -> str:
     return collapse(f"regexp_replace(coalesce({x}, ''), '\\s+-\\s+[^-]+$', '')")
 
 
+def first_rule(x: str, table, default: str) -> str:
+    """Tag of the first rule with a needle in the lower-cased text."""
+    return "CASE " + " ".join(f"WHEN {contains_any(x, needles)} THEN {quote(tag)}" for _, needles, tag in sorted(table)) + f" ELSE {quote(default)} END"
+
+
 def reader(x: str) -> str:
     """Internal ids and jargon rewritten, in order."""
     steps = [(r"https?://\S+", " ", "gi"), (r"\b(?:claim|topic|community|source-doc):[a-z0-9_.:-]+", " ", "gi"), (r"\bknowledge graph\b", "source corpus", "gi"),

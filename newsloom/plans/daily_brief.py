@@ -176,12 +176,13 @@ def sections(stories: DataFrame, daily: DataFrame, clusters: DataFrame, signal_t
     rows = rows.withColumn("kept", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.slice(_keep_new(flat, F.array().cast("array<string>")), 1, 1)))
     built = F.transform(F.col("groups"), lambda g, i: F.struct(
         g.concept.alias("concept"), F.transform(F.filter(F.col("kept"), lambda k: k["group"] == i), lambda k: k["text"]).alias("paragraphs")))
-    found = rows.select("cluster", "day", "title", F.posexplode(F.filter(built, lambda s: F.size(s.paragraphs) > 0)).alias("section_no", "s"))
+    rows = rows.withColumn("topic", tx.first_rule_tag(F.col("all_text"), rules.TOPIC_RULES, rules.DEFAULT_TOPIC))
+    found = rows.select("cluster", "day", "title", "topic", F.posexplode(F.filter(built, lambda s: F.size(s.paragraphs) > 0)).alias("section_no", "s"))
     found = found.withColumns({"joined": F.array_join("s.paragraphs", " "), "text": F.concat_ws(" ", "s.concept", F.array_join("s.paragraphs", " "))})
     text = F.col("text")
     named = F.coalesce(tx.non_empty(F.col("s.concept")), F.get(se.concepts(F.col("joined"), patterns), F.lit(0)), F.lit("Development"))
     return found.select(
-        "cluster", "day", "section_no", tx.title_case(tx.collapse(named)).alias("heading"), tx.first_rule_tag(text, rules.THEME_RULES, rules.DEFAULT_THEME).alias("theme"),
+        "cluster", "day", "section_no", "topic", tx.title_case(tx.collapse(named)).alias("heading"), tx.first_rule_tag(text, rules.HEADING_RULES, rules.DEFAULT_THEME).alias("theme"),
         tx.first_rule_tag(text, rules.INTENT_RULES, rules.DEFAULT_INTENT).alias("intent"), F.col("s.paragraphs").alias("paragraphs"))
 
 

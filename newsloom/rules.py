@@ -111,16 +111,27 @@ GENERIC_GROUNDING_WORDS = [
 ]
 
 # --- fixed values: theme rules, first match wins (priority, needles, tag) ---
-THEME_RULES = [
+# the topic of a whole article, by the first rule that matches
+TOPIC_RULES = [
     (1, ["programming language for agents", "cloud agents", "agent skills"], "agent building blocks"),
     (2, ["composer 2.5", "cursorbench", "workhorse coding"], "coding cost"),
     (3, ["nanogpt-bench", "ai r&d", "autoresearch"], "research benchmark"),
     (4, ["local ai", "amd", "open weight", "token"], "local inference"),
     (5, ["open-mm-rl", "verifiable reward", "grpo"], "reward pipeline"),
-    (6, ["phase transition", "critical density", "critical mass"], "trigger point"),
-    (7, ["limitation", "struggle", "brittle", "vector"], "limits"),
-    (8, ["long-running", "context"], "extended context"),
-    (9, ["consolidation", "semantic", "episodic"], "memory storage"),
+    (6, ["omnivoice", "voice cloning", "speaker diarization"], "voice tools"),
+    (7, ["media teams", "gemini", "editorial workflows"], "media agents"),
+]
+DEFAULT_TOPIC = "general"
+# the theme of a section's heading, by the first rule that matches
+HEADING_RULES = [
+    (1, ["composer 2.5", "cursorbench", "workhorse coding"], "coding cost"),
+    (2, ["local ai", "amd", "open weight", "token"], "local inference"),
+    (3, ["open-mm-rl", "verifiable reward", "grpo"], "reward pipeline"),
+    (4, ["programming language for agents", "cloud agents", "agent skills"], "agent building blocks"),
+    (5, ["phase transition", "critical density", "critical mass"], "trigger point"),
+    (6, ["limitation", "struggle", "brittle", "vector"], "limits"),
+    (7, ["long-running", "context"], "extended context"),
+    (8, ["consolidation", "semantic", "episodic"], "memory storage"),
 ]
 DEFAULT_THEME = "technical claim"
 INTENT_RULES = [
