@@ -138,12 +138,66 @@ def _(t):
         "cluster", "section_no", "topic", "theme", "intent", F.lower("heading").alias("heading"), F.size("paragraphs").alias("n_paragraphs"))
 
 
-@register("publishable_stories", "C10 W10 Q14", None)
+# items whose own summary is usable evidence
+GATED = q.ITEMS + f""",
+ok_items AS (SELECT * FROM items WHERE status = 'ok' AND {q.usable('summary', 'title')})"""
+CANDIDATES = """cands AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY source_count DESC, cluster) AS rank FROM summaries) WHERE rank <= 12)"""
+PARAS = "array_to_string(paras, ' ')"
+# takeaways repeat paragraphs, so no rule of a story with 120 words depends on them
+BRIEFS = f"""bodies AS (SELECT s.grp, list(s.text ORDER BY s.k) AS paras FROM said s JOIN chosen c ON c.grp = s.grp AND list_contains(c.kept, s.k) GROUP BY s.grp),
+heads AS (SELECT grp, list({q.collapse("coalesce(nullif(concept, ''), own[1], 'Development')")} ORDER BY section_no) AS heads FROM named GROUP BY grp),
+cited AS (SELECT grp, list(title ORDER BY id) AS titles, string_agg(evidence, ' ' ORDER BY id) AS told FROM (
+  SELECT c.cluster AS grp, x.id, x.title, x.evidence, row_number() OVER (PARTITION BY c.cluster ORDER BY x.id) AS rn FROM daily x JOIN clusters c USING (id)) WHERE rn <= 12 GROUP BY grp),
+briefs AS (SELECT *, array_to_string(heads, chr(10)) || chr(10) || array_to_string(paras, chr(10)) AS text, concat_ws(chr(10), title, paras[1], array_to_string(heads, chr(10)), {PARAS}) AS shown, list_distinct({q.words('title')}) AS tw
+  FROM cands JOIN bodies ON bodies.grp = cluster JOIN heads ON heads.grp = cluster JOIN cited ON cited.grp = cluster),
+echoes AS (SELECT cluster, bool_or(n < 18 OR (n < 40 AND shared / greatest(1, least(n, greatest(1, len(tw)))) >= 0.75) OR list_contains(marks, fp)) AS echo FROM (
+  SELECT cluster, tw, len({q.words('p')}) AS n, len(list_filter({q.words('p')}, lambda w: list_contains(tw, w))) AS shared, list_transform(titles, lambda x: {q.alnum_key('x', 180)}) AS marks,
+    {q.alnum_key("regexp_replace(p, '^[^:]{3,80}:\\s*', '')", 180)} AS fp FROM (SELECT cluster, tw, titles, unnest(paras) AS p FROM briefs)) GROUP BY cluster),
+own_rules AS (SELECT b.*, [{q.word_count(PARAS)} >= 120, len(heads) >= 2, NOT coalesce(echo, false), NOT {q.any_match('array_to_string(heads, chr(10))', [rules.TEMPLATE_HEADING_PATTERN])},
+    {q.term_hits(PARAS, CORPUS_TERMS)} >= 2, len(list_filter(titles, lambda x: length({q.headline('x')}) > 28 AND contains(lower({PARAS}), lower({q.headline('x')})))) = 0,
+    NOT {q.any_match('text', rules.META_PATTERNS)}, len({q.grounding_terms('told')}) > 0,
+    len({q.grounding_terms('told')}) = 0 OR len(list_intersect({q.grounding_terms('told')}, {q.grounding_terms('text')})) >= least(4, greatest(2, ceil(len({q.grounding_terms('told')}) * 0.2)))] AS own
+  FROM briefs b LEFT JOIN echoes USING (cluster)),
+rubric AS (SELECT *, @expected AS expected, @hits AS hits FROM own_rules),
+checked AS (SELECT *, MAP {{'citation-coverage': true, 'citation-richness': true, 'link-health': true, 'grounding': true, 'detail-level': {q.word_count(PARAS)} >= 90,
+    'relevance': len(expected) = 0 OR len(list_intersect(expected, {q.keywords('shown')})) >= greatest(1, least(3, ceil(len(expected) * 0.2))),
+    'speculation-boundary': NOT {q.any_match('shown', ['speculation as fact|will definitely|guaranteed to'])}, 'reader-facing-language': NOT {q.any_match('shown', rules.INTERNAL_LANGUAGE_PATTERNS)},
+    'tone-match': NOT {q.any_match('shown', rules.WIKI_LIKE_PATTERNS)} AND hits >= 2, 'word-choice': @avoided = 0 AND hits >= 2, 'voice-adherence': NOT {q.any_match('shown', rules.HYPE_PATTERNS)}}} AS marks FROM rubric),
+verdicts AS (SELECT c.cluster, any_value(c.day) AS day, any_value(c.rank) AS rank, any_value(c.title) AS title, any_value(len(list_filter(own, lambda x: NOT x))) AS failed_rules,
+    sum(CASE WHEN marks[rule] THEN CAST(weight AS DOUBLE) ELSE 0 END) / sum(CAST(weight AS DOUBLE)) AS raw, count(*) FILTER (required AND NOT marks[rule]) AS required_failures, count(*) FILTER (NOT marks[rule]) AS failures
+  FROM checked c, weights GROUP BY c.cluster),
+judged AS (SELECT *, (9 - failed_rules + 11 - failures) / 20 AS mean FROM verdicts)"""
+
+
+def gated_sql(select):
+    from newsloom.catalog.quality import ARTICLE, HARD, WEIGHTS
+
+    terms = {"@expected": q.keywords("title || ' ' || array_to_string(titles, ' ')"), "@hits": q.term_hits("shown", HARD), "@avoided": q.term_hits("shown", ARTICLE["avoid"])}
+    briefs = BRIEFS
+    for mark, text in terms.items():
+        briefs = briefs.replace(mark, text)
+    return recursive([GATED, *SELECTED_ITEMS[1:], CLUSTERS, SUMMARY, SECTIONS, CANDIDATES, WEIGHTS, briefs], select)
+
+
+PASSED = "failed_rules = 0 AND required_failures = 0 AND round(raw, 9) >= 0.86 AND mean >= 0.86"
+
+
+@register("publishable_stories", "C10 W10 Q14", gated_sql(f"""
+SELECT strftime(day, '%Y-%m-%d') AS day, CAST(place AS INTEGER) AS place, cluster AS output_id, title, failed_rules, round(raw, 4) AS rubric_score, round(least(mean, round(raw, 4)), 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY rank) AS place FROM judged WHERE {PASSED}) WHERE place <= 4"""))
 def _(t):
     from newsloom.catalog.quality import ARTICLE
 
     return br.publishable(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES, 4, 3, CORPUS_TERMS, CORPUS_SIGNALS, se.concept_patterns(HEADS), ARTICLE).select(
-        "day", "place", "output_id", "title", "failed_rules", "rubric_score", "score")
+        F.col("day").cast("string").alias("day"), "place", "output_id", "title", "failed_rules", "rubric_score", "score")
+
+
+@register("story_verdicts", "C10 Q13 Q14", gated_sql(f"SELECT cluster AS output_id, failed_rules, ({PASSED}) AS passed FROM judged"))
+def _(t):
+    """Every candidate, published or not."""
+    from newsloom.catalog.quality import ARTICLE
+
+    return br.judged_briefs(t.ok_items, CORPUS_TERMS, CORPUS_ENTITIES, 12, CORPUS_TERMS, CORPUS_SIGNALS, se.concept_patterns(HEADS), ARTICLE)[1].select("output_id", "failed_rules", "passed")
 
 
 @register("publish_quota", "W10", """
