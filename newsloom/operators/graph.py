@@ -125,9 +125,9 @@ def knowledge_graph(items: DataFrame) -> Graph:
     """
     parsed = parsed_items(items)
     base = document_graph(kn.source_documents(items))
-    owner = parsed.select(F.col("id").alias("evidence_id"), "doc", "at")
-    claims = kn.claims(parsed, sentences=F.col("said")).withColumn("node", F.concat(F.lit("claim:"), tx.stable_hash(F.col("claim_id"), 20))).join(owner, "evidence_id")
-    evidence = kn.entity_evidence(parsed, F.col("names"))
+    claims = parsed.select("id", "title", "url", "source_name", "at", F.posexplode("said").alias("pos", "text")).withColumn(
+        "node", F.concat(F.lit("claim:"), tx.stable_hash(F.concat(F.col("id").cast("string"), F.lit(":claim-"), (F.col("pos") + 1).cast("string")), 20)))
+    evidence = stage(kn.entity_evidence(parsed, F.col("names")), "entity-evidence")
     names = kn.entities(evidence).withColumn("node", tx.node_id("entity", F.col("name")))
     entity_names = names.groupBy("node").agg(F.max_by("name", F.struct(-F.col("mentions"), "name")).alias("name"))
     topic_rows = kn.topic_evidence(parsed).withColumn("node", tx.node_id("topic", F.col("name")))
