@@ -142,8 +142,7 @@ def _(t):
 @register("web_items", "P16", f"""
 SELECT page_id, {TITLE} AS title, 'web-' || {q.slug(TITLE)} AS id, url FROM pages WHERE {TITLE} <> ''""")
 def _(t):
-    items = pg.web_items(t.pages, F.lit("web"), F.col("url")).select("id", "title", "url")
-    return items.join(t.read("pages").select("url", "page_id"), "url")
+    return pg.web_items(t.pages, F.lit("web"), F.col("url")).select("page_id", "id", "title", "url")
 
 
 ENTRIES, TAKEN = 3, 2  # entries of a feed, and how many of them a query takes

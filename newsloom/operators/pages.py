@@ -55,6 +55,6 @@ def web_items(pages: DataFrame, source_id, source_name) -> DataFrame:
     html = F.col("html")
     title = F.coalesce(tx.non_empty(hx.visible_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), source_name)
     return pages.select(
-        F.concat(source_id, F.lit("-"), tx.slug(title)).alias("id"), title.alias("title"), "url",
+        "page_id", F.concat(source_id, F.lit("-"), tx.slug(title)).alias("id"), title.alias("title"), "url",
         tx.summarize(hx.body_text(html), 4).alias("summary"),
     )
