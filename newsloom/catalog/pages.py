@@ -23,7 +23,7 @@ def _(t):
 
 SPANS = f"""spans AS (
   SELECT page_id, url, unnest(s) AS text, unnest(range(1, len(s) + 1)) AS span_no
-  FROM (SELECT page_id, url, ({q.paragraphs('html')}) AS s FROM pages))"""
+  FROM (SELECT page_id, url, ({q.text_spans('html')}) AS s FROM pages))"""
 
 
 @register("page_text_spans", "P11", q.with_([SPANS], f"""
