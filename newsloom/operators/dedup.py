@@ -59,8 +59,10 @@ def dedupe_citations_like(items: DataFrame, order: str, url: str, text: Column,
     def scoped(c: Column) -> Column:
         return c if scope is None else F.when(c == "", F.lit("")).otherwise(F.concat(scope.cast("string"), F.lit("\u0001"), c))
 
-    keyed = items.withColumns({"_url_key": scoped(ux.canonical_key(F.col(url))), "_text_key": scoped(tx.content_key(text))})
-    return greedy_two_keys(keyed, order, "_url_key", "_text_key").drop("_url_key", "_text_key")
+    # staged: the filters of the rounds would evaluate the key expressions again
+    keys = items.select(F.col(order), tx.let(ux.canonical_key(F.col(url)), scoped).alias("_url_key"), tx.let(tx.content_key(text), scoped).alias("_text_key"))
+    kept = greedy_two_keys(stage(keys, "two-keys"), order, "_url_key", "_text_key")
+    return items.join(kept.select(order), order, "left_semi")
 
 
 # --- near-duplicate texts -------------------------------------------------------
