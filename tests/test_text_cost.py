@@ -69,3 +69,11 @@ def test_keys_are_staged_once(spark, monkeypatch):
     assert [r.id for r in dd.dedupe_citations_like(items, "id", "url", F.col("text")).collect()] == [1]
     # the first round reads keys, it does not compute them from the texts again
     assert "split" not in staged["two-key-open"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dictionary_reads_a_text_once(spark):
+    rows = spark.createDataFrame([(1, "Ada  and Bob"), (2, None)], "id bigint, t string")
+    found = rows.select("id", tx.known_entities(tx.collapse(F.col("t")), [("ada", "Ada"), ("bob", "Bob"), ("zed", "Zed")]).alias("e"))
+    assert {r.id: r.e for r in found.collect()} == {1: ["Ada", "Bob"], 2: []}
+    # the text was lower-cased, and its expression evaluated, once for every name
+    assert "contains(lower(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
