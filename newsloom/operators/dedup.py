@@ -75,35 +75,45 @@ def overlap_pairs(
     ``sets`` has ``scope, id, words`` (distinct words, at least one).
     Prefix filtering: a set of n words that shares k of them with another
     must share at least l of its n - k + l rarest (l = 3, or k if less), so
-    only those rarest words of the smaller set look up the full word index
-    and few pairs reach the full comparison. Exact; nothing sampled.
+    only those rarest words of the smaller set look up the word index, and a
+    hit counts only where the larger set has enough words left behind it. Few
+    pairs reach the full comparison. Exact; nothing sampled.
     """
     sets = stage(sets.withColumn("n", F.size("words")), "sets")
-    words = sets.select("scope", "id", "n", F.explode("words").alias("word")).withColumn("slot", F.concat(F.col("scope").cast("string"), F.lit("\u0001"), F.col("word")))
-    usage = stage(words.groupBy("slot").agg(F.count("*").alias("df")), "usage")
-    total = int(usage.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
-    counted = skew.lookup(words, usage, "slot", total, plain_rows)
-    need = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
-    ranked = counted.groupBy("scope", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ws"))
-    probes = ranked.select(
-        "scope", "id", "n", need.alias("need"), F.explode(F.slice("ws", F.lit(1), (F.col("n") - need + F.least(need, F.lit(3))).cast("int"))).alias("w")
-    ).select("scope", F.col("id").alias("a"), F.col("n").alias("na"), F.least("need", F.lit(3)).alias("hits"), F.col("w.word").alias("word"), F.col("w.df").alias("df"))
-    index = words.select("scope", "word", F.col("id").alias("b"), F.col("n").alias("nb"), "slot")
+    # words travel as numbers; two words of one number could only bring a candidate more
+    numbers = F.transform("words", lambda w: F.xxhash64("scope", w))
+    words = sets.select("id", "n", F.explode(numbers).alias("slot"))
+    usage = stage(words.groupBy("slot").agg(F.count("*").alias("df")).filter("df > 1"), "usage")
+    total = int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    counted = skew.lookup(words, usage, "slot", total, plain_rows).withColumn("df", F.coalesce("df", F.lit(1)))
+    need = F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int")
+    hits = F.least(F.col("need"), F.lit(3))
+    ranked = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "slot"))).alias("ws")).withColumn("need", need)
+    ranked = stage(ranked, "ranked")
+    # a word of one set finds nothing; nor does a set with too few words that another one has
+    able = ranked.filter(F.size(F.filter("ws", lambda w: w.df > 1)) >= F.col("need"))
+    probes = able.select(F.col("id").alias("a"), F.col("n").alias("na"), "need", hits.alias("hits"), F.explode(F.slice("ws", F.lit(1), F.col("n") - F.col("need") + hits)).alias("w"))
+    probes = probes.filter("w.df > 1").select("a", "na", "need", "hits", F.col("w.slot").alias("slot"))
+    index = ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.posexplode("ws").alias("place", "w")).filter("w.df > 1")
+    # words of b from this one on
+    index = index.select("b", "nb", (F.col("nb") - F.col("place")).alias("left_b"), F.col("w.slot").alias("slot"))
 
     # hot words: the probing side is salted, the index side repeated per salt
     per_task = 50_000
-    probes = stage(probes.withColumn("slot", F.concat(F.col("scope").cast("string"), F.lit("\u0001"), F.col("word"))), "probes")
+    probes = stage(probes, "probes")
     load = probes.groupBy("slot").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts"))
     hot = stage(load.filter(F.col("salts") > 1), "hot-words")
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    # both sets hold their words in one order, so behind one of the first hits b must still have the words that are missing
+    smaller = smaller & (F.col("left_b") >= F.col("need") - F.col("hits"))
     n_hot = _size(hot)
     if n_hot == 0:
-        found = probes.select("a", "na", "hits", "slot").join(index.select("b", "nb", "slot"), "slot")
+        found = probes.join(index, "slot")
     else:
         probe_total = _size(probes)
-        salted = skew.lookup(probes.select("a", "na", "hits", "slot"), hot, "slot", probe_total, plain_rows)
+        salted = skew.lookup(probes, hot, "slot", probe_total, plain_rows)
         salted = salted.withColumn("salt", F.pmod(F.hash("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
-        repeated = skew.lookup(index.select("b", "nb", "slot"), hot, "slot", total, plain_rows)
+        repeated = skew.lookup(index, hot, "slot", total, plain_rows)
         repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
         found = salted.join(repeated, ["slot", "salt"])
     # each (a, b, word) occurs once, so rows per pair are shared rare words
