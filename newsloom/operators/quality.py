@@ -58,7 +58,7 @@ def output_checks(article_voice: dict = rules.VOICE_PROFILES["journalist"], wiki
     needed = F.greatest(F.lit(1), F.least(F.lit(3), F.ceil(F.size(expected) * 0.2)))
     hard = list(dict.fromkeys([*article_voice["prefer"], *rules.HARD_SCIENCE_TERMS]))
     plain = list(dict.fromkeys([*wiki_voice["prefer"], *rules.WIKI_REFERENCE_TERMS]))
-    speculative = tx.any_match(text, [r"\b(applied opportunities?|speculative|could|might|may|opportunity)\b"])
+    speculative = tx.any_match(text, [r"\b(applied opportunities|applied opportunitie|speculative|could|might|may|opportunity)\b"])  # plain words are looked for as such
     unlabelled = article & tx.any_match(text, ["Applied Opportunities"]) & ~tx.any_match(text, ["Speculative applied opportunity"])
     body = F.coalesce("body", text)
     covered = F.when(article, F.forall(targets, lambda u: ux.is_http_url(u) & F.array_contains(urls, u))).otherwise(
