@@ -27,12 +27,16 @@ def read_graph_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("value", schemas.GRAPH_ENTRY).alias("e")).select("e.*")
 
 
-def split_graph(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): an entry with both ends is an edge."""
-    named = entries.withColumns({
-        "id": F.coalesce("`@id`", "id"), "type": F.coalesce("`@type`", "type", F.lit("Thing")),
+def named_entries(entries: DataFrame) -> DataFrame:
+    """Entries with an id and a type, and whether they are edges: an entry with both ends is one."""
+    return entries.withColumns({
+        "id": F.coalesce("`@id`", "id"), "type": F.coalesce("`@type`", "type", F.lit("Thing")), "is_edge": F.col("from").isNotNull() & F.col("to").isNotNull(),
     }).drop("@id", "@type").filter(F.col("id").isNotNull())
-    is_edge = F.col("from").isNotNull() & F.col("to").isNotNull()
-    edges = named.filter(is_edge).select("id", "type", F.col("from").alias("src"), F.col("to").alias("dst"))
-    nodes = named.filter(~is_edge).drop("from", "to")
+
+
+def split_graph(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all entries."""
+    named = named_entries(entries)
+    edges = named.filter("is_edge").select("id", "type", F.col("from").alias("src"), F.col("to").alias("dst"))
+    nodes = named.filter("NOT is_edge").drop("from", "to", "is_edge")
     return nodes, edges
