@@ -33,38 +33,56 @@ def _subsets_of_four(words: Column) -> Column:
     return out
 
 
-def shared_words(daily: DataFrame, least: int = 2) -> DataFrame:
-    """(item, words): of each item's keywords, sorted, those that at least ``least`` items of its day have.
+def word_kinds(daily: DataFrame) -> DataFrame:
+    """(day, entities, all_words, kind): items of a day with the same entities
+    and keywords are one kind, told by its smallest item. Copies are one row
+    here, however many there are."""
+    return _worded(daily).groupBy("day", "entities", "all_words").agg(F.min("item").alias("kind"))
 
-    A word of one item is in no shared combination. Counts are combined before
-    they are shuffled, and an item has twelve keywords at most.
-    """
-    held = stage(daily.select(F.col("id").alias("item"), "day", F.explode(F.array_distinct("keywords")).alias("word")), "day-words")
-    common = held.groupBy("day", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
-    return held.join(small(stage(common, "shared-words")), ["day", "word"]).groupBy("item").agg(F.array_sort(F.collect_list("word")).alias("words"))
+
+def _worded(daily: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return daily.select(
+        F.col("id").alias("item"), F.col("day").cast("string").alias("day"), F.coalesce("entities", none).alias("entities"),
+        F.array_sort(F.array_distinct(F.coalesce("keywords", none))).alias("all_words")).filter(F.size("all_words") > 0)
 
 
-def story_keys(daily: DataFrame) -> DataFrame:
-    """(item, key) rows such that two items of a day belong together when
-    they share a key: a URL, their own or a related one; an entity and a
-    keyword; or four keywords.
+def shared_words(kinds: DataFrame, by: str) -> DataFrame:
+    """``kinds`` with ``words``: of each one's ``all_words``, sorted, those
+    that at least two values of ``by`` have on its day.
 
-    Composite keys turn "shares an entity and a keyword" and "shares four
-    keywords" into equality, so no pair of items is ever enumerated. Only
-    words that another item of the day has too are combined.
+    Another word is in no combination that two of them share. Counts are
+    combined before they are shuffled, and a kind has twelve words at most.
     """
-    day = F.col("day").cast("string")
-    key = lambda kind, body: F.concat(day, F.lit(f"|{kind}|"), body)
+    held = stage(kinds.select("day", "kind", F.col(by).alias("holder"), F.explode("all_words").alias("word")), "day-words")
+    common = held.groupBy("day", "word").agg(F.min("holder").alias("lo"), F.max("holder").alias("hi")).filter(F.col("lo") < F.col("hi")).select("day", "word")
+    words = held.join(small(stage(common, "shared-words")), ["day", "word"]).groupBy("kind").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    return kinds.join(words, "kind")
+
+
+def _key(kind: str, body: Column) -> Column:
+    return F.concat(F.col("day").cast("string"), F.lit(f"|{kind}|"), body)
+
+
+def url_keys(daily: DataFrame) -> DataFrame:
+    """(item, key) rows of each item's own and related URLs."""
     related = F.coalesce("related_urls", F.array().cast("array<string>")) if "related_urls" in daily.columns else F.array().cast("array<string>")
     urls = F.array_distinct(F.transform(F.concat(F.array("url"), related), ux.canonical_key))
-    by_url = daily.select(F.col("id").alias("item"), F.explode(F.transform(F.filter(urls, lambda u: u != ""), lambda u: key("u", u))).alias("key"))
-    shared = shared_words(daily)
-    rows = stage(daily.select(F.col("id").alias("item"), "day", "entities").join(shared, "item"), "story-words")
-    combos = F.flatten(F.transform(F.col("entities"), lambda e: F.transform(F.col("words"), lambda k: F.concat(e, F.lit("\u0001"), k))))
+    return daily.select(F.col("id").alias("item"), F.explode(F.transform(F.filter(urls, lambda u: u != ""), lambda u: _key("u", u))).alias("key")).distinct()
+
+
+def entity_keys(kinds: DataFrame) -> DataFrame:
+    """(item, key) rows of an entity and a keyword each."""
+    combos = F.flatten(F.transform(F.array_distinct("entities"), lambda e: F.transform(F.col("words"), lambda k: F.concat(e, F.lit("\u0001"), k))))
+    return kinds.select(F.col("kind").alias("item"), F.explode(F.transform(combos, lambda x: _key("e", x))).alias("key"))
+
+
+def word_keys(kinds: DataFrame) -> DataFrame:
+    """Distinct (item, key) rows of four keywords each; the item is the kind's
+    story so far."""
     fours = F.transform(_subsets_of_four(F.col("words")), lambda s: F.array_join(s, "\u0001"))
-    mark = lambda c: F.transform(c, lambda x: F.concat(F.xxhash64(x).cast("string"), F.lit(":"), F.xxhash64(F.lit("b"), x).cast("string")))
-    keys = F.concat(F.transform(combos, lambda x: key("e", x)), F.transform(mark(fours), lambda x: key("k", x)))
-    return by_url.unionByName(rows.select("item", F.explode(keys).alias("key"))).distinct()
+    mark = lambda x: F.concat(F.xxhash64(x).cast("string"), F.lit(":"), F.xxhash64(F.lit("b"), x).cast("string"))
+    return kinds.select(F.col("story").alias("item"), F.explode(F.transform(fours, lambda x: _key("k", mark(x)))).alias("key")).distinct()
 
 
 def components(links: DataFrame, plain_rows: int | None = skew.PLAIN_ROWS) -> DataFrame:
@@ -91,9 +109,30 @@ def components(links: DataFrame, plain_rows: int | None = skew.PLAIN_ROWS) -> Da
 
 
 def story_clusters(daily: DataFrame) -> DataFrame:
-    """(id, cluster) of every item by connected story keys."""
-    found = components(se.star_links(story_keys(daily)))
-    return daily.select("id").join(found.withColumnRenamed("item", "id"), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    """(id, cluster) of every item: two items of a day belong together when
+    they share a URL, their own or a related one; an entity and a keyword; or
+    four keywords.
+
+    Composite keys turn "shares an entity and a keyword" and "shares four
+    keywords" into equality, so no pair of items is ever enumerated. Items of
+    one kind are linked as such, and only kinds have word keys. Four words
+    are combined last, of words that two stories of the day have by then:
+    inside a story they tell nothing new.
+    """
+    worded = _worded(daily)
+    kinds = stage(word_kinds(daily), "kinds")
+    # two items of a kind share its keys, if it can have one
+    tied = (F.size("all_words") >= 4) | (F.size("entities") > 0)
+    same = worded.filter(tied).join(kinds, ["day", "entities", "all_words"]).filter(F.col("item") != F.col("kind")).select("item", F.col("kind").alias("anchor"))
+    named = shared_words(kinds.filter(F.size("entities") > 0), "kind")
+    links = se.star_links(url_keys(daily).unionByName(entity_keys(named)))
+    begun = stage(components(links.unionByName(same)), "begun")
+    told = stage(kinds.join(begun.select(F.col("item").alias("kind"), "cluster"), "kind", "left").select(
+        "day", "all_words", "kind", F.coalesce("cluster", "kind").alias("story")).filter(F.size("all_words") >= 4), "told")
+    open_kinds = stage(shared_words(told, "story").filter(F.size("words") >= 4).select("day", "story", "words").distinct(), "open-kinds")
+    joined = components(se.star_links(word_keys(open_kinds))).select(F.col("item").alias("story"), F.col("cluster").alias("joined"))
+    first = daily.select("id").join(begun.withColumnRenamed("item", "id"), "id", "left").select("id", F.coalesce("cluster", "id").alias("story"))
+    return first.join(joined, "story", "left").select("id", F.coalesce("joined", "story").alias("cluster"))
 
 
 def cluster_summaries(daily: DataFrame, clusters: DataFrame) -> DataFrame:
