@@ -1,7 +1,7 @@
 """Keyed state: retry queue and document states, in the order of event time.
 
-Records wait in a map of their id's state until the watermark has passed
-them; a timer then releases them in order. So files may arrive in any order
+Records wait in their id's state, a chunk of many in one state row, until the
+watermark has passed them; a timer then releases them in order. So files may arrive in any order
 within the allowed lateness and give what one sorted batch gives. Rows are
 read frame by frame, and results leave in frames of bounded size.
 """
@@ -41,7 +41,7 @@ class InEventOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint, seq bigint", "status string")
+        self.waiting = handle.getListState("waiting", "at array<bigint>, seq array<bigint>, status array<string>")
         self.own = handle.getValueState("own", self.STATE)
         self.alarm = handle.getValueState("alarm", "at bigint")
 
@@ -49,11 +49,29 @@ class InEventOrder(StatefulProcessor):
         first = NEVER
         for frame in rows:
             at = frame["at"].astype("datetime64[us]").astype("int64")
-            for when, seq, status in zip(at, frame["seq"], frame["status"]):
-                self.waiting.updateValue((int(when), int(seq)), (status,))
-                first = int(when) if first == NEVER else min(first, int(when))
+            if len(at):
+                self.waiting.appendValue((at.tolist(), frame["seq"].astype("int64").tolist(), frame["status"].tolist()))
+                first = int(at.min()) if first == NEVER else min(first, int(at.min()))
         self._set_alarm(first)
-        yield pd.DataFrame([], columns=self.COLUMNS).pipe(self.typed)
+        yield from ()  # results come with the timers; an empty frame an id would cost more than its records
+
+    def _release(self, passed: int) -> tuple[dict, int]:
+        """Records up to a time by (time, seq), and the earliest time of the rest, which stay."""
+        ready: dict = {}
+        coming = NEVER
+        left: list[tuple] = []
+        for at, seq, status in self.waiting.get():
+            rest = [x for x in zip(at, seq, status) if x[0] > passed]
+            ready.update(((x[0], x[1]), x[2]) for x in zip(at, seq, status) if x[0] <= passed)
+            if rest:
+                left.append(tuple(map(list, zip(*rest))))
+                earliest = min(left[-1][0])
+                coming = earliest if coming == NEVER else min(coming, earliest)
+        if ready:
+            self.waiting.clear()
+            for chunk in left:
+                self.waiting.appendValue(chunk)
+        return ready, coming
 
     def _set_alarm(self, at: int) -> None:
         """One timer an id: the earliest time at which something is to be done."""
@@ -70,15 +88,14 @@ class InEventOrder(StatefulProcessor):
             return  # replaced by an earlier one
         self.alarm.update((NEVER,))
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready = sorted(place for place in self.waiting.keys() if place[0] <= passed)  # what lateness holds back
+        ready, coming = self._release(passed)  # what lateness holds back
         state = self.own.get() if self.own.exists() else self.start()
         out: list[tuple] = []
-        for at, seq in ready:
+        for at, seq in sorted(ready):
             if (due := self.wake(state)) != NEVER and due <= at:
                 state, rows = self.woken(state, due)
                 out += [(key[0], *r) for r in rows]
-            state, rows = self.step(state, seq, self.waiting.getValue((at, seq))[0], at)
-            self.waiting.removeKey((at, seq))
+            state, rows = self.step(state, seq, ready[at, seq], at)
             out += [(key[0], *r) for r in rows]
             if len(out) >= FRAME_ROWS:
                 yield pd.DataFrame(out, columns=self.COLUMNS).pipe(self.typed)
@@ -87,11 +104,11 @@ class InEventOrder(StatefulProcessor):
             state, rows = self.woken(state, due)
             out += [(key[0], *r) for r in rows]
         self.own.update(state)
-        coming = min((place[0] for place in self.waiting.keys()), default=NEVER)
         times = [t for t in (coming, self.wake(state)) if t != NEVER]
         if times:
             self._set_alarm(min(times))
-        yield pd.DataFrame(out, columns=self.COLUMNS).pipe(self.typed)
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS).pipe(self.typed)
 
     def start(self) -> tuple:
         raise NotImplementedError
