@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from newsloom import rules
 from newsloom.functions import text as tx, urls as ux
-from newsloom.operators import skew
+from newsloom.operators import overlap as ov, skew
 from newsloom.operators.ledger import first_per_key
 from newsloom.operators.rollups import with_previous
-from newsloom.session import stage
+from newsloom.session import small, stage
 
 def _size(df: DataFrame) -> int:
     """Row count of a staged table (read from file footers)."""
@@ -67,65 +68,51 @@ def dedupe_citations_like(items: DataFrame, order: str, url: str, text: Column,
 
 # --- near-duplicate texts -------------------------------------------------------
 
-def overlap_pairs(
-    sets: DataFrame, threshold: float = rules.NEAR_DUPLICATE_OVERLAP, plain_rows: int | None = skew.PLAIN_ROWS
-) -> DataFrame:
+def overlap_pairs(sets: DataFrame, threshold: float = rules.NEAR_DUPLICATE_OVERLAP, total: int | None = None) -> DataFrame:
     """Pairs whose shared words reach ``threshold`` of the smaller set.
 
-    ``sets`` has ``scope, id, words`` (distinct words, at least one).
-    Prefix filtering: a set of n words that shares k of them with another
-    must share at least l of its n - k + l rarest (l = 3, or k if less), so
-    only those rarest words of the smaller set look up the word index, and a
-    hit counts only where the larger set has enough words left behind it. Few
-    pairs reach the full comparison. Exact; nothing sampled.
+    ``sets`` has ``scope, id, words`` (distinct words, at least one), in all ``total`` words. Words
+    become numbers, groups of sets are written by ranges of scopes, and tasks
+    compare two groups each (see ``overlap``). Exact; nothing sampled.
     """
-    sets = stage(sets.withColumn("n", F.size("words")), "sets")
-    # words travel as numbers; two words of one number could only bring a candidate more
-    numbers = F.transform("words", lambda w: F.xxhash64("scope", w))
-    words = sets.select("id", "n", F.explode(numbers).alias("slot"))
-    usage = stage(words.groupBy("slot").agg(F.count("*").alias("df")).filter("df > 1"), "usage")
-    total = int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    counted = skew.lookup(words, usage, "slot", total, plain_rows).withColumn("df", F.coalesce("df", F.lit(1)))
+    spark, salt = sets.sparkSession, 0
     need = F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int")
-    hits = F.least(F.col("need"), F.lit(3))
-    ranked = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "slot"))).alias("ws")).withColumn("need", need)
-    ranked = stage(ranked, "ranked")
-    # a word of one set finds nothing; nor does a set with too few words that another one has
-    able = ranked.filter(F.size(F.filter("ws", lambda w: w.df > 1)) >= F.col("need"))
-    probes = able.select(F.col("id").alias("a"), F.col("n").alias("na"), "need", hits.alias("hits"), F.explode(F.slice("ws", F.lit(1), F.col("n") - F.col("need") + hits)).alias("w"))
-    probes = probes.filter("w.df > 1").select("a", "na", "need", "hits", F.col("w.slot").alias("slot"))
-    index = ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.posexplode("ws").alias("place", "w")).filter("w.df > 1")
-    # words of b from this one on
-    index = index.select("b", "nb", (F.col("nb") - F.col("place")).alias("left_b"), F.col("w.slot").alias("slot"))
-
-    # hot words: the probing side is salted, the index side repeated per salt
-    per_task = 50_000
-    probes = stage(probes, "probes")
-    load = probes.groupBy("slot").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts"))
-    hot = stage(load.filter(F.col("salts") > 1), "hot-words")
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    # both sets hold their words in one order, so behind one of the first hits b must still have the words that are missing
-    smaller = smaller & (F.col("left_b") >= F.col("need") - F.col("hits"))
-    n_hot = _size(hot)
-    if n_hot == 0:
-        found = probes.join(index, "slot")
-    else:
-        probe_total = _size(probes)
-        salted = skew.lookup(probes, hot, "slot", probe_total, plain_rows)
-        salted = salted.withColumn("salt", F.pmod(F.hash("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
-        repeated = skew.lookup(index, hot, "slot", total, plain_rows)
-        repeated = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-        found = salted.join(repeated, ["slot", "salt"])
-    # each (a, b, word) occurs once, so rows per pair are shared rare words
-    pairs = found.filter(smaller).groupBy("a", "b", "hits").agg(F.count("*").alias("_s")).filter(F.col("_s") >= F.col("hits")).select("a", "b")
-    left = sets.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("n").alias("na"))
-    right = sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .filter(shared >= F.col("na") * F.lit(threshold) - 1e-9)
-        .select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    )
+    while True:
+        extra = [F.lit(salt)] if salt else []
+        slots = F.transform("words", lambda w: F.xxhash64("scope", w, *extra))
+        # a second number tells two words of one number apart
+        marks = F.transform("words", lambda w: F.struct(F.xxhash64("scope", w, *extra).alias("slot"), F.xxhash64(w, "scope", F.lit(7)).alias("mark")))
+        usage = sets.select(F.explode(marks).alias("w")).groupBy("w.slot").agg(F.count("*").alias("df"), F.min("w.mark").alias("lo"), F.max("w.mark").alias("hi"))
+        usage = stage(usage.filter("df = 1 OR lo <> hi"), "usage")
+        if usage.filter("lo <> hi").isEmpty():
+            break
+        salt += 1
+    if total is None:
+        total = sets.agg(F.sum(F.size("words"))).first()[0] or 0
+    groups = ov.group_count(total)
+    scope = F.xxhash64("scope")
+    placed = sets.select("id", F.size("words").alias("n"), scope.alias("scope"), slots.alias("slots")).repartitionByRange(groups, "scope", F.xxhash64("id"))
+    placed = stage(placed.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("no"), "id", "scope", "n", need.alias("need"), "slots"), "sets")
+    # the session may have made more parts than were asked for
+    parts = (placed.agg(F.max("part")).first()[0] or 0) + 1
+    groups = min(groups, parts)
+    placed = placed.withColumn("grp", F.expr(f"cast(part * {groups} div {parts} as int)"))
+    # a word of one set finds nothing
+    words = placed.select("grp", "no", F.explode("slots").alias("slot")).join(small(usage.select("slot"), 2_000_000), "slot", "left_anti")
+    probes = stage(words.select("grp", "no", "slot").repartition(groups, "grp").sortWithinPartitions("grp", "no"), "probes")
+
+    def files_of(df: DataFrame) -> dict[int, list[str]]:
+        found: dict[int, list[str]] = {}
+        for grp, file in df.select("grp", F.input_file_name().alias("file")).distinct().collect():  # about one row per group
+            found.setdefault(grp, []).append(file)
+        return found
+
+    tiles = ov.tiles_of([tuple(r) for r in placed.groupBy("grp").agg(F.min("scope"), F.max("scope")).collect()])
+    numbers = spark.range(0, len(tiles), 1, max(1, min(len(tiles), 10_000)))
+    kind = placed.schema["id"].dataType
+    pairs = numbers.mapInPandas(
+        ov.tile_pairs(files_of(placed), files_of(probes), tiles, groups, parts), StructType([StructField("a", kind), StructField("b", kind)]))
+    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
 
 
 def greedy_over_pairs(pairs: DataFrame, plain_rows: int | None = skew.PLAIN_ROWS) -> DataFrame:
@@ -165,12 +152,12 @@ def near_duplicates(
         (fixed if fixed is not None else F.lit(False)).alias("fixed"),
     ).filter(F.size("words") >= rules.NEAR_DUPLICATE_MIN_WORDS)
     base = stage(base.withColumn("digest", F.sha2(F.array_join("words", " "), 256)), "near-base")
-    groups = stage(base.groupBy("scope", "digest").agg(F.min("id").alias("first"), F.count("*").alias("_n"), F.max("fixed").alias("any_fixed")), "near-groups")
+    groups = stage(base.groupBy("scope", "digest").agg(F.min("id").alias("first"), F.max(F.size("words")).alias("n")), "near-groups")
     repeats_of = base.select("scope", "digest", "id", "fixed").withColumn("slot", F.concat_ws("\u0001", F.col("scope").cast("string"), "digest"))
     firsts = groups.withColumn("slot", F.concat_ws("\u0001", F.col("scope").cast("string"), "digest")).select("slot", "first")
     repeats = skew.lookup(repeats_of, firsts, "slot", _size(base), plain_rows).filter((F.col("id") != F.col("first")) & ~F.col("fixed")).select("id")
-    heads = base.join(groups.select(F.col("first").alias("id")), "id", "left_semi")
-    pairs = overlap_pairs(heads.select("scope", "id", "words"), threshold, plain_rows)
+    heads = base.join(small(groups.select(F.col("first").alias("id")), 2_000_000), "id", "left_semi")
+    pairs = overlap_pairs(heads.select("scope", "id", "words"), threshold, groups.agg(F.sum("n")).first()[0] or 0)
     if fixed is not None:
         pairs = pairs.join(heads.filter("fixed").select(F.col("id").alias("hi")), "hi", "left_anti").select("lo", "hi")
     lost = greedy_over_pairs(pairs, plain_rows)
