@@ -108,7 +108,7 @@ def overlap_pairs(sets: DataFrame, threshold: float = rules.NEAR_DUPLICATE_OVERL
         return found
 
     tiles = ov.tiles_of([tuple(r) for r in placed.groupBy("grp").agg(F.min("scope"), F.max("scope")).collect()])
-    numbers = spark.range(0, len(tiles), 1, max(1, min(len(tiles), 10_000)))
+    numbers = spark.range(0, len(tiles), 1, ov.task_count(len(tiles)))
     kind = placed.schema["id"].dataType
     pairs = numbers.mapInPandas(
         ov.tile_pairs(files_of(placed), files_of(probes), tiles, groups, parts), StructType([StructField("a", kind), StructField("b", kind)]))
